@@ -3,9 +3,19 @@
 from __future__ import annotations
 
 from .byte_bpe import op8_byte_bpe
+from .exact_dedup import OP5_SQL, op5_exact_dedup
+from .packing import op9_best_fit_packing
+from .pii import op1_pii
+from .quality import op4_quality_classifier
 
 QUERIES = {
+    "op1_pii": op1_pii,
+    "op4_quality_classifier": op4_quality_classifier,
+    "op5_exact_dedup": op5_exact_dedup,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_best_fit_packing": op9_best_fit_packing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_exact_dedup": OP5_SQL,
+}
