@@ -1,0 +1,50 @@
+import hashlib
+import random
+import re
+
+from pyspark.sql import functions as F
+
+from tallyframe.llm.secrets import found, labelled_findings, scan, train, with_features
+
+KEY = "[A-Za-z0-9_+/=-]"
+
+
+def brute(rows):
+    out = []
+    for doc_id, text in rows:
+        text = (text or "").replace("\u0001", " ")
+        for m in re.finditer(f"(?<!{KEY}){KEY}{{20,}}", text):
+            if re.search("[0-9]", m[0]):
+                out.append((doc_id, m.start(), m[0]))
+    return sorted(out, key=str)
+
+
+def test_candidates_equal_brute_force(spark):
+    rng = random.Random(6)
+    parts = ["abc", "token = \"", "0123456789abcdef0123456789", "\"", " ", "é", "👍", "x" * 25, "A1" * 30, "\n", "\u0001", "=", "/", "."]
+    rows = [(k, "".join(rng.choices(parts, k=rng.randint(0, 12)))) for k in range(400)]
+    rows += [(900, None), (900, None), (901, " 0123456789abcdef0123456789" * 300), (902, "a1" * 100_000)]
+    docs = spark.createDataFrame([(*r, 5, "z") for r in rows], "doc_id long, text string, start int, candidate string")
+    got = sorted(((r.doc_id, r.start, r.candidate) for r in found(docs).collect()), key=str)
+    assert got == brute(rows)
+    assert found(docs.limit(0)).count() == 0
+
+
+def test_forest_on_held_out_findings(spark):
+    every = labelled_findings(spark, 4000).withColumn("part", F.pmod(F.xxhash64("candidate", "before"), F.lit(4)))
+    model = train(every.filter("part < 3"))
+    from tallyframe.llm.secrets import _assembled
+
+    held = model.transform(_assembled(with_features(every.filter("part = 3"))))
+    assert held.filter("prediction = is_secret").count() / held.count() > 0.95
+
+
+def test_scan(spark):
+    secret = hashlib.sha1(b"x").hexdigest()
+    rows = [(1, f'set token = "{secret}" there', "s"), (2, f"see commit {secret} there", "s"), (3, "call get_user_name_from_table_2 now", None), (4, None, None), (5, f'a token = "{secret}" b', "s"), (5, f'a token = "{secret}" b', "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = [(r.doc_id, r.is_secret, r.start) for r in scan(docs, labelled_findings(spark)).orderBy("doc_id").collect()]
+    assert got == [(1, True, 13), (2, False, 11), (3, False, 5), (5, True, 11), (5, True, 11)]
+    none = labelled_findings(spark).limit(0)
+    assert train(none) is None and scan(docs, none).filter("is_secret").count() == 5
+    assert scan(docs.limit(0), none).count() == 0
