@@ -38,20 +38,15 @@ BEFORE, AFTER = 60, 30
 CREDENTIAL_WORDS = "token secret password passwd pwd credential credentials apikey api_key key auth authorization bearer private access_key secret_key client_secret".split()
 AGAINST_WORDS = "commit sha sha1 sha256 md5 checksum digest etag uuid guid revision blob tree hash integrity example sample placeholder dummy test fixture build version".split()
 DICTIONARY = """
-about access account action address after all and api app array auto back base batch begin block body bool buffer build byte call case
-change char check class clear client close cloud code color column command commit common config connect content context control
-copy core count create current data date debug default delete demo dev device dir document domain done down edit element empty
-enable end engine entry error event example factory feature field file filter find first flag float folder for format from func
-function get global group handle hash head header height hello help host html http icon image import index info init input insert
-integer invalid item java job join json key label last layout left length level lib line link list load local lock log login long
-loop main make manager map mark master max member message meta method min mock mode model module money name native network new next
-node none not null number object offset open option order output override page panel parse partition password path pattern
-placeholder point port prefix print private process profile property provider proxy public query queue random range read record ref
-release remove render report request reset resource response result return right root row run sample save schema scope screen script
-search section select send server service session set setting shared show size sort source spec split stack start state static
-status step stop store stream string style submit sum super support switch sync system table target task temp template test text the
-thread time timeout title toggle tool total trace tree trigger true type undefined unit update upload url user util utils value
-vector version view wait web width window with word work worker wrapper write xml your zone
+access account action address after app array auto back base batch begin block body buffer build byte call change
+check class client close code color command commit common config connect content control count create current data
+date debug default delete device dir document domain down enable error event example factory file filter find float
+folder format from function get handle hash header host http import index init input item java job json key label link
+list load local lock log long main master member message meta method model module name network number object open
+option order output override page password path pattern placeholder port print private process profile property
+provider public query read record report request response result return right screen search send server service
+session set source start state status step store stream string style support switch system table target template test
+the true type undefined update upload url user util utils value version web width window with word xml
 """.split()
 
 _KEY_CHARS = "A-Za-z0-9_+/=-"
