@@ -4,18 +4,27 @@ from __future__ import annotations
 
 from .byte_bpe import op8_byte_bpe
 from .exact_dedup import OP5_SQL, op5_exact_dedup
+from .kneser_ney import op2_kneser_ney
 from .packing import op9_best_fit_packing
 from .pii import op1_pii
 from .quality import op4_quality_classifier
+from .secrets import op3_secret_scan
+from .syncmers import op10_closed_syncmers
+from .warc import OP7_SQL, op7_warc_index
 
 QUERIES = {
     "op1_pii": op1_pii,
+    "op2_kneser_ney": op2_kneser_ney,
+    "op3_secret_scan": op3_secret_scan,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_exact_dedup": op5_exact_dedup,
+    "op7_warc_index": op7_warc_index,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_closed_syncmers": op10_closed_syncmers,
 }
 
 ORACLES: dict[str, str] = {
     "op5_exact_dedup": OP5_SQL,
+    "op7_warc_index": OP7_SQL,
 }
