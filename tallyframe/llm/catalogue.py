@@ -5,6 +5,7 @@ from __future__ import annotations
 from .byte_bpe import op8_byte_bpe
 from .exact_dedup import OP5_SQL, op5_exact_dedup
 from .kneser_ney import op2_kneser_ney
+from .ngram_join import op6_ngram_join
 from .packing import op9_best_fit_packing
 from .pii import op1_pii
 from .quality import op4_quality_classifier
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_secret_scan": op3_secret_scan,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_ngram_join": op6_ngram_join,
     "op7_warc_index": op7_warc_index,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_best_fit_packing": op9_best_fit_packing,
