@@ -27,6 +27,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -61,18 +62,40 @@ def token_ids(texts: pa.Array, path: str, end_id: int = END_ID) -> tuple[np.ndar
     """
     flat, bounds = split_words(texts, lower=False)
     coded = flat.dictionary_encode()
-    ids = [e.ids for e in tokenizer(path).encode_batch_fast(coded.dictionary.to_pylist(), add_special_tokens=False)]
-    ids.append([end_id])
-    lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-    pool = np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum()))
+    pool, lengths = _distinct_ids(coded.dictionary, path)
+    pool, lengths = np.append(pool, np.uint32(end_id)), np.append(lengths, 1)
     starts = np.cumsum(lengths) - lengths
-    index = np.insert(coded.indices.to_numpy().astype(np.int64), bounds[1:], len(ids) - 1)
+    index = np.insert(coded.indices.to_numpy().astype(np.int64), bounds[1:], len(lengths) - 1)
     bounds = bounds + np.arange(len(bounds))
     taken = lengths[index]
     ends = np.concatenate([[0], np.cumsum(taken)])
     return pool[spread(starts[index], taken)], ends[bounds]
 
 
+def _distinct_ids(words: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the words one after the other, and how many each has.
+
+    The vocabulary lowers letters and splits between a letter and a full stop or comma, so ``Word,`` and ``word`` share
+    one encoding. Only ASCII words are lowered here: elsewhere composition comes before lowering.
+    """
+    plain = pc.match_substring_regex(words, r"^[\x00-\x7f]*$")
+    words = pc.if_else(plain, pc.ascii_lower(words), words)
+    stop = pc.match_substring_regex(words, r"\pL\.$").to_numpy(zero_copy_only=False).astype(bool)
+    comma = pc.match_substring_regex(words, r"\pL,$").to_numpy(zero_copy_only=False).astype(bool)
+    marked = stop | comma
+    core = pc.if_else(pa.array(marked), pc.utf8_slice_codeunits(words, 0, -1), words).dictionary_encode()
+    bpe = tokenizer(path)
+    ids = [e.ids for e in bpe.encode_batch_fast(core.dictionary.to_pylist(), add_special_tokens=False)]
+    of_core = np.fromiter(map(len, ids), np.int64, len(ids))
+    flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(of_core.sum()))
+    index = core.indices.to_numpy().astype(np.int64)
+    taken = of_core[index]
+    pool = flat[spread((np.cumsum(of_core) - of_core)[index], taken)]
+    marks = [bpe.encode(m, add_special_tokens=False).ids[0] for m in ".,"]
+    pool = np.insert(pool, np.cumsum(taken)[marked], np.where(stop, *marks)[marked])
+    return pool, taken + marked
+
+
 def pieces(docs: DataFrame, capacity: int = SEQUENCE_TOKENS, path: str | None = None, end_id: int = END_ID) -> DataFrame:
     """doc_id, piece, start, length and ids_crc32 of every piece."""
     path = path or default_path()
@@ -145,7 +168,7 @@ def sweep(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, in
 def ranked(table: DataFrame) -> DataFrame:
     """``rank`` of each piece in its size class, from 0, without gathering a class in one task."""
     n = table.count()
-    salts = max(1, n // RANK_ROWS) * 4
+    salts = 32 * max(1, n // RANK_ROWS)
     salted = table.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
     before = salted.groupBy("length", "salt").count()
     before = before.select("length", "salt", (F.sum("count").over(Window.partitionBy("length").orderBy("salt")) - F.col("count")).alias("before"))

@@ -44,7 +44,7 @@ def test_sweep_equals_sequential_best_fit():
 
 
 def test_token_ids_equal_whole_text_encoding():
-    texts = ["", "Hello  World's\n\tit's 123", "É́ Σς ΑΣ", "a b c", "日本語 x", "x" * 3000, "--- !!!'S we'LL", "e ́x", "<|endoftext|>", "\x1cq \x85 z"]
+    texts = ["", "Hello  World's\n\tit's 123", "É́ Σς ΑΣ", "a b c", "日本語 x", "x" * 3000, "--- !!!'S we'LL", "e ́x", "<|endoftext|>", "\x1cq \x85 z", "Word, word. WORD. É. é́. H̱. h., 'S. 1. 1, a.b. ß, .. , x.,"]
     ids, bounds = token_ids(pa.array(texts), default_path())
     for k, t in enumerate(texts):
         assert ids[bounds[k] : bounds[k + 1]].tolist() == tokenizer(default_path()).encode(t, add_special_tokens=False).ids + [1]
