@@ -181,6 +181,7 @@ def _different_texts(texts: DataFrame, index: DataFrame) -> DataFrame | None:
     mine = hits.select("digest", "keep_id")
     kept = rows.join(F.broadcast(mine) if small else mine, "digest").filter(F.col("doc_id").eqNullSafe(F.col("keep_id")))
     kept = kept.groupBy("digest").agg(F.min("norm").alias("kept_norm"))  # repeated rows of one id: the first text
+    kept = staged(kept, "lsm-kept")  # its own stage, so that only the join reads a large group, and can split it
     bad = members.join(kept, "digest").filter(F.col("norm") != F.col("kept_norm")).select("digest").distinct()
     bad = staged(bad, "lsm-mismatch")
     return bad if bad.take(1) else None
