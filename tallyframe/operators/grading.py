@@ -16,11 +16,11 @@ from ..functions.formatting import within_tolerance
 #: Fixed value: amounts nearer than this are equal.
 TOLERANCE = "0.01"
 UNCATEGORIZED = ("uncategorized_outflow", "uncategorized_credit")
-LINE_FACTS = ["duplicate_excluded", "lines_counted", "uncategorized_count", "refund_treatment"]
 
 
 def is_counted(treatment: Column) -> Column:
-    return treatment == "included_spending"
+    """A reported line counts unless it is an excluded duplicate."""
+    return treatment != "excluded_duplicate"
 
 
 def project(transactions: DataFrame, names: DataFrame, offset: int = 0) -> DataFrame:
@@ -51,7 +51,7 @@ def ledger_diff(reference: DataFrame, produced: DataFrame, key: list[str], colum
 def line_differences(reference: DataFrame, lines: DataFrame) -> DataFrame:
     """Ledger diff of lines: date, merchant, amount, counted or not, and category (any accepted one)."""
     ref = reference.withColumn("counted", F.col("is_counted")).withColumn("accepted", accepted_categories())
-    ref = ref.withColumn("category", F.col("category")).select("line_number", "source_text", "occurred_on", "merchant", "amount", "counted", "category", "accepted")
+    ref = ref.select("line_number", "source_text", "occurred_on", "merchant", "amount", "counted", "category", "accepted")
     out = lines.withColumn("counted", is_counted(F.col("treatment")))
     return ledger_diff(ref, out, ["line_number"], ["occurred_on", "merchant", "amount", "counted", "category"], {"category": F.array_contains("r_accepted", F.col("p_category"))})
 
@@ -67,9 +67,10 @@ def policy_subsets(policies: DataFrame, group: list[str] | None = None) -> DataF
     """
     group = group or []
     sizes = policies.groupBy(*group).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "name"))), lambda x: x["name"]).alias("names"))
-    masks = sizes.withColumn("mask", F.explode(F.sequence(F.lit(0), F.shiftleft(F.lit(1), F.size("names")) - 1)))
-    picked = F.filter(F.transform("names", lambda n, i: F.when(F.shiftright(F.col("mask"), i).bitwiseAND(F.lit(1)) == 1, n)), lambda n: n.isNotNull())
-    rows = masks.select(*group, picked.alias("applied"), F.bit_count("mask").alias("size"), F.transform(F.sequence(F.lit(0), F.size("names") - 1), lambda i: 1 - F.shiftright(F.col("mask"), i).bitwiseAND(F.lit(1))).alias("order"))
+    masks = sizes.withColumn("mask", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("shiftleft(1L, size(names)) - 1"))))
+    bits = F.transform("names", lambda n, i: F.getbit("mask", i))
+    picked = F.filter("names", lambda n, i: F.getbit("mask", i) == 1)
+    rows = masks.select(*group, picked.alias("applied"), F.bit_count("mask").alias("size"), F.transform(bits, lambda b: 1 - b).alias("order"))
     window = Window.partitionBy(*group).orderBy("size", "order") if group else Window.orderBy("size", "order")
     return rows.withColumn("ordinal", F.row_number().over(window) - 1).drop("size", "order")
 
@@ -120,7 +121,7 @@ def category_differences(reference: DataFrame, lines: DataFrame, category: str)
     """Counted reference lines of a category that lie elsewhere, and lines wrongly put there."""
     ref = reference.withColumn("accepted", accepted_categories())
     mine = ref.filter(F.col("is_counted") & (F.col("category") == category))
-    counted = lines.filter(is_counted(F.col("treatment")) | F.col("treatment").isin(*UNCATEGORIZED))
+    counted = lines.filter(is_counted(F.col("treatment")))
     placed = mine.select("line_number", "accepted").join(counted.select("line_number", F.col("category").alias("c")), "line_number", "left")
     away = placed.filter(~F.coalesce(F.array_contains("accepted", F.col("c")), F.lit(False))).select("line_number", F.lit("elsewhere").alias("kind"))
     there = counted.filter(F.col("category") == category).join(mine, "line_number", "left_anti")
@@ -147,7 +148,7 @@ def read_facts(readers: DataFrame, lines: DataFrame, budgets: DataFrame, changes
     parts = [spent.select("run", "fact_name", status.alias("fact_value"))]
     one = lines.select("run", "line_number", "treatment", "amount")
     listed = asked.filter(F.col("reader").isin("refund_treatment", "duplicate_excluded", "lines_counted")).select("run", "fact_name", "reader", F.explode("line_numbers").alias("line_number")).join(one, ["run", "line_number"], "left")
-    included = F.coalesce(is_counted(F.col("treatment")), F.lit(False))
+    included = F.coalesce(F.col("treatment") == "included_spending", F.lit(False))
     refund = F.when(F.col("treatment").isNull(), "not_mentioned").when(~included | F.col("amount").isNull(), "excluded").when(F.col("amount") < 0, "netted_against_spending").otherwise("counted_as_purchase")
     facts = listed.groupBy("run", "fact_name", "reader").agg(F.bool_and(included).alias("all_in"), F.bool_and(F.coalesce(F.col("treatment") == "excluded_duplicate", F.lit(False))).alias("all_out"), F.first(refund).alias("refund"))
     value = F.when(F.col("reader") == "refund_treatment", F.col("refund")).when(F.col("reader") == "duplicate_excluded", F.col("all_out").cast("string")).otherwise(F.col("all_in").cast("string"))

@@ -1,6 +1,544 @@
-"""Registered queries of the ledger engine and their DuckDB equivalents."""
+"""Registered queries of the ledger engine over the star-schema tables, with their DuckDB equivalents.
+
+Row numbers behind a figure are given as comma-joined text, so that both engines' results compare by value.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import evidence as ev
+from ..functions import formatting as fm
+from ..operators import compaction, findings, grading, parsing, policy, reconcile, rollout, totals
+
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name, with its SQL."""
+
+    def add(function):
+        QUERIES[function.__name__] = function
+        if sql is not None:
+            ORACLES[function.__name__] = sql
+        return function
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def joined(lines) -> F.Column:
+    return F.array_join(F.col(lines).cast("array<string>"), ",")
+
+
+def wide(name: str) -> F.Column:
+    return F.col(name).cast("decimal(38,2)").alias(name)
+
+
+# --- orders as a ledger -------------------------------------------------------------------------------------------
+
+TX = f"""
+tx AS (
+  SELECT o_orderkey AS line_number, CAST(o_orderdate AS DATE) AS occurred_on, CAST(date_trunc('month', o_orderdate) AS DATE) AS m,
+         CAST(o_totalprice AS DECIMAL(18,2)) AS amount, o_custkey,
+         CASE WHEN o_orderstatus = 'P' THEN 'uncategorized_outflow' WHEN o_custkey % 50 = 0 THEN 'excluded_duplicate'
+              WHEN o_custkey % 61 = 0 THEN 'unparsed' ELSE 'included_spending' END AS treatment,
+         CASE o_orderpriority WHEN '5-LOW' THEN 'other' WHEN '1-URGENT' THEN 'shopping' WHEN '2-HIGH' THEN 'dining_coffee'
+              ELSE o_orderpriority END AS category,
+         CASE WHEN o_orderpriority = '5-LOW' AND o_orderkey % 3 = 0 THEN '{policy.MIXED_NOTE}' END AS policy_note
+  FROM orders
+), ct AS (
+  SELECT m, category, sum(amount) AS amount, list_sort(list(line_number)) AS lines FROM tx WHERE treatment = 'included_spending' GROUP BY ALL
+), mt AS (
+  SELECT m, coalesce(sum(amount) FILTER (treatment = 'included_spending'), 0) AS classified,
+         coalesce(sum(amount) FILTER (treatment = 'uncategorized_outflow'), 0) AS unresolved, sum(amount) AS observed,
+         list_sort(list(line_number)) AS lines
+  FROM tx WHERE treatment IN ('included_spending', 'uncategorized_outflow') GROUP BY m
+), tg AS (SELECT * FROM (VALUES ('dining_coffee', CAST(6900000 AS DECIMAL(18,2))), ('shopping', CAST(7100000 AS DECIMAL(18,2)))) t(category, target)
+), bc AS (
+  SELECT m, tg.category, target, coalesce(ct.amount, 0) AS actual, coalesce(ct.amount, 0) - target AS variance, ct.lines
+  FROM mt CROSS JOIN tg LEFT JOIN ct USING (m, category)
+), mp AS (SELECT m AS from_month, lead(m) OVER (ORDER BY m) AS to_month FROM mt
+), cats AS (SELECT DISTINCT category FROM ct
+), de AS (
+  SELECT from_month, to_month, cats.category, coalesce(a.amount, 0) AS previous, coalesce(b.amount, 0) AS current,
+         coalesce(b.amount, 0) - coalesce(a.amount, 0) AS change, list_sort(list_concat(coalesce(a.lines, []), coalesce(b.lines, []))) AS lines
+  FROM mp CROSS JOIN cats LEFT JOIN ct a ON a.m = from_month AND a.category = cats.category LEFT JOIN ct b ON b.m = to_month AND b.category = cats.category
+  WHERE to_month IS NOT NULL AND (coalesce(a.amount, 0) <> 0 OR coalesce(b.amount, 0) <> 0)
+)"""
+_W = f"WITH {TX}\n"
+
+
+def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    status, cust, level = F.col("o_orderstatus"), F.col("o_custkey"), F.col("o_orderpriority")
+    return o.select(
+        F.lit("orders").alias("log_id"),
+        F.col("o_orderkey").alias("line_number"),
+        F.col("o_orderdate").cast("date").alias("occurred_on"),
+        F.col("o_totalprice").cast("decimal(18,2)").alias("amount"),
+        F.when(status == "P", "uncategorized_outflow").when(cust % 50 == 0, "excluded_duplicate").when(cust % 61 == 0, "unparsed").otherwise("included_spending").alias("treatment"),
+        F.when(level == "5-LOW", "other").when(level == "1-URGENT", "shopping").when(level == "2-HIGH", "dining_coffee").otherwise(level).alias("category"),
+        F.when((level == "5-LOW") & (F.col("o_orderkey") % 3 == 0), policy.MIXED_NOTE).alias("policy_note"),
+    )
+
+
+def targets(spark: SparkSession) -> DataFrame:
+    return spark.sql("SELECT * FROM VALUES ('dining_coffee', CAST(6900000 AS DECIMAL(18,2))), ('shopping', CAST(7100000 AS DECIMAL(18,2))) AS t(category, target)")
+
+
+def _budgets(spark, sf_dir):
+    tx = ledger(spark, sf_dir)
+    return totals.budget_comparisons(totals.monthly_category_totals(tx), totals.monthly_totals(tx), targets(spark), totals.coverage(tx))
+
+
+def _deltas(spark, sf_dir):
+    tx = ledger(spark, sf_dir)
+    return totals.month_deltas(totals.monthly_category_totals(tx), totals.monthly_totals(tx, lines=False))
+
+
+@query(_W + "SELECT m AS month, category, CAST(amount AS DECIMAL(38,2)) AS amount, array_to_string(lines, ',') AS lines FROM ct")
+def monthly_category_totals(spark, sf_dir):
+    rows = totals.monthly_category_totals(ledger(spark, sf_dir))
+    return rows.select("month", "category", wide("amount"), joined("lines").alias("lines")).orderBy("month", "category")
+
+
+@query(_W + "SELECT m AS month, CAST(classified AS DECIMAL(38,2)) AS classified, CAST(unresolved AS DECIMAL(38,2)) AS unresolved, CAST(observed AS DECIMAL(38,2)) AS observed, array_to_string(lines, ',') AS lines FROM mt")
+def monthly_totals(spark, sf_dir):
+    return totals.monthly_totals(ledger(spark, sf_dir)).select("month", wide("classified"), wide("unresolved"), wide("observed"), joined("lines").alias("lines"))
+
+
+@query(_W + "SELECT treatment, count(*) AS n, array_to_string(list_sort(list(line_number)), ',') AS lines FROM tx GROUP BY treatment")
+def treatment_partition(spark, sf_dir):
+    return totals.treatment_partition(ledger(spark, sf_dir)).select("treatment", "n", joined("lines").alias("lines"))
+
+
+@query(_W + "SELECT line_number, CAST(amount AS DECIMAL(38,2)) AS amount FROM tx WHERE treatment = 'uncategorized_outflow'")
+def treatment_filter(spark, sf_dir):
+    return totals.with_treatment(ledger(spark, sf_dir), "uncategorized_outflow").select("line_number", wide("amount"))
+
+
+@query(
+    _W
+    + """SELECT count(*) AS n_lines, CAST((SELECT sum(amount) FROM ct) AS DECIMAL(38,2)) AS classified, CAST((SELECT sum(unresolved) FROM mt) AS DECIMAL(38,2)) AS unresolved,
+       CAST((SELECT sum(observed) FROM mt) AS DECIMAL(38,2)) AS observed, count(*) FILTER (treatment = 'excluded_duplicate') AS n_duplicates,
+       count(*) = count(DISTINCT line_number) AS is_balanced FROM tx"""
+)
+def reconciliation(spark, sf_dir):
+    tx = ledger(spark, sf_dir)
+    rows = totals.reconciliation(tx, totals.monthly_category_totals(tx, lines=False), totals.monthly_totals(tx, lines=False))
+    return rows.select("n_lines", wide("classified"), wide("unresolved"), wide("observed"), F.size("duplicates").cast("long").alias("n_duplicates"), "is_balanced")
+
+
+@query(_W + "SELECT m AS month, category, CAST(target AS DECIMAL(38,2)) AS target, CAST(actual AS DECIMAL(38,2)) AS actual, CAST(variance AS DECIMAL(38,2)) AS variance, coalesce(array_to_string(lines, ','), '') AS lines FROM bc")
+def budget_comparisons(spark, sf_dir):
+    return _budgets(spark, sf_dir).select("month", "category", wide("target"), wide("actual"), wide("variance"), joined("lines").alias("lines"))
+
+
+@query(_W + f"SELECT m AS month, array_to_string(list_sort(list(line_number)), ',') AS lines FROM tx WHERE treatment = 'included_spending' AND category = 'other' AND policy_note = '{policy.MIXED_NOTE}' GROUP BY m")
+def coverage_lines(spark, sf_dir):
+    return totals.coverage(ledger(spark, sf_dir)).select("month", joined("coverage_lines").alias("lines"))
+
+
+@query(_W + "SELECT from_month, to_month, category, CAST(previous AS DECIMAL(38,2)) AS previous, CAST(current AS DECIMAL(38,2)) AS current, CAST(change AS DECIMAL(38,2)) AS change, array_to_string(lines, ',') AS lines FROM de")
+def month_category_deltas(spark, sf_dir):
+    rows = totals.delta_order(_deltas(spark, sf_dir))
+    return rows.select("from_month", "to_month", "category", wide("previous"), wide("current"), wide("change"), joined("lines").alias("lines"))
+
+
+@query(_W + "SELECT m AS month, row_number() OVER (ORDER BY m) AS number, lead(m) OVER (ORDER BY m) AS next_month FROM mt")
+def adjacent_months(spark, sf_dir):
+    months = totals.monthly_totals(ledger(spark, sf_dir), lines=False).select("log_id", "month")
+    order = Window.partitionBy("log_id").orderBy("month")
+    return months.select("month", F.row_number().over(order).cast("long").alias("number"), F.lead("month").over(order).alias("next_month"))
+
+
+@query(_W + "SELECT DISTINCT m AS month FROM (SELECT m FROM tx WHERE treatment = 'included_spending' UNION SELECT m FROM tx WHERE treatment = 'uncategorized_outflow') u")
+def month_union(spark, sf_dir):
+    tx = ledger(spark, sf_dir).withColumn("month", totals.month(F.col("occurred_on")))
+    parts = [totals.with_treatment(tx, t).select("month") for t in ("included_spending", "uncategorized_outflow")]
+    return parts[0].union(parts[1]).distinct()
+
+
+@query(_W + "SELECT row_number() OVER (ORDER BY variance DESC, m, category) AS place, m AS month, category, CAST(variance AS DECIMAL(38,2)) AS variance FROM bc WHERE variance > 0")
+def ranked_breaches(spark, sf_dir):
+    order = Window.partitionBy("log_id").orderBy(F.col("variance").desc(), "month", "category")
+    rows = totals.ranked_breaches(_budgets(spark, sf_dir)).withColumn("place", F.row_number().over(order).cast("long"))
+    return rows.select("place", "month", "category", wide("variance"))
+
+
+@query(_W + "SELECT row_number() OVER (ORDER BY abs(change) DESC, to_month, category) AS place, from_month, to_month, category, CAST(change AS DECIMAL(38,2)) AS change FROM de QUALIFY place <= 5")
+def top5_changes(spark, sf_dir):
+    return totals.top_changes(_deltas(spark, sf_dir), 5).select(F.col("rank").cast("long").alias("place"), "from_month", "to_month", "category", wide("change"))
+
+
+@query(_W + "SELECT m AS month, category, CAST(variance AS DECIMAL(38,2)) AS variance FROM bc WHERE category = 'dining_coffee' AND variance > 0 ORDER BY variance DESC, m DESC LIMIT 1")
+def argmax_breach(spark, sf_dir):
+    return totals.largest_breach(_budgets(spark, sf_dir), "dining_coffee").select("month", "category", wide("variance"))
+
+
+@query(_W + "SELECT from_month, to_month, category, CAST(change AS DECIMAL(38,2)) AS change FROM de ORDER BY abs(change) DESC, to_month, category LIMIT 1")
+def argmin_change(spark, sf_dir):
+    return totals.largest_change(_deltas(spark, sf_dir)).select("from_month", "to_month", "category", wide("change"))
+
+
+@query(_W + "SELECT category, CAST(change AS DECIMAL(38,2)) AS change FROM de WHERE from_month = DATE '1997-03-01' AND to_month = DATE '1997-04-01' AND change > 0 ORDER BY change DESC, category LIMIT 1")
+def largest_increase(spark, sf_dir):
+    import datetime
+
+    return totals.largest_increase(_deltas(spark, sf_dir), datetime.date(1997, 3, 1), datetime.date(1997, 4, 1)).select("category", wide("change"))
+
+
+_MONEY = "CASE WHEN {0} < 0 THEN '$-' ELSE '$' END || format('{{:,}}', CAST(trunc(abs({0})) AS BIGINT)) || '.' || lpad(CAST(CAST(abs({0}) * 100 AS BIGINT) % 100 AS VARCHAR), 2, '0')"
+_NAME = "CASE WHEN {0} = 'dining_coffee' THEN 'Dining & Coffee' WHEN {0} = 'shopping' THEN 'Shopping' ELSE {0} END"
+
+
+@query(
+    _W
+    + f"""SELECT 'budget-' || m || '-' || category AS evidence_id, 'In ' || strftime(m, '%B %Y') || ', ' || {_NAME.format("category")} || ' was ' || {_MONEY.format("actual")}
+      || ' against a ' || {_MONEY.format("target")} || ' monthly target, ' || {_MONEY.format("abs(variance)")} || ' over target.' AS statement,
+      row_number() OVER (ORDER BY variance DESC, m, category) AS place FROM bc WHERE variance > 0"""
+)
+def budget_statements(spark, sf_dir):
+    return findings.budget_evidence(_budgets(spark, sf_dir)).select("evidence_id", "statement", F.col("place").cast("long").alias("place"))
+
+
+@query()
+def evidence_and_findings(spark, sf_dir):
+    tx = ledger(spark, sf_dir)
+    ct, mt = totals.monthly_category_totals(tx), totals.monthly_totals(tx)
+    budgets, deltas = totals.budget_comparisons(ct, mt, targets(spark), totals.coverage(tx)), totals.month_deltas(ct, mt)
+    rows = findings.evidence(budgets, deltas, totals.reconciliation(tx, ct, mt))
+    required = findings.required_ids(budgets, deltas, tx.select("log_id").distinct())
+    chosen = findings.findings(findings.default_selection(rows, required), rows)
+    return chosen.select("number", "evidence_id", "statement", F.size("lines").alias("n_lines"))
+
+
+@query(_W + "SELECT count(*) FILTER (variance < 0) AS under, count(*) AS months FROM bc WHERE category = 'shopping'")
+def months_under_target(spark, sf_dir):
+    rows = _budgets(spark, sf_dir).filter(F.col("category") == "shopping")
+    return rows.groupBy("log_id").agg(F.count_if(F.col("variance") < 0).alias("under"), F.count("*").alias("months")).drop("log_id")
+
+
+@query(
+    """WITH w AS (SELECT o_custkey, o_orderkey, lag(o_orderstatus || o_orderpriority) OVER c = o_orderstatus || o_orderpriority AS dup FROM orders WINDOW c AS (PARTITION BY o_custkey ORDER BY o_orderkey)),
+       r AS (SELECT *, last_value(CASE WHEN NOT coalesce(dup, false) THEN o_orderkey END IGNORE NULLS) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING) AS origin FROM w)
+       SELECT o_custkey, o_orderkey, origin AS duplicate_of FROM r WHERE dup"""
+)
+def adjacent_duplicates(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderstatus", "o_orderpriority")
+    rows = reconcile.adjacent_duplicates(rows, "o_custkey", "o_orderkey", ["o_orderstatus", "o_orderpriority"], step=False)
+    return rows.filter("is_duplicate").select("o_custkey", "o_orderkey", "duplicate_of")
+
+
+# --- text lines ---------------------------------------------------------------------------------------------------
+
+
+def rendered(spark, sf_dir) -> DataFrame:
+    """Orders written as text lines: date, priority and amount."""
+    text = F.concat_ws(" | ", F.date_format("o_orderdate", "yyyy-MM-dd"), "o_orderpriority", fm.money(F.col("o_totalprice").cast("decimal(18,2)")))
+    return table(spark, sf_dir, "orders").select((F.col("o_custkey") % 100).cast("string").alias("log_id"), F.col("o_orderkey").alias("line_number"), text.alias("source_text"))
+
+
+@query("SELECT o_orderkey AS line_number, CAST(o_orderdate AS DATE) AS occurred_on, o_orderpriority AS description, CAST(o_totalprice AS DECIMAL(18,2)) AS amount, 0 AS n_issues FROM orders")
+def parse_rendered_log(spark, sf_dir):
+    return parsing.parse(rendered(spark, sf_dir)).select("line_number", "occurred_on", "description", "amount", F.size("issues").alias("n_issues"))
+
+
+@query("SELECT o_orderkey AS line_number, 'multiple_dates,missing_amount' AS issues FROM orders WHERE o_orderkey % 5 = 0")
+def uncertain_lines(spark, sf_dir):
+    rows = rendered(spark, sf_dir)
+    two = F.concat(F.lit("2024-01-02 and 2024-01-03 "), F.col("line_number").cast("string"), F.lit(" shop"))
+    rows = rows.withColumn("source_text", F.when(F.col("line_number") % 5 == 0, two).otherwise(F.col("source_text")))
+    return parsing.uncertain(parsing.parse(rows)).select("line_number", F.array_join("issues", ",").alias("issues"))
+
+
+@query()
+def amount_extraction(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").filter(F.col("text").contains("."))
+    return docs.select("doc_id", F.posexplode(ev.amount_candidates(F.col("text"))).alias("place", "amount_text")).withColumn("amount", ev.parse_amount(F.col("amount_text")))
+
+
+@query()
+def date_extraction(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").filter(F.col("text").rlike("[0-9]"))
+    return docs.select("doc_id", F.posexplode(ev.date_candidates(F.col("text"))).alias("place", "date_text"))
+
+
+@query("SELECT event_id, 'refund' AS side, CAST(-round(abs(value), 2) AS DECIMAL(18,2)) AS amount FROM events WHERE round(abs(value), 2) > 0 UNION ALL SELECT event_id, 'plain' AS side, CAST(round(abs(value), 2) AS DECIMAL(18,2)) AS amount FROM events WHERE round(abs(value), 2) > 0")
+def refund_sign(spark, sf_dir):
+    value = F.round(F.abs("value"), 2).cast("decimal(18,2)")
+    rows = table(spark, sf_dir, "events").select("event_id", value.alias("v")).filter("v > 0")
+    texts = F.array(F.struct(F.lit("refund").alias("side"), F.concat(F.lit("Cafe refund "), fm.money(F.col("v"))).alias("t")), F.struct(F.lit("plain").alias("side"), F.concat(F.lit("no refund Cafe "), fm.money(F.col("v"))).alias("t")))
+    rows = rows.select("event_id", F.inline(texts))
+    first = ev.parse_amount(F.element_at(ev.amount_candidates(F.col("t")), 1))
+    return rows.select("event_id", "side", ev.refund_adjusted(first, ev.amount_context(F.col("t"), 0)).alias("amount"))
+
+
+@query("SELECT c_custkey FROM customer WHERE c_acctbal < 0")
+def refund_lines(spark, sf_dir):
+    return table(spark, sf_dir, "customer").filter("c_acctbal < 0").select("c_custkey")
+
+
+@query(
+    """WITH e AS (SELECT user_id, month(ts) + CASE WHEN event_id % 97 = 0 THEN 7 ELSE 0 END AS mo, CASE WHEN event_id % 3 = 0 THEN 2024 END AS y, event_id FROM events),
+       l AS (SELECT *, lag(mo) OVER w AS pm, lag(y) OVER w AS py FROM e WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
+       SELECT user_id, CASE WHEN min(y) = max(y) AND NOT bool_or(coalesce(abs(mo - pm) >= 6 AND NOT coalesce(y = py, false), false)) THEN min(y) END AS inferred_year FROM l GROUP BY user_id"""
+)
+def period_inference(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    month = F.month("ts") + F.when(F.col("event_id") % 97 == 0, 7).otherwise(0)
+    rows = e.select(F.col("user_id").alias("log_id"), F.col("event_id").alias("line_number"), month.alias("month"), F.when(F.col("event_id") % 3 == 0, 2024).alias("year"))
+    return parsing.infer_years(rows).select(F.col("log_id").alias("user_id"), "inferred_year")
+
+
+@query(
+    f"""SELECT p_partkey, CASE WHEN p_size % 7 = 0 THEN 'uncategorized' WHEN p_brand = 'Brand#11' THEN 'shopping' WHEN p_brand IN ('Brand#12', 'Brand#13') THEN 'other' ELSE lower(p_type) END AS category,
+       CASE WHEN p_size % 7 = 0 THEN '{policy.CASH_NOTE}' WHEN p_brand = 'Brand#11' THEN '{policy.KNOWN_NOTE}Brand#11' WHEN p_brand IN ('Brand#12', 'Brand#13') THEN '{policy.MIXED_NOTE}' END AS policy_note FROM part"""
+)
+def policy_category(spark, sf_dir):
+    name = F.when(F.col("p_size") % 7 == 0, F.concat(F.lit("ATM  withdrawal "), "p_brand")).otherwise(F.upper("p_brand"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", name.alias("description"), F.lower("p_type").alias("model_category"))
+    known = spark.createDataFrame([("brand#11", "Brand#11", "shopping")], "merchant_key string, merchant string, merchant_category string")
+    return policy.apply_policy(rows, known=known, mixed=("Brand#12", "Brand#13")).select("p_partkey", "category", "policy_note")
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 10 = 0 THEN 'NEW' ELSE c_mktsegment END AS c_mktsegment, CASE WHEN c_custkey % 10 = 0 THEN 0.0 ELSE c_acctbal END AS c_acctbal FROM customer")
+def replace_by_key(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
+    patch = rows.filter("c_custkey % 10 = 0").select("c_custkey", F.lit("NEW").alias("c_mktsegment"), F.lit(0.0).alias("c_acctbal"))
+    return parsing.replace_by_key(rows, patch, ["c_custkey"])
+
+
+@query(
+    "SELECT doc_id, ' a [REDACTED] b [REDACTED] c [REDACTED] d [REDACTED] e [REDACTED]' AS checked FROM documents"
+)
+def redaction(spark, sf_dir):
+    n = F.sha2(F.col("doc_id").cast("string"), 256)
+    text = F.concat(F.lit(" a OPENAI_API_KEY="), n, F.lit(" b sk-proj-"), n, F.lit(" c github_pat_"), n, F.lit(" d ghp_"), n, F.lit(" e Bearer "), n)
+    return table(spark, sf_dir, "documents").select("doc_id", fm.redact(text).alias("checked"))
+
+
+@query("SELECT doc_id, length(text) AS n FROM documents WHERE regexp_matches(text, '(?i)\\bBearer\\s+[A-Za-z0-9._~+/-]{12,}|\\bsk-(?:or-v1-|proj-)?[A-Za-z0-9_-]{12,}\\b|\\bgithub_pat_[A-Za-z0-9_]{12,}\\b')")
+def texts_with_secrets(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return docs.filter(~F.col("text").eqNullSafe(fm.redact(F.col("text")))).select("doc_id", F.length("text").cast("long").alias("n"))
+
+
+@query("SELECT l_returnflag, l_linestatus, strftime(min(l_shipdate), '%Y-%m') AS first_period, strftime(max(l_shipdate), '%B %Y') AS last_month FROM lineitem GROUP BY ALL")
+def month_formats(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.min("l_shipdate").alias("a"), F.max("l_shipdate").alias("b"))
+    return rows.select("l_returnflag", "l_linestatus", fm.period(F.col("a")).alias("first_period"), fm.month_name(F.col("b")).alias("last_month"))
+
+
+# --- conversations ------------------------------------------------------------------------------------------------
+
+_TURNS = "t AS (SELECT conv_id, turn, role, text, length(text) AS n FROM conversations)"
+
+
+def _turns(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+
+
+def _call_pairs(spark, sf_dir):
+    turns = _turns(spark, sf_dir)
+    calls = turns.filter("role = 'user'").select("conv_id", F.col("turn").alias("call_turn"))
+    outputs = turns.filter("role = 'assistant'").select("conv_id", F.col("turn").alias("output_turn"))
+    # a call is answered by the next assistant turn: number calls so that each conversation's calls are keys
+    following = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(1, Window.unboundedFollowing)
+    nexts = turns.withColumn("output_turn", F.min(F.when(F.col("role") == "assistant", F.col("turn"))).over(following))
+    nexts = nexts.filter("role = 'user'").select("conv_id", F.col("turn").alias("call_turn"), "output_turn")
+    return calls, outputs, nexts
+
+
+@query(
+    """WITH c AS (SELECT conv_id, min(turn) AS call_turn FROM conversations WHERE role = 'user' GROUP BY conv_id)
+       SELECT c.conv_id, call_turn, min(turn) AS output_turn FROM c JOIN conversations a ON a.conv_id = c.conv_id AND a.role = 'assistant' AND a.turn > call_turn GROUP BY ALL"""
+)
+def call_output_pairing(spark, sf_dir):
+    calls, outputs, _ = _call_pairs(spark, sf_dir)
+    first = calls.groupBy("conv_id").agg(F.min("call_turn").alias("call_turn"))
+    return rollout.call_output_pairs(first, outputs, ["conv_id"], "call_turn", "output_turn").select("conv_id", "call_turn", "output_turn")
+
+
+@query("SELECT DISTINCT u.conv_id, u.turn AS call_turn FROM conversations u WHERE u.role = 'user' AND NOT EXISTS (SELECT 1 FROM conversations a WHERE a.conv_id = u.conv_id AND a.role = 'assistant' AND a.turn > u.turn)")
+def unmatched_calls(spark, sf_dir):
+    calls, _, nexts = _call_pairs(spark, sf_dir)
+    done = nexts.filter("output_turn is not null").select("conv_id", "call_turn")
+    return rollout.unmatched_calls(calls, done, ["conv_id", "call_turn"]).distinct()
+
+
+_KEPT = "k AS (SELECT *, role <> 'assistant' OR row_number() OVER (PARTITION BY conv_id, role = 'assistant' ORDER BY turn DESC) <= 2 AS kept FROM t)"
+
+
+@query(f"WITH {_TURNS}, {_KEPT} SELECT conv_id, turn, kept FROM k")
+def recency_baseline(spark, sf_dir):
+    return compaction.recency_selection(_turns(spark, sf_dir), 2, "conv_id", "turn", F.col("role") == "assistant").select("conv_id", "turn", "kept")
+
+
+@query(
+    f"""WITH {_TURNS}, {_KEPT}, s AS (SELECT conv_id, sum(n) AS original, coalesce(sum(n) FILTER (kept), 0) AS retained FROM k GROUP BY conv_id),
+        q AS (SELECT *, (original - retained) * 1000 // original AS low, (original - retained) * 1000 % original * 2 AS twice FROM s WHERE original > 0)
+        SELECT conv_id, CAST(original AS BIGINT) AS original, CAST(retained AS BIGINT) AS retained,
+               CAST(low + CASE WHEN twice > original OR (twice = original AND low % 2 = 1) THEN 1 ELSE 0 END AS DOUBLE) / 10 AS reduction_percent FROM q"""
+)
+def reduction_percent(spark, sf_dir):
+    rows = compaction.recency_selection(_turns(spark, sf_dir), 2, "conv_id", "turn", F.col("role") == "assistant")
+    out = compaction.sizes(rows.withColumnRenamed("conv_id", "trial_id"), F.length("text").cast("long"))
+    return out.filter("original > 0").select(F.col("trial_id").alias("conv_id"), "original", "retained", F.col("reduction_percent").cast("double").alias("reduction_percent"))
+
+
+@query("SELECT conv_id, turn, role <> 'assistant' OR (conv_id * 7 + turn * 13) % 100 >= 50 AS kept FROM conversations")
+def retention_selection(spark, sf_dir):
+    turns = _turns(spark, sf_dir)
+    rows = turns.select(F.col("conv_id").alias("trial_id"), F.col("turn").alias("position"), F.col("turn").cast("string").alias("id"), F.when(F.col("role") == "assistant", "tool").otherwise(F.col("role")).alias("kind"), "text")
+    decided = rows.filter("kind = 'tool'").select("trial_id", "id", (((F.col("trial_id") * 7 + F.col("position") * 13) % 100) / 100).alias("probability")).distinct()
+    return compaction.select_segments(rows, decided).select(F.col("trial_id").alias("conv_id"), F.col("position").alias("turn"), "kept")
+
+
+@query(f"WITH {_TURNS} SELECT conv_id, min(turn) AS turn, arg_min(text, turn) AS answer FROM t WHERE role = 'assistant' AND turn >= 2 AND text <> '' GROUP BY conv_id")
+def first_after_cutoff(spark, sf_dir):
+    rows = _turns(spark, sf_dir).select(F.col("conv_id").alias("trial_id"), F.col("turn").alias("line_number"), F.lit("message").alias("type"), "role", "text")
+    trials = rows.select("trial_id").distinct().select("trial_id", F.lit(0).cast("long").alias("start_line"), F.lit(2).cast("long").alias("cutoff_line"))
+    found = rollout.held_out_answers(rows, trials)
+    return found.select(F.col("trial_id").alias("conv_id"), F.col("answer_line").alias("turn"), "answer")
+
+
+@query(f"WITH {_TURNS} SELECT conv_id, count(*) FILTER (role <> 'assistant') AS messages, CAST(sum(n) FILTER (role = 'assistant') AS BIGINT) AS tool_characters FROM t GROUP BY conv_id")
+def segment_summary(spark, sf_dir):
+    turns = _turns(spark, sf_dir)
+    rows = turns.select(F.col("conv_id").alias("trial_id"), F.col("turn").cast("string").alias("id"), F.when(F.col("role") == "assistant", "tool").otherwise(F.col("role")).alias("kind"), "text", F.lit(None).cast("string").alias("result"))
+    tool = F.col("kind") == "tool"
+    return rows.groupBy("trial_id").agg(F.count_if(~tool).alias("messages"), F.sum(F.when(tool, compaction.characters(rows))).alias("tool_characters")).withColumnRenamed("trial_id", "conv_id")
+
+
+# --- grading ------------------------------------------------------------------------------------------------------
+
+
+def _perturbed(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("line_number"), F.col("o_totalprice").cast("decimal(18,2)").alias("amount"), F.col("o_orderpriority").alias("category"))
+    k = F.col("line_number")
+    made = o.filter(k % 41 != 0).select(k, F.when(k % 29 == 0, F.col("amount") + 1).otherwise(F.col("amount")).cast("decimal(18,2)").alias("amount"), F.when(k % 31 == 0, "other").otherwise(F.col("category")).alias("category"))
+    return o.filter(k % 43 != 0), made
+
+
+@query(
+    """SELECT o_orderkey AS line_number, concat_ws(',', CASE WHEN o_orderkey % 41 = 0 THEN 'missing' END, CASE WHEN o_orderkey % 43 = 0 THEN 'extra' END,
+       CASE WHEN o_orderkey % 41 <> 0 AND o_orderkey % 43 <> 0 AND o_orderkey % 29 = 0 THEN 'amount' END,
+       CASE WHEN o_orderkey % 41 <> 0 AND o_orderkey % 43 <> 0 AND o_orderkey % 31 = 0 THEN 'category' END) AS differences
+       FROM orders WHERE NOT (o_orderkey % 41 = 0 AND o_orderkey % 43 = 0) AND (o_orderkey % 41 = 0 OR o_orderkey % 43 = 0 OR o_orderkey % 29 = 0 OR o_orderkey % 31 = 0)"""
+)
+def ledger_diff(spark, sf_dir):
+    reference, made = _perturbed(spark, sf_dir)
+    return grading.ledger_diff(reference, made, ["line_number"], ["amount", "category"]).select("line_number", F.array_join("differences", ",").alias("differences"))
+
+
+@query(
+    """SELECT o_orderkey AS line_number, CASE WHEN o_orderkey % 41 = 0 THEN 'missing' WHEN o_orderkey % 43 = 0 THEN 'extra' ELSE 'misread' END AS kind,
+       CAST(CASE WHEN o_orderkey % 41 = 0 THEN -CAST(o_totalprice AS DECIMAL(18,2)) WHEN o_orderkey % 43 = 0 THEN CAST(o_totalprice AS DECIMAL(18,2)) + CASE WHEN o_orderkey % 29 = 0 THEN 1 ELSE 0 END ELSE 1 END AS DECIMAL(18,2)) AS effect
+       FROM orders WHERE NOT (o_orderkey % 41 = 0 AND o_orderkey % 43 = 0) AND (o_orderkey % 41 = 0 OR o_orderkey % 43 = 0 OR o_orderkey % 29 = 0)"""
+)
+def bucket_difference(spark, sf_dir):
+    reference, made = _perturbed(spark, sf_dir)
+    members = reference.select(F.lit(0).alias("ordinal"), "line_number", "amount")
+    return grading.bucket_differences(members, made, made).select("line_number", "kind", "effect")
+
+
+@query(
+    """SELECT event_type AS check_name, count(*) AS runs, count(*) FILTER (value > 20) AS passed, count(*) FILTER (value <= 5) AS errored,
+       CAST(floor(round(count(*) FILTER (value > 20) / count(*) * 100, 6)) AS BIGINT) || '%' AS pass_rate FROM events GROUP BY event_type"""
+)
+def pass_rate(spark, sf_dir):
+    grades = table(spark, sf_dir, "events").select(F.col("event_type").alias("check_name"), F.when(F.col("value") > 20, "passed").when(F.col("value") <= 5, "errored").otherwise("failed").alias("status"))
+    minimum = grades.select("check_name").distinct().withColumn("minimum_pass_rate", F.lit(1.0))
+    return grading.scorecard(grades, minimum).select("check_name", "runs", "passed", "errored", fm.pass_rate_text(F.col("pass_rate")).alias("pass_rate"))
+
+
+@query("SELECT event_type, median(value) FILTER (event_id % 10 <> 0) AS median, min(value) FILTER (event_id % 10 <> 0) AS minimum, max(value) FILTER (event_id % 10 <> 0) AS maximum, count(value) FILTER (event_id % 10 <> 0) AS n FROM events GROUP BY event_type")
+def timing_summary(spark, sf_dir):
+    return grading.timing_summary(table(spark, sf_dir, "events"), ["event_type"], "value", F.col("event_id") % 10 != 0)
+
+
+@query(
+    """SELECT event_id, CASE WHEN s < 10 THEN printf('%.1fs', CAST(s AS DOUBLE)) WHEN s < 60 THEN s || 's' WHEN s < 3600 THEN (s // 60) || 'm ' || lpad(CAST(s % 60 AS VARCHAR), 2, '0') || 's'
+       ELSE (s // 3600) || 'h ' || lpad(CAST(s % 3600 // 60 AS VARCHAR), 2, '0') || 'm' END AS duration FROM (SELECT event_id, event_id * 7 % 9000 AS s FROM events) e"""
+)
+def duration_texts(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", fm.duration_text((F.col("event_id") * 7 % 9000).cast("double")).alias("duration"))
+
+
+@query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) e WHERE n = 1")
+def latest_per_key(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "ts")
+    return grading.latest_per_key(rows, ["user_id"], [F.col("ts").desc(), F.col("event_id").desc()]).select("user_id", "event_id", "event_type")
+
+
+@query(
+    """SELECT k, 'missing' AS side FROM (SELECT p_partkey AS k FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity > 45) a
+       UNION ALL SELECT k, 'invented' AS side FROM (SELECT l_partkey AS k FROM lineitem WHERE l_quantity > 45 EXCEPT SELECT p_partkey FROM part WHERE p_partkey % 9 <> 0) b"""
+)
+def set_difference(spark, sf_dir):
+    parts, used = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k")), table(spark, sf_dir, "lineitem").filter("l_quantity > 45").select(F.col("l_partkey").alias("k"))
+    missing = grading.set_differences(used, parts).filter("side = 'missing'")
+    return missing.unionByName(grading.set_differences(used, parts.filter("k % 9 <> 0")).filter("side = 'invented'"))
+
+
+@query(
+    """WITH r AS (SELECT r_regionkey AS k, r_name AS n FROM region), m AS (SELECT range AS mask FROM range(0, 32))
+       SELECT coalesce(string_agg(n, ',' ORDER BY k) FILTER ((mask >> k) & 1 = 1), '') AS applied, CAST(bit_count(CAST(mask AS INTEGER)) AS INTEGER) AS size FROM m CROSS JOIN r GROUP BY mask"""
+)
+def policy_power_set(spark, sf_dir):
+    regions = table(spark, sf_dir, "region").select(F.lit("all").alias("g"), F.col("r_name").alias("name"), F.col("r_regionkey").alias("place"))
+    return grading.policy_subsets(regions, ["g"]).select(F.array_join("applied", ",").alias("applied"), F.size("applied").alias("size"))
+
+
+@query("SELECT c_nationkey, count(*) AS n FROM customer GROUP BY c_nationkey HAVING count(*) > 1")
+def frequency_counts(spark, sf_dir):
+    return grading.frequent(table(spark, sf_dir, "customer"), ["c_nationkey"])
+
+
+@query("SELECT c_custkey, abs(CAST(c_acctbal AS DECIMAL(18,2)) - 500.00) <= 250.01 OR abs(CAST(c_acctbal AS DECIMAL(18,2)) + 100) <= 250.01 AS accepted FROM customer")
+def tolerance(spark, sf_dir):
+    expected = F.array(F.lit("500.00").cast("decimal(18,2)"), F.lit("-100").cast("decimal(18,2)"))
+    return table(spark, sf_dir, "customer").select("c_custkey", fm.within_tolerance(F.col("c_acctbal").cast("decimal(18,2)"), expected, "250.01").alias("accepted"))
+
+
+@query("SELECT event_id, event_type, user_id, n AS run FROM events CROSS JOIN (VALUES (1), (2), (3)) r(n) WHERE event_id % 5 = 0")
+def repeated_trials(spark, sf_dir):
+    return grading.repeated_trials(table(spark, sf_dir, "events").filter("event_id % 5 = 0").select("event_id", "event_type", "user_id"), 3)
+
+
+_LINES = """l AS (SELECT event_id % 10 AS run, event_id AS line_number, CASE WHEN event_id % 7 = 0 THEN 'uncategorized_outflow' WHEN event_id % 11 = 0 THEN 'excluded_duplicate' ELSE 'included_spending' END AS treatment,
+  CAST(value AS DECIMAL(18,2)) AS amount, event_type AS category FROM events)"""
+
+
+def _graded_lines(spark, sf_dir):
+    k = F.col("event_id")
+    kind = F.when(k % 7 == 0, "uncategorized_outflow").when(k % 11 == 0, "excluded_duplicate").otherwise("included_spending")
+    return table(spark, sf_dir, "events").select((k % 10).alias("run"), k.alias("line_number"), kind.alias("treatment"), F.col("value").cast("decimal(18,2)").alias("amount"), F.col("event_type").alias("category"))
+
+
+@query(f"WITH {_LINES} SELECT run, 'uncategorized' AS fact_name, CAST(count(*) FILTER (treatment LIKE 'uncategorized%') AS VARCHAR) AS fact_value FROM l GROUP BY run UNION ALL SELECT run, 'out' AS fact_name, 'false' AS fact_value FROM l GROUP BY run")
+def fact_readers(spark, sf_dir):
+    lines = _graded_lines(spark, sf_dir)
+    schema = "fact_name string, reader string, category string, period string, from_period string, to_period string, line_numbers array<long>"
+    readers = spark.createDataFrame([("uncategorized", "uncategorized_count", None, None, None, None, None), ("out", "duplicate_excluded", None, None, None, None, [1])], schema)
+    none = spark.createDataFrame([], "run long, category string, period string, actual decimal(18,2), target decimal(18,2), from_period string, to_period string, change decimal(18,2)")
+    return grading.read_facts(readers, lines, none, none)
+
+
+@query(
+    f"""WITH {_LINES} SELECT line_number, 'elsewhere' AS kind FROM l WHERE treatment = 'included_spending' AND category = 'click' AND line_number % 13 = 0
+        UNION ALL SELECT line_number, 'wrongly here' AS kind FROM l WHERE (treatment <> 'excluded_duplicate' AND category <> 'click' AND line_number % 13 = 0)
+        OR (treatment = 'uncategorized_outflow' AND category = 'click' AND line_number % 13 <> 0)"""
+)
+def category_difference(spark, sf_dir):
+    lines = _graded_lines(spark, sf_dir)
+    reference = lines.select("line_number", "category", (F.col("treatment") == "included_spending").alias("is_counted"), F.lit(None).cast("array<string>").alias("alternatives"))
+    swapped = F.when(F.col("line_number") % 13 == 0, F.when(F.col("category") == "click", "view").otherwise("click")).otherwise(F.col("category"))
+    return grading.category_differences(reference, lines.withColumn("category", swapped), "click")
