@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Secret shapes, in the order in which they are replaced.
 SECRETS = (
@@ -89,9 +91,15 @@ def duration_text(seconds: Column) -> Column:
 
 
 def reduction_percent(original: Column, retained: Column) -> Column:
-    """100 (original - retained) / original to one place, ties to even, in integers (null without text)."""
+    """100 (original - retained) / original to one place in exact integers, ties to even (null without text)."""
     thousand = (original - retained) * 1000
     low = ((thousand - F.pmod(thousand, original)) / original).cast("long")
     twice = F.pmod(thousand, original) * 2
     up = F.when(twice > original, 1).when((twice == original) & (low % 2 == 1), 1).otherwise(0)
     return F.when(original > 0, ((low + up) / 10).cast("decimal(10,1)"))
+
+
+@F.pandas_udf(T.DoubleType())
+def float_reduction_percent(original: pd.Series, retained: pd.Series) -> pd.Series:
+    """The same as a binary float rounds it: a written tie such as 66.65 may lie above or below itself. One row a trial."""
+    return pd.Series([round(100 * (o - r) / o, 1) if o else None for o, r in zip(original, retained)], dtype="float64")

@@ -390,7 +390,8 @@ def recency_baseline(spark, sf_dir):
 def reduction_percent(spark, sf_dir):
     rows = compaction.recency_selection(_turns(spark, sf_dir), 2, "conv_id", "turn", F.col("role") == "assistant")
     out = compaction.sizes(rows.withColumnRenamed("conv_id", "trial_id"), F.length("text").cast("long"))
-    return out.filter("original > 0").select(F.col("trial_id").alias("conv_id"), "original", "retained", F.col("reduction_percent").cast("double").alias("reduction_percent"))
+    exact = fm.reduction_percent(F.col("original"), F.col("retained")).cast("double")
+    return out.filter("original > 0").select(F.col("trial_id").alias("conv_id"), "original", "retained", exact.alias("reduction_percent"))
 
 
 @query("SELECT conv_id, turn, role <> 'assistant' OR (conv_id * 7 + turn * 13) % 100 >= 50 AS kept FROM conversations")

@@ -1 +1 @@
-"""Streaming of the ledger engine."""
+"""No streaming operators: what this engine computes needs the whole log (order, pairs of months, balance)."""
