@@ -6,10 +6,13 @@ hash. Any common order is correct; rare shingles first makes prefixes selective.
 Prefixes: if two sets link, they share at least r = ceil(t n) shingles of either's n, so the first n - r + l shingles
 of both share at least l. Each class takes the l from 1 to 4 with the least estimated cost (postings read, and
 candidates times the cost of a verification, the candidates being the postings over l). A pair is a candidate if it
-shares as many prefix shingles as the smaller of its two l; candidates are verified on whole sets.
-Pairs: links are wanted for components, so groups are not paired out. Two rounds verify each class only against one
-hub of each prefix shingle it has; what is then connected is not compared again. The last round takes every candidate
-pair of different components, so that no link between components is missed.
+shares as many prefix shingles as the smaller of its two l; candidates are verified on whole sets. A pair is not even
+met at a shingle before which its sets have lost too much (shingles that no other prefix has), nor verified if the
+parity marks of its sets, which differ in no more bits than the sets in shingles, differ too much for a link.
+Pairs: links are wanted for components, so groups are not paired out. First each class is verified against one hub, a
+set in the middle of those that share its prefix shingles; what is then connected is not compared again, nor is a
+pair that was verified. The last round takes every other candidate pair of different components, so that no link
+between components is missed.
 Components: alternating large and small stars over written tables.
 
 Null text counts as empty. Documents without words link with nothing; with fewer words than a shingle, the whole
@@ -24,7 +27,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import chunks, documents, mix, split_words, spread, staged, text_only, word_hashes
@@ -33,7 +36,11 @@ from .common import chunks, documents, mix, split_words, spread, staged, text_on
 SKETCH = 1 << 22
 SLICE = 1 << 18
 MAX_MATCHES = 4
-HUB_ROUNDS = 2
+#: Words of 64 bits in a set's parity mark.
+MARK_WORDS = 16
+#: Bytes of text that become sets at a time; the arrays of a batch take some twenty times as much.
+SET_BYTES = 5_000_000
+HUB_ROUNDS = 1
 #: Bits of the filter that tells which documents' sets are needed; more documents only let more sets through.
 FILTER_BITS = 1 << 26
 _SECOND = np.uint64(0x5A827999CA62C1D6)
@@ -79,7 +86,23 @@ def _slot(found: np.ndarray) -> np.ndarray:
     return (found >> np.uint64(20)).astype(np.int64) & (SKETCH - 1)
 
 
-SURVEY = "doc_id long, n int, cid long, other long, slice int, counts binary"
+MARKS = [f"m{k}" for k in range(MARK_WORDS)]
+SURVEY = "doc_id long, n int, cid long, other long, slice int, counts binary, " + ", ".join(f"{m} long" for m in MARKS)
+
+
+def _marks(found: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
+    """Parity of the shingles at each of 1,024 places: marks of two sets differ in no more bits than the sets in shingles."""
+    n = np.diff(bounds)
+    full = np.flatnonzero(n)
+    place = (found >> np.uint64(54)).astype(np.int64)
+    bit = np.uint64(1) << (place & 63).astype(np.uint64)
+    out = []
+    for k in range(MARK_WORDS):
+        word = np.zeros(len(n), np.uint64)
+        if len(full):
+            word[full] = np.bitwise_xor.reduceat(np.where(place >> 6 == k, bit, np.uint64(0)), bounds[:-1][full])
+        out.append(word.view(np.int64))
+    return out
 
 
 def surveyed(docs: DataFrame, words: int, salt: int) -> DataFrame:
@@ -88,17 +111,17 @@ def surveyed(docs: DataFrame, words: int, salt: int) -> DataFrame:
     def run(batches):
         sketch = np.zeros(SKETCH, np.uint32)
         for batch in batches:
-            for part in chunks(batch):
+            for part in chunks(batch, limit=SET_BYTES):
                 found, bounds = shingles(part.column("text"), words)
                 sketch += np.bincount(_slot(found), minlength=SKETCH).astype(np.uint32)
                 none = pa.nulls(part.num_rows)
-                columns = [part.column("doc_id"), np.diff(bounds).astype(np.int32), _sums(found, bounds, np.uint64(salt)), _sums(found, bounds, _SECOND), none.cast(pa.int32()), none.cast(pa.binary())]
+                columns = [part.column("doc_id"), np.diff(bounds).astype(np.int32), _sums(found, bounds, np.uint64(salt)), _sums(found, bounds, _SECOND), none.cast(pa.int32()), none.cast(pa.binary()), *_marks(found, bounds)]
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], [x.split()[0] for x in SURVEY.split(", ")])
         cuts = [k for k in range(SKETCH // SLICE) if sketch[k * SLICE : (k + 1) * SLICE].any()]
         none = pa.nulls(len(cuts))
         packed = [zlib.compress(sketch[k * SLICE : (k + 1) * SLICE].tobytes(), 1) for k in cuts]
         yield pa.RecordBatch.from_arrays(
-            [none.cast(pa.int64()), none.cast(pa.int32()), none.cast(pa.int64()), none.cast(pa.int64()), pa.array(cuts, pa.int32()), pa.array(packed, pa.binary())],
+            [none.cast(pa.int64()), none.cast(pa.int32()), none.cast(pa.int64()), none.cast(pa.int64()), pa.array(cuts, pa.int32()), pa.array(packed, pa.binary()), *[none.cast(pa.int64())] * MARK_WORDS],
             [x.split()[0] for x in SURVEY.split(", ")],
         )
 
@@ -139,7 +162,7 @@ def matches_wanted(estimates: np.ndarray, bounds: np.ndarray, required: np.ndarr
 
 
 def prefixes(docs: DataFrame, words: int, percent: int, salt: int, sketch: np.ndarray) -> DataFrame:
-    """token, cid, n, l of the prefix shingles of every set; a task gives each set once."""
+    """token, cid, n, l and pos of the prefix shingles of every set; a task gives each set once."""
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def run(batches):
@@ -147,7 +170,7 @@ def prefixes(docs: DataFrame, words: int, percent: int, salt: int, sketch: np.nd
         noise = int(sketch.mean())
         seen = np.zeros(0, np.int64)
         for batch in batches:
-            for part in chunks(batch):
+            for part in chunks(batch, limit=SET_BYTES):
                 found, bounds = shingles(part.column("text"), words)
                 n = np.diff(bounds)
                 cid = _sums(found, bounds, np.uint64(salt))
@@ -164,17 +187,21 @@ def prefixes(docs: DataFrame, words: int, percent: int, salt: int, sketch: np.nd
                 l = matches_wanted(estimate[order].astype(np.float64), bounds, required)  # noqa: E741
                 size = np.minimum(n, n - required + l)
                 token = found[order][spread(bounds[:-1], size)].view(np.int64)
-                columns = [token, np.repeat(cid, size), np.repeat(n, size).astype(np.int32), np.repeat(l, size).astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], ["token", "cid", "n", "l"])
+                columns = [token, np.repeat(cid, size), *(np.repeat(x, size).astype(np.int32) for x in (n, l)), spread(np.zeros(len(n), np.int64), size).astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], ["token", "cid", "n", "l", "pos"])
 
     return text_only(docs).mapInArrow(run, POSTINGS)
 
 
-POSTINGS = "token long, cid long, n int, l int"
+POSTINGS = "token long, cid long, n int, l int, pos int"
 
 
 def postings(rows: DataFrame, percent: int, parts: int) -> DataFrame:
-    """Prefix shingles that some other set of a fitting size has too; groups pass by as a sorted stream."""
+    """Prefix shingles that some other set of a fitting size has too; groups pass by as a sorted stream.
+
+    ``lost`` counts a set's prefix shingles before this one that no set it may still link with has in its prefix. What
+    two sets share up to a common prefix shingle lies in both prefixes, so lost shingles are in no partner that has this.
+    """
 
     def run(batches):
         carry, linked = None, False  # the last row waits for its next one
@@ -200,7 +227,21 @@ def postings(rows: DataFrame, percent: int, parts: int) -> DataFrame:
             yield from carry.to_batches()
 
     ordered = rows.repartition(parts, "token").sortWithinPartitions("token", "n", "cid")
-    return staged(ordered.mapInArrow(run, POSTINGS), "ngram-postings")
+    return staged(with_lost(ordered.mapInArrow(run, POSTINGS), percent), "ngram-postings")
+
+
+def with_lost(posts: DataFrame, percent: int) -> DataFrame:
+    """Adds what a set has lost before each posting, and leaves out postings that can't lead to a link any more."""
+    place = F.row_number().over(Window.partitionBy("cid").orderBy("pos"))
+    return posts.withColumn("lost", F.col("pos") + 1 - place).filter(100 * (F.col("n") - F.col("lost")) >= percent * F.col("n"))
+
+
+def still_open(posts: DataFrame, roots: DataFrame, tested: DataFrame, percent: int) -> DataFrame:
+    """Postings of shingles that untested pairs of different components share; the others are lost to what is left."""
+    posts = posts.drop("root", "lost").join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    groups = posts.groupBy("token").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.min("cid").alias("a"), F.max("cid").alias("b"), F.count("*").alias("size")).filter("r <> s")
+    done = untested(groups.filter("size = 2"), tested).unionByName(groups.filter("size > 2"))
+    return staged(with_lost(posts.join(done.select("token"), "token", "left_semi"), percent), "ngram-open")
 
 
 def whole_sets(docs: DataFrame, words: int, salt: int, wanted: DataFrame) -> DataFrame:
@@ -227,7 +268,7 @@ def whole_sets(docs: DataFrame, words: int, salt: int, wanted: DataFrame) -> Dat
         for batch in batches:
             at = batch.column("bit").to_numpy()
             batch = batch.filter(pa.array(((table[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)))
-            for part in chunks(batch):
+            for part in chunks(batch, limit=SET_BYTES):
                 found, bounds = shingles(part.column("text"), words)
                 n, cid = np.diff(bounds), _sums(found, bounds, np.uint64(salt))
                 first = np.zeros(len(n), bool)
@@ -249,25 +290,50 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
 
-def fits(n: str, m: str, percent: int):
-    return (100 * F.col(n) >= percent * F.col(m)) & (100 * F.col(m) >= percent * F.col(n))
+def may_link(n: str, lost_n: str, m: str, lost_m: str, percent: int):
+    """Whether sets of sizes n and m, of which so much is lost, can still be similar enough."""
+    common = F.least(F.col(n) - F.col(lost_n), F.col(m) - F.col(lost_m))
+    return 100 * common >= percent * (F.col(n) + F.col(m) - common)
 
 
-def hub_pairs(posts: DataFrame, salt: int, percent: int) -> DataFrame:
-    """Each class with one hub, the one it shares most prefix shingles with; hubs are drawn by hash for each shingle."""
-    hub = posts.groupBy("token").agg(F.min(F.struct(F.xxhash64("cid", F.lit(salt)).alias("h"), "cid", "n", "root")).alias("hub"))
-    hub = hub.select("token", F.col("hub.cid").alias("a"), F.col("hub.n").alias("m"), F.col("hub.root").alias("hub_root"))
-    met = posts.join(hub, "token").filter((F.col("root") != F.col("hub_root")) & fits("n", "m", percent))
-    met = met.groupBy("a", F.col("cid").alias("b")).count()
+def marks_fit(n: str, m: str, percent: int):
+    """Whether two sets' marks (m0.. and o0..) differ in few enough bits for a link; never refuses one."""
+    differing = sum((F.bit_count(F.col(x).bitwiseXOR(F.col(x.replace("m", "o")))) for x in MARKS), F.lit(0))
+    return (100 + percent) * differing <= (100 - percent) * (F.col(n) + F.col(m))
+
+
+def _as_other(marks: DataFrame, name: str) -> DataFrame:
+    return marks.select(F.col("cid").alias(name), F.col("n").alias("m"), *(F.col(x).alias(x.replace("m", "o")) for x in MARKS))
+
+
+def hub_pairs(posts: DataFrame, marks: DataFrame, tested: DataFrame | None, percent: int) -> DataFrame:
+    """Each class with one hub, the one it shares most prefix shingles with.
+
+    The hub of a shingle is the set that has lost least there: the middle of a group of near copies.
+    """
+    hub = posts.groupBy("token").agg(F.min(F.struct("lost", F.xxhash64("cid").alias("h"), "cid", "n", "root")).alias("hub"))
+    hub = hub.select("token", F.col("hub.cid").alias("a"), F.col("hub.n").alias("m"), F.col("hub.lost").alias("lost_m"), F.col("hub.root").alias("hub_root"))
+    met = posts.join(hub, "token").filter((F.col("root") != F.col("hub_root")) & may_link("n", "lost", "m", "lost_m", percent))
+    met = untested(met.groupBy("a", F.col("cid").alias("b")).count(), tested)
+    met = met.join(_as_other(marks, "a"), "a").join(marks.withColumnRenamed("cid", "b"), "b").filter(marks_fit("n", "m", percent))
     return met.groupBy("b").agg(F.max(F.struct("count", "a")).alias("top")).select(F.col("top.a").alias("a"), "b")
 
 
-def all_pairs(posts: DataFrame, percent: int) -> DataFrame:
+def untested(pairs: DataFrame, tested: DataFrame | None) -> DataFrame:
+    if tested is None:
+        return pairs
+    known = tested.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")).distinct()
+    return pairs.join(known, (F.greatest("a", "b") == F.col("x")) & (F.least("a", "b") == F.col("y")), "left_anti")
+
+
+def all_pairs(posts: DataFrame, marks: DataFrame, tested: DataFrame | None, percent: int) -> DataFrame:
     """Candidates of different components: pairs that share as many prefix shingles as the smaller l asks for."""
-    left = posts.select("token", F.col("cid").alias("a"), F.col("n").alias("m"), F.col("l").alias("k"), F.col("root").alias("r"))
-    met = left.join(posts, "token").filter((F.col("a") < F.col("cid")) & (F.col("r") != F.col("root")) & fits("n", "m", percent))
+    posts = posts.join(marks.drop("n"), "cid")
+    left = posts.select("token", F.col("cid").alias("a"), F.col("n").alias("m"), F.col("lost").alias("lost_m"), F.col("l").alias("k"), F.col("root").alias("r"), *(F.col(x).alias(x.replace("m", "o")) for x in MARKS))
+    apart = (F.col("a") < F.col("cid")) & (F.col("r") != F.col("root")) & may_link("n", "lost", "m", "lost_m", percent) & marks_fit("n", "m", percent)
+    met = left.join(posts, "token").filter(apart)
     met = met.groupBy("a", F.col("cid").alias("b")).agg(F.count("*").alias("shared"), F.min(F.least("k", "l")).alias("asked"))
-    return met.filter("shared >= asked").select("a", "b")
+    return untested(met.filter("shared >= asked").select("a", "b"), tested)
 
 
 def stars(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -296,6 +362,7 @@ def linked_classes(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame
     for salt in range(1, 20):
         survey = surveyed(docs, words, salt)
         rows = survey.filter("slice is null").select("doc_id", "n", "cid", "other")
+        marked = survey.filter("slice is null and n > 0").groupBy("cid").agg(F.min("n").alias("n"), *(F.min(m).alias(m) for m in MARKS))
         classes = rows.groupBy("cid").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.max("n").alias("n2"), F.min("other").alias("o"), F.max("other").alias("o2"))
         if not classes.filter("n <> n2 or o <> o2").take(1):  # else two sets share a signature: take other ones
             break
@@ -303,21 +370,23 @@ def linked_classes(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame
     classes = classes.select("cid", "doc_id")
     size = survey.agg(F.sum("n")).first()[0] or 0
     parts = int(8 + size * (100 - percent) // 100 // 400_000)
-    posts = postings(prefixes(docs, words, percent, salt, sketch), percent, parts)
-    sets = whole_sets(docs, words, salt, classes.join(posts.select("cid").distinct(), "cid", "left_semi").select("doc_id"))
-    posts = posts.withColumn("root", F.col("cid"))
-    edges, roots = None, docs.sparkSession.createDataFrame([], "cid long, root long")
+    posts = postings(prefixes(docs, words, percent, salt, sketch), percent, parts).withColumn("root", F.col("cid"))
+    marks = marked.join(posts.select("cid").distinct(), "cid", "left_semi")
+    edges, tested, roots = None, None, docs.sparkSession.createDataFrame([], "cid long, root long")
     for step in range(HUB_ROUNDS + 1):
-        pairs = all_pairs(posts, percent) if step == HUB_ROUNDS else hub_pairs(posts, step, percent)
-        links = staged(verified(staged(pairs, "ngram-pairs"), sets, percent), "ngram-links")
+        pairs = staged(all_pairs(posts, marks, tested, percent) if step == HUB_ROUNDS else hub_pairs(posts, marks, tested, percent), "ngram-pairs")
+        if not pairs.take(1):
+            if step < HUB_ROUNDS:
+                continue
+            break
+        both = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct()
+        sets = whole_sets(docs, words, salt, classes.join(both, F.col("cid") == F.col("a"), "left_semi").select("doc_id"))
+        links = staged(verified(pairs, sets, percent), "ngram-links")
+        tested = pairs if tested is None else tested.unionByName(pairs)
         edges = links if edges is None else edges.unionByName(links)
         roots = stars(edges)
         if step < HUB_ROUNDS:
-            posts = posts.drop("root").join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-            open_ = posts.groupBy("token").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r <> s").select("token")
-            posts = staged(posts.join(open_, "token", "left_semi"), "ngram-open")
-            if not posts.take(1):
-                break
+            posts = still_open(posts, roots, tested, percent)
     return rows.select("doc_id", "n", "cid"), roots
 
 

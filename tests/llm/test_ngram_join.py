@@ -51,7 +51,7 @@ def corpus(seed, n=260):
     return list(zip(ids, texts)) + [(20_000, None), (20_001, ""), (20_002, "\t a\x0bB "), (20_003, "a b"), (20_004, "q " * 3000), (20_005, "q " * 2000)]
 
 
-@pytest.mark.parametrize("words, percent, hubs", [(3, 90, 2), (5, 80, 2), (2, 50, 0)])
+@pytest.mark.parametrize("words, percent, hubs", [(3, 90, 1), (5, 80, 2), (2, 50, 0)])
 def test_equals_brute_force(spark, monkeypatch, words, percent, hubs):
     monkeypatch.setattr(ngram_join, "HUB_ROUNDS", hubs)
     rows = corpus(words)
