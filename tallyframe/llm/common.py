@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 from urllib.parse import unquote, urlparse
@@ -48,8 +50,25 @@ def mounted(uri: str) -> str:
     return unquote(parts.path)
 
 
+def shipped(spark: SparkSession) -> None:
+    """Send this package to Python workers, unless they find it where the driver did (PYTHONPATH or working folder)."""
+    home = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    seen = [os.path.abspath(p or ".") for p in [*os.environ.get("PYTHONPATH", "").split(os.pathsep), ""]]
+    context = spark.sparkContext
+    if home in seen or getattr(context, "_tallyframe_shipped", False):
+        return
+    archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(), "tallyframe"), "zip", home, "tallyframe")
+    context.addPyFile(archive)
+    context._tallyframe_shipped = True
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    shipped(spark)
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return read_table(spark, sf_dir, "documents")
 
 
 def text_only(docs: DataFrame, *more: str) -> DataFrame:

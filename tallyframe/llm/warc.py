@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, mounted, staged
+from .common import fresh_path, mounted, read_table, staged
 
 MIN_REVISIT_BYTES = 100
 BLOCK_LINES = 256
@@ -311,7 +311,7 @@ def round_trip(pages: DataFrame) -> DataFrame:
 
 
 def op7_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return round_trip(read_table(spark, sf_dir, "pages"))
 
 
 OP7_SQL = """
