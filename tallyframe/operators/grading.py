@@ -187,6 +187,19 @@ def grade_judgments(judgments: DataFrame) -> DataFrame:
     return judgments.select("run", "check_name", F.when(F.col("passed").isNull(), "errored").when(F.col("passed"), "passed").otherwise("failed").alias("status"))
 
 
+def graded(*parts: DataFrame) -> DataFrame:
+    """All checks' grades as one table (run, check_name, status)."""
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def errored(checks: DataFrame, runs: DataFrame) -> DataFrame:
+    """Every check of runs that failed before they could be graded."""
+    return runs.crossJoin(F.broadcast(checks.select("check_name"))).select("run", "check_name", F.lit("errored").alias("status"))
+
+
 def scorecard(grades: DataFrame, minimum: DataFrame) -> DataFrame:
     """Pass rates by check; an errored check stays in the denominator. minimum: check_name, minimum_pass_rate."""
     rows = grades.groupBy("check_name").agg(F.count("*").alias("runs"), F.count_if(F.col("status") == "passed").alias("passed"), F.count_if(F.col("status") == "errored").alias("errored"))

@@ -543,3 +543,6 @@ def category_difference(spark, sf_dir):
     reference = lines.select("line_number", "category", (F.col("treatment") == "included_spending").alias("is_counted"), F.lit(None).cast("array<string>").alias("alternatives"))
     swapped = F.when(F.col("line_number") % 13 == 0, F.when(F.col("category") == "click", "view").otherwise("click")).otherwise(F.col("category"))
     return grading.category_differences(reference, lines.withColumn("category", swapped), "click")
+
+
+from . import decision_queries  # noqa: E402,F401  (registers its queries)

@@ -73,3 +73,30 @@ def exploded_batch(batches: DataFrame) -> DataFrame:
 def progress(df: DataFrame, name: str) -> DataFrame:
     """Counts rows as they pass, for listeners, without another action."""
     return df.observe(name, F.count(F.lit(1)).alias("rows"))
+
+
+class Resources:
+    """Things that must be closed; closing again does nothing, and failures are raised together."""
+
+    def __init__(self):
+        self._held: list = []
+
+    def add(self, resource):
+        self._held.append(resource)
+        return resource
+
+    def close(self) -> None:
+        held, self._held, failures = self._held[::-1], [], []
+        for resource in held:
+            try:
+                resource.close()
+            except Exception as failure:
+                failures.append(failure)
+        if failures:
+            raise ExceptionGroup("resources did not close", failures)
+
+    def __enter__(self) -> Resources:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()

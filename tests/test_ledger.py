@@ -230,6 +230,25 @@ def test_sources(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "out")).first().t == "/home/<user>/x"
 
 
+def test_resources():
+    closed = []
+
+    class Thing:
+        def __init__(self, fails=False):
+            self.fails = fails
+
+        def close(self):
+            closed.append(self)
+            if self.fails:
+                raise OSError("no")
+
+    with pytest.raises(ExceptionGroup), providers.Resources() as held:
+        held.add(Thing())
+        held.add(Thing(fails=True))
+    held.close()
+    assert len(closed) == 2
+
+
 def test_providers(spark, tmp_path):
     waits, calls = [], []
 
