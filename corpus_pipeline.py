@@ -12,12 +12,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyframe.llm import exact_dedup, ngram_join, packing, pii, quality
-from tallyframe.llm.common import documents, staged
+from tallyframe.llm.common import documents, read_table, staged
 
 
 def select_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the ordinal classifier expects to be good and clean."""
-    return quality.accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.accepted(docs, read_table(spark, sf_dir, "labels"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, documents, mix, split_words, spread, staged, text_only, word_hashes
+from .common import chunks, documents, frugal, mix, split_words, spread, staged, text_only, word_hashes
 
 #: Counters of the frequency sketch and how they are cut for merging.
 SKETCH = 1 << 22
@@ -125,7 +125,7 @@ def surveyed(docs: DataFrame, words: int, salt: int) -> DataFrame:
             [x.split()[0] for x in SURVEY.split(", ")],
         )
 
-    return staged(text_only(docs).mapInArrow(run, SURVEY), "ngram-survey")
+    return staged(text_only(docs).mapInArrow(frugal(run), SURVEY), "ngram-survey")
 
 
 def merged_sketch(survey: DataFrame) -> np.ndarray:
@@ -140,7 +140,7 @@ def merged_sketch(survey: DataFrame) -> np.ndarray:
         for k, total in held.items():
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes(), 1)], pa.binary())], ["slice", "counts"])
 
-    rows = survey.filter("slice is not null").select("slice", "counts").repartition(SKETCH // SLICE, "slice").mapInArrow(run, "slice int, counts binary")
+    rows = survey.filter("slice is not null").select("slice", "counts").repartition(SKETCH // SLICE, "slice").mapInArrow(frugal(run), "slice int, counts binary")
     out = np.zeros(SKETCH, np.uint32)
     for row in rows.collect():
         out[row["slice"] * SLICE : (row["slice"] + 1) * SLICE] = np.frombuffer(zlib.decompress(row["counts"]), np.uint32)
@@ -190,7 +190,7 @@ def prefixes(docs: DataFrame, words: int, percent: int, salt: int, sketch: np.nd
                 columns = [token, np.repeat(cid, size), *(np.repeat(x, size).astype(np.int32) for x in (n, l)), spread(np.zeros(len(n), np.int64), size).astype(np.int32)]
                 yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], ["token", "cid", "n", "l", "pos"])
 
-    return text_only(docs).mapInArrow(run, POSTINGS)
+    return text_only(docs).mapInArrow(frugal(run), POSTINGS)
 
 
 POSTINGS = "token long, cid long, n int, l int, pos int"
@@ -227,7 +227,7 @@ def postings(rows: DataFrame, percent: int, parts: int) -> DataFrame:
             yield from carry.to_batches()
 
     ordered = rows.repartition(parts, "token").sortWithinPartitions("token", "n", "cid")
-    return staged(with_lost(ordered.mapInArrow(run, POSTINGS), percent), "ngram-postings")
+    return staged(with_lost(ordered.mapInArrow(frugal(run), POSTINGS), percent), "ngram-postings")
 
 
 def with_lost(posts: DataFrame, percent: int) -> DataFrame:
@@ -279,7 +279,7 @@ def whole_sets(docs: DataFrame, words: int, salt: int, wanted: DataFrame) -> Dat
                 values = found[spread(bounds[:-1][rows], n[rows])].view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(cid[rows]), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], ["cid", "set"])
 
-    return staged(text_only(docs, bit).mapInArrow(run, "cid long, set array<long>"), "ngram-sets")
+    return staged(text_only(docs, bit).mapInArrow(frugal(run), "cid long, set array<long>"), "ngram-sets")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

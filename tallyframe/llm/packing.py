@@ -31,12 +31,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, documents, split_words, spread, staged, text_only
+from .common import chunks, documents, frugal, split_words, spread, staged, text_only
 
 SEQUENCE_TOKENS = 4096
 END_ID = 1
 #: Pieces of one size class that one task ranks, about.
 RANK_ROWS = 500_000
+#: Bytes of text in which each distinct word is encoded once.
+BATCH_BYTES = 16_000_000
+#: Words that are encoded, and ids that are laid out, at a time: they bound a worker's memory.
+ENCODED_WORDS = 32_768
+GROUP_IDS = 500_000
 
 
 @lru_cache(2)
@@ -56,20 +61,32 @@ def default_path() -> str:
 
 
 def token_ids(texts: pa.Array, path: str, end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts, each with the end id, and each text's bounds in them.
+    """Ids of all texts, each with the end id, and each text's bounds in them."""
+    parts = [part for _, part in grouped_ids(texts, path, end_id)]
+    sizes = np.concatenate([np.diff(bounds) for _, bounds in parts]) if parts else np.zeros(0, np.int64)
+    return np.concatenate([ids for ids, _ in parts]) if parts else np.zeros(0, np.uint32), np.concatenate([[0], np.cumsum(sizes)])
+
+
+def grouped_ids(texts: pa.Array, path: str, end_id: int = END_ID):
+    """(first text, (ids, bounds)) of runs of texts of about GROUP_IDS ids; each distinct word is encoded once for all.
 
     No match of this vocabulary's pattern holds white space, so words between ASCII white space are independent.
     """
     flat, bounds = split_words(texts, lower=False)
     coded = flat.dictionary_encode()
+    del flat
     pool, lengths = _distinct_ids(coded.dictionary, path)
     pool, lengths = np.append(pool, np.uint32(end_id)), np.append(lengths, 1)
     starts = np.cumsum(lengths) - lengths
-    index = np.insert(coded.indices.to_numpy().astype(np.int64), bounds[1:], len(lengths) - 1)
+    index = np.insert(coded.indices.to_numpy(), bounds[1:], len(lengths) - 1)
     bounds = bounds + np.arange(len(bounds))
-    taken = lengths[index]
-    ends = np.concatenate([[0], np.cumsum(taken)])
-    return pool[spread(starts[index], taken)], ends[bounds]
+    ends = np.concatenate([[0], np.cumsum(lengths[index])])[bounds]
+    at = 0
+    while at < len(texts):
+        stop = max(at + 1, int(np.searchsorted(ends, ends[at] + GROUP_IDS, side="right")) - 1)
+        some = index[bounds[at] : bounds[stop]]
+        yield at, (pool[spread(starts[some], lengths[some])], ends[at : stop + 1] - ends[at])
+        at = stop
 
 
 def _distinct_ids(words: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
@@ -85,9 +102,12 @@ def _distinct_ids(words: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     marked = stop | comma
     core = pc.if_else(pa.array(marked), pc.utf8_slice_codeunits(words, 0, -1), words).dictionary_encode()
     bpe = tokenizer(path)
-    ids = [e.ids for e in bpe.encode_batch_fast(core.dictionary.to_pylist(), add_special_tokens=False)]
-    of_core = np.fromiter(map(len, ids), np.int64, len(ids))
-    flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(of_core.sum()))
+    counts, parts = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
+    for k in range(0, len(core.dictionary), ENCODED_WORDS):
+        ids = [e.ids for e in bpe.encode_batch_fast(core.dictionary.slice(k, ENCODED_WORDS).to_pylist(), add_special_tokens=False)]
+        counts.append(np.fromiter(map(len, ids), np.int64, len(ids)))
+        parts.append(np.fromiter(chain.from_iterable(ids), np.uint32, int(counts[-1].sum())))
+    of_core, flat = np.concatenate(counts), np.concatenate(parts)
     index = core.indices.to_numpy().astype(np.int64)
     taken = of_core[index]
     pool = flat[spread((np.cumsum(of_core) - of_core)[index], taken)]
@@ -102,23 +122,24 @@ def pieces(docs: DataFrame, capacity: int = SEQUENCE_TOKENS, path: str | None =
 
     def run(batches):
         for batch in batches:
-            for part in chunks(batch):
-                ids, bounds = token_ids(part.column("text"), path, end_id)
-                view = memoryview(ids.astype("<u4").tobytes())
-                sizes = np.diff(bounds)
-                counts = -(-sizes // capacity)
-                piece = spread(np.zeros(len(counts), np.int64), counts)
-                owner = np.repeat(np.arange(len(counts)), counts)
-                start = piece * capacity
-                length = np.minimum(capacity, sizes[owner] - start)
-                at = bounds[:-1][owner] + start
-                crc = [zlib.crc32(view[4 * a : 4 * b]) for a, b in zip(at.tolist(), (at + length).tolist())]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").take(pa.array(owner)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())],
-                    ["doc_id", "piece", "start", "length", "ids_crc32"],
-                )
-
-    return text_only(docs).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+            for part in chunks(batch, limit=BATCH_BYTES):
+                for first, (ids, bounds) in grouped_ids(part.column("text"), path, end_id):
+                    yield cut(part.column("doc_id").slice(first, len(bounds) - 1), ids, bounds)
+
+    def cut(doc_ids, ids, bounds):
+        view = memoryview(ids.astype("<u4").tobytes())
+        sizes = np.diff(bounds)
+        counts = -(-sizes // capacity)
+        piece = spread(np.zeros(len(counts), np.int64), counts)
+        owner = np.repeat(np.arange(len(counts)), counts)
+        start = piece * capacity
+        length = np.minimum(capacity, sizes[owner] - start)
+        at = bounds[:-1][owner] + start
+        crc = [zlib.crc32(view[4 * a : 4 * b]) for a, b in zip(at.tolist(), (at + length).tolist())]
+        columns = [doc_ids.take(pa.array(owner)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32"])
+
+    return text_only(docs).mapInArrow(frugal(run), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def sweep(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
@@ -200,7 +221,7 @@ def pack(docs: DataFrame, capacity: int = SEQUENCE_TOKENS, path: str | None = No
             )
 
     return ranked(table).select("doc_id", "piece", "start", "length", "ids_crc32", F.col("rank").cast("long").alias("rank")).mapInArrow(
-        place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+        frugal(place), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
     )
 
 

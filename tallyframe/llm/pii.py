@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, staged, text_only
+from .common import documents, frugal, staged, text_only
 
 KINDS = ("email", "ip", "card", "phone")
 ACCEPT = 0.9
@@ -257,7 +257,7 @@ def found(docs: DataFrame) -> DataFrame:
             columns = [pa.array([r[c] for r in rows], pa.list_(pa.int64())) for c in range(8)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], [c.split()[0] for c in FOUND.split(", ")])
 
-    return text_only(docs).mapInArrow(run, FOUND)
+    return text_only(docs).mapInArrow(frugal(run), FOUND)
 
 
 def code_counts(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -292,7 +292,7 @@ def spans(docs: DataFrame) -> DataFrame:
             kinds = [pa.int64()] * 5 + [pa.string()] * 2 + [pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 8, kinds)], names)
 
-    return table.mapInArrow(run, SPANS)
+    return table.mapInArrow(frugal(run), SPANS)
 
 
 def mask(text: str, places: list[tuple[int, int, int]]) -> str:
@@ -331,7 +331,7 @@ def redacted(docs: DataFrame) -> DataFrame:
                 columns[at] = pc.replace_with_mask(texts, pa.array(flag), pa.array([changed[k] for k in sorted(changed)], texts.type))
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
-    out = docs.mapInArrow(run, docs.schema)
+    out = docs.mapInArrow(frugal(run), docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
