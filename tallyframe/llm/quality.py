@@ -1,13 +1,13 @@
 """Ordinal quality classifier: cumulative-link (proportional odds) regression on hashed text.
 
 P(grade <= k) = sigmoid(threshold_k - w.x): one weight vector for all grades, thresholds in order. x are hashed
-words (without the punctuation around them), the punctuation they end with, and buckets of a text's shape
-(repeats, capitals, symbols, distinct words). Expected grade = sum of the tail probabilities P(grade >= k);
+words (without the punctuation around them) and their first four and five characters, the punctuation they end with,
+and buckets of a text's shape (repeats, capitals, symbols, distinct words). Expected grade = sum of the tail probabilities P(grade >= k);
 selection asks for the tail probability of the top grade.
 
 Grades come from ``labels``: 0 poor, 1 good but toxic, 2 good and clean. Training uses at most ``max_rows``
-labelled documents (the smallest hashes of doc_id); features in fewer than ``min_docs`` of them, or that do not set grades
-apart, get no weight.
+labelled documents (the smallest hashes of doc_id); features in fewer than ``min_docs`` of them, or that are no
+sign of a lower grade, get no weight.
 Every document is then scored on its whole text.
 
 Null text counts as empty and is scored like any text. A doc_id with several labels takes the lowest quality and
@@ -26,13 +26,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, documents, split_words, text_only, word_hashes
+from .common import chunks, documents, frugal, read_table, split_words, text_only, word_hashes
 
 DIMENSIONS = 1 << 20
 MAX_ROWS = 8_000
-MIN_DOCS = 6
-#: A feature is used if the grades of the documents that have it differ by so many standard errors.
-SCREEN = 5.0
+#: Bytes of text whose features are found at a time.
+BATCH_BYTES = 5_000_000
+MIN_DOCS = 4
+#: A feature is used if the documents that have it fall short of a grade by so many standard errors.
+SCREEN = 3.5
 GRADES = 3
 KEEP_PROBABILITY = 0.5
 _EDGES = np.array([0.005, 0.02, 0.05, 0.1, 0.2, 0.35, 0.5, 0.65, 0.8, 0.9, 0.97])
@@ -51,7 +53,8 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     owner = np.repeat(np.arange(n), np.diff(bounds))
     core = pc.replace_substring_regex(pc.utf8_lower(words), r"^[^\pL\pN]+|[^\pL\pN]+$", "")
     tail = pc.fill_null(pc.struct_field(pc.extract_regex(words, r"(?P<t>[^\pL\pN]+)$"), "t"), "")
-    core_id, tail_id = _hashed(core, 1), _hashed(tail, 2)
+    # a word, its first characters (stems keep their meaning under endings), and what it ends with
+    ids = [_hashed(core, 1), _hashed(pc.utf8_slice_codeunits(core, 0, 4), 3), _hashed(pc.utf8_slice_codeunits(core, 0, 5), 4), _hashed(tail, 2)]
     letters = pc.greater(pc.binary_length(core), 0).to_numpy(zero_copy_only=False)
     upper = pc.match_substring_regex(words, r"^[^\p{Ll}]*\p{Lu}[^\p{Ll}]*\p{Lu}[^\p{Ll}]*$").to_numpy(zero_copy_only=False)
     tailed = pc.match_substring_regex(words, r"[^\pL\pN\s.,;:!?'\")\]][^\pL\pN\s.,;:'\")\]]*$|!!+$").to_numpy(zero_copy_only=False)
@@ -68,8 +71,9 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     shape = [16 * k + np.searchsorted(_EDGES, s) for k, s in enumerate(shapes)]
     shape += [96 + np.minimum(np.log2(size + 1).astype(np.int64), 20) * 8 + np.minimum((8 * distinct).astype(np.int64), 7)]
     docs = np.arange(n)
-    parts = [docs * DIMENSIONS + s for s in shape] + [owner * DIMENSIONS + core_id[index], owner * DIMENSIONS + tail_id[index]]
-    every = np.unique(np.concatenate(parts))
+    pairs = pairs[pairs % (len(words) + 1) < len(words)]
+    owner, index = pairs // (len(words) + 1), pairs % (len(words) + 1)  # each word of a text once
+    every = np.unique(np.concatenate([docs * DIMENSIONS + s for s in shape] + [owner * DIMENSIONS + i[index] for i in ids]))
     return every // DIMENSIONS, every % DIMENSIONS
 
 
@@ -84,15 +88,17 @@ class OrdinalModel:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - score[:, None], -40, 40)))
 
 
-def fit(doc: np.ndarray, feature: np.ndarray, grade: np.ndarray, min_docs: int = MIN_DOCS, l2: float = 0.02, steps: int = 300) -> OrdinalModel:
+def fit(doc: np.ndarray, feature: np.ndarray, grade: np.ndarray, min_docs: int = MIN_DOCS, l2: float = 0.02, steps: int = 1500) -> OrdinalModel:
     """Maximum penalised likelihood by Adam; deterministic."""
     n, cuts = len(grade), GRADES - 1
     seen = np.bincount(feature, minlength=DIMENSIONS)
-    score = np.zeros(DIMENSIONS)
+    score, odds = np.zeros(DIMENSIONS), np.zeros(DIMENSIONS)
     for k in range(1, GRADES):
         rate = np.clip((grade >= k).mean(), 1e-3, 1 - 1e-3)
         above = np.bincount(feature, weights=(grade >= k)[doc], minlength=DIMENSIONS)
-        score = np.maximum(score, np.abs(above - seen * rate) / np.sqrt(np.maximum(seen, 1) * rate * (1 - rate)))
+        below = (seen * rate - above) / np.sqrt(np.maximum(seen, 1) * rate * (1 - rate))
+        odds = np.where(below > score, np.log((above + 0.5) / (seen - above + 0.5)) - np.log(rate / (1 - rate)), odds)
+        score = np.maximum(score, below)
     used = np.flatnonzero((seen >= min_docs) & (score >= SCREEN))
     place = np.full(DIMENSIONS, -1, np.int64)
     place[used] = np.arange(len(used))
@@ -101,7 +107,8 @@ def fit(doc: np.ndarray, feature: np.ndarray, grade: np.ndarray, min_docs: int =
     share = np.array([np.clip((grade <= k).mean(), 1e-3, 1 - 1e-3) for k in range(cuts)])
     first = np.log(share / (1 - share))
     # thresholds: the first one and the logs of the gaps, so that they stay in order
-    p = np.concatenate([np.zeros(len(used)), first[:1], np.log(np.maximum(np.diff(first), 1e-2))])
+    # weights start at each feature's own log odds: words that only occur beside others keep their say
+    p = np.concatenate([np.clip(odds[used], -8, 0), first[:1], np.log(np.maximum(np.diff(first), 1e-2))])
     m, v = np.zeros_like(p), np.zeros_like(p)
     sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -40, 40)))
     rows = np.arange(n)
@@ -139,12 +146,12 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Ordin
 
     def run(batches):
         for batch in batches:
-            for part in chunks(batch):
+            for part in chunks(batch, limit=BATCH_BYTES):
                 doc, feature = features(part.column("text"))
                 cuts = np.searchsorted(doc, np.arange(part.num_rows + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([part.column("grade"), pa.ListArray.from_arrays(pa.array(cuts), pa.array(feature.astype(np.int32)))], ["grade", "features"])
 
-    rows = text_only(docs).join(F.broadcast(sample), "doc_id").select("grade", "text").mapInArrow(run, "grade int, features array<int>")
+    rows = text_only(docs).join(F.broadcast(sample), "doc_id").select("grade", "text").mapInArrow(frugal(run), "grade int, features array<int>")
     found = rows.toArrow()
     if not found.num_rows:
         return None
@@ -185,12 +192,12 @@ def scored(docs: DataFrame, model: OrdinalModel | None, keep: float = KEEP_PROBA
     def run(batches):
         judge = start()
         for batch in batches:
-            for part in chunks(batch):
+            for part in chunks(batch, limit=BATCH_BYTES):
                 tails = judge(part.column("text"))
                 columns = map(pa.array, (tails.sum(axis=1), tails[:, 0], tails[:, 1], tails[:, 1] >= keep))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], ["doc_id", "expected_grade", "p_good", "p_clean", "keep"])
 
-    return text_only(docs).mapInArrow(run, "doc_id long, expected_grade double, p_good double, p_clean double, keep boolean")
+    return text_only(docs).mapInArrow(frugal(run), "doc_id long, expected_grade double, p_good double, p_clean double, keep boolean")
 
 
 def accepted(docs: DataFrame, labels: DataFrame, keep: float = KEEP_PROBABILITY) -> DataFrame:
@@ -204,13 +211,13 @@ def accepted(docs: DataFrame, labels: DataFrame, keep: float = KEEP_PROBABILITY)
     def run(batches):
         judge = start()
         for batch in batches:
-            for part in chunks(batch.rename_columns([f"c{k}" for k in range(batch.num_columns)]), f"c{at}"):
+            for part in chunks(batch.rename_columns([f"c{k}" for k in range(batch.num_columns)]), f"c{at}", BATCH_BYTES):
                 tails = judge(pc.fill_null(part.column(at), ""))
                 yield part.filter(pa.array(tails[:, 1] >= keep)).rename_columns(batch.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(frugal(run), docs.schema)
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    return scored(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return scored(docs, train(docs, read_table(spark, sf_dir, "labels")))
