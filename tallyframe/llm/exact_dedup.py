@@ -2,8 +2,9 @@
 
 Memtable: each task gathers (digest, smallest identifier, rows) and, when its memtable is full, flushes a
 sorted run for each digest range, with a Bloom filter of the run's digests. Compaction: the runs of a range
-meet in one task, which merges them and keeps the smallest identifier and the sum of rows; runs carry one
-entry per distinct digest, so a group of copies arrives already added up. Lookup: every row's digest is
+meet in one task, level by level: filters tell which digests a level may hold, binary search finds them, and the
+smallest identifier and the sum of rows are kept; levels of like size are merged. Runs carry one entry per distinct
+digest, so a group of copies arrives already added up. Lookup: every row's digest is
 joined with the compacted index. Hits (digests of several rows) receive byte verification: the rows' texts
 are compared with the text of the row that stays. If a digest ever held different texts, its rows are
 regrouped by the texts themselves.
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, staged
+from .common import documents, frugal, staged
 
 #: Rows of a task's memtable before it is flushed.
 MEMTABLE_ROWS = 200_000
@@ -90,6 +91,56 @@ def _rows(level: int, shards: int, words, ids, uids, counts) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], [f.split()[0] for f in RUN.split(", ")])
 
 
+class Levels:
+    """The runs of one digest range. A new run's digests are looked up only in levels whose filter may hold them; hits
+    keep the smaller identifier there, the others become a new level, and levels of like size are merged."""
+
+    def __init__(self):
+        self.levels: list[list] = []  # words, ids, uids, counts, filter
+
+    def add(self, run: tuple, filter_bytes: bytes) -> None:
+        words, ids, uids, counts = run
+        new = np.ones(len(ids), bool)
+        for level in self.levels:
+            maybe = np.flatnonzero(new & may_contain(level[4], words))
+            at = _find(level[0], words[maybe])
+            mine, at = maybe[at >= 0], at[at >= 0]
+            level[3][at] += counts[mine]
+            less = (ids[mine] < level[1][at]) | (ids[mine] == level[1][at]) & (uids[mine] < level[2][at])
+            level[1][at[less]], level[2][at[less]] = ids[mine[less]], uids[mine[less]]
+            new[mine] = False
+        if new.any():
+            kept = [np.array(x[new]) for x in run]
+            self.levels.append([*kept, filter_bytes if new.all() else bloom(kept[0])])
+        while len(self.levels) > 1 and len(self.levels[-2][1]) <= 2 * len(self.levels[-1][1]):
+            self._merge_last()
+
+    def _merge_last(self) -> None:
+        b, a = self.levels.pop(), self.levels.pop()
+        both = _sorted_run(*(np.concatenate([x, y]) for x, y in zip(a[:4], b[:4])))
+        self.levels.append([*both, bloom(both[0])])
+
+    def merged(self) -> tuple:
+        while len(self.levels) > 1:
+            self._merge_last()
+        return tuple(self.levels[0][:4])
+
+
+def _find(held: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Place of each digest in a sorted run, or -1: binary search by the first word, then the whole digest."""
+    first = np.ascontiguousarray(held[:, 0])
+    at = np.searchsorted(first, words[:, 0])
+    out, open_ = np.full(len(words), -1, np.int64), np.arange(len(words))
+    while len(open_):  # more than once only where first words are equal
+        open_ = open_[at[open_] < len(first)]
+        open_ = open_[first[at[open_]] == words[open_, 0]]
+        same = (held[at[open_]] == words[open_]).all(axis=1)
+        out[open_[same]] = at[open_[same]]
+        open_ = open_[~same]
+        at[open_] += 1
+    return out
+
+
 def flushed_runs(digests: DataFrame, shards: int) -> DataFrame:
     """Level 0: what the tasks' memtables flush. digests: digest, doc_id, uid."""
 
@@ -107,17 +158,17 @@ def flushed_runs(digests: DataFrame, shards: int) -> DataFrame:
         if held:
             yield _rows(0, shards, *_sorted_run(*map(np.concatenate, zip(*held))))
 
-    return digests.select("digest", "doc_id", "uid").mapInArrow(run, RUN)
+    return digests.select("digest", "doc_id", "uid").mapInArrow(frugal(run), RUN)
 
 
 def compacted(runs: DataFrame, shards: int) -> DataFrame:
     """Level 1: digest, keep_id, keep_uid, group_size; the runs of a range are merged as they come."""
 
     def merge(batches):
-        shard, held = None, None
+        shard, levels = None, None
 
         def out():
-            words, ids, uids, counts = held
+            words, ids, uids, counts = levels.merged()
             raw = words.astype(">u8").tobytes()
             return pa.RecordBatch.from_arrays(
                 [
@@ -132,22 +183,15 @@ def compacted(runs: DataFrame, shards: int) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 if row["shard"] != shard:
-                    if held is not None:
+                    if levels is not None:
                         yield out()
-                    shard, held = row["shard"], None
-                new = (
-                    np.frombuffer(row["digests"], ">u8").reshape(-1, 4).astype(np.uint64),
-                    np.frombuffer(row["ids"], np.int64),
-                    np.frombuffer(row["uids"], np.int64),
-                    np.frombuffer(row["counts"], np.int64),
-                )
-                if held is not None:
-                    new = tuple(map(np.concatenate, zip(held, new)))
-                held = _sorted_run(*new)
-        if held is not None:
+                    shard, levels = row["shard"], Levels()
+                words = np.frombuffer(row["digests"], ">u8").reshape(-1, 4).astype(np.uint64)
+                levels.add((words, *(np.frombuffer(row[c], np.int64) for c in ("ids", "uids", "counts"))), row["filter"])
+        if levels is not None:
             yield out()
 
-    return runs.repartition(max(1, shards), "shard").sortWithinPartitions("shard").mapInArrow(merge, "digest binary, keep_id long, keep_uid long, group_size long")
+    return runs.repartition(max(1, shards), "shard").sortWithinPartitions("shard").mapInArrow(frugal(merge), "digest binary, keep_id long, keep_uid long, group_size long")
 
 
 def groups(docs: DataFrame, verify: bool = True) -> DataFrame:
@@ -181,10 +225,10 @@ def _different_texts(texts: DataFrame, index: DataFrame) -> DataFrame | None:
     mine = hits.select("digest", "keep_id")
     kept = rows.join(F.broadcast(mine) if small else mine, "digest").filter(F.col("doc_id").eqNullSafe(F.col("keep_id")))
     kept = kept.groupBy("digest").agg(F.min("norm").alias("kept_norm"))  # repeated rows of one id: the first text
-    kept = staged(kept, "lsm-kept")  # its own stage, so that only the join reads a large group, and can split it
-    bad = members.join(kept, "digest").filter(F.col("norm") != F.col("kept_norm")).select("digest").distinct()
-    bad = staged(bad, "lsm-mismatch")
-    return bad if bad.take(1) else None
+    kept = staged(kept, "lsm-kept")
+    # no aggregate follows the join in its stage, so that a large group can be split there
+    bad = staged(members.join(kept, "digest").filter(F.col("norm") != F.col("kept_norm")).select("digest"), "lsm-mismatch")
+    return bad.distinct() if bad.take(1) else None
 
 
 def _by_text(texts: DataFrame, bad: DataFrame) -> DataFrame:

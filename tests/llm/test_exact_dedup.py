@@ -44,6 +44,21 @@ def test_texts_that_share_a_digest_are_told_apart(spark):
     assert sorted((r.doc_id, r.keep_id, r.group_size) for r in _by_text(texts, bad).collect()) == [(1, 1, 2), (2, 2, 1), (3, 1, 2)]
 
 
+def test_levels_equal_one_merge():
+    rng = np.random.default_rng(3)
+    pool = rng.integers(0, 2**63, (300, 4), dtype=np.uint64)
+    pool[100:, 0] = pool[rng.integers(0, 100, 200), 0]  # equal first words
+    levels, parts = exact_dedup.Levels(), []
+    for _ in range(40):
+        pick = rng.integers(0, 300, rng.integers(1, 60))
+        run = exact_dedup._sorted_run(pool[pick], rng.integers(0, 1000, len(pick)), rng.integers(0, 9, len(pick)), np.ones(len(pick), np.int64))
+        levels.add(run, bloom(run[0]))
+        parts.append(run)
+    want = exact_dedup._sorted_run(*map(np.concatenate, zip(*parts)))
+    for got, expected in zip(levels.merged(), want):
+        assert (got == expected).all()
+
+
 def test_filter_has_no_misses():
     rng = np.random.default_rng(1)
     words = rng.integers(0, 2**63, (5000, 4), dtype=np.uint64)
