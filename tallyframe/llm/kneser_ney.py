@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, documents, fresh_path, mix, mounted, split_words, word_hashes
+from .common import chunks, documents, fresh_path, frugal, mix, mounted, split_words, word_hashes
 
 #: Bigrams that a task adds up before it flushes.
 BUFFER = 2_000_000
@@ -186,7 +186,7 @@ def hot_contexts(texts: DataFrame) -> np.ndarray:
         # a hot token is over a quarter of the share in enough chunks to be noticed
         yield pa.RecordBatch.from_arrays([pa.array(np.append(held[0], 0).view(np.int64)), pa.array(np.append(held[1], 0)), pa.array(np.append(np.zeros(len(held[1]), np.int64), total))], ["h", "n", "total"])
 
-    found = texts.mapInArrow(run, "h long, n long, total long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    found = texts.mapInArrow(frugal(run), "h long, n long, total long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
     total = found.agg(F.sum("total")).first()[0] or 0
     rows = found.filter(F.col("n") >= max(1, HOT_SHARE * total / 2)).select("h").toPandas()  # at most 2,000
     return rows["h"].to_numpy(np.int64).view(np.uint64)
@@ -269,9 +269,9 @@ def train(docs: DataFrame) -> Model:
             pairs = np.sum([r["often"] for r in rows], axis=0).tolist()
             yield _batch([(int(seen.sum()), int(values[0].sum()), int(values[1].sum()), int(values[0][key == END].sum()), of_words, pairs)], TOTALS)
 
-    pairs = texts.mapInArrow(count, PAIRS).repartition(pair_shards, "shard").sortWithinPartitions("shard")
-    words = pairs.mapInArrow(merge, WORDS).repartition(word_shards, "shard").sortWithinPartitions("shard")
-    totals = words.mapInArrow(finish, TOTALS)
+    pairs = texts.mapInArrow(frugal(count), PAIRS).repartition(pair_shards, "shard").sortWithinPartitions("shard")
+    words = pairs.mapInArrow(frugal(merge), WORDS).repartition(word_shards, "shard").sortWithinPartitions("shard")
+    totals = words.mapInArrow(frugal(finish), TOTALS)
     sums = [F.sum(c).alias(c) for c in ("words", "tokens", "predecessors", "starts")]
     row = totals.agg(*sums, *(F.sum(F.col("of_words")[i]).alias(f"w{i}") for i in range(5)), *(F.sum(F.col("pairs")[i]).alias(f"p{i}") for i in range(4))).first()
     n = [row[f"w{i}"] or 0 for i in range(5)]
@@ -331,7 +331,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 columns = [n, np.add.reduceat((counts > 0).astype(np.int64), first), np.full(len(n), model.tokens), np.add.reduceat(np.log10(counts + 0.1) - base, first), total, 10 ** (-total / n)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), *map(pa.array, columns)], [x.split()[0] for x in SCORES.split(", ")])
 
-    return docs.select("doc_id", held_out().alias("held_out"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, SCORES)
+    return docs.select("doc_id", held_out().alias("held_out"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(frugal(run), SCORES)
 
 
 def op2_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
