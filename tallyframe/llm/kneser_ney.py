@@ -1,16 +1,22 @@
-"""Interpolated modified Kneser-Ney bigram model: counted in Spark, kept as sorted hash arrays, mapped by workers.
+"""Interpolated modified Kneser-Ney n-gram model: counted in Spark, kept as sorted hash arrays, mapped by workers.
 
-Counting. Tasks turn texts into 64-bit word hashes and add up bigrams in memory; what they flush is grouped by
-context, cut into hash shards and shuffled as arrays. A bigram's shard follows its context, except for contexts with
-a thousandth of all tokens or more (at most a thousand, found first): their bigrams are spread by the whole pair.
-Each shard is merged by one task, which writes its sorted pair hashes and counts into the shared folder and passes
-on what the lower order needs: for a word its distinct predecessors and its count, for a context the number of
-followers seen once, twice and more often. These meet by word hash and become sorted word arrays.
+Counting. Tasks turn texts into 64-bit word hashes and add up n-grams of the model's order in memory; what they flush
+is cut into hash shards and shuffled as arrays, words as places in a list of the flush's words. An n-gram's shard
+follows the word before its last one, except for words with a thousandth of all tokens or more (at most a thousand,
+found first): their n-grams are spread by the whole n-gram. Each shard is merged by one task, which writes its sorted
+n-gram hashes and counts into the shared folder and passes on what the next lower order needs: for an n-gram without
+its first word its distinct predecessors and its count, for one without its last word the total and the number of
+followers seen once, twice and more often. That order is merged in the same way, down to single words.
+
+Counts. The highest order counts n-grams; lower ones count distinct predecessors (continuation counts), but n-grams
+that begin with the start mark, which nothing precedes, are counted themselves. The first words of a text have the
+start mark and the words before them as their context, however short.
 
 Scoring. Workers memory-map the arrays (the shared folder must be mounted) and look up sorted queries by binary
-search; no worker holds the model. p(w|u) = max(c - D(c), 0) / c(u) + g(u) p(w), with p(w) from the distinct
-predecessors, discounted in the same way and interpolated with the uniform distribution over the vocabulary and one
-unknown word. Discounts come from counts of counts. Probabilities over all words and the unknown one sum to one.
+search; no worker holds the model. At each order p(w|u) = max(c - D(c), 0) / c(u) + g(u) p'(w), with p' of the context
+without its first word; the words' own distribution is interpolated with the uniform one over the vocabulary and one
+unknown word. Discounts come from counts of counts of their order. Probabilities over all words and the unknown one
+sum to one.
 
 Documents whose crc32(doc_id as text) mod 10 is 0 are held out; a null doc_id counts as the empty text, so it is
 held out. Tokens: words ``[^\\x20\\x09-\\x0D]+`` with A-Z lowered, then one end. Null text counts as empty: the end
@@ -29,9 +35,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, documents, fresh_path, frugal, mix, mounted, split_words, word_hashes
+from .common import CHUNK_BYTES, chunks, documents, fresh_path, frugal, mix, mounted, split_words, word_hashes
 
-#: Bigrams that a task adds up before it flushes.
+#: Words of context and one, in op2_kneser_ney.
+ORDER = 3
+#: N-grams that a task adds up before it flushes.
 BUFFER = 2_000_000
 #: Characters of training text for each shard.
 SHARD_CHARS = 20_000_000
@@ -40,17 +48,27 @@ HOT_SHARE = 1e-3
 START, END = (np.uint64(0x5B6A1D0F93C2E417), np.uint64(0xC4D2E9A3570B861D))
 
 
-def with_ends(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash of each token and of the one before it, and each text's bounds in them."""
+def with_ends(texts: pa.Array, order: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order - 1 hashes before each token (a row a place, the nearest last), each token's hash, and each text's bounds."""
     flat, bounds = split_words(texts)
     tokens = np.insert(word_hashes(flat), bounds[1:], END)
     bounds = bounds + np.arange(len(bounds))
-    before = np.empty_like(tokens)
-    before[1:] = tokens[:-1]
-    before[bounds[:-1]] = START
+    place = np.arange(len(tokens)) - np.repeat(bounds[:-1], np.diff(bounds))
+    before = np.full((order - 1, len(tokens)), START)
+    for row, back in zip(before, range(order - 1, 0, -1)):
+        far = np.flatnonzero(place >= back)
+        row[far] = tokens[far - back]
     return before, tokens, bounds
 
 
+def gram(columns) -> np.ndarray:
+    """One hash of the words of each n-gram."""
+    key = columns[0]
+    for c in columns[1:]:
+        key = mix(key, c)
+    return key
+
+
 def _pack(counts: np.ndarray) -> tuple[bytes, bytes]:
     """Counts as bytes, 255 standing for the next of the large ones."""
     return np.minimum(counts, 255).astype(np.uint8).tobytes(), counts[counts >= 255].astype(np.int64).tobytes()
@@ -62,24 +80,43 @@ def _unpack(small: bytes, large: bytes) -> np.ndarray:
     return out
 
 
-def _summed(keys: tuple[np.ndarray, ...], values: list[np.ndarray]) -> tuple[tuple[np.ndarray, ...], list[np.ndarray]]:
-    """Distinct keys in order with the sums of their values."""
-    order = np.lexsort(keys[::-1])
-    keys = tuple(k[order] for k in keys)
-    if not len(order):
-        return keys, values
-    new = np.ones(len(order), bool)
-    new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+def _summed(key: np.ndarray, values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Distinct keys in order, a place of each, and the sums of their values."""
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
     at = np.flatnonzero(new)
-    return tuple(k[at] for k in keys), [np.add.reduceat(v[order], at) for v in values]
+    return key[at], order[at], [np.add.reduceat(v[order], at) if len(at) else v for v in values]
+
+
+def _coded(columns: np.ndarray, values: list[np.ndarray]) -> tuple:
+    """N-grams as a list of their words and places in it, byte by byte of the places, and their packed values."""
+    words, ids = np.unique(columns, return_inverse=True)
+    ids = ids.reshape(columns.shape).astype(np.uint32)
+    order = np.lexsort(ids if len(ids) < 3 else [ids[-1], *ids[:-2], ids[-2]])
+    ids = np.ascontiguousarray(ids[:, order])
+    planes = ids.view(np.uint8).reshape(*ids.shape, 4).transpose(0, 2, 1)
+    return (words.tobytes(), planes.tobytes(), *(x for v in values for x in _pack(v[order])))
+
+
+def _decoded(rows: list[dict], n: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    columns = []
+    for r in rows:
+        planes = np.frombuffer(r["ids"], np.uint8).reshape(n, 4, -1)
+        columns.append(np.frombuffer(r["words"], np.uint64)[np.ascontiguousarray(planes.transpose(0, 2, 1)).view(np.uint32)[..., 0]])
+    names = [c for c in rows[0] if c.startswith("v")]
+    return np.concatenate(columns, axis=1), [np.concatenate([_unpack(r[v], r["w" + v[1:]]) for r in rows]) for v in names]
 
 
 def _slot(hashes: np.ndarray, shards: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
 
-def pair_shard(context: np.ndarray, pair: np.ndarray, hot: np.ndarray, shards: int) -> np.ndarray:
-    return _slot(np.where(np.isin(context, hot), pair, context), shards)
+def shard_of(columns, key: np.ndarray, hot: np.ndarray, shards: int) -> np.ndarray:
+    if len(columns) == 1:
+        return _slot(key, shards)
+    return _slot(np.where(np.isin(columns[-2], hot), key, columns[-2]), shards)
 
 
 def _save(folder: str, name: str, array: np.ndarray) -> None:
@@ -90,19 +127,26 @@ def _save(folder: str, name: str, array: np.ndarray) -> None:
     os.replace(part, f"{folder}/{name}.npy")
 
 
+def _save_table(folder: str, name: str, key: np.ndarray, values: list[np.ndarray]) -> None:
+    """Sorted keys, and for each the row of its values among the distinct ones."""
+    _, at, code = np.unique(gram([v.astype(np.uint64) for v in values]), return_index=True, return_inverse=True)
+    kind = np.uint8 if len(at) <= 2**8 else np.uint16 if len(at) <= 2**16 else np.uint32
+    _save(folder, f"{name}-keys", key)
+    _save(folder, f"{name}-codes", code.astype(kind))
+    _save(folder, f"{name}-values", np.stack([v[at] for v in values], axis=1))
+
+
 @dataclass
 class Model:
     folder: str
-    pair_shards: int
-    word_shards: int
+    order: int
+    shards: int
     hot: np.ndarray
     tokens: int
     words: int
-    discounts: np.ndarray  # of bigrams: once, twice, more
-    lower: np.ndarray  # of words
+    discounts: list[np.ndarray]  # of each order from 1: once, twice, more
     predecessors: int
     spare: float  # of the words' distribution, for the uniform one
-    starts: int
     _maps: dict = field(default_factory=dict)
 
     def __getstate__(self):
@@ -114,45 +158,47 @@ class Model:
             self._maps[name] = np.load(path, mmap_mode="r") if os.path.exists(path) else np.zeros(0, np.uint64)
         return self._maps[name]
 
-    def _find(self, kind: str, shard: np.ndarray, keys: np.ndarray, fields: list[str]) -> list[np.ndarray]:
-        """Values of keys (0 where absent); queries go through each shard in order."""
+    def _find(self, columns, fields: list[int]) -> list[np.ndarray]:
+        """Values of n-grams (0 where absent); queries go through each shard in order."""
+        keys, n = gram(columns), len(columns)
+        shard = shard_of(columns, keys, self.hot, self.shards)
         order = np.lexsort((keys, shard))
         shard, keys = shard[order], keys[order]
         cuts = np.flatnonzero(np.diff(shard, prepend=-1, append=-1)) if len(shard) else np.zeros(0, np.int64)
         out = [np.zeros(len(keys), np.int64) for _ in fields]
         for a, b in zip(cuts, cuts[1:]):
-            k = int(shard[a])
-            held = self._map(f"{kind}-{k}-keys")
+            name = f"{n}-{int(shard[a])}"
+            held = self._map(f"{name}-keys")
             at = np.searchsorted(held, keys[a:b])
             hit = np.flatnonzero(at < len(held))
             hit = hit[held[at[hit]] == keys[a:b][hit]]
-            for column, name in zip(out, fields):
-                column[a + hit] = self._map(f"{kind}-{k}-{name}")[at[hit]]
-                if name == "count8" and (big := np.flatnonzero(column[a:b] == 255)).size:
-                    column[a + big] = self._map(f"{kind}-{k}-large")[np.searchsorted(self._map(f"{kind}-{k}-where"), at[big])]
-        back = np.empty(len(order), np.int64)
-        back[order] = np.arange(len(order))
-        return [c[back] for c in out]
-
-    def word_values(self, hashes: np.ndarray) -> dict[str, np.ndarray]:
-        names = ["count", "before", "once", "twice", "more"]
-        found = dict(zip(names, self._find("word", _slot(hashes, self.word_shards), hashes, names)))
-        total = np.where(hashes == START, self.starts, found["count"])
-        lower = (found["before"] - _discount(found["before"], self.lower)) / max(self.predecessors, 1) + self.spare / (self.words + 1)
-        left = self.discounts[0] * found["once"] + self.discounts[1] * found["twice"] + self.discounts[2] * found["more"]
-        return {"count": found["count"], "lower": lower, "total": total, "left": np.where(total > 0, left / np.maximum(total, 1), 1.0)}
+            if hit.size:
+                found = self._map(f"{name}-values")[self._map(f"{name}-codes")[at[hit]]]
+                for column, f in zip(out, fields):
+                    column[order[a + hit]] = found[:, f]
+        return out
 
     def log10(self, before: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """log10 p of each token after the one before it, and the token's count."""
-        distinct, index = np.unique(np.concatenate([before, tokens]), return_inverse=True)
-        values = self.word_values(distinct)
-        u, w = index[: len(before)], index[len(before) :]
-        pair = mix(before, tokens)
-        seen = (values["total"][u] > 0) & (values["count"][w] > 0)
-        count = np.zeros(len(pair), np.int64)
-        count[seen] = self._find("pair", pair_shard(before[seen], pair[seen], self.hot, self.pair_shards), pair[seen], ["count8"])[0]
-        high = (count - _discount(count, self.discounts)) / np.maximum(values["total"][u], 1)
-        return np.log10(high + values["left"][u] * values["lower"][w]), values["count"][w]
+        """log10 p of each token after those before it (a row a place, or one row), and the token's count."""
+        columns = [*np.atleast_2d(before), tokens]
+        distinct, index = np.unique(tokens, return_inverse=True)
+        seen, count = self._find([distinct], [0, 5])
+        p = ((seen - _discount(seen, self.discounts[0])) / max(self.predecessors, 1) + self.spare / (self.words + 1))[index]
+        counts, seen = count[index], seen[index] > 0
+        for n in range(2, self.order + 1):
+            context = columns[-n:-1]
+            _, first, index = np.unique(gram(context), return_index=True, return_inverse=True)
+            total, *after = self._find([c[first] for c in context], [1, 2, 3, 4])
+            left = np.where(total > 0, sum(d * x for d, x in zip(self.discounts[n - 1], after)) / np.maximum(total, 1), 1.0)
+            total, left = total[index], left[index]
+            # without its first word an n-gram that was seen was seen as well
+            at = np.flatnonzero(seen & (total > 0))
+            count = np.zeros(len(tokens), np.int64)
+            count[at] = self._find([c[at] for c in columns[-n:]], [0])[0]
+            p = (count - _discount(count, self.discounts[n - 1])) / np.maximum(total, 1) + left * p
+            # begins of texts are counted in the lower orders alone
+            seen = count > 0
+        return np.log10(p), counts
 
 
 def _discount(counts: np.ndarray, discounts: np.ndarray) -> np.ndarray:
@@ -177,11 +223,11 @@ def hot_contexts(texts: DataFrame) -> np.ndarray:
         held = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for batch in batches:
             for part in chunks(batch):
-                before, _, _ = with_ends(part.column("text"))
+                (before,), _, _ = with_ends(part.column("text"))
                 total += len(before)
                 keys, n = np.unique(before, return_counts=True)
                 keep = n >= HOT_SHARE / 4 * len(before)
-                (merged,), (n,) = _summed((np.concatenate([held[0], keys[keep]]),), [np.concatenate([held[1], n[keep]])])
+                merged, _, (n,) = _summed(np.concatenate([held[0], keys[keep]]), [np.concatenate([held[1], n[keep]])])
                 held = merged, n
         # a hot token is over a quarter of the share in enough chunks to be noticed
         yield pa.RecordBatch.from_arrays([pa.array(np.append(held[0], 0).view(np.int64)), pa.array(np.append(held[1], 0)), pa.array(np.append(np.zeros(len(held[1]), np.int64), total))], ["h", "n", "total"])
@@ -192,37 +238,40 @@ def hot_contexts(texts: DataFrame) -> np.ndarray:
     return rows["h"].to_numpy(np.int64).view(np.uint64)
 
 
-def train(docs: DataFrame) -> Model:
+def train(docs: DataFrame, order: int = 2) -> Model:
+    if order < 2:
+        raise ValueError("the order is 2 at least")
     spark = docs.sparkSession
     texts = docs.select(F.coalesce("text", F.lit("")).alias("text"))
     chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
-    pair_shards = word_shards = int(4 + chars // SHARD_CHARS)
+    shards = int(4 + chars // SHARD_CHARS)
     uri = fresh_path(spark, "kneser-ney")
     folder = mounted(uri)
     os.makedirs(folder, exist_ok=True)
     hot = hot_contexts(texts)
 
+    def dealt(columns, key, values, often, schema):
+        shard = shard_of(columns, key, hot, shards)
+        by = np.argsort(shard, kind="stable")
+        cuts = np.searchsorted(shard[by], np.arange(shards + 1))
+        rows = [(k, *_coded(columns[:, by[a:b]], [v[by[a:b]] for v in values]), [0] * len(often)) for k, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
+        rows[0] = (*rows[0][:-1], often)
+        return _batch(rows, schema)
+
     def count(batches):
         def flush(held):
-            context, word = (np.concatenate(x) for x in zip(*held))
-            (context, word), (n,) = _summed((context, word), [np.ones(len(word), np.int64)])
-            shard = pair_shard(context, mix(context, word), hot, pair_shards)
-            order = np.argsort(shard, kind="stable")
-            shard, context, word, n = shard[order], context[order], word[order], n[order]
-            cuts = np.searchsorted(shard, np.arange(pair_shards + 1))
-            rows = []
-            for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
-                if b > a:
-                    first = np.flatnonzero(np.concatenate([[True], context[a + 1 : b] != context[a : b - 1]]))
-                    runs = np.diff(np.append(first, b - a))
-                    rows.append((k, context[a:b][first].tobytes(), *_pack(runs), word[a:b].tobytes(), *_pack(n[a:b])))
-            return _batch(rows, PAIRS)
+            columns = np.concatenate(held, axis=1)
+            held.clear()
+            key, at, (n,) = _summed(gram(columns), [np.ones(columns.shape[1], np.int64)])
+            columns = columns[:, at]
+            return dealt(columns, key, [n], [], GRAMS)
 
         held, size = [], 0
         for batch in batches:
-            for part in chunks(batch):
-                before, tokens, _ = with_ends(part.column("text"))
-                held.append((before, tokens))
+            # an n-gram takes as many hashes as the order
+            for part in chunks(batch, limit=CHUNK_BYTES // order):
+                before, tokens, _ = with_ends(part.column("text"), order)
+                held.append(np.vstack([before, tokens]))
                 size += len(tokens)
                 if size >= BUFFER:
                     yield flush(held)
@@ -230,62 +279,60 @@ def train(docs: DataFrame) -> Model:
         if size:
             yield flush(held)
 
-    def merge(batches):
-        for k, rows in _by_shard(batches):
-            context = np.concatenate([np.repeat(np.frombuffer(r["contexts"], np.uint64), _unpack(r["runs"], r["long_runs"])) for r in rows])
-            word = np.concatenate([np.frombuffer(r["words"], np.uint64) for r in rows])
-            n = np.concatenate([_unpack(r["counts"], r["large"]) for r in rows])
-            (context, word), (n,) = _summed((context, word), [n])
-            pair = mix(context, word)
-            order = np.argsort(pair)
-            counts = n[order]
-            _save(folder, f"pair-{k}-keys", pair[order])
-            _save(folder, f"pair-{k}-count8", np.minimum(counts, 255).astype(np.uint8))
-            _save(folder, f"pair-{k}-where", np.flatnonzero(counts >= 255))
-            _save(folder, f"pair-{k}-large", counts[counts >= 255])
-            del pair, order, counts
-            zero = np.zeros(len(n), np.int64)
-            parts = [
-                _summed((word,), [n, zero + 1, zero, zero, zero]),
-                _summed((context,), [zero, zero, (n == 1) + zero, (n == 2) + zero, (n > 2) + zero]),
-            ]
-            (key,), values = _summed((np.concatenate([p[0][0] for p in parts]),), [np.concatenate([p[1][c] for p in parts]) for c in range(5)])
-            cuts = np.searchsorted(_slot(key, word_shards), np.arange(word_shards + 1))
-            often = np.bincount(np.minimum(n, 5), minlength=6)[1:5].tolist()
-            out = [(s, key[a:b].tobytes(), *(x for v in values for x in _pack(v[a:b])), [0] * 4) for s, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
-            out[0] = (*out[0][:-1], often)
-            yield _batch(out, WORDS)
+    def merge(n):
+        """Writes the n-grams of a shard and passes on those of order n - 1."""
+
+        def run(batches):
+            for k, rows in _by_shard(batches):
+                columns, values = _decoded(rows, n)
+                often = np.sum([r["often"] for r in rows], axis=0).astype(int).tolist()
+                key, at, values = _summed(gram(columns), values)
+                columns = columns[:, at]
+                c, whole = values[0], values[-1]
+                # texts' first words have no context of this length
+                full = ~((columns[0] == START) & (columns[1] == START)) if n > 2 else np.ones(len(key), bool)
+                _save_table(folder, f"{n}-{k}", key[full], [v[full] for v in values[: 1 if n == order else 5]])
+                often += np.bincount(np.minimum(c[full], 5), minlength=6)[1:5].tolist()
+                zero = np.zeros(len(key), np.int64)
+                ends = [np.where(full, 1, c), zero, zero, zero, zero, whole]
+                begins = [v[full] for v in (zero, c, (c == 1) + zero, (c == 2) + zero, (c > 2) + zero, zero)]
+                lower = np.concatenate([columns[1:], columns[:-1, full]], axis=1)
+                values = [np.concatenate(v) for v in zip(ends, begins)]
+                del columns, ends, begins
+                key, at, values = _summed(gram(lower), values)
+                yield dealt(lower[:, at], key, values, often, LOWER)
+
+        return run
 
     def finish(batches):
         for k, rows in _by_shard(batches):
-            key = np.concatenate([np.frombuffer(r["keys"], np.uint64) for r in rows])
-            values = [np.concatenate([_unpack(r[f"v{c}"], r[f"w{c}"]) for r in rows]) for c in range(5)]
-            (key,), values = _summed((key,), values)
-            _save(folder, f"word-{k}-keys", key)
-            for name, v in zip(["count", "before", "once", "twice", "more"], values):
-                _save(folder, f"word-{k}-{name}", v.astype(np.uint32 if v.max(initial=0) < 2**32 else np.int64))
-            seen = values[0] > 0
-            of_words = np.bincount(np.minimum(values[1][seen], 5), minlength=6)[1:].tolist()
-            pairs = np.sum([r["often"] for r in rows], axis=0).tolist()
-            yield _batch([(int(seen.sum()), int(values[0].sum()), int(values[1].sum()), int(values[0][key == END].sum()), of_words, pairs)], TOTALS)
-
-    pairs = texts.mapInArrow(frugal(count), PAIRS).repartition(pair_shards, "shard").sortWithinPartitions("shard")
-    words = pairs.mapInArrow(frugal(merge), WORDS).repartition(word_shards, "shard").sortWithinPartitions("shard")
-    totals = words.mapInArrow(frugal(finish), TOTALS)
-    sums = [F.sum(c).alias(c) for c in ("words", "tokens", "predecessors", "starts")]
-    row = totals.agg(*sums, *(F.sum(F.col("of_words")[i]).alias(f"w{i}") for i in range(5)), *(F.sum(F.col("pairs")[i]).alias(f"p{i}") for i in range(4))).first()
-    n = [row[f"w{i}"] or 0 for i in range(5)]
-    lower = discounts_of(n[:4])
+            columns, values = _decoded(rows, 1)
+            key, _, values = _summed(columns[0], values)
+            _save_table(folder, f"1-{k}", key, values)
+            before, count = values[0], values[5]
+            seen = count > 0
+            of_words = np.bincount(np.minimum(before[seen], 5), minlength=6)[1:].tolist()
+            often = np.sum([r["often"] for r in rows], axis=0).astype(int).tolist()
+            yield _batch([(int(seen.sum()), int(count.sum()), int(before.sum()), of_words + often)], TOTALS)
+
+    rows = texts.mapInArrow(frugal(count), GRAMS)
+    for n in range(order, 1, -1):
+        rows = rows.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(frugal(merge(n)), LOWER)
+    totals = rows.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(frugal(finish), TOTALS)
+    sums = [F.sum(c).alias(c) for c in ("words", "tokens", "predecessors")]
+    row = totals.agg(*sums, *(F.sum(F.col("often")[i]).alias(f"n{i}") for i in range(1 + 4 * order))).first()
+    n = [row[f"n{i}"] or 0 for i in range(1 + 4 * order)]
+    # of words there are five numbers, then four of each order from the highest
+    discounts = [discounts_of(n[:4]), *(discounts_of(n[i : i + 4]) for i in range(1 + 4 * (order - 1), 4, -4))]
     predecessors = row["predecessors"] or 0
-    more = n[2] + n[3] + n[4]
-    spare = (lower[0] * n[0] + lower[1] * n[1] + lower[2] * more) / predecessors if predecessors else 1.0
-    pairs_seen = [row[f"p{i}"] or 0 for i in range(4)]
-    return Model(folder, pair_shards, word_shards, hot, row["tokens"] or 0, row["words"] or 0, discounts_of(pairs_seen), lower, predecessors, float(spare), row["starts"] or 0)
+    spare = (discounts[0] @ [n[0], n[1], n[2] + n[3] + n[4]]) / predecessors if predecessors else 1.0
+    return Model(folder, order, shards, hot, row["tokens"] or 0, row["words"] or 0, discounts, predecessors, float(spare))
 
 
-PAIRS = "shard int, contexts binary, runs binary, long_runs binary, words binary, counts binary, large binary"
-WORDS = "shard int, keys binary, " + ", ".join(f"v{c} binary, w{c} binary" for c in range(5)) + ", often array<long>"
-TOTALS = "words long, tokens long, predecessors long, starts long, of_words array<long>, pairs array<long>"
+GRAMS = "shard int, words binary, ids binary, v0 binary, w0 binary, often array<long>"
+#: Predecessors; total and followers seen once, twice, more often; count.
+LOWER = "shard int, words binary, ids binary, " + ", ".join(f"v{c} binary, w{c} binary" for c in range(6)) + ", often array<long>"
+TOTALS = "words long, tokens long, predecessors long, often array<long>"
 _KINDS = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
 
 
@@ -323,8 +370,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         model = shared.value
         base = np.log10(model.tokens + 0.1 * (model.words + 1))
         for batch in batches:
-            for part in chunks(batch):
-                before, tokens, bounds = with_ends(part.column("text"))
+            for part in chunks(batch, limit=CHUNK_BYTES // model.order):
+                before, tokens, bounds = with_ends(part.column("text"), model.order)
                 logs, counts = model.log10(before, tokens)
                 n, first = np.diff(bounds), bounds[:-1]
                 total = np.add.reduceat(logs, first)
@@ -336,4 +383,4 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def op2_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    return score(docs, train(docs.filter(~held_out())))
+    return score(docs, train(docs.filter(~held_out()), ORDER))

@@ -81,3 +81,64 @@ def test_without_training_rows(spark):
     got = score(docs, train(docs.limit(0))).collect()
     assert [r.score for r in got] == [0, 0, 0] and [r.base_score for r in got] == [0, 0, 0] and [r.held_out for r in got] == [False, True, False]
     assert score(docs.limit(0), train(docs)).count() == 0
+
+
+class PlainOrder:
+    """The model of any order with dictionaries; the start mark alone is before the first word."""
+
+    def __init__(self, texts, order):
+        self.order, self.words = order, Counter()
+        raw = [Counter() for _ in range(order + 1)]
+        for t in texts:
+            toks = tokens(t)
+            self.words.update(toks)
+            toks = ["<s>", *toks]
+            for n in range(1, order + 1):
+                raw[n].update(tuple(toks[i - n + 1 : i + 1]) for i in range(max(1, n - 1), len(toks)))
+        self.c = [Counter() for _ in range(order)] + [raw[order]]
+        for n in range(1, order):
+            for g in raw[n + 1]:
+                self.c[n][g[1:]] += 1
+            if n > 1:
+                self.c[n].update({g: c for g, c in raw[n].items() if g[0] == "<s>"})
+        self.d = [[0, *discounts_of([sum(c == k for c in level.values()) for k in (1, 2, 3, 4)])] for level in self.c]
+        self.total, self.after = Counter(), defaultdict(Counter)
+        for level in self.c[1:]:
+            for g, c in level.items():
+                self.total[g[:-1]] += c
+                self.after[g[:-1]][min(c, 3)] += 1
+
+    def p(self, context, w):
+        n = len(context) + 1
+        low = self.p(context[1:], w) if context else 1 / (len(self.words) + 1)
+        total = self.total[context]
+        if not total:
+            return low
+        c = self.c[n][(*context, w)]
+        return (c - self.d[n][min(c, 3)]) / total + sum(self.d[n][k] * self.after[context][k] for k in (1, 2, 3)) / total * low
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_higher_orders_equal_the_plain_model(spark, rows, monkeypatch, order):
+    monkeypatch.setattr(kneser_ney, "BUFFER", 3000)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    out = lambda k: zlib.crc32(str(k).encode()) % 10 == 0
+    plain = PlainOrder([t for k, t in rows if not out(k)], order)
+    model = train(docs.filter(~held_out()), order)
+    for r in score(docs, model).collect():
+        toks = ["<s>", *tokens(dict(rows)[r.doc_id])]
+        assert r.n_known == sum(plain.words[t] > 0 for t in toks[1:])
+        want = sum(math.log10(plain.p(tuple(toks[max(0, i - order + 1) : i]), toks[i])) for i in range(1, len(toks)))
+        assert math.isclose(r.score, want, rel_tol=1e-9)
+    hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in plain.words if w != "</s>"] + [int(END), 12345], np.uint64)
+    for context in ([START] * (order - 1), [*hashes[: order - 1]], [*[START] * (order - 2), hashes[0]]):
+        logs, _ = model.log10(np.repeat(np.array(context, np.uint64)[:, None], len(hashes), axis=1), hashes)
+        assert math.isclose((10**logs).sum(), 1, rel_tol=1e-9)
+
+
+def test_the_query_uses_two_words_of_context(spark, tmp_path):
+    texts = [f"x{k % 2} mid y{k % 2}" for k in range(60)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = kneser_ney.op2_kneser_ney(spark, str(tmp_path)).agg({"perplexity": "max"}).first()[0]
+    two = score(docs := spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), train(docs.filter(~held_out()))).agg({"perplexity": "min"}).first()[0]
+    assert got < two
