@@ -3,7 +3,8 @@
 Symbols are the words of the lowered text (``[^\\x20\\x09-\\x0D]+``, in pieces of 32 characters where longer), k-mers are
 K of them in a row, inner substrings one of them. A k-mer is chosen if the smallest hash of its inner substrings
 is that of its first or last one. The choice depends on the k-mer alone, so the same passage gives the same anchors
-wherever it stands. A text of fewer than K words, but not none, has one anchor: all its words.
+wherever it stands. A text of fewer than K words, but not none, has one anchor: all its words. With ``filled``, as in
+the query, so has a longer text in which no k-mer is chosen: only texts without words have no anchor.
 
 ``anchors`` gives positions and hashes, ``fingerprint`` the hashes in order, eight hex digits each; ``likeness`` is the
 share of distinct anchors that two texts have in common (two empty ones are alike).
@@ -44,24 +45,27 @@ def _chosen(h: Column, i: Column, k: int) -> Column:
     return F.when((inner[0] == least) | (inner[-1] == least), F.hash(*inner))
 
 
-def marks(text: Column, k: int = K) -> Column:
+def marks(text: Column, k: int = K, filled: bool = False) -> Column:
     """Hashes of the chosen k-mers, in order."""
 
     def of(h: Column) -> Column:
         places = F.sequence(F.lit(0), F.size(h) - k)
         whole = F.when(F.size(h) > 0, F.array(F.hash(h))).otherwise(F.array().cast("array<int>"))
-        return F.when(F.size(h) >= k, F.filter(F.transform(places, lambda i: _chosen(h, i, k)), lambda x: x.isNotNull())).otherwise(whole)
+        found = F.when(F.size(h) >= k, F.filter(F.transform(places, lambda i: _chosen(h, i, k)), lambda x: x.isNotNull())).otherwise(whole)
+        return _let(found, lambda x: F.when(F.size(x) > 0, x).otherwise(whole)) if filled else found
 
     return _let(word_hashes(text), of)
 
 
-def anchors(docs: DataFrame, k: int = K) -> DataFrame:
+def anchors(docs: DataFrame, k: int = K, filled: bool = False) -> DataFrame:
     """doc_id, position (in words, from 0) and hash of each anchor, for matching by place."""
     rows = docs.select("doc_id", word_hashes(F.coalesce("text", F.lit(""))).alias("h"))
     h = F.col("h")
     places = F.transform(F.sequence(F.lit(0), F.size(h) - k), lambda i: F.struct(i.alias("position"), _chosen(h, i, k).alias("hash")))
     whole = F.array(F.struct(F.lit(0).alias("position"), F.hash(h).alias("hash")))
     found = F.when(F.size(h) >= k, F.filter(places, lambda x: x["hash"].isNotNull())).when(F.size(h) > 0, whole)
+    if filled:
+        found = _let(found, lambda x: F.when((F.size(x) > 0) | (F.size(h) == 0), x).otherwise(whole))
     return rows.select("doc_id", F.inline(found))
 
 
@@ -75,7 +79,7 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(either == 0, F.lit(1.0)).otherwise(common / either)
 
 
-def with_next(docs: DataFrame) -> DataFrame:
+def with_next(docs: DataFrame, filled: bool = False) -> DataFrame:
     """doc_id, text, its chosen k-mers, and both of the next document."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     n = docs.count()
@@ -97,7 +101,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     ghosts = docs.sparkSession.createDataFrame(firsts or [(None, 0)], "top long, before int")
     ghosts = rows.drop("b").join(F.broadcast(ghosts), F.col("doc_id").eqNullSafe(F.col("top"))).select("doc_id", "text", F.col("before").alias("b"), F.lit(1).alias("ghost"))
     every = rows.withColumn("ghost", F.lit(0)).unionByName(ghosts).repartition(max(1, len(held)), "b")
-    every = every.withColumn("marks", marks(F.col("text")))
+    every = every.withColumn("marks", marks(F.col("text"), filled=filled))
     order = Window.partitionBy("b").orderBy("ghost", F.col("doc_id").desc_nulls_last(), F.xxhash64("text"))
     every = every.select("*", F.lead("text").over(order).alias("next_text"), F.lead("marks").over(order).alias("next_marks"))
     return every.filter("ghost = 0").drop("ghost", "b")
@@ -109,9 +113,9 @@ def edited_text(text: Column, following: Column) -> Column:
     return F.concat(F.left(text, n - cut), F.left(following, cut))
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    rows = with_next(docs).withColumn("edited", edited_text(F.col("text"), F.col("next_text")))
-    rows = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "marks", "next_marks", marks(F.col("edited")).alias("edited_marks"))
+def fingerprints(docs: DataFrame, filled: bool = False) -> DataFrame:
+    rows = with_next(docs, filled).withColumn("edited", edited_text(F.col("text"), F.col("next_text")))
+    rows = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "marks", "next_marks", marks(F.col("edited"), filled=filled).alias("edited_marks"))
     m, e = F.col("marks"), F.col("edited_marks")
     return rows.select(
         "doc_id",
@@ -125,4 +129,4 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def op10_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints(documents(spark, sf_dir))
+    return fingerprints(documents(spark, sf_dir), filled=True)

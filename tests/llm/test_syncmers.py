@@ -47,6 +47,20 @@ def test_equals_brute_force(spark, monkeypatch):
     assert found == len(chosen("ünï " * 4000))
 
 
+def test_only_texts_without_words_have_no_anchor(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [(k, " ".join(f"w{rng.randint(0, 999)}" for _ in range(5 + k % 3))) for k in range(120)] + [(900, None), (901, " \n"), (902, "one")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in syncmers.op10_closed_syncmers(spark, str(tmp_path)).collect()}
+    assert {k for k, r in got.items() if r.fingerprint == ""} == {900, 901}
+    # texts that differ are not alike for want of anchors
+    assert all(got[k].near_next < 1 for k in range(1, 120))
+    plain = {r.doc_id: r.fingerprint for r in fingerprints(docs).collect()}
+    assert any(plain[k] == "" for k in range(120)) and all(plain[k] in ("", got[k].fingerprint) for k in plain)
+    assert {r.doc_id for r in anchors(docs, filled=True).collect()} == {k for k in got if k not in (900, 901)}
+
+
 def test_ties_missing_ids_and_small_tables(spark):
     docs = spark.createDataFrame([(1, "a b c d e f g"), (1, "a b c d e f g"), (None, "q"), (None, None), (3, "")], "doc_id long, text string")
     got = fingerprints(docs).collect()
