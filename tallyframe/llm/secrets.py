@@ -1,8 +1,16 @@
 """Secret scan with a random forest that removes false positives; DataFrame and SQL functions only.
 
-Scan: runs of 20 or more key characters (letters, digits, ``_ + / = -``) with at least one digit are candidates. Each
-is taken with up to 60 characters before and 30 after it. Runs are found by splitting texts, so every place of every
-text is seen, and a text of any length takes time in proportion to it.
+Scan: candidates are (key characters are letters, digits, ``_ + / = -``)
+ - runs of 20 or more key characters;
+ - after NAME= or NAME: (quotes and spaces may stand between), 8 or more key characters;
+ - after such a name with a credential word in it, 4 or more characters that are neither white space nor quotes, or
+   that stand between quotes in one line (200 at most);
+ - 6 or more characters without white space after a credential word and spaces (``is`` may stand between).
+A name in front of an assignment belongs to the text before its value, and is a candidate itself from 20 characters.
+Nothing else is a candidate: shorter strings, and those of under 20 key characters without name or credential word.
+``found`` alone, unless ``wide``, gives runs of 20 or more key characters with a digit. Each candidate is taken with
+up to 60 characters before and 30 after it. Candidates are found by splitting texts, so every place of every text is
+seen, and a text of any length takes time in proportion to it.
 
 Features: length; transitions between character classes (lower, upper, digit, other) and the share of each class;
 number of distinct characters; dictionary coverage (share of the candidate's characters that are made up of common
@@ -30,6 +38,8 @@ from pyspark.sql import functions as F
 from .common import documents
 
 MIN_LENGTH = 20
+#: Of what is assigned to any name, to a name with a credential word, and of what a credential word and spaces precede.
+MIN_ASSIGNED, MIN_NAMED, MIN_TOLD = 8, 4, 6
 MAX_ROWS = 20_000
 ACCEPT = 0.5
 BEFORE, AFTER = 60, 30
@@ -54,13 +64,35 @@ _KEY_CHARS = "A-Za-z0-9_+/=-"
 _MARK = "\u0001"
 
 
-def found(docs: DataFrame, path: str = "source") -> DataFrame:
+def _wide() -> tuple[str, str]:
+    """Pattern of the candidates with what leads to them, and its replacement with marks."""
+    words = "|".join(sorted((w.replace("_", "[_-]?") for w in CREDENTIAL_WORDS), key=len, reverse=True))
+    key, quote = f"[{_KEY_CHARS}]", "[\"'`]"
+    gap = f"{quote}?\\s{{0,3}}(?::=|=>|==?|:(?!//))\\s{{0,3}}{quote}?"
+    start = f"(?<![.{_KEY_CHARS}])"
+    name, long_name = f"{start}[A-Za-z_][A-Za-z0-9_.-]{{0,18}}+", f"{start}[A-Za-z_][A-Za-z0-9_.-]{{19,63}}+"
+    credential = f"(?<=(?i:{words})[A-Za-z0-9_.-]{{0,20}}(?:{quote}?\\s{{0,3}}(?::=|=>|==?|:)\\s{{0,3}}{quote}?))"
+    bare = "[^\\s\"'`]"
+    end = "[^\\s\"'`,;.)\\]}]"
+    value = f"{credential}(?:(?<={quote})[^\"'`\\r\\n]{{{MIN_NAMED},200}}+(?={quote})|{bare}{{{MIN_NAMED - 1},}}{end})|{key}{{{MIN_ASSIGNED},}}+"
+    told = f"(?<![A-Za-z])(?i:{words})\\s{{1,3}}(?:is\\s{{1,3}})?{quote}?"
+    pattern = f"({long_name})({gap})({value})|({name}{gap})({value})|((?<!{key}){key}{{{MIN_LENGTH},}}+)|({told})({bare}{{{MIN_TOLD - 1},}}{end})"
+    return pattern, f"{_MARK}$1{_MARK}$2$4$7{_MARK}$3$5$6$8{_MARK}"
+
+
+def found(docs: DataFrame, path: str = "source", wide: bool = False) -> DataFrame:
     """doc_id, path, start (code points from 0), candidate, and the text before and after it."""
     text = F.coalesce("text", F.lit(""))
     where = F.coalesce(F.col(path).cast("string"), F.lit("")) if path in docs.columns else F.lit("")
     rows = docs.select("doc_id", where.alias("path"), F.translate(text, _MARK, " ").alias("text"))
-    rows = rows.filter(F.col("text").rlike(f"[{_KEY_CHARS}]{{{MIN_LENGTH}}}"))
-    marked = F.regexp_replace("text", f"(?<![{_KEY_CHARS}])([{_KEY_CHARS}]{{{MIN_LENGTH},}}+)", f"{_MARK}$1{_MARK}")
+    if wide:
+        # without a long name its place is empty
+        marked = F.regexp_replace("text", *map(F.lit, _wide()))
+        rows = rows.withColumn("marked", marked).filter(F.contains("marked", F.lit(_MARK)))
+        marked = F.col("marked")
+    else:
+        rows = rows.filter(F.col("text").rlike(f"[{_KEY_CHARS}]{{{MIN_LENGTH}}}"))
+        marked = F.regexp_replace("text", f"(?<![{_KEY_CHARS}])([{_KEY_CHARS}]{{{MIN_LENGTH},}}+)", f"{_MARK}$1{_MARK}")
     # odd parts are candidates, even ones what lies between them
     parts = rows.select("doc_id", "path", F.split(marked, _MARK).alias("parts"))
     lengths = F.transform("parts", F.length)
@@ -73,8 +105,9 @@ def found(docs: DataFrame, path: str = "source") -> DataFrame:
         lambda i: F.struct(
             F.get("starts", i).alias("start"),
             F.get("parts", i).alias("candidate"),
-            F.right(F.get("parts", i - 1), F.lit(BEFORE)).alias("before"),
-            F.left(F.get("parts", i + 1), F.lit(AFTER)).alias("after"),
+            # a name before an assignment is a part of its own
+            F.right(F.concat(F.coalesce(F.get("parts", i - 3), F.lit("")), F.coalesce(F.get("parts", i - 2), F.lit("")), F.get("parts", i - 1)), F.lit(BEFORE)).alias("before"),
+            F.left(F.concat(F.get("parts", i + 1), F.coalesce(F.get("parts", i + 2), F.lit("")), F.coalesce(F.get("parts", i + 3), F.lit(""))), F.lit(AFTER)).alias("after"),
         ),
     )
     few = few.filter(F.size("parts") > 2).select("doc_id", "path", F.inline(hits))
@@ -87,11 +120,12 @@ def found(docs: DataFrame, path: str = "source") -> DataFrame:
         "pos",
         (F.sum(F.length("part")).over(order) - F.length("part")).cast("int").alias("start"),
         F.col("part").alias("candidate"),
-        F.right(F.lag("part", 1, "").over(order), F.lit(BEFORE)).alias("before"),
-        F.left(F.lead("part", 1, "").over(order), F.lit(AFTER)).alias("after"),
+        F.right(F.concat(*(F.lag("part", n, "").over(order) for n in (3, 2, 1))), F.lit(BEFORE)).alias("before"),
+        F.left(F.concat(*(F.lead("part", n, "").over(order) for n in (1, 2, 3))), F.lit(AFTER)).alias("after"),
     )
     many = many.filter("pos % 2 = 1").drop("pos")
-    return few.unionByName(many).filter(F.col("candidate").rlike("[0-9]"))
+    every = few.unionByName(many)
+    return every.filter("candidate <> ''") if wide else every.filter(F.col("candidate").rlike("[0-9]"))
 
 
 def _any(words: list[str]) -> str:
@@ -152,6 +186,12 @@ def labelled_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
     path = pick(["src1", "src7", "", "app/settings.py", "deploy/prod.env", "notes.md"], 18)
     dull = pick(["src1", "src7", "", "tests/fixture.json", "yarn.lock", "docs/example.md"], 19)
     more = F.concat(F.lit(" "), pick(DICTIONARY, 20))
+    shout = F.upper(F.concat_ws("_", pick(DICTIONARY, 31), names))
+    letters = F.translate(F.col("b64"), "0123456789+/", "qwhzkTRxvMbG")
+    short = F.concat(F.initcap(pick(DICTIONARY, 32)), F.pmod(F.col("k"), F.lit(100)).cast("string"), pick(["x", "!", "#Q", "_z9", "$", "@k"], 33), F.substring("b64", 5, 3))
+    told = F.concat(words, F.lit(" "), names, pick([" ", " is ", " \""], 34))
+    other = F.concat(words, F.lit(" "), pick(DICTIONARY, 35), pick([": ", " = ", "=", ": \"", " = '"], 36))
+    prose = pick("performance following generated important requirements mandatory incorrect management exchange protected expired required strategies different".split() + [w for w in DICTIONARY if len(w) > 5], 37)
     # (secret?, candidate, before, after, path)
     kinds = [
         (1, hex_of(40), named, F.concat(close, more), path),
@@ -160,8 +200,21 @@ def labelled_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
         (1, b64_of(40), named, F.concat(close, more), path),
         (1, b64_of(32), named, close, path),
         (1, F.concat(pick(["ghp_", "sk_live_", "xoxb-", "glpat-", "AKIA", "npm_"], 21), b64_of(34)), pick(["", "use ", "token: ", "export X="], 22), more, path),
+        (1, b64_of(40), F.concat(words, F.lit(" "), shout, F.lit("=")), more, path),
+        (1, hex_of(40), F.concat(pick(["export ", "", "set "], 38), shout, F.lit("=")), more, path),
+        (1, short, named, close, path),
+        (1, short, told, more, path),
+        (1, F.substring("b64", 3, 16), named, close, path),
+        (1, hex_of(16), named, close, path),
+        (1, F.substring(letters, 3, 32), named, F.concat(close, more), path),
         (0, hex_of(40), against, more, dull),
         (0, hex_of(64), against, more, dull),
+        (0, prose, told, more, path),
+        (0, prose, named, more, path),
+        (0, prose, other, more, path),
+        (0, F.concat_ws("-", pick(DICTIONARY, 39), pick(DICTIONARY, 40), pick(DICTIONARY, 41), pick(DICTIONARY, 42)), plain, more, dull),
+        (0, F.concat(F.lit("20"), F.col("k").cast("string"), F.lit("-10-"), F.substring("h", 1, 2)), other, more, dull),
+        (0, F.concat(pick(["<your-", "${", "your_", "changeme_", "example-"], 43), pick(DICTIONARY, 44)), named, close, dull),
         (0, uuid, pick(["id ", "session ", "request_id=", "/objects/"], 23), more, dull),
         (0, ident, pick(["", "call ", "key = ", "self."], 24), more, dull),
         (0, camel, plain, F.lit("("), dull),
@@ -196,7 +249,7 @@ def _assembled(rows: DataFrame) -> DataFrame:
 def scan(docs: DataFrame, findings: DataFrame, path: str = "source", accept: float = ACCEPT) -> DataFrame:
     """Every candidate of every text with its probability and whether it is kept as a secret."""
     model = train(findings)
-    rows = found(docs, path)
+    rows = found(docs, path, wide=True)
     if model is None:  # nothing is known: nothing is removed
         scored = rows.withColumn("probability", F.lit(None).cast("double"))
     else:

@@ -48,3 +48,44 @@ def test_scan(spark):
     none = labelled_findings(spark).limit(0)
     assert train(none) is None and scan(docs, none).filter("is_secret").count() == 5
     assert scan(docs.limit(0), none).count() == 0
+
+
+def test_short_named_and_lettered_credentials_are_scanned(spark):
+    hexed = hashlib.sha1(b"y").hexdigest()
+    letters = "qWhzkTRxvMbGpLsDfJcNyUaE"
+    rows = [
+        (1, 'password = "Hunter2x9" end', "Hunter2x9"),
+        (2, 'apikey: "a8Kd03LmZq71Xw5T"', "a8Kd03LmZq71Xw5T"),
+        (3, 'db_password = "p@ss!w0rd#7"', "p@ss!w0rd#7"),
+        (4, f'token = "{letters}"', letters),
+        (5, f"export API_KEY={hexed} there", hexed),
+        (6, f"see {letters} there", letters),
+        (7, f"MY_VERY_LONG_SERVICE_API_TOKEN={hexed}", hexed),
+        (8, "the password is Hunter2x9, use it", "Hunter2x9"),
+    ]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    got = {(r.doc_id, r.candidate): r for r in with_features(found(docs, wide=True)).collect()}
+    assert all((k, c) in got and got[k, c].start == t.index(c) for k, t, c in rows), sorted(got)
+    assert all(got[k, c].f_key_word == 1 and got[k, c].f_assigned == 1 for k, _, c in rows if k in (1, 2, 3, 4, 5, 7))
+    assert (7, "MY_VERY_LONG_SERVICE_API_TOKEN") in got  # 20 characters or more: a candidate as well
+    told = {(r.doc_id, r.start): r.is_secret for r in scan(docs, labelled_findings(spark)).collect()}
+    assert all(told[k, t.index(c)] for k, t, c in rows if k != 6), told
+    prose = [(1, "the key performance of a private company and its secret recipe"), (2, "password: required"), (3, "note: something important"), (4, "the token is expired")]
+    quiet = spark.createDataFrame(prose, "doc_id long, text string")
+    assert scan(quiet, labelled_findings(spark)).filter("is_secret").count() == 0
+
+
+def test_every_run_is_a_wide_candidate_or_part_of_one(spark):
+    rng = random.Random(7)
+    parts = ["abc", "token = \"", "0123456789abcdef0123456789", "\"", " ", "é", "x" * 25, "A1" * 30, "=", "/", ".", "key: ", "my_name_of_a_long_kind", "password ", "-"]
+    rows = [(k, "".join(rng.choices(parts, k=rng.randint(0, 12)))) for k in range(400)] + [(901, " 0123456789abcdef0123456789" * 300), (902, "a1" * 100_000), (903, "password=" * 20_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {}
+    for r in found(docs, wide=True).collect():
+        text = dict(rows)[r.doc_id]
+        assert text[r.start : r.start + len(r.candidate)] == r.candidate and text[: r.start].endswith(r.before)
+        got.setdefault(r.doc_id, []).append((r.start, r.start + len(r.candidate)))
+    for doc_id, start, c in brute(rows):
+        # of a run, at most a name and its assignment are outside of candidates
+        inside = sum(max(0, min(b, start + len(c)) - max(a, start)) for a, b in got[doc_id])
+        assert len(c) - inside < 25, (doc_id, c, got[doc_id])
