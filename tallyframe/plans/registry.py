@@ -514,6 +514,11 @@ def repeated_trials(spark, sf_dir):
     return grading.repeated_trials(table(spark, sf_dir, "events").filter("event_id % 5 = 0").select("event_id", "event_type", "user_id"), 3)
 
 
+@query("SELECT event_id, event_type, user_id, n AS run FROM events CROSS JOIN (VALUES (1), (2), (3)) r(n)")
+def repeated_trials_all(spark, sf_dir):
+    return grading.repeated_trials(table(spark, sf_dir, "events").select("event_id", "event_type", "user_id"), 3)
+
+
 _LINES = """l AS (SELECT event_id % 10 AS run, event_id AS line_number, CASE WHEN event_id % 7 = 0 THEN 'uncategorized_outflow' WHEN event_id % 11 = 0 THEN 'excluded_duplicate' ELSE 'included_spending' END AS treatment,
   CAST(value AS DECIMAL(18,2)) AS amount, event_type AS category FROM events)"""
 

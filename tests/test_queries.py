@@ -52,3 +52,8 @@ def test_plans_have_no_nested_loops_or_single_tasks(spark, duck):
 def test_scans_read_few_columns(spark, duck):
     plan = registry.QUERIES["treatment_filter"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "o_orderpriority" not in plan.split("ReadSchema")[1].split("\n")[0]
+
+
+def test_every_event_is_repeated(spark, duck):
+    n = duck.execute("SELECT count(*) FROM events").fetchone()[0]
+    assert registry.QUERIES["repeated_trials_all"](spark, SF).count() == 3 * n
