@@ -366,6 +366,20 @@ def call_output_pairing(spark, sf_dir):
     return rollout.call_output_pairs(first, outputs, ["conv_id"], "call_turn", "output_turn").select("conv_id", "call_turn", "output_turn")
 
 
+@query(
+    """WITH n AS (SELECT conv_id, turn, role, count(*) FILTER (role = 'user') OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS call_number FROM conversations)
+       SELECT c.conv_id, c.call_number, c.turn AS call_turn, min(a.turn) AS output_turn FROM n c JOIN n a ON a.conv_id = c.conv_id AND a.call_number = c.call_number AND a.role = 'assistant'
+       WHERE c.role = 'user' AND a.turn > c.turn GROUP BY ALL"""
+)
+def call_output_pairing_all(spark, sf_dir):
+    """Every call has a key of its own: its number in the conversation; outputs have that of the last call before them."""
+    so_far = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
+    turns = _turns(spark, sf_dir).select("conv_id", "turn", "role", F.count_if(F.col("role") == "user").over(so_far).alias("call_number"))
+    calls = turns.filter("role = 'user'").select("conv_id", "call_number", F.col("turn").alias("call_turn"))
+    outputs = turns.filter("role = 'assistant'").select("conv_id", "call_number", F.col("turn").alias("output_turn"))
+    return rollout.call_output_pairs(calls, outputs, ["conv_id", "call_number"], "call_turn", "output_turn").select("conv_id", "call_number", "call_turn", "output_turn")
+
+
 @query("SELECT DISTINCT u.conv_id, u.turn AS call_turn FROM conversations u WHERE u.role = 'user' AND NOT EXISTS (SELECT 1 FROM conversations a WHERE a.conv_id = u.conv_id AND a.role = 'assistant' AND a.turn > u.turn)")
 def unmatched_calls(spark, sf_dir):
     calls, _, nexts = _call_pairs(spark, sf_dir)

@@ -57,3 +57,10 @@ def test_scans_read_few_columns(spark, duck):
 def test_every_event_is_repeated(spark, duck):
     n = duck.execute("SELECT count(*) FROM events").fetchone()[0]
     assert registry.QUERIES["repeated_trials_all"](spark, SF).count() == 3 * n
+
+
+def test_every_answered_call_is_paired(spark, duck):
+    # a call is answered if an assistant's turn comes before the next call
+    answered = duck.execute("SELECT count(*) FROM (SELECT role, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS following FROM conversations WHERE role IN ('user', 'assistant')) WHERE role = 'user' AND following = 'assistant'").fetchone()[0]
+    first = registry.QUERIES["call_output_pairing"](spark, SF).count()
+    assert registry.QUERIES["call_output_pairing_all"](spark, SF).count() == answered > first
