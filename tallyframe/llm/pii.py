@@ -237,7 +237,7 @@ def fit(codes: np.ndarray, counts: np.ndarray, rounds: int = 50) -> SpanModel:
 
 def _suspects(texts: pa.Array) -> np.ndarray:
     """Rows that can hold a candidate at all."""
-    return pc.match_substring_regex(texts, r"[0-9]|@|[\[(](?i:at)[\])]| (?i:dot) ").to_numpy(zero_copy_only=False)
+    return pc.match_substring_regex(texts, r"[0-9]|@|[\[(](?i:at|dot)[\])]| (?i:dot) ").to_numpy(zero_copy_only=False)
 
 
 FOUND = "doc_id long, b_start array<long>, b_kind array<long>, b_end array<long>, b_code array<long>, c_start array<long>, c_kind array<long>, c_end array<long>, c_code array<long>"

@@ -71,3 +71,13 @@ def test_spans_and_masking(spark):
     assert clean[1].text is None and clean[4].text == "nothing 12"
     assert spans(docs.limit(0)).count() == 0 and redacted(docs.limit(0)).count() == 0
     assert mask("abcdef", [(1, 0, 3), (2, 1, 5)]) == "a[EMAIL]f"
+
+
+def test_addresses_spelled_out_without_digits_are_searched():
+    import pyarrow as pa
+
+    from tallyframe.llm.pii import _LOOSE_EMAIL, _suspects
+
+    texts = [f"write to jane{at}example{dot}com please" for at in (" at ", "[at]", " (AT) ") for dot in ("[dot]", "(DOT)", " [dot] ", " dot ")]
+    assert all(_LOOSE_EMAIL.search(t) for t in texts)
+    assert _suspects(pa.array([*texts, "nothing to see"])).tolist() == [True] * len(texts) + [False]
