@@ -282,7 +282,17 @@ def refund_sign(spark, sf_dir):
 
 @query("SELECT c_custkey FROM customer WHERE c_acctbal < 0")
 def refund_lines(spark, sf_dir):
-    return table(spark, sf_dir, "customer").filter("c_acctbal < 0").select("c_custkey")
+    rows = table(spark, sf_dir, "customer")
+    ledger = rows.select(
+        F.col("c_nationkey").alias("log_id"),
+        F.col("c_custkey").alias("line_number"),
+        F.lit("2024-01-01").cast("date").alias("occurred_on"),
+        F.col("c_acctbal").cast("decimal(18,2)").alias("amount"),
+        F.lit("included_spending").alias("treatment"),
+        F.col("c_mktsegment").alias("category"),
+    )
+    checked = totals.reconciliation(ledger, totals.monthly_category_totals(ledger, lines=False), totals.monthly_totals(ledger, lines=False))
+    return checked.select(F.explode("refunds").alias("c_custkey"))
 
 
 @query(

@@ -64,3 +64,8 @@ def test_every_answered_call_is_paired(spark, duck):
     answered = duck.execute("SELECT count(*) FROM (SELECT role, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS following FROM conversations WHERE role IN ('user', 'assistant')) WHERE role = 'user' AND following = 'assistant'").fetchone()[0]
     first = registry.QUERIES["call_output_pairing"](spark, SF).count()
     assert registry.QUERIES["call_output_pairing_all"](spark, SF).count() == answered > first
+
+
+def test_refund_lines_come_from_the_reconciliation(spark, duck, monkeypatch):
+    monkeypatch.setattr(registry.totals, "reconciliation", lambda *a, **k: spark.createDataFrame([([7, 9],)], "refunds array<long>"))
+    assert [r.c_custkey for r in registry.QUERIES["refund_lines"](spark, SF).collect()] == [7, 9]
