@@ -1,10 +1,12 @@
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
+from tallyframe.llm import packing
 from tallyframe.llm.packing import default_path, pack, sweep, token_ids, tokenizer
 
 
@@ -19,28 +21,78 @@ def best_fit_decreasing(lengths, capacity):
     return sorted(rooms)
 
 
+def packed(segments, capacity):
+    """Room of each sequence; places must be gapless and every piece placed once."""
+    used, seen = defaultdict(list), set()
+    for cell, length, rank, n, first, side, offset, skip in segments:
+        for i in range(n):
+            assert (cell, length, rank + i) not in seen
+            seen.add((cell, length, rank + i))
+            used[first + (skip + i) // side].append((offset + (skip + i) % side * length, length))
+    rooms = {}
+    for sequence, places in used.items():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= capacity
+        rooms[sequence] = capacity - at
+    return rooms, seen
+
+
+def some_lengths(rng):
+    capacity = rng.choice([10, 37, 100])
+    return capacity, [min(capacity, 1 + int(rng.expovariate(1 / rng.choice([2, 9, 30])))) for _ in range(rng.randint(1, 150))]
+
+
 def test_sweep_equals_sequential_best_fit():
     rng = random.Random(1)
     for _ in range(60):
-        capacity = rng.choice([10, 37, 100])
-        lengths = [min(capacity, 1 + int(rng.expovariate(1 / rng.choice([2, 9, 30])))) for _ in range(rng.randint(1, 150))]
-        counts = {n: lengths.count(n) for n in set(lengths)}
-        used, seen = defaultdict(list), defaultdict(set)
-        for length, rank, n, first, side, offset in sweep(counts, capacity):
-            for i in range(n):
-                assert rank + i not in seen[length]
-                seen[length].add(rank + i)
-                used[first + i // side].append((offset + i % side * length, length))
-        assert {k: len(v) for k, v in seen.items()} == counts
-        rooms = []
-        for places in used.values():
-            at = 0
-            for offset, length in sorted(places):
-                assert offset == at
-                at += length
-            assert at <= capacity
-            rooms.append(capacity - at)
-        assert sorted(rooms) == best_fit_decreasing(lengths, capacity)
+        capacity, lengths = some_lengths(rng)
+        classes = {n: [(0, 0, lengths.count(n))] for n in set(lengths)}
+        segments, gaps, held = sweep(classes, capacity)
+        rooms, seen = packed(segments, capacity)
+        assert len(seen) == len(lengths) and not held
+        assert sorted(rooms.values()) == best_fit_decreasing(lengths, capacity)
+        assert sorted(room for room, _, n in gaps for _ in range(n)) == sorted(r for r in rooms.values() if r)
+
+
+def test_sweep_into_gaps_within_a_limit():
+    rng = random.Random(3)
+    for _ in range(60):
+        capacity, lengths = some_lengths(rng)
+        classes = {n: [(7, 0, 1), (9, 5, lengths.count(n) - 1)] if lengths.count(n) > 1 else [(7, 0, 1)] for n in set(lengths)}
+        limit = sum(lengths) // capacity
+        segments, gaps, held = sweep(classes, capacity, limit=limit, base=1000)
+        again = defaultdict(list)
+        for length, *run in held:
+            again[length].append(tuple(run))
+        more, _, none = sweep(again, capacity, gaps, base=5000)
+        assert not none and all(1000 <= s[4] + (s[7] + s[3] - 1) // s[5] < 1000 + limit for s in segments)
+        rooms, seen = packed(segments + more, capacity)
+        assert len(seen) == len(lengths) and len(rooms) <= len(best_fit_decreasing(lengths, capacity)) + 1
+
+
+def test_rounds_over_many_cells(spark, monkeypatch):
+    monkeypatch.setattr(packing, "JOINED_CELLS", 3)
+    rng = random.Random(4)
+    lengths = [min(256, 1 + int(rng.expovariate(1 / 60))) for _ in range(4000)]
+    rows = packing.swept(spark, dict(Counter(lengths)), 23, 256).collect()
+    rooms, seen = packed([(r.cell, r["size"], r["rank"], r.n, r.sequence, r.side, r["offset"], r.skip) for r in rows], 256)
+    assert seen == {(r % 23, length, r // 23) for length, n in Counter(lengths).items() for r in range(n)}
+    assert len(rooms) <= -(-sum(lengths) // 256) + 1
+    assert packing.swept(spark, {}, 1, 256).count() == 0
+
+
+def test_known_words_stay_within_their_bound(monkeypatch):
+    monkeypatch.setattr(packing, "KEPT_WORDS", 40)
+    known, bpe = packing.KnownWords(default_path()), tokenizer(default_path())
+    for k in range(12):
+        words = [f"word{j}" for j in range(k * 9, k * 9 + 30)] + ["common", "\x01", "a\x01b", "\u00a0", "don't", "é"]
+        ids, size = known.ids(words)
+        at = np.concatenate([[0], np.cumsum(size)])
+        assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [bpe.encode(w, add_special_tokens=False).ids for w in words]
+        assert len(known.low) <= 40 and len(known.pool) == known.size.sum()
 
 
 def test_token_ids_equal_whole_text_encoding():
@@ -50,7 +102,9 @@ def test_token_ids_equal_whole_text_encoding():
         assert ids[bounds[k] : bounds[k + 1]].tolist() == tokenizer(default_path()).encode(t, add_special_tokens=False).ids + [1]
 
 
-def test_pack_rows(spark):
+@pytest.mark.parametrize("cell_pieces", [50_000, 40])
+def test_pack_rows(spark, monkeypatch, cell_pieces):
+    monkeypatch.setattr(packing, "CELL_PIECES", cell_pieces)
     rng = random.Random(2)
     words = ["alpha", "beta", "gamma", "don't", "42", "élan"]
     rows = [(k, " ".join(rng.choices(words, k=rng.choice([0, 3, 40, 300]))), 7) for k in range(60)]
@@ -68,6 +122,7 @@ def test_pack_rows(spark):
             at += length
         assert at <= 256
     assert len(bins) == len(best_fit_decreasing([r.length for r in got], 256))
+    assert sum(r.length for r in got) == sum(len(tokenizer(default_path()).encode(r[1] or "", add_special_tokens=False).ids) + 1 for r in rows)
     long = sorted(by_doc[101], key=lambda r: r.piece)
     ids = tokenizer(default_path()).encode("word " * 5000, add_special_tokens=False).ids + [1]
     assert [r.start for r in long] == list(range(0, len(ids), 256))
