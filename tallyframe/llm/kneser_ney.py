@@ -1,17 +1,24 @@
 """Interpolated modified Kneser-Ney n-gram model: counted in Spark, kept as sorted hash arrays, mapped by workers.
 
-Counting. Tasks turn texts into 64-bit word hashes and add up n-grams of the model's order in memory; what they flush
-is cut into hash shards and shuffled as arrays, words as places in a list of the flush's words. An n-gram's shard
-follows the word before its last one, except for words with a thousandth of all tokens or more (at most a thousand,
-found first): their n-grams are spread by the whole n-gram. Each shard is merged by one task, which writes its sorted
-n-gram hashes and counts into the shared folder and passes on what the next lower order needs: for an n-gram without
-its first word its distinct predecessors and its count, for one without its last word the total and the number of
-followers seen once, twice and more often. That order is merged in the same way, down to single words.
+Words. A first pass counts words by 64-bit hash and numbers them, the frequent ones first (ids from 1; 0 is the start
+mark). Files of sorted word hashes with ids and counts lie in the shared folder, where all later tasks map them.
+
+Counting. Tasks add up n-grams of ids in memory; what they flush is cut by shard and shuffled as sorted, packed arrays.
+An n-gram's shard follows its second-last word, so all that lower orders need is in that shard too: its contexts end
+with that word, and so do its endings' contexts. One task therefore merges a shard and derives every order down to two
+words from it. A word that fills a shard alone is hot (the start mark always is): its n-grams are spread by the whole
+n-gram, and what contexts and lower orders need of them is added up by one more shuffle an order. Single words'
+predecessors are added up last, by id. Where there are very many shards, n-grams reach them through several shuffles
+of at most ``FAN`` cuts each, and are added up on the way.
 
 Counts. The highest order counts n-grams; lower ones count distinct predecessors (continuation counts), but n-grams
 that begin with the start mark, which nothing precedes, are counted themselves. The first words of a text have the
 start mark and the words before them as their context, however short.
 
+Arrays. A shard keeps its n-grams' hashes in order, cut into buckets by their first bits: a directory holds the buckets'
+starts, the array the 32 bits that follow (all 64 where two of a shard's n-grams agree so far). What was seen is always
+found; an n-gram that was not seen is taken for another one with a chance of some 4 in 10**9.
+
 Scoring. Workers memory-map the arrays (the shared folder must be mounted) and look up sorted queries by binary
 search; no worker holds the model. At each order p(w|u) = max(c - D(c), 0) / c(u) + g(u) p'(w), with p' of the context
 without its first word; the words' own distribution is interpolated with the uniform one over the vocabulary and one
@@ -26,63 +33,79 @@ model is uniform. Extra columns are ignored. Texts of any length are scored whol
 
 from __future__ import annotations
 
+import json
+import mmap
 import os
 import uuid
+from collections import defaultdict
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, chunks, documents, fresh_path, frugal, mix, mounted, split_words, word_hashes
+from .common import chunks, documents, fresh_path, frugal, mix, mounted, shipped, split_words, spread, word_hashes
 
 #: Words of context and one, in op2_kneser_ney.
 ORDER = 3
-#: N-grams that a task adds up before it flushes.
+#: N-grams (or words) that a task adds up before it flushes.
 BUFFER = 2_000_000
-#: Characters of training text for each shard.
-SHARD_CHARS = 20_000_000
-HOT_SHARE = 1e-3
+#: Training tokens of a shard, about; a word with more is hot.
+SHARD_TOKENS = 3_000_000
+#: Characters of training text for each file of words.
+WORD_FILE_CHARS = 300_000_000
+#: Shards that n-grams are dealt to in one shuffle, at most.
+FAN = 2_048
+#: Bytes of text that become n-grams at a time.
+TEXT_BYTES = 6_000_000
+#: Files that a worker keeps mapped.
+MAPPED = 4_096
 #: Hashes of the marks; no word has white space, so they are no word's.
 START, END = (np.uint64(0x5B6A1D0F93C2E417), np.uint64(0xC4D2E9A3570B861D))
+_SEED, _SPREAD = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9FB21C651E98DF25)
+#: Classes of counts by which words are numbered: four for each doubling.
+CLASSES = 4 * 64
 
 
-def with_ends(texts: pa.Array, order: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The order - 1 hashes before each token (a row a place, the nearest last), each token's hash, and each text's bounds."""
+def tokenised(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the distinct words and the end, each token's place among them, and each text's bounds."""
     flat, bounds = split_words(texts)
-    tokens = np.insert(word_hashes(flat), bounds[1:], END)
-    bounds = bounds + np.arange(len(bounds))
-    place = np.arange(len(tokens)) - np.repeat(bounds[:-1], np.diff(bounds))
-    before = np.full((order - 1, len(tokens)), START)
-    for row, back in zip(before, range(order - 1, 0, -1)):
-        far = np.flatnonzero(place >= back)
-        row[far] = tokens[far - back]
-    return before, tokens, bounds
+    coded = flat.dictionary_encode()
+    hashes = np.append(word_hashes(coded.dictionary), END)
+    local = np.insert(coded.indices.to_numpy(), bounds[1:], len(hashes) - 1)
+    return hashes, local, bounds + np.arange(len(bounds))
+
+
+def before(ids: np.ndarray, bounds: np.ndarray, order: int) -> list[np.ndarray]:
+    """The order - 1 ids before each token, the nearest last; 0 before a text."""
+    out = []
+    for back in range(order - 1, 0, -1):
+        column = np.zeros_like(ids)
+        column[back:] = ids[:-back]
+        for j in range(back):
+            at = bounds[:-1] + j
+            column[at[at < bounds[1:]]] = 0
+        out.append(column)
+    return out
 
 
 def gram(columns) -> np.ndarray:
     """One hash of the words of each n-gram."""
-    key = columns[0]
+    key = mix(_SEED, columns[0].astype(np.uint64))
     for c in columns[1:]:
-        key = mix(key, c)
+        key = mix(key, c.astype(np.uint64))
     return key
 
 
-def _pack(counts: np.ndarray) -> tuple[bytes, bytes]:
-    """Counts as bytes, 255 standing for the next of the large ones."""
-    return np.minimum(counts, 255).astype(np.uint8).tobytes(), counts[counts >= 255].astype(np.int64).tobytes()
-
-
-def _unpack(small: bytes, large: bytes) -> np.ndarray:
-    out = np.frombuffer(small, np.uint8).astype(np.int64)
-    out[out == 255] = np.frombuffer(large, np.int64)
-    return out
+def _slot(hashes: np.ndarray, n: int) -> np.ndarray:
+    return ((hashes >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
 
 def _summed(key: np.ndarray, values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """Distinct keys in order, a place of each, and the sums of their values."""
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     key = key[order]
     new = np.ones(len(key), bool)
     new[1:] = key[1:] != key[:-1]
@@ -90,115 +113,315 @@ def _summed(key: np.ndarray, values: list[np.ndarray]) -> tuple[np.ndarray, np.n
     return key[at], order[at], [np.add.reduceat(v[order], at) if len(at) else v for v in values]
 
 
-def _coded(columns: np.ndarray, values: list[np.ndarray]) -> tuple:
-    """N-grams as a list of their words and places in it, byte by byte of the places, and their packed values."""
-    words, ids = np.unique(columns, return_inverse=True)
-    ids = ids.reshape(columns.shape).astype(np.uint32)
-    order = np.lexsort(ids if len(ids) < 3 else [ids[-1], *ids[:-2], ids[-2]])
-    ids = np.ascontiguousarray(ids[:, order])
-    planes = ids.view(np.uint8).reshape(*ids.shape, 4).transpose(0, 2, 1)
-    return (words.tobytes(), planes.tobytes(), *(x for v in values for x in _pack(v[order])))
+# --- rows that are shuffled ---------------------------------------------------------------------------------------
+
+ROWS = "shard int, kind int, data binary"
+#: Rows of counts of counts; of words' predecessors; 2 k: of n-grams of k words; 2 k + 1: of contexts of order k.
+OFTEN, WORDS = 0, 2
+
+
+def _planes(column: np.ndarray) -> tuple[int, bytes]:
+    """Bytes of a number, as many as the largest needs, and those of all numbers plane by plane."""
+    width = max(1, (int(column.max()).bit_length() + 7) // 8) if len(column) else 1
+    return width, np.ascontiguousarray(column.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def _apart(column: np.ndarray, resets: np.ndarray | None) -> np.ndarray:
+    """Differences to the number before, modulo 2**64; numbers themselves where ``resets``."""
+    column = column.astype(np.uint64)
+    out = column.copy()
+    out[1:] -= column[:-1]
+    return out if resets is None else np.where(resets, column, out)
+
+
+def _lead(width: int, contexts: bool) -> tuple[int, int | None]:
+    """The column that n-grams are dealt by, and one beside it."""
+    p = width - 1 if contexts else max(0, width - 2)
+    return p, p - 1 if p else p + 1 if width > 1 else None
+
+
+def _encoded(columns: np.ndarray, values: list[np.ndarray], contexts: bool) -> bytes:
+    """Packed columns: the first sort column as differences, the second one too inside equal first ones."""
+    p, s = _lead(len(columns), contexts)
+    new = np.ones(columns.shape[1], bool)
+    new[1:] = columns[p][1:] != columns[p][:-1]
+    wide = [_apart(c, None if j == p else new) if j in (p, s) else c for j, c in enumerate(columns)]
+    # a difference below zero takes eight bytes; columns in disorder (ids beyond the sort key's bits) stay as they are
+    plain = [int(j in (p, s) and bool((w >> np.uint64(63)).any())) for j, w in enumerate(wide)]
+    parts = [_planes(c if f else w) for c, w, f in zip(columns, wide, plain)] + [_planes(v) for v in values]
+    head = np.array([columns.shape[1], len(columns), len(values), *plain, *(w for w, _ in parts)], "<i8").tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(b"".join([head, *(x for _, x in parts)]))
+
+
+def _decoded(data: bytes, contexts: bool, kind=np.uint64) -> tuple[np.ndarray, list[np.ndarray]]:
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    n, width, many = np.frombuffer(raw, "<i8", 3)
+    plain = np.frombuffer(raw, "<i8", width, 24)
+    sizes = np.frombuffer(raw, "<i8", width + many, 24 + 8 * width)
+    at, found = 24 + 8 * int(2 * width + many), []
+    for size in sizes.tolist():
+        out = np.zeros((n, 8), np.uint8)
+        out[:, :size] = np.frombuffer(raw, np.uint8, size * n, at).reshape(size, n).T
+        found.append(out.view("<u8")[:, 0])
+        at += size * n
+    p, s = _lead(width, contexts)
+    columns = found[:width]
+    if not plain[p]:
+        columns[p] = np.cumsum(columns[p], dtype=np.uint64)
+    if s is not None and not plain[s]:
+        first = np.flatnonzero(np.concatenate([[True], columns[p][1:] != columns[p][:-1]]))
+        running = np.cumsum(columns[s], dtype=np.uint64)
+        base = running[first] - columns[s][first]
+        columns[s] = running - np.repeat(base, np.diff(np.append(first, n)))
+    return np.stack([c.astype(kind) for c in columns]), [v.astype(np.int64) for v in found[width:]]
+
+
+def _dealt(kind: int, columns: np.ndarray, values: list[np.ndarray], shard: np.ndarray, shards: int) -> list[tuple]:
+    """A row a shard. Rows are sorted by shard and leading words; equal neighbours become one."""
+    if not columns.shape[1]:
+        return []
+    contexts = kind % 2 == 1
+    p, s = _lead(len(columns), contexts)
+    head = max(1, (shards - 1).bit_length())
+    part = (64 - head) * 2 // 5
+    limit = np.uint64((1 << part) - 1)
+    sort = shard.astype(np.uint64) << np.uint64(64 - head)
+    sort |= np.minimum(columns[p].astype(np.uint64), limit) << np.uint64(64 - head - part)
+    if s is not None:
+        sort |= np.minimum(columns[s].astype(np.uint64), limit) << np.uint64(64 - head - 2 * part)
+    if len(columns) > 2:
+        rest = columns[-1] if p != len(columns) - 1 else columns[0]
+        sort |= rest.astype(np.uint64) & np.uint64((1 << (64 - head - 2 * part)) - 1)
+    order = np.argsort(sort)
+    columns, shard = columns[:, order], shard[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (columns[:, 1:] != columns[:, :-1]).any(axis=0) | (shard[1:] != shard[:-1])
+    at = np.flatnonzero(new)
+    values = [np.add.reduceat(v[order], at) for v in values]
+    columns, shard = columns[:, at], shard[at]
+    cuts = np.append(np.flatnonzero(np.diff(shard, prepend=-1)), len(shard))
+    return [(int(shard[a]), kind, _encoded(columns[:, a:b], [v[a:b] for v in values], contexts)) for a, b in zip(cuts, cuts[1:])]
 
 
-def _decoded(rows: list[dict], n: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    columns = []
-    for r in rows:
-        planes = np.frombuffer(r["ids"], np.uint8).reshape(n, 4, -1)
-        columns.append(np.frombuffer(r["words"], np.uint64)[np.ascontiguousarray(planes.transpose(0, 2, 1)).view(np.uint32)[..., 0]])
-    names = [c for c in rows[0] if c.startswith("v")]
-    return np.concatenate(columns, axis=1), [np.concatenate([_unpack(r[v], r["w" + v[1:]]) for r in rows]) for v in names]
+def _batch(rows: list[tuple], schema: str = ROWS) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
+    fields = [x.split() for x in schema.split(", ")]
+    columns = zip(*rows) if rows else [()] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[kind]) for c, (_, kind) in zip(columns, fields)], [name for name, _ in fields])
 
 
-def _slot(hashes: np.ndarray, shards: int) -> np.ndarray:
-    return ((hashes >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+def _by_shard(batches):
+    """Rows of one shard after the other; a shard's rows come together."""
+    shard, held = None, []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if held and row[0] != shard:
+                yield shard, held
+                held = []
+            shard = row[0]
+            held.append(row)
+    if held:
+        yield shard, held
 
 
-def shard_of(columns, key: np.ndarray, hot: np.ndarray, shards: int) -> np.ndarray:
-    if len(columns) == 1:
-        return _slot(key, shards)
-    return _slot(np.where(np.isin(columns[-2], hot), key, columns[-2]), shards)
+def _of_kind(rows: list[tuple], kind: int, dtype) -> tuple[np.ndarray, list[np.ndarray]] | None:
+    parts = [_decoded(data, kind % 2 == 1, dtype) for _, k, data in rows if k == kind]
+    if not parts:
+        return None
+    return np.concatenate([c for c, _ in parts], axis=1), [np.concatenate(v) for v in zip(*(v for _, v in parts))]
 
 
-def _save(folder: str, name: str, array: np.ndarray) -> None:
-    """Whole files only: a lost or repeated task leaves none or the same."""
+# --- files --------------------------------------------------------------------------------------------------------
+
+
+def _save(folder: str, name: str, arrays: dict[str, np.ndarray]) -> None:
+    """Arrays in one file that appears whole: a lost or repeated task leaves none or the same."""
+    at, listed = 0, []
+    for key, a in arrays.items():
+        listed.append((key, a.dtype.str, a.shape, at))
+        at += -(-a.nbytes // 8) * 8
+    head = json.dumps(listed).encode()
+    head += b" " * (-len(head) % 8)
     part = f"{folder}/.{name}.{uuid.uuid4().hex}"
     with open(part, "wb") as f:
-        np.save(f, array)
-    os.replace(part, f"{folder}/{name}.npy")
+        f.write(np.array([len(head)], "<i8").tobytes() + head)
+        for a in arrays.values():
+            f.write(np.ascontiguousarray(a).tobytes() + b"\0" * (-a.nbytes % 8))
+    os.replace(part, f"{folder}/{name}.arrays")
+
+
+def _mapped(path: str) -> dict[str, np.ndarray] | None:
+    if not os.path.exists(path):
+        return None
+    with open(path, "rb") as f:
+        view = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+    size = int(np.frombuffer(view, "<i8", 1)[0])
+    return {key: np.frombuffer(view, kind, int(np.prod(shape)), 8 + size + at).reshape(shape) for key, kind, shape, at in json.loads(view[8 : 8 + size])}
+
+
+def _least(values: np.ndarray) -> np.ndarray:
+    """In the smallest kind of unsigned number that holds them."""
+    return values.astype(np.min_scalar_type(int(values.max()) if values.size else 0))
 
 
 def _save_table(folder: str, name: str, key: np.ndarray, values: list[np.ndarray]) -> None:
-    """Sorted keys, and for each the row of its values among the distinct ones."""
-    _, at, code = np.unique(gram([v.astype(np.uint64) for v in values]), return_index=True, return_inverse=True)
-    kind = np.uint8 if len(at) <= 2**8 else np.uint16 if len(at) <= 2**16 else np.uint32
-    _save(folder, f"{name}-keys", key)
-    _save(folder, f"{name}-codes", code.astype(kind))
-    _save(folder, f"{name}-values", np.stack([v[at] for v in values], axis=1))
+    """Sorted hashes in buckets, and for each the row of its values among the distinct ones."""
+    bits = max(0, (len(key) // 8).bit_length() - 1)
+    bucket = (key >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(key), np.int64)
+    low = key << np.uint64(bits)
+    short = (low >> np.uint64(32)).astype(np.uint32)
+    if not ((short[1:] == short[:-1]) & (bucket[1:] == bucket[:-1])).any():
+        low = short
+    rare = np.flatnonzero(values[0] > 1)  # most were seen once: row 0
+    _, at, code = np.unique(gram([v[rare].astype(np.uint64) for v in values]), return_index=True, return_inverse=True)
+    codes = np.zeros(len(key), np.int64)
+    codes[rare] = code + 1
+    once = np.flatnonzero(values[0] <= 1)[:1]
+    rows = np.concatenate([once if len(once) else np.zeros(min(1, len(key)), np.int64), rare[at]])
+    table = np.stack([v[rows] for v in values], axis=1) if len(key) else np.zeros((0, len(values)), np.int64)
+    _save(folder, name, {"starts": _least(np.searchsorted(bucket, np.arange((1 << bits) + 1))), "low": low, "codes": _least(codes), "values": _least(table)})
+
+
+def _places(table: dict[str, np.ndarray], key: np.ndarray) -> np.ndarray:
+    """Place of each hash in a table, or -1: binary search inside its bucket."""
+    starts, held = table["starts"], table["low"]
+    if not len(held):
+        return np.full(len(key), -1, np.int64)
+    bits = (len(starts) - 1).bit_length() - 1
+    bucket = (key >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(key), np.int64)
+    low = key << np.uint64(bits)
+    if held.dtype == np.uint32:
+        low = (low >> np.uint64(32)).astype(np.uint32)
+    a, b = starts[bucket].astype(np.int64), starts[bucket + 1].astype(np.int64)
+    end = b
+    for _ in range(int((b - a).max()).bit_length() if len(key) else 0):
+        middle = (a + b) >> 1
+        less = (a < b) & (held[np.minimum(middle, len(held) - 1)] < low)
+        a, b = np.where(less, middle + 1, a), np.where(less, b, middle)
+    hit = a < end
+    hit[hit] = held[a[hit]] == low[hit]
+    return np.where(hit, a, -1)
+
+
+# --- the model ----------------------------------------------------------------------------------------------------
 
 
 @dataclass
 class Model:
     folder: str
     order: int
-    shards: int
-    hot: np.ndarray
     tokens: int
     words: int
-    discounts: list[np.ndarray]  # of each order from 1: once, twice, more
-    predecessors: int
-    spare: float  # of the words' distribution, for the uniform one
+    word_files: int
+    cold: int  # shards by second-last word
+    hot: int  # shards by whole n-gram
+    last_hot: int  # ids up to this one are hot words
+    discounts: list[np.ndarray] = field(default_factory=list)  # of each order from 1: once, twice, more
+    predecessors: int = 0
+    spare: float = 1.0  # of the words' distribution, for the uniform one
     _maps: dict = field(default_factory=dict)
 
     def __getstate__(self):
         return self.__dict__ | {"_maps": {}}
 
-    def _map(self, name: str) -> np.ndarray:
+    def _map(self, name: str) -> dict[str, np.ndarray] | None:
         if name not in self._maps:
-            path = f"{self.folder}/{name}.npy"
-            self._maps[name] = np.load(path, mmap_mode="r") if os.path.exists(path) else np.zeros(0, np.uint64)
+            if len(self._maps) >= MAPPED:
+                self._maps.clear()
+            self._maps[name] = _mapped(f"{self.folder}/{name}.arrays")
         return self._maps[name]
 
-    def _find(self, columns, fields: list[int]) -> list[np.ndarray]:
-        """Values of n-grams (0 where absent); queries go through each shard in order."""
-        keys, n = gram(columns), len(columns)
-        shard = shard_of(columns, keys, self.hot, self.shards)
-        order = np.lexsort((keys, shard))
-        shard, keys = shard[order], keys[order]
-        cuts = np.flatnonzero(np.diff(shard, prepend=-1, append=-1)) if len(shard) else np.zeros(0, np.int64)
-        out = [np.zeros(len(keys), np.int64) for _ in fields]
+    def kind(self):
+        return np.uint32 if self.words + 2 < 2**32 else np.uint64
+
+    def word(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids (words + 1 where unknown) and counts of words."""
+        ids, counts = np.full(len(hashes), self.words + 1, np.int64), np.zeros(len(hashes), np.int64)
+        order = np.argsort(hashes)
+        file = _slot(hashes[order], self.word_files)
+        cuts = np.append(np.flatnonzero(np.diff(file, prepend=-1)), len(file))
         for a, b in zip(cuts, cuts[1:]):
-            name = f"{n}-{int(shard[a])}"
-            held = self._map(f"{name}-keys")
-            at = np.searchsorted(held, keys[a:b])
-            hit = np.flatnonzero(at < len(held))
-            hit = hit[held[at[hit]] == keys[a:b][hit]]
-            if hit.size:
-                found = self._map(f"{name}-values")[self._map(f"{name}-codes")[at[hit]]]
-                for column, f in zip(out, fields):
-                    column[order[a + hit]] = found[:, f]
+            held = self._map(f"words-{file[a]}") if b > a else None
+            if held is not None:
+                mine = order[a:b]
+                at = np.minimum(np.searchsorted(held["keys"], hashes[mine]), len(held["keys"]) - 1)
+                hit = held["keys"][at] == hashes[mine]
+                ids[mine[hit]], counts[mine[hit]] = self._map(f"ids-{file[a]}")["ids"][at[hit]], held["counts"][at[hit]]
+        return ids.astype(self.kind()), counts
+
+    def shard(self, columns, key: np.ndarray, contexts: bool) -> np.ndarray:
+        """Shards of n-grams, or of contexts."""
+        lead = columns[_lead(len(columns), contexts)[0]]
+        cold = _slot(mix(_SPREAD, lead.astype(np.uint64)), self.cold)
+        return np.where(lead <= self.last_hot, self.cold + _slot(key, self.hot), cold)
+
+    def _find(self, columns, kind: str, order: int, fields: list[int]) -> list[np.ndarray]:
+        """Values of n-grams or contexts (0 where absent); queries go through each shard in order."""
+        key = gram(columns)
+        shard = self.shard(columns, key, kind == "contexts")
+        head = np.uint64(max(1, (self.cold + self.hot - 1).bit_length()))
+        sort = (shard.astype(np.uint64) << (np.uint64(64) - head)) | (key >> head)
+        by = np.argsort(sort)
+        key, shard = key[by], shard[by]
+        new = np.ones(len(key), bool)
+        new[1:] = key[1:] != key[:-1]
+        at = np.flatnonzero(new)
+        which = np.cumsum(new) - 1
+        key, shard = key[at], shard[at]
+        cuts = np.append(np.flatnonzero(np.diff(shard, prepend=-1)), len(shard))
+        found = [np.zeros(len(key), np.int64) for _ in fields]
+        for a, b in zip(cuts, cuts[1:]):
+            table = self._map(f"{kind}-{order}-{shard[a]}")
+            if table is not None:
+                place = _places(table, key[a:b])
+                hit = np.flatnonzero(place >= 0)
+                values = table["values"][table["codes"][place[hit]]]
+                for column, f in zip(found, fields):
+                    column[a + hit] = values[:, f]
+        out = []
+        for column in found:
+            whole = np.empty(len(by), np.int64)
+            whole[by] = column[which]
+            out.append(whole)
         return out
 
-    def log10(self, before: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """log10 p of each token after those before it (a row a place, or one row), and the token's count."""
-        columns = [*np.atleast_2d(before), tokens]
-        distinct, index = np.unique(tokens, return_inverse=True)
-        seen, count = self._find([distinct], [0, 5])
-        p = ((seen - _discount(seen, self.discounts[0])) / max(self.predecessors, 1) + self.spare / (self.words + 1))[index]
-        counts, seen = count[index], seen[index] > 0
+    def _of_words(self, ids: np.ndarray) -> np.ndarray:
+        """p of each word without context."""
+        seen = np.zeros(len(ids), np.int64)
+        part = ids.astype(np.int64) % self.word_files
+        for k in np.unique(part):
+            held = self._map(f"predecessors-{k}")
+            if held is not None:
+                mine = np.flatnonzero(part == k)
+                at = ids[mine].astype(np.int64) // self.word_files
+                mine, at = mine[at < len(held["n"])], at[at < len(held["n"])]
+                seen[mine] = held["n"][at]
+        return (seen - _discount(seen, self.discounts[0])) / max(self.predecessors, 1) + self.spare / (self.words + 1)
+
+    def log10(self, context: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log10 p of each token after those before it (hashes, a row a place, or one row), and the token's count."""
+        rows = [*np.atleast_2d(context), tokens]
+        hashes, local = np.unique(np.concatenate(rows), return_inverse=True)
+        ids, counts = self.word(hashes)
+        ids[hashes == START] = 0
+        columns = list(ids[local].reshape(len(rows), -1))
+        return self.log10_of_ids(columns, self._of_words(columns[-1])), counts[local].reshape(len(rows), -1)[-1]
+
+    def log10_of_ids(self, columns: list[np.ndarray], p: np.ndarray) -> np.ndarray:
+        """log10 p of the last column after the others; ``p`` is without context."""
+        seen = columns[-1] <= self.words
         for n in range(2, self.order + 1):
-            context = columns[-n:-1]
-            _, first, index = np.unique(gram(context), return_index=True, return_inverse=True)
-            total, *after = self._find([c[first] for c in context], [1, 2, 3, 4])
-            left = np.where(total > 0, sum(d * x for d, x in zip(self.discounts[n - 1], after)) / np.maximum(total, 1), 1.0)
-            total, left = total[index], left[index]
-            # without its first word an n-gram that was seen was seen as well
-            at = np.flatnonzero(seen & (total > 0))
-            count = np.zeros(len(tokens), np.int64)
-            count[at] = self._find([c[at] for c in columns[-n:]], [0])[0]
+            total, *after = self._find(columns[-n:-1], "contexts", n, [0, 1, 2, 3])
+            known = np.flatnonzero(total)
+            left = np.ones(len(p))
+            left[known] = sum(d * x[known] for d, x in zip(self.discounts[n - 1], after)) / total[known]
+            # without its first word an n-gram that was seen was seen as well; begins of texts are only in lower orders
+            at = known[seen[known]]
+            count = np.zeros(len(p), np.int64)
+            count[at] = self._find([c[at] for c in columns[-n:]], "grams", n, [0])[0]
             p = (count - _discount(count, self.discounts[n - 1])) / np.maximum(total, 1) + left * p
-            # begins of texts are counted in the lower orders alone
             seen = count > 0
-        return np.log10(p), counts
+        return np.log10(p)
 
 
 def _discount(counts: np.ndarray, discounts: np.ndarray) -> np.ndarray:
@@ -215,145 +438,230 @@ def discounts_of(n: list[int]) -> np.ndarray:
     return np.clip(found, 0.05, [0.95, 1.95, 2.95])
 
 
-def hot_contexts(texts: DataFrame) -> np.ndarray:
-    """Hashes of tokens with a thousandth of all tokens or more."""
+def _class(counts: np.ndarray) -> np.ndarray:
+    return np.minimum(np.floor(4 * np.log2(np.maximum(counts, 1))).astype(np.int64), CLASSES - 1)
 
-    def run(batches):
-        total = 0
-        held = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+def vocabulary(texts: DataFrame, folder: str, files: int) -> tuple[int, int, int, int]:
+    """Writes the files of words; returns tokens, distinct words, the last hot id, and how many tokens are hot."""
+    spark = texts.sparkSession
+
+    def count(batches):
+        def flush(held):
+            key, _, (n,) = _summed(np.concatenate([k for k, _ in held]), [np.concatenate([n for _, n in held])])
+            cuts = np.searchsorted(_slot(key, files), np.arange(files + 1))
+            return _batch([(k, WORDS, np.concatenate([key[a:b], n[a:b].view(np.uint64)]).tobytes()) for k, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a])
+
+        held, size = [], 0
         for batch in batches:
-            for part in chunks(batch):
-                (before,), _, _ = with_ends(part.column("text"))
-                total += len(before)
-                keys, n = np.unique(before, return_counts=True)
-                keep = n >= HOT_SHARE / 4 * len(before)
-                merged, _, (n,) = _summed(np.concatenate([held[0], keys[keep]]), [np.concatenate([held[1], n[keep]])])
-                held = merged, n
-        # a hot token is over a quarter of the share in enough chunks to be noticed
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(held[0], 0).view(np.int64)), pa.array(np.append(held[1], 0)), pa.array(np.append(np.zeros(len(held[1]), np.int64), total))], ["h", "n", "total"])
-
-    found = texts.mapInArrow(frugal(run), "h long, n long, total long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
-    total = found.agg(F.sum("total")).first()[0] or 0
-    rows = found.filter(F.col("n") >= max(1, HOT_SHARE * total / 2)).select("h").toPandas()  # at most 2,000
-    return rows["h"].to_numpy(np.int64).view(np.uint64)
+            for part in chunks(batch, limit=TEXT_BYTES):
+                hashes, local, _ = tokenised(part.column("text"))
+                n = np.bincount(local, minlength=len(hashes))
+                held.append((hashes[n > 0], n[n > 0]))
+                size += len(held[-1][0])
+                if size >= BUFFER // 2:
+                    yield flush(held)
+                    held, size = [], 0
+        if size:
+            yield flush(held)
+
+    def merge(batches):
+        for k, rows in _by_shard(batches):
+            pairs = [np.frombuffer(data, np.uint64).reshape(2, -1) for _, _, data in rows]
+            key, _, (n,) = _summed(np.concatenate([p[0] for p in pairs]), [np.concatenate([p[1] for p in pairs]).view(np.int64)])
+            _save(folder, f"words-{k}", {"keys": key, "counts": _least(n)})
+            of = _class(n)
+            yield _batch([(k, np.bincount(of, minlength=CLASSES).tolist(), np.bincount(of, weights=n, minlength=CLASSES).astype(np.int64).tolist())], "file int, words array<long>, tokens array<long>")
+
+    dealt = texts.mapInArrow(frugal(count), ROWS).repartitionById(files, F.col("shard")).sortWithinPartitions("shard")
+    found = {r["file"]: r for r in dealt.mapInArrow(frugal(merge), "file int, words array<long>, tokens array<long>").collect()}  # a row a file
+    sizes = np.array([found[k]["words"] if k in found else [0] * CLASSES for k in range(files)], np.int64)
+    tokens = np.array([found[k]["tokens"] if k in found else [0] * CLASSES for k in range(files)], np.int64).sum(axis=0)
+    # ids go down the classes, and through the files inside a class
+    down = sizes[:, ::-1].T.ravel()
+    firsts = (1 + np.cumsum(down) - down).reshape(CLASSES, files).T[:, ::-1]
+    wide = np.uint32 if sizes.sum() + 2 < 2**32 else np.uint64
+    shared = spark.sparkContext.broadcast(firsts)
+
+    def number(batches):
+        for batch in batches:
+            for k in batch.column("id").to_pylist():
+                held = _mapped(f"{folder}/words-{k}.arrays")
+                if held is not None:
+                    of = _class(held["counts"])
+                    order = np.argsort(of, kind="stable")
+                    n = np.bincount(of, minlength=CLASSES)
+                    ids = np.empty(len(of), wide)
+                    ids[order] = shared.value[k][of[order]] + spread(np.zeros(CLASSES, np.int64), n)
+                    _save(folder, f"ids-{k}", {"ids": ids})
+                yield pa.RecordBatch.from_arrays([pa.array([k])], ["id"])
+
+    spark.range(0, files, 1, files).mapInArrow(frugal(number), "id long").agg(F.count("*")).first()
+    hot = np.arange(CLASSES) >= 4 * np.log2(SHARD_TOKENS)
+    return int(tokens.sum()), int(sizes.sum()), int(sizes[:, hot].sum()), int(tokens[hot].sum())
 
 
 def train(docs: DataFrame, order: int = 2) -> Model:
     if order < 2:
         raise ValueError("the order is 2 at least")
     spark = docs.sparkSession
+    shipped(spark)
     texts = docs.select(F.coalesce("text", F.lit("")).alias("text"))
-    chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
-    shards = int(4 + chars // SHARD_CHARS)
-    uri = fresh_path(spark, "kneser-ney")
-    folder = mounted(uri)
+    chars, rows = texts.agg(F.sum(F.length("text")), F.count("*")).first()
+    files = int(1 + (chars or 0) // WORD_FILE_CHARS)
+    folder = mounted(fresh_path(spark, "kneser-ney"))
     os.makedirs(folder, exist_ok=True)
-    hot = hot_contexts(texts)
-
-    def dealt(columns, key, values, often, schema):
-        shard = shard_of(columns, key, hot, shards)
-        by = np.argsort(shard, kind="stable")
-        cuts = np.searchsorted(shard[by], np.arange(shards + 1))
-        rows = [(k, *_coded(columns[:, by[a:b]], [v[by[a:b]] for v in values]), [0] * len(often)) for k, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
-        rows[0] = (*rows[0][:-1], often)
-        return _batch(rows, schema)
+    tokens, words, last_hot, hot_tokens = vocabulary(texts, folder, files)
+    cold = max(1, -(-(tokens - hot_tokens) // SHARD_TOKENS))
+    hot = max(1, -(-(hot_tokens + rows) // SHARD_TOKENS))
+    model = Model(folder, order, tokens, words, files, cold, hot, last_hot)
+    shards, dtype = cold + hot, model.kind()
+    widths = [1]
+    while -(-shards // widths[0]) > FAN:
+        widths.insert(0, widths[0] * FAN)
+
+    def cut(columns, values, width):
+        group = model.shard(columns, gram(columns), False) // width
+        return _batch(_dealt(2 * order, columns, values, group, -(-shards // width)))
 
     def count(batches):
-        def flush(held):
-            columns = np.concatenate(held, axis=1)
-            held.clear()
-            key, at, (n,) = _summed(gram(columns), [np.ones(columns.shape[1], np.int64)])
-            columns = columns[:, at]
-            return dealt(columns, key, [n], [], GRAMS)
-
         held, size = [], 0
         for batch in batches:
-            # an n-gram takes as many hashes as the order
-            for part in chunks(batch, limit=CHUNK_BYTES // order):
-                before, tokens, _ = with_ends(part.column("text"), order)
-                held.append(np.vstack([before, tokens]))
-                size += len(tokens)
+            for part in chunks(batch, limit=TEXT_BYTES):
+                hashes, local, bounds = tokenised(part.column("text"))
+                ids = model.word(hashes)[0][local]
+                held.append(np.stack([*before(ids, bounds, order), ids]))
+                size += len(ids)
                 if size >= BUFFER:
-                    yield flush(held)
-                    held, size = [], 0
+                    columns, held, size = np.concatenate(held, axis=1), [], 0
+                    yield cut(columns, [np.ones(columns.shape[1], np.int64)], widths[0])
         if size:
-            yield flush(held)
+            columns = np.concatenate(held, axis=1)
+            yield cut(columns, [np.ones(columns.shape[1], np.int64)], widths[0])
 
-    def merge(n):
-        """Writes the n-grams of a shard and passes on those of order n - 1."""
+    def again(width):
+        """Deals the n-grams of a group of shards to smaller groups."""
 
         def run(batches):
-            for k, rows in _by_shard(batches):
-                columns, values = _decoded(rows, n)
-                often = np.sum([r["often"] for r in rows], axis=0).astype(int).tolist()
-                key, at, values = _summed(gram(columns), values)
-                columns = columns[:, at]
-                c, whole = values[0], values[-1]
-                # texts' first words have no context of this length
-                full = ~((columns[0] == START) & (columns[1] == START)) if n > 2 else np.ones(len(key), bool)
-                _save_table(folder, f"{n}-{k}", key[full], [v[full] for v in values[: 1 if n == order else 5]])
-                often += np.bincount(np.minimum(c[full], 5), minlength=6)[1:5].tolist()
-                zero = np.zeros(len(key), np.int64)
-                ends = [np.where(full, 1, c), zero, zero, zero, zero, whole]
-                begins = [v[full] for v in (zero, c, (c == 1) + zero, (c == 2) + zero, (c > 2) + zero, zero)]
-                lower = np.concatenate([columns[1:], columns[:-1, full]], axis=1)
-                values = [np.concatenate(v) for v in zip(ends, begins)]
-                del columns, ends, begins
-                key, at, values = _summed(gram(lower), values)
-                yield dealt(lower[:, at], key, values, often, LOWER)
+            held, size = [], 0
+            for _, rows in _by_shard(batches):
+                for _, _, data in rows:
+                    held.append(_decoded(data, False, dtype))
+                    size += held[-1][0].shape[1]
+                    if size >= BUFFER:
+                        yield cut(np.concatenate([c for c, _ in held], axis=1), [np.concatenate([v[0] for _, v in held])], width)
+                        held, size = [], 0
+                if size:
+                    yield cut(np.concatenate([c for c, _ in held], axis=1), [np.concatenate([v[0] for _, v in held])], width)
+                    held, size = [], 0
 
         return run
 
-    def finish(batches):
-        for k, rows in _by_shard(batches):
-            columns, values = _decoded(rows, 1)
-            key, _, values = _summed(columns[0], values)
-            _save_table(folder, f"1-{k}", key, values)
-            before, count = values[0], values[5]
-            seen = count > 0
-            of_words = np.bincount(np.minimum(before[seen], 5), minlength=6)[1:].tolist()
-            often = np.sum([r["often"] for r in rows], axis=0).astype(int).tolist()
-            yield _batch([(int(seen.sum()), int(count.sum()), int(before.sum()), of_words + often)], TOTALS)
-
-    rows = texts.mapInArrow(frugal(count), GRAMS)
-    for n in range(order, 1, -1):
-        rows = rows.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(frugal(merge(n)), LOWER)
-    totals = rows.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(frugal(finish), TOTALS)
-    sums = [F.sum(c).alias(c) for c in ("words", "tokens", "predecessors")]
-    row = totals.agg(*sums, *(F.sum(F.col("often")[i]).alias(f"n{i}") for i in range(1 + 4 * order))).first()
-    n = [row[f"n{i}"] or 0 for i in range(1 + 4 * order)]
-    # of words there are five numbers, then four of each order from the highest
-    discounts = [discounts_of(n[:4]), *(discounts_of(n[i : i + 4]) for i in range(1 + 4 * (order - 1), 4, -4))]
-    predecessors = row["predecessors"] or 0
-    spare = (discounts[0] @ [n[0], n[1], n[2] + n[3] + n[4]]) / predecessors if predecessors else 1.0
-    return Model(folder, order, shards, hot, row["tokens"] or 0, row["words"] or 0, discounts, predecessors, float(spare))
-
-
-GRAMS = "shard int, words binary, ids binary, v0 binary, w0 binary, often array<long>"
-#: Predecessors; total and followers seen once, twice, more often; count.
-LOWER = "shard int, words binary, ids binary, " + ", ".join(f"v{c} binary, w{c} binary" for c in range(6)) + ", often array<long>"
-TOTALS = "words long, tokens long, predecessors long, often array<long>"
-_KINDS = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
-
-
-def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
-    fields = [x.split() for x in schema.split(", ")]
-    columns = zip(*rows) if rows else [()] * len(fields)
-    return pa.RecordBatch.from_arrays([pa.array(c, _KINDS[kind]) for c, (_, kind) in zip(columns, fields)], [name for name, _ in fields])
+    def level(n, shard, key, columns, c, often):
+        """Writes the n-grams of order n, whose hashes are in order; returns their contexts, and what order n - 1 gets."""
+        # texts' first words have no context of this length
+        full = ~((columns[0] == 0) & (columns[1] == 0)) if n > 2 else np.ones(len(key), bool)
+        some = bool(full.all())
+        _save_table(folder, f"grams-{n}-{shard}", key if some else key[full], [c if some else c[full]])
+        often[4 * (n - 2) : 4 * (n - 1)] += np.bincount(np.minimum(c[full], 5), minlength=6)[1:5]
+        ends = np.where(full, 1, c) if n > 2 else np.ones(len(key), np.int64)
+        inner = columns[:-1] if some else columns[:-1, full]
+        c = c if some else c[full]
+        one, two = (c == 1).astype(np.int64), (c == 2).astype(np.int64)
+        ckey, at, sums = _summed(gram(inner), [c, one, two, 1 - one - two])
+        return (ckey, inner[:, at], sums), (columns[1:], ends)
+
+    def words_of(ids, n):
+        """Rows of predecessors, by id."""
+        key, _, (n,) = _summed(ids.astype(np.uint64), [n])
+        return _dealt(WORDS, key[None, :], [n], hot + (key % np.uint64(files)).astype(np.int64), hot + files)
+
+    def hot_level(n, shard, key, columns, c, often):
+        (ckey, inner, sums), (lower, ends) = level(n, shard, key, columns, c, often)
+        out = _dealt(2 * n + 1, inner, sums, _slot(ckey, hot), hot + files)
+        if n == 2:
+            return out + words_of(lower[0], ends)
+        key, at, (ends,) = _summed(gram(lower), [ends])
+        return out + _dealt(2 * (n - 1), lower[:, at], [ends], _slot(key, hot), hot + files)
+
+    def counts_of_counts(often, shard):
+        return [(hot + shard % files, OFTEN, often.tobytes())] if often.any() else []
+
+    def first(batches):
+        for shard, rows in _by_shard(batches):
+            columns, (c,) = _of_kind(rows, 2 * order, dtype)
+            del rows
+            key, at, (c,) = _summed(gram(columns), [c])
+            columns = columns[:, at]
+            often = np.zeros(4 * (order - 1), np.int64)
+            if shard >= cold:
+                yield _batch(hot_level(order, shard, key, columns, c, often) + counts_of_counts(often, shard))
+                continue
+            for n in range(order, 1, -1):
+                (ckey, _, sums), (columns, c) = level(n, shard, key, columns, c, often)
+                _save_table(folder, f"contexts-{n}-{shard}", ckey, sums)
+                if n > 2:
+                    key, at, (c,) = _summed(gram(columns), [c])
+                    columns = columns[:, at]
+            yield _batch(words_of(columns[0], c) + counts_of_counts(often, shard))
+
+    def later(n):
+        """Hot n-grams of order n, contexts of order n + 1, and words' predecessors so far."""
 
+        def run(batches):
+            for shard, rows in _by_shard(batches):
+                out = [r for r in rows if r[1] == OFTEN]
+                if (found := _of_kind(rows, 2 * n + 3, dtype)) is not None:
+                    key, _, sums = _summed(gram(found[0]), found[1])
+                    _save_table(folder, f"contexts-{n + 1}-{cold + shard}", key, sums)
+                if (found := _of_kind(rows, 2 * n, dtype)) is not None and n > 1:
+                    key, at, (c,) = _summed(gram(found[0]), found[1])
+                    often = np.zeros(4 * (order - 1), np.int64)
+                    out += hot_level(n, cold + shard, key, found[0][:, at], c, often) + counts_of_counts(often, shard)
+                if (found := _of_kind(rows, WORDS, dtype)) is not None and n > 1:
+                    out += words_of(found[0][0], found[1][0])
+                elif found is not None:
+                    part = shard - hot
+                    seen = np.zeros(max(0, -(-(words + 1 - part) // files)), np.int64)
+                    at = found[0][0].astype(np.int64) // files
+                    seen += np.bincount(at, weights=found[1][0], minlength=len(seen)).astype(np.int64)
+                    _save(folder, f"predecessors-{part}", {"n": _least(seen)})
+                    out.append((shard, WORDS, np.concatenate([[seen.sum()], np.bincount(np.minimum(seen, 5), minlength=6)[1:]]).astype("<i8").tobytes()))
+                yield _batch(out)
 
-def _by_shard(batches):
-    """Rows of one shard after the other; a shard's rows come together."""
-    shard, held = None, []
-    for batch in batches:
-        for row in batch.to_pylist():
-            if held and row["shard"] != shard:
-                yield shard, held
-                held = []
-            shard = row["shard"]
-            held.append(row)
-    if held:
-        yield shard, held
+        return run
+
+    rows = texts.mapInArrow(frugal(count), ROWS)
+    for wide, narrow in zip(widths, widths[1:]):
+        rows = rows.repartitionById(-(-shards // wide), F.col("shard")).sortWithinPartitions("shard").mapInArrow(frugal(again(narrow)), ROWS)
+    rows = rows.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard").mapInArrow(frugal(first), ROWS)
+    for n in range(order - 1, 0, -1):
+        rows = rows.repartitionById(hot + files, F.col("shard")).sortWithinPartitions("shard").mapInArrow(frugal(later(n)), ROWS)
+    totals, often = np.zeros(6, np.int64), np.zeros(4 * (order - 1), np.int64)
+    for kind, numbers in _totals(rows).items():
+        (often if kind == OFTEN else totals)[:] = numbers
+    model.discounts = [discounts_of(totals[1:5].tolist()), *(discounts_of(often[4 * k : 4 * k + 4].tolist()) for k in range(order - 1))]
+    model.predecessors = int(totals[0])
+    if model.predecessors:
+        model.spare = float(model.discounts[0] @ [totals[1], totals[2], totals[3:].sum()] / model.predecessors)
+    return model
+
+
+def _totals(rows: DataFrame) -> dict[int, list[int]]:
+    """Sums of the last rows' numbers, by kind."""
+
+    def add(batches):
+        held = defaultdict(int)
+        for batch in batches:
+            for _, kind, data in zip(*(c.to_pylist() for c in batch.columns)):
+                held[kind] = held[kind] + np.frombuffer(data, "<i8")
+        yield _batch([(k, v.tolist()) for k, v in held.items()], "kind int, numbers array<long>")
+
+    each = rows.mapInArrow(add, "kind int, numbers array<long>").select("kind", F.posexplode("numbers").alias("at", "n"))
+    out: dict[int, list[int]] = defaultdict(list)
+    for r in each.groupBy("kind", "at").agg(F.sum("n").alias("n")).orderBy("kind", "at").collect():
+        out[r["kind"]].append(r["n"])
+    return out
 
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
@@ -364,18 +672,23 @@ def held_out() -> F.Column:
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
+    shipped(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # without the arrays, which workers map
 
     def run(batches):
         model = shared.value
         base = np.log10(model.tokens + 0.1 * (model.words + 1))
         for batch in batches:
-            for part in chunks(batch, limit=CHUNK_BYTES // model.order):
-                before, tokens, bounds = with_ends(part.column("text"), model.order)
-                logs, counts = model.log10(before, tokens)
+            for part in chunks(batch, limit=TEXT_BYTES):
+                hashes, local, bounds = tokenised(part.column("text"))
+                ids, counts = model.word(hashes)
+                alone = model._of_words(ids)
+                columns = before(ids[local], bounds, model.order)
+                logs = model.log10_of_ids([*columns, ids[local]], alone[local])
                 n, first = np.diff(bounds), bounds[:-1]
                 total = np.add.reduceat(logs, first)
-                columns = [n, np.add.reduceat((counts > 0).astype(np.int64), first), np.full(len(n), model.tokens), np.add.reduceat(np.log10(counts + 0.1) - base, first), total, 10 ** (-total / n)]
+                basic = np.add.reduceat((np.log10(counts + 0.1) - base)[local], first)
+                columns = [n, np.add.reduceat((counts > 0).astype(np.int64)[local], first), np.full(len(n), model.tokens), basic, total, 10 ** (-total / n)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), *map(pa.array, columns)], [x.split()[0] for x in SCORES.split(", ")])
 
     return docs.select("doc_id", held_out().alias("held_out"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(frugal(run), SCORES)

@@ -118,13 +118,17 @@ class PlainOrder:
         return (c - self.d[n][min(c, 3)]) / total + sum(self.d[n][k] * self.after[context][k] for k in (1, 2, 3)) / total * low
 
 
-@pytest.mark.parametrize("order", [2, 3, 4])
-def test_higher_orders_equal_the_plain_model(spark, rows, monkeypatch, order):
+@pytest.mark.parametrize(("order", "shard_tokens", "fan"), [(2, 3_000_000, 2048), (3, 3_000_000, 2048), (4, 3_000_000, 2048), (2, 900, 3), (3, 900, 3), (4, 2_500, 2)])
+def test_higher_orders_equal_the_plain_model(spark, rows, monkeypatch, order, shard_tokens, fan):
     monkeypatch.setattr(kneser_ney, "BUFFER", 3000)
+    monkeypatch.setattr(kneser_ney, "SHARD_TOKENS", shard_tokens)
+    monkeypatch.setattr(kneser_ney, "WORD_FILE_CHARS", 100_000)
+    monkeypatch.setattr(kneser_ney, "FAN", fan)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     out = lambda k: zlib.crc32(str(k).encode()) % 10 == 0
     plain = PlainOrder([t for k, t in rows if not out(k)], order)
     model = train(docs.filter(~held_out()), order)
+    assert (model.last_hot > 1) == (shard_tokens < 3000) and (model.cold > 3) == (shard_tokens < 3000)
     for r in score(docs, model).collect():
         toks = ["<s>", *tokens(dict(rows)[r.doc_id])]
         assert r.n_known == sum(plain.words[t] > 0 for t in toks[1:])
@@ -142,3 +146,35 @@ def test_the_query_uses_two_words_of_context(spark, tmp_path):
     got = kneser_ney.op2_kneser_ney(spark, str(tmp_path)).agg({"perplexity": "max"}).first()[0]
     two = score(docs := spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), train(docs.filter(~held_out()))).agg({"perplexity": "min"}).first()[0]
     assert got < two
+
+
+def test_rows_are_packed_without_loss():
+    rng = np.random.default_rng(3)
+    for width, contexts in [(1, False), (2, False), (3, False), (4, False), (1, True), (2, True), (3, True)]:
+        for top in (3, 300, 2**34):
+            columns = rng.integers(0, top, (width, 2000)).astype(np.uint64)
+            shard = rng.integers(0, 9, 2000)
+            rows = kneser_ney._dealt(2 * width + contexts, columns, [np.ones(2000, np.int64), columns[0].astype(np.int64)], shard, 9)
+            want, got = Counter(), Counter()
+            for k, *gram in zip(shard.tolist(), *columns.tolist()):
+                want[(k, *gram)] += 1
+            for k, _, data in rows:
+                found, (n, first) = kneser_ney._decoded(data, contexts)
+                assert (first == n * found[0].astype(np.int64)).all()
+                for m, *gram in zip(n.tolist(), *found.tolist()):
+                    got[(k, *gram)] += m
+            assert got == want
+
+
+def test_tables_find_what_they_hold(tmp_path):
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 7, 5000):
+        key = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        if n == 5000:  # the second agrees with the first in all but the last bits
+            key = np.unique(np.append(key, key[:1] + np.uint64(1)))
+        values = [rng.integers(1, 900, len(key)), rng.integers(0, 3, len(key))]
+        kneser_ney._save_table(str(tmp_path), f"t{n}", key, values)
+        table = kneser_ney._mapped(f"{tmp_path}/t{n}.arrays")
+        assert (kneser_ney._places(table, key) == np.arange(len(key))).all()
+        assert (table["values"][table["codes"]] == np.stack(values, axis=1)).all() or not len(key)
+        assert (kneser_ney._places(table, rng.integers(0, 2**64, 50, dtype=np.uint64)) == -1).all()
