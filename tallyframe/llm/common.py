@@ -121,15 +121,19 @@ def split_words(texts: pa.Array, lower: bool = True) -> tuple[pa.Array, np.ndarr
     return flat, bounds
 
 
-def word_hashes(flat: pa.Array) -> np.ndarray:
-    """A 64-bit hash of each word; each distinct word is hashed once."""
+def distinct_hashes(words: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each word."""
     import xxhash
 
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words.to_pylist()), np.uint64, len(words))
+
+
+def word_hashes(flat: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each word; each distinct word is hashed once."""
     if not len(flat):
         return np.zeros(0, np.uint64)
     coded = flat.dictionary_encode()
-    distinct = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
-    return distinct[coded.indices.to_numpy()]
+    return distinct_hashes(coded.dictionary)[coded.indices.to_numpy()]
 
 
 def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:

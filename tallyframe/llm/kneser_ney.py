@@ -46,7 +46,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, documents, fresh_path, frugal, mix, mounted, shipped, split_words, spread, word_hashes
+from .common import chunks, distinct_hashes, documents, fresh_path, frugal, mix, mounted, shipped, split_words, spread
 
 #: Words of context and one, in op2_kneser_ney.
 ORDER = 3
@@ -55,7 +55,7 @@ BUFFER = 2_000_000
 #: Training tokens of a shard, about; a word with more is hot.
 SHARD_TOKENS = 3_000_000
 #: Characters of training text for each file of words.
-WORD_FILE_CHARS = 300_000_000
+WORD_FILE_CHARS = 100_000_000
 #: Shards that n-grams are dealt to in one shuffle, at most.
 FAN = 2_048
 #: Bytes of text that become n-grams at a time.
@@ -73,7 +73,7 @@ def tokenised(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of the distinct words and the end, each token's place among them, and each text's bounds."""
     flat, bounds = split_words(texts)
     coded = flat.dictionary_encode()
-    hashes = np.append(word_hashes(coded.dictionary), END)
+    hashes = np.append(distinct_hashes(coded.dictionary), END)
     local = np.insert(coded.indices.to_numpy(), bounds[1:], len(hashes) - 1)
     return hashes, local, bounds + np.arange(len(bounds))
 
@@ -272,12 +272,12 @@ def _save_table(folder: str, name: str, key: np.ndarray, values: list[np.ndarray
     short = (low >> np.uint64(32)).astype(np.uint32)
     if not ((short[1:] == short[:-1]) & (bucket[1:] == bucket[:-1])).any():
         low = short
-    rare = np.flatnonzero(values[0] > 1)  # most were seen once: row 0
+    usual = np.flatnonzero(values[0] <= 1)[:1]  # most were seen once: row 0
+    rare = np.flatnonzero(np.any([v != v[usual] for v in values], axis=0)) if len(usual) else np.arange(len(key))
     _, at, code = np.unique(gram([v[rare].astype(np.uint64) for v in values]), return_index=True, return_inverse=True)
     codes = np.zeros(len(key), np.int64)
     codes[rare] = code + 1
-    once = np.flatnonzero(values[0] <= 1)[:1]
-    rows = np.concatenate([once if len(once) else np.zeros(min(1, len(key)), np.int64), rare[at]])
+    rows = np.concatenate([usual if len(usual) else np.zeros(min(1, len(key)), np.int64), rare[at]])
     table = np.stack([v[rows] for v in values], axis=1) if len(key) else np.zeros((0, len(values)), np.int64)
     _save(folder, name, {"starts": _least(np.searchsorted(bucket, np.arange((1 << bits) + 1))), "low": low, "codes": _least(codes), "values": _least(table)})
 
