@@ -25,7 +25,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import chunks, documents, frugal, spread, text_only
+from .common import chunks, documents, frugal, shipped, spread, text_only
 
 #: White space of the split pattern that is not one plain space beside it, in RE2 syntax.
 _SPACE = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -186,6 +186,7 @@ def decode(encoded: DataFrame, path: str | None = None, pattern: str | None = No
             texts = [bpe.decode(np.array(x or [], np.int64)).decode("utf-8", "replace") for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
+    shipped(encoded.sparkSession)
     return encoded.select("doc_id", "ids").mapInArrow(frugal(run), "doc_id long, text string")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -20,12 +21,14 @@ CHUNK_BYTES = 12_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, else an own one (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, else, on one machine, an own one (tests)."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         if known.isDefined():
             found = known.get()
+        elif not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         else:
             found = "file://" + tempfile.mkdtemp(prefix="shared-")
             spark.sparkContext.setCheckpointDir(found)
@@ -73,7 +76,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_only(docs: DataFrame, *more: str) -> DataFrame:
-    """doc_id and whole text (null: empty), and nothing else of the row."""
+    """doc_id and whole text (null: empty), and nothing else of the row, for Python workers."""
+    shipped(docs.sparkSession)
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *more)
 
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, frugal, staged
+from .common import documents, frugal, shipped, staged
 
 #: Rows of a task's memtable before it is flushed.
 MEMTABLE_ROWS = 200_000
@@ -30,24 +30,24 @@ MEMTABLE_ROWS = 200_000
 RANGE_ROWS = 500_000
 #: Digests of copies that are broadcast as a filter (32 bytes each); beyond, the join is shuffled.
 FILTER_ROWS = 200_000
-_NO_ID = np.iinfo(np.int64).max
 _FILTER_BITS_A_KEY = 10
 
-RUN = "shard int, level int, digests binary, ids binary, uids binary, counts binary, filter binary"
+#: ``none`` tells rows without identifier, which come after all others; their id is 0.
+RUN = "shard int, level int, digests binary, none binary, ids binary, uids binary, counts binary, filter binary"
 
 
 def normalised(text) -> F.Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), "[\\x20\\x09-\\x0D]+", " ")
 
 
-def _sorted_run(words: np.ndarray, ids: np.ndarray, uids: np.ndarray, counts: np.ndarray):
+def _sorted_run(words: np.ndarray, none: np.ndarray, ids: np.ndarray, uids: np.ndarray, counts: np.ndarray):
     """One entry per digest, in digest order, with its smallest identifier; words: n x 4 big-endian integers."""
-    order = np.lexsort((uids, ids, words[:, 3], words[:, 2], words[:, 1], words[:, 0]))
-    words, ids, uids, counts = words[order], ids[order], uids[order], counts[order]
+    order = np.lexsort((uids, ids, none, words[:, 3], words[:, 2], words[:, 1], words[:, 0]))
+    words, none, ids, uids, counts = words[order], none[order], ids[order], uids[order], counts[order]
     first = np.ones(len(ids), bool)
     first[1:] = (words[1:] != words[:-1]).any(axis=1)
     at = np.flatnonzero(first)
-    return words[at], ids[at], uids[at], np.add.reduceat(counts, at) if len(at) else counts
+    return words[at], none[at], ids[at], uids[at], np.add.reduceat(counts, at) if len(at) else counts
 
 
 def bloom(words: np.ndarray) -> bytes:
@@ -78,16 +78,16 @@ def _words(column: pa.Array) -> np.ndarray:
     return np.frombuffer(raw, ">u8").reshape(-1, 4).astype(np.uint64)
 
 
-def _rows(level: int, shards: int, words, ids, uids, counts) -> pa.RecordBatch:
+def _rows(level: int, shards: int, words, none, ids, uids, counts) -> pa.RecordBatch:
     """A run cut by digest range, each part with its filter."""
     shard = ((words[:, 0] >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
     cuts = np.searchsorted(shard, np.arange(shards + 1))
     out = [
-        (s, level, words[a:b].astype(">u8").tobytes(), ids[a:b].tobytes(), uids[a:b].tobytes(), counts[a:b].tobytes(), bloom(words[a:b]))
+        (s, level, words[a:b].astype(">u8").tobytes(), none[a:b].tobytes(), ids[a:b].tobytes(), uids[a:b].tobytes(), counts[a:b].tobytes(), bloom(words[a:b]))
         for s, (a, b) in enumerate(zip(cuts, cuts[1:]))
         if b > a
     ]
-    kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 5]
+    kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 6]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], [f.split()[0] for f in RUN.split(", ")])
 
 
@@ -96,34 +96,38 @@ class Levels:
     keep the smaller identifier there, the others become a new level, and levels of like size are merged."""
 
     def __init__(self):
-        self.levels: list[list] = []  # words, ids, uids, counts, filter
+        self.levels: list[list] = []  # words, none, ids, uids, counts, filter
 
     def add(self, run: tuple, filter_bytes: bytes) -> None:
-        words, ids, uids, counts = run
+        words, none, ids, uids, counts = run
         new = np.ones(len(ids), bool)
-        for level in self.levels:
-            maybe = np.flatnonzero(new & may_contain(level[4], words))
-            at = _find(level[0], words[maybe])
+        for held, *first, of, filter_bits in self.levels:
+            maybe = np.flatnonzero(new & may_contain(filter_bits, words))
+            at = _find(held, words[maybe])
             mine, at = maybe[at >= 0], at[at >= 0]
-            level[3][at] += counts[mine]
-            less = (ids[mine] < level[1][at]) | (ids[mine] == level[1][at]) & (uids[mine] < level[2][at])
-            level[1][at[less]], level[2][at[less]] = ids[mine[less]], uids[mine[less]]
+            of[at] += counts[mine]
+            less, same = np.zeros(len(at), bool), np.ones(len(at), bool)
+            for ours, theirs in zip((none, ids, uids), first):
+                less |= same & (ours[mine] < theirs[at])
+                same &= ours[mine] == theirs[at]
+            for ours, theirs in zip((none, ids, uids), first):
+                theirs[at[less]] = ours[mine[less]]
             new[mine] = False
         if new.any():
             kept = [np.array(x[new]) for x in run]
             self.levels.append([*kept, filter_bytes if new.all() else bloom(kept[0])])
-        while len(self.levels) > 1 and len(self.levels[-2][1]) <= 2 * len(self.levels[-1][1]):
+        while len(self.levels) > 1 and len(self.levels[-2][0]) <= 2 * len(self.levels[-1][0]):
             self._merge_last()
 
     def _merge_last(self) -> None:
         b, a = self.levels.pop(), self.levels.pop()
-        both = _sorted_run(*(np.concatenate([x, y]) for x, y in zip(a[:4], b[:4])))
+        both = _sorted_run(*(np.concatenate([x, y]) for x, y in zip(a[:5], b[:5])))
         self.levels.append([*both, bloom(both[0])])
 
     def merged(self) -> tuple:
         while len(self.levels) > 1:
             self._merge_last()
-        return tuple(self.levels[0][:4])
+        return tuple(self.levels[0][:5])
 
 
 def _find(held: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -149,9 +153,11 @@ def flushed_runs(digests: DataFrame, shards: int) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ids = batch.column("doc_id").fill_null(_NO_ID).to_numpy(zero_copy_only=False)
-            held.append(_sorted_run(_words(batch.column("digest")), ids, batch.column("uid").to_numpy(), np.ones(len(ids), np.int64)))
-            n += len(held[-1][1])
+            ids = batch.column("doc_id")
+            none = ids.is_null().to_numpy(zero_copy_only=False).astype(np.uint8)
+            ids = ids.fill_null(0).to_numpy(zero_copy_only=False)
+            held.append(_sorted_run(_words(batch.column("digest")), none, ids, batch.column("uid").to_numpy(), np.ones(len(ids), np.int64)))
+            n += len(held[-1][2])
             if n >= MEMTABLE_ROWS:
                 yield _rows(0, shards, *_sorted_run(*map(np.concatenate, zip(*held))))
                 held, n = [], 0
@@ -168,12 +174,12 @@ def compacted(runs: DataFrame, shards: int) -> DataFrame:
         shard, levels = None, None
 
         def out():
-            words, ids, uids, counts = levels.merged()
+            words, none, ids, uids, counts = levels.merged()
             raw = words.astype(">u8").tobytes()
             return pa.RecordBatch.from_arrays(
                 [
                     pa.Array.from_buffers(pa.binary(32), len(ids), [None, pa.py_buffer(raw)]).cast(pa.binary()),
-                    pa.array(ids, mask=ids == _NO_ID),
+                    pa.array(ids, mask=none > 0),
                     pa.array(uids),
                     pa.array(counts),
                 ],
@@ -187,15 +193,16 @@ def compacted(runs: DataFrame, shards: int) -> DataFrame:
                         yield out()
                     shard, levels = row["shard"], Levels()
                 words = np.frombuffer(row["digests"], ">u8").reshape(-1, 4).astype(np.uint64)
-                levels.add((words, *(np.frombuffer(row[c], np.int64) for c in ("ids", "uids", "counts"))), row["filter"])
+                levels.add((words, np.frombuffer(row["none"], np.uint8), *(np.frombuffer(row[c], np.int64) for c in ("ids", "uids", "counts"))), row["filter"])
         if levels is not None:
             yield out()
 
-    return runs.repartition(max(1, shards), "shard").sortWithinPartitions("shard").mapInArrow(frugal(merge), "digest binary, keep_id long, keep_uid long, group_size long")
+    return runs.repartitionById(max(1, shards), F.col("shard")).sortWithinPartitions("shard").mapInArrow(frugal(merge), "digest binary, keep_id long, keep_uid long, group_size long")
 
 
 def groups(docs: DataFrame, verify: bool = True) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256."""
+    shipped(docs.sparkSession)
     texts = docs.select("doc_id", normalised(F.col("text")).alias("norm"))
     hashed = texts.select("doc_id", F.unhex(F.sha2("norm", 256)).alias("digest"))
     digests = staged(hashed.withColumn("uid", F.monotonically_increasing_id()), "digests")
@@ -203,7 +210,7 @@ def groups(docs: DataFrame, verify: bool = True) -> DataFrame:
     index = staged(compacted(flushed_runs(digests, shards), shards), "lsm-index")
     found = digests.join(index, "digest").withColumn("exact", F.lit(None).cast("string"))
     if verify and (bad := _different_texts(texts, index)) is not None:
-        found = found.join(F.broadcast(bad), "digest", "left_anti").unionByName(_by_text(texts, bad))
+        found = found.join(bad, "digest", "left_anti").unionByName(_by_text(texts, bad))
     return found.select(
         "doc_id",
         "keep_id",
@@ -233,7 +240,7 @@ def _different_texts(texts: DataFrame, index: DataFrame) -> DataFrame | None:
 
 def _by_text(texts: DataFrame, bad: DataFrame) -> DataFrame:
     """Rows of digests that several texts share, grouped by the texts."""
-    rows = texts.select("doc_id", "norm", F.unhex(F.sha2("norm", 256)).alias("digest")).join(F.broadcast(bad), "digest", "left_semi")
+    rows = texts.select("doc_id", "norm", F.unhex(F.sha2("norm", 256)).alias("digest")).join(bad, "digest", "left_semi")
     rows = staged(rows.withColumn("uid", F.monotonically_increasing_id()), "lsm-regroup")
     first = rows.groupBy("digest", "norm").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("id"), F.col("uid").alias("uid"))).alias("k"), F.count("*").alias("group_size")
@@ -252,9 +259,11 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     unclear = gone.filter("doc_id is null").unionByName(gone.join(found.filter("kept").select("doc_id"), "doc_id", "left_semi"))
     if not unclear.take(1):
         return docs.join(gone, "doc_id", "left_anti")
-    marked = docs.withColumn("_digest", F.sha2(normalised(F.col("text")), 256))
-    stays = found.filter("kept").select(F.col("text_sha256").alias("_digest"), F.col("doc_id").alias("_keep_id"))
-    return marked.join(stays, "_digest").filter(F.col("doc_id").eqNullSafe(F.col("_keep_id"))).dropDuplicates(["_digest"]).select(*docs.columns)
+    taken = {c.lower() for c in docs.columns}
+    digest, keep = (next(n for k in range(len(taken) + 1) if (n := f"{name}_{k}") not in taken) for name in ("digest", "keep"))
+    marked = docs.withColumn(digest, F.sha2(normalised(F.col("text")), 256))
+    stays = found.filter("kept").select(F.col("text_sha256").alias(digest), F.col("doc_id").alias(keep))
+    return marked.join(stays, digest).filter(F.col("doc_id").eqNullSafe(F.col(keep))).dropDuplicates([digest]).select(*docs.columns)
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

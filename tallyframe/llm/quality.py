@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, documents, frugal, read_table, split_words, text_only, word_hashes
+from .common import chunks, documents, frugal, read_table, shipped, split_words, text_only, word_hashes
 
 DIMENSIONS = 1 << 20
 MAX_ROWS = 8_000
@@ -215,6 +215,7 @@ def accepted(docs: DataFrame, labels: DataFrame, keep: float = KEEP_PROBABILITY)
                 tails = judge(pc.fill_null(part.column(at), ""))
                 yield part.filter(pa.array(tails[:, 1] >= keep)).rename_columns(batch.schema.names)
 
+    shipped(docs.sparkSession)
     return docs.mapInArrow(frugal(run), docs.schema)
 
 

@@ -37,6 +37,17 @@ def test_repeated_rows_and_missing_ids(spark):
     assert sorted((r.doc_id or 0, r.text) for r in deduplicated(docs).collect()) == [(0, "c"), (1, "a"), (1, "b")]
 
 
+def test_extreme_ids_and_clashing_columns(spark):
+    top, least = 2**63 - 1, -(2**63)
+    rows = [(top, "a", "p", 1), (None, "a", "q", 2), (top, "b", "r", 3), (None, "c", "s", 4), (least, "d", "t", 5), (0, "d", "u", 6), (None, "d", "v", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _digest string, digest_0 long").withColumn("Keep_0", F.lit(9)).withColumn("_keep_id", F.lit("k"))
+    got = {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in groups(docs).collect()}
+    assert got == {(top, top, 2, True), (None, top, 2, False), (top, top, 1, True), (None, None, 1, True), (least, least, 3, True), (0, least, 3, False), (None, least, 3, False)}
+    left = deduplicated(docs)
+    assert left.columns == docs.columns
+    assert sorted((r.text, r["_digest"], r.digest_0, r["Keep_0"], r["_keep_id"]) for r in left.collect()) == [(t, d, n, 9, "k") for _, t, d, n in rows if d in "prst"]
+
+
 def test_texts_that_share_a_digest_are_told_apart(spark):
     docs = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a")], "doc_id long, text string")
     texts = docs.select("doc_id", normalised(F.col("text")).alias("norm"))
@@ -51,7 +62,7 @@ def test_levels_equal_one_merge():
     levels, parts = exact_dedup.Levels(), []
     for _ in range(40):
         pick = rng.integers(0, 300, rng.integers(1, 60))
-        run = exact_dedup._sorted_run(pool[pick], rng.integers(0, 1000, len(pick)), rng.integers(0, 9, len(pick)), np.ones(len(pick), np.int64))
+        run = exact_dedup._sorted_run(pool[pick], rng.integers(0, 2, len(pick)).astype(np.uint8), rng.integers(0, 1000, len(pick)), rng.integers(0, 9, len(pick)), np.ones(len(pick), np.int64))
         levels.add(run, bloom(run[0]))
         parts.append(run)
     want = exact_dedup._sorted_run(*map(np.concatenate, zip(*parts)))
