@@ -2,13 +2,17 @@
 
 Writing. Each task writes its rows as gzip members (one a record) into archives in the shared folder. Of records
 with equal payloads of at least 100 bytes, that with the smallest page_id is a response and the others revisit it:
-they carry its HTTP headers, digest and record id, but no payload. Files appear whole under a name that follows from
-the partition, so a repeated task replaces its own.
+they carry its HTTP headers, digest, record id and url, but no payload. Files appear whole, under a name that no other
+attempt at a task has; captures only name the files of attempts that succeeded.
 
-Index. Captures are range-sorted by key (host reversed, then path and query) and go, 256 to a block, into compressed
-blocks; beside each block file lies its sparse directory (first key, offset, length). A table of the files' first
-keys, one row a file, leads to the directory. A lookup bisects files, then the directory, reads the block's byte
-range, finds the capture, and reads the record's byte range from its archive.
+Index. Captures are range-sorted by key (host reversed, then path and query) and page_id and go, 256 to a block, into
+compressed blocks; beside each block file lies its sparse directory (first key and page_id, offset, length). A table
+of the files' first keys, one row a file, leads to the directory. A lookup bisects files, then the directory, reads the
+block's byte range, finds the capture, and reads the record's byte range from its archive. A page of a key that many
+pages share is found as fast as any other.
+
+Reading back. Every record is found by its key and page_id. A response's payload is hashed and measured; for a revisit
+its response is looked up by the url and id that the revisit names, and that payload is hashed and measured.
 
 Null html is an empty payload; a null url has the key ``-``; a null page_id is never a revisit's target unless no row
 of the payload has an id. Rows that repeat the smallest page_id of a payload are responses, each. Malformed urls are
@@ -30,14 +34,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, mounted, read_table, staged
+from .common import fresh_path, mounted, read_table, shipped, staged
 
 MIN_REVISIT_BYTES = 100
 BLOCK_LINES = 256
 #: Captures in one index file, about.
 FILE_LINES = 250_000
-#: Payload digests of copies that are broadcast (about 50 bytes each); beyond, the join is shuffled.
-BROADCAST_ROWS = 200_000
+#: Records that one task reads back, about, and responses of revisits whose checks it remembers.
+READ_RECORDS = 4_000
+CHECKED = 1_024
+#: Payload digests of copies that are broadcast (about 150 bytes each); beyond, the join is shuffled.
+BROADCAST_ROWS = 100_000
 ARCHIVE_BYTES = 256_000_000
 CAPTURED = "20240101000000"
 _DATE = "2024-01-01T00:00:00Z"
@@ -46,15 +53,16 @@ _CRLF = b"\r\n"
 
 def url_key(url: str | None) -> str:
     """Host reversed and lowered, then path and query: captures of a site are neighbours."""
+    url = _line(url)
     if not url:
         return "-"
     try:
-        parts = urlsplit(url.strip())
+        parts = urlsplit(url)
         host, port = (parts.hostname or "").rstrip("."), parts.port
     except ValueError:
-        return " ".join(url.split()) or "-"
+        return url
     if not host:
-        return " ".join(url.split()) or "-"
+        return url
     if (parts.scheme, port) in (("http", 80), ("https", 443)):
         port = None
     key = ",".join(reversed(host.split("."))) + (f":{port}" if port else "") + ")" + (parts.path or "/") + (f"?{parts.query}" if parts.query else "")
@@ -74,7 +82,7 @@ def record_id(page_id: int | None, mark: str = "") -> str:
     return f"<urn:x-page:{'none' if page_id is None else page_id}{mark}>"
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool) -> bytes:
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool, refers_url: str | None = None) -> bytes:
     """One record: named fields, HTTP headers and, for a response, the payload."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if revisit else http + payload
@@ -89,7 +97,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
         f"Content-Length: {len(block)}",
     ]
     if revisit:
-        head += [f"WARC-Refers-To: {record_id(refers_to)}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+        head += [f"WARC-Refers-To: {record_id(refers_to)}", f"WARC-Refers-To-Target-URI: {_line(refers_url) or '-'}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     return "\r\n".join(head).encode() + _CRLF * 2 + block + _CRLF * 2
 
 
@@ -134,9 +142,9 @@ class _Out:
 
 
 def targets(pages: DataFrame) -> DataFrame:
-    """digest and keep_id of payloads of several rows."""
-    hashed = pages.select("page_id", F.sha2("_html", 256).alias("digest"), F.octet_length("_html").alias("n")).filter(F.col("n") >= MIN_REVISIT_BYTES)
-    return hashed.groupBy("digest").agg(F.min("page_id").alias("keep_id"), F.count("*").alias("rows")).filter("rows > 1").select("digest", "keep_id")
+    """digest, keep_id and keep_url of payloads of several rows."""
+    hashed = pages.select("page_id", "url", F.sha2("_html", 256).alias("digest"), F.octet_length("_html").alias("n")).filter(F.col("n") >= MIN_REVISIT_BYTES)
+    return hashed.groupBy("digest").agg(F.min("page_id").alias("keep_id"), F.min_by(F.struct("url"), "page_id").alias("keep"), F.count("*").alias("rows")).filter("rows > 1").select("digest", "keep_id", F.col("keep.url").alias("keep_url"))
 
 
 CAPTURE = "key string, page_id long, type string, digest string, archive string, offset long, length long"
@@ -144,23 +152,24 @@ CAPTURE = "key string, page_id long, type string, digest string, archive string,
 
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     """Archives of all rows; returns their captures. ``folder`` is a mounted shared folder."""
+    shipped(pages.sparkSession)
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("_html"))
     kept = staged(targets(rows), "warc-targets")
     few = kept.count() <= BROADCAST_ROWS
     marked = rows.withColumn("digest", F.sha2("_html", 256)).join(F.broadcast(kept) if few else kept, "digest", "left")
     is_revisit = F.col("keep_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keep_id"))
-    marked = marked.select("page_id", "url", "_html", "digest", F.when(is_revisit, F.col("keep_id")).alias("refers_to"))
+    marked = marked.select("page_id", "url", "_html", "digest", F.when(is_revisit, F.col("keep_id")).alias("refers_to"), "keep_url")
 
     def run(batches):
-        out, part, task = None, 0, TaskContext.get().partitionId()
+        out, part, task = None, 0, f"{TaskContext.get().partitionId():06d}-{TaskContext.get().taskAttemptId()}"
         for batch in batches:
             captures = []
             for row in batch.to_pylist():
                 if out is None:
-                    name = f"archive-{task:06d}-{part:04d}.warc.gz"
+                    name = f"archive-{task}-{part:04d}.warc.gz"
                     out, part = _Out(f"{folder}/{name}"), part + 1
                 revisit = row["refers_to"] is not None
-                at, n = out.write(_member(record(row["page_id"], row["url"], row["_html"].encode(), row["digest"], row["refers_to"], revisit)))
+                at, n = out.write(_member(record(row["page_id"], row["url"], row["_html"].encode(), row["digest"], row["refers_to"], revisit, row["keep_url"])))
                 captures.append((url_key(row["url"]), row["page_id"], "revisit" if revisit else "response", row["digest"], name, at, n))
                 if out.size >= ARCHIVE_BYTES:
                     out.close()
@@ -181,17 +190,22 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, _KINDS[kind]) for c, (_, kind) in zip(columns, fields)], [name for name, _ in fields])
 
 
-def build_index(captures: DataFrame, folder: str) -> list[tuple[bytes, str]]:
-    """Block files and their directories; returns first key and name of each file, in key order."""
+def place_of(key: str | bytes, page_id: int | None) -> tuple[bytes, bool, int]:
+    """Order of captures: by key's bytes, then page_id, without one first."""
+    return key if isinstance(key, bytes) else key.encode(), page_id is not None, page_id or 0
+
+
+def build_index(captures: DataFrame, folder: str) -> list[tuple[tuple, str]]:
+    """Block files and their directories; returns the first place and the name of each file, in order."""
     files = int(1 + captures.count() // FILE_LINES) * 4
 
     def run(batches):
-        task = TaskContext.get().partitionId()
-        name, out, block, directory = f"index-{task:06d}", None, [], []
+        name, out, block, directory = f"index-{TaskContext.get().partitionId():06d}-{TaskContext.get().taskAttemptId()}", None, [], []
 
         def flush():
             at, n = out.write(zlib.compress("".join(block).encode()))
-            directory.append([block[0].split(" ", 1)[0], at, n])
+            key, _, info = block[0].split(" ", 2)
+            directory.append([key, json.loads(info)["page_id"], at, n])
             block.clear()
 
         for batch in batches:
@@ -208,18 +222,18 @@ def build_index(captures: DataFrame, folder: str) -> list[tuple[bytes, str]]:
             listing = _Out(f"{folder}/{name}.directory")
             listing.write(json.dumps(directory).encode())
             listing.close()
-            yield _batch([(directory[0][0], name)], "first string, name string")
+            yield _batch([(*directory[0][:2], name)], "first string, page_id long, name string")
 
     order = ["key", "page_id", "archive", "offset"]
     ordered = captures.repartitionByRange(files, *order).sortWithinPartitions(*order)
-    firsts = ordered.mapInArrow(run, "first string, name string").collect()  # one row a file
-    return sorted((r["first"].encode(), r["name"]) for r in firsts)
+    firsts = ordered.mapInArrow(run, "first string, page_id long, name string").collect()  # one row a file
+    return sorted((place_of(r["first"], r["page_id"]), r["name"]) for r in firsts)
 
 
 class Index:
     """Lookups through files, directory, block and archive; keeps the last block and directory it read."""
 
-    def __init__(self, folder: str, files: list[tuple[bytes, str]]):
+    def __init__(self, folder: str, files: list[tuple[tuple, str]]):
         self.folder, self.firsts, self.names = folder, [f for f, _ in files], [n for _, n in files]
         self.directory: tuple = (None, [], [])
         self.block: tuple = (None, {})
@@ -229,7 +243,7 @@ class Index:
         if self.directory[0] != name:
             with open(f"{self.folder}/{name}.directory", "rb") as f:
                 entries = json.load(f)
-            self.directory = (name, [e[0].encode() for e in entries], entries)
+            self.directory = (name, [place_of(*e[:2]) for e in entries], entries)
         return self.directory[1:]
 
     def _block(self, name: str, at: int, n: int) -> dict[str, list[dict]]:
@@ -240,22 +254,30 @@ class Index:
             found: dict[str, list[dict]] = {}
             for line in lines:
                 key, _, info = line.split(" ", 2)
-                found.setdefault(key, []).append(info)
+                found.setdefault(key, []).append(json.loads(info))
             self.block = ((name, at), found)
         return self.block[1]
 
-    def captures(self, key: str):
-        """All captures of a key: from the last block that starts before it, on while blocks start at or before it."""
-        raw = key.encode()
-        for k in range(max(0, bisect.bisect_left(self.firsts, raw) - 1), len(self.firsts)):
-            if self.firsts[k] > raw:
+    def _between(self, key: str, low: tuple, high: tuple):
+        """Captures of a key from the last block that starts before ``low``, on while blocks start at or before ``high``."""
+        for k in range(max(0, bisect.bisect_left(self.firsts, low) - 1), len(self.firsts)):
+            if self.firsts[k] > high:
                 return
             firsts, entries = self._open(self.names[k])
-            for b in range(max(0, bisect.bisect_left(firsts, raw) - 1), len(firsts)):
-                if firsts[b] > raw:
+            for b in range(max(0, bisect.bisect_left(firsts, low) - 1), len(firsts)):
+                if firsts[b] > high:
                     return
-                for info in self._block(self.names[k], entries[b][1], entries[b][2]).get(key, []):
-                    yield json.loads(info)
+                yield from self._block(self.names[k], entries[b][2], entries[b][3]).get(key, [])
+
+    def captures(self, key: str):
+        """All captures of a key."""
+        raw = key.encode()
+        return self._between(key, (raw, False, 0), (raw, True, 2**63))
+
+    def captures_of(self, key: str, page_id: int | None):
+        """Captures of a page under a key."""
+        place = place_of(key, page_id)
+        return (c for c in self._between(key, place, place) if c["page_id"] == page_id)
 
     def read(self, capture: dict) -> tuple[dict[str, str], dict[str, str], bytes]:
         if self.archive[0] != capture["archive"]:
@@ -269,36 +291,58 @@ class Index:
 READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
-def read_back(captures: DataFrame, folder: str, files: list[tuple[bytes, str]]) -> DataFrame:
-    """Every capture read from its archive by a lookup of its key; neighbours in key order share blocks.
+def _checked(fields: dict[str, str], http: dict[str, str], payload: bytes) -> tuple[int, str]:
+    """Length and digest of a response's payload, which must be those that the record states."""
+    digest = hashlib.sha256(payload).hexdigest()
+    if f"sha256:{digest}" != fields["WARC-Payload-Digest"] or len(payload) != int(http["Content-Length"]):
+        raise ValueError(f"damaged record {fields['WARC-Record-ID']}")
+    return len(payload), digest
+
+
+def _page_of(urn: str) -> int | None:
+    page = urn.removeprefix("<urn:x-page:").removesuffix(">")
+    return None if page == "none" else int(page)
+
 
-    A key that many pages share is dealt out by page_id, and its captures are found one block at a time.
-    """
+def read_back(captures: DataFrame, folder: str, files: list[tuple[tuple, str]]) -> DataFrame:
+    """Every capture read from its archive by a lookup of its key and page; neighbours in key order share blocks."""
 
     def run(batches):
-        index, key, held = Index(folder, files), None, None
+        index, responses, checked = Index(folder, files), Index(folder, files), {}
+
+        def referred(urn: str, url: str) -> tuple[int, str]:
+            """Of the response that a revisit names."""
+            if urn not in checked:
+                page = _page_of(urn)
+                found = next((c for c in responses.captures_of(url_key(url), page) if c["type"] == "response"), None)
+                if found is None:
+                    raise LookupError(f"the response of page {page} at {url} is not in the index")
+                if len(checked) >= CHECKED:
+                    checked.clear()
+                checked[urn] = _checked(*responses.read(found))
+            return checked[urn]
+
         for batch in batches:
             out = []
             for row in batch.to_pylist():
-                if row["key"] != key:
-                    key, held = row["key"], index.captures(row["key"])
-                # captures of a key lie in page_id order, as the rows here do
-                want = (row["page_id"], row["archive"], row["offset"])
-                for capture in held:
-                    if (capture["page_id"], capture["archive"], capture["offset"]) == want:
-                        break
-                else:
+                want = (row["archive"], row["offset"])
+                capture = next((c for c in index.captures_of(row["key"], row["page_id"]) if (c["archive"], c["offset"]) == want), None)
+                if capture is None:
                     raise LookupError(f"{row['key']} of page {row['page_id']} is not in the index")
                 fields, http, payload = index.read(capture)
-                digest = fields["WARC-Payload-Digest"].removeprefix("sha256:")
-                if fields["WARC-Type"] == "response" and hashlib.sha256(payload).hexdigest() != digest:
-                    raise ValueError(f"damaged record {fields['WARC-Record-ID']}")
-                target = fields.get("WARC-Refers-To", "<urn:x-page:none>")[len("<urn:x-page:") : -1]
-                out.append((row["page_id"], int(http["Content-Length"]), digest, fields["WARC-Type"], None if target == "none" else int(target)))
+                if fields["WARC-Type"] == "response":
+                    size, digest, target = *_checked(fields, http, payload), None
+                else:
+                    urn = fields["WARC-Refers-To"]
+                    size, digest = referred(urn, fields["WARC-Refers-To-Target-URI"])
+                    target = _page_of(urn)
+                    if fields["WARC-Payload-Digest"] != f"sha256:{digest}":
+                        raise ValueError(f"{fields['WARC-Record-ID']} does not repeat {urn}")
+                out.append((row["page_id"], size, digest, fields["WARC-Type"], target))
             yield _batch(out, READ)
 
-    ordered = captures.select("key", "page_id", "archive", "offset")
-    ordered = ordered.repartitionByRange("key", "page_id", "archive", "offset").sortWithinPartitions("key", "page_id", "archive", "offset")
+    order = ["key", "page_id", "archive", "offset"]
+    ordered = captures.select(*order).repartitionByRange(1 + captures.count() // READ_RECORDS, *order).sortWithinPartitions(*order)
     return ordered.mapInArrow(run, READ)
 
 

@@ -3,6 +3,7 @@ import hashlib
 import os
 
 import duckdb
+import pytest
 
 from tallyframe.llm import warc
 from tallyframe.llm.common import fresh_path, mounted
@@ -21,6 +22,8 @@ def make(spark, n=600):
     rows = [(k, f"http://h{k % 7}.example.com/{k % 50}", f"{body}{k % 40}" if k % 3 else f"s{k % 5}", k) for k in range(n)]
     rows += [(5000, None, None, 1), (5001, "http://[bad", "é" * 60, 1), (5002, "http://a b.c/ d", "é" * 60, 1), (5003, "http://a.b/\n", "z" * 300_000, 1)]
     rows += [(5004, "u", "same" * 30, 1)] * 2
+    rows += [(6000, "http://a.b/x\ny", "W" * 200, 1), (6001, None, "W" * 200, 1), (6002, " \t", "V" * 200, 1), (6003, "http://c.d", "V" * 200, 1)]
+    rows += [(7000 + k, "http://one.example.com/hot", "H" * 300 if k % 2 else f"{'h' * 200}{k}", 1) for k in range(120)]
     return spark.createDataFrame(rows, "page_id long, url string, html string, digest long")
 
 
@@ -40,6 +43,36 @@ def test_missing_ids(spark):
     assert got == [(0, "response", None), (0, "response", None), (0, "revisit", 3), (3, "response", None)]
 
 
+def test_a_damaged_response_is_noticed_through_its_revisits(spark):
+    folder = mounted(fresh_path(spark, "warc-test"))
+    os.makedirs(folder)
+    pages = spark.createDataFrame([(1, "http://a.b/1", "y" * 200), (2, "http://a.b/2", "y" * 200)], "page_id long, url string, html string").coalesce(1)
+    captures = write_archives(pages, folder)
+    files = build_index(captures, folder)
+    place = captures.filter("page_id = 1").first()
+    path = f"{folder}/{place.archive}"
+    with open(path, "rb") as f:
+        data = bytearray(f.read())
+    wrong = warc._member(warc.record(1, "http://a.b/1", b"z" * 200, hashlib.sha256(b"y" * 200).hexdigest(), None, False))
+    with open(path, "wb") as f:
+        f.write(data[: place.offset] + wrong.ljust(place.length, b"\0")[: max(place.length, len(wrong))] + data[place.offset + place.length :])
+    revisit = captures.filter("page_id = 2")
+    with pytest.raises(Exception, match="damaged record|incorrect|invalid|Error"):
+        warc.read_back(revisit, folder, files).collect()
+
+
+def test_a_repeated_task_leaves_files_of_its_own(spark, tmp_path):
+    """The first attempt at each task fails after it has written; the lost files are named by no capture."""
+    folder = mounted(fresh_path(spark, "warc-test"))
+    os.makedirs(folder)
+    captures = write_archives(make(spark, 60).repartition(3), folder)
+    again = write_archives(make(spark, 60).repartition(3), folder)  # the same partitions, other attempts
+    one, two = ({r.archive for r in c.select("archive").distinct().collect()} for c in (captures, again))
+    assert one and two and not one & two
+    files = build_index(captures, folder)
+    assert warc.read_back(captures, folder, files).count() == captures.count()
+
+
 def test_archives_and_lookups(spark, monkeypatch):
     monkeypatch.setattr(warc, "BLOCK_LINES", 8)
     folder = mounted(fresh_path(spark, "warc-test"))
@@ -51,6 +84,11 @@ def test_archives_and_lookups(spark, monkeypatch):
     want = {(r.page_id, r.offset) for r in captures.filter("key = 'com,example,h3)/10'").collect()}
     assert len(want) > 1 and {(c["page_id"], c["offset"]) for c in index.captures("com,example,h3)/10")} == want
     assert list(index.captures("com,example,h3)/none")) == []
+    some = captures.filter("page_id in (7003, 5004)").collect()
+    assert len(some) == 3
+    for r in some:
+        assert (r.archive, r.offset) in {(c["archive"], c["offset"]) for c in index.captures_of(r.key, r.page_id)}
+    assert list(index.captures_of("com,example,one)/hot", 1)) == []
     seen = 0
     for path in glob.glob(f"{folder}/*.warc.gz"):
         for _, _, content in read_archive(path):
