@@ -5,7 +5,7 @@ Scan: candidates are (key characters are letters, digits, ``_ + / = -``)
  - after NAME= or NAME: (quotes and spaces may stand between), 8 or more key characters;
  - after such a name with a credential word in it, 4 or more characters that are neither white space nor quotes, or
    that stand between quotes in one line (200 at most);
- - 6 or more characters without white space after a credential word and spaces (``is`` may stand between).
+ - 6 or more characters without white space after a credential word and spaces (``is``, ``was``, ``to`` or ``as`` may stand between).
 A name in front of an assignment belongs to the text before its value, and is a candidate itself from 20 characters.
 Nothing else is a candidate: shorter strings, and those of under 20 key characters without name or credential word.
 ``found`` alone, unless ``wide``, gives runs of 20 or more key characters with a digit. Each candidate is taken with
@@ -14,7 +14,7 @@ seen, and a text of any length takes time in proportion to it.
 
 Features: length; transitions between character classes (lower, upper, digit, other) and the share of each class;
 number of distinct characters; dictionary coverage (share of the candidate's characters that are made up of common
-identifier and prose words, or of the text around it); path (slashes, a file ending, a URL or directory before it);
+identifier and prose words, or of the text around it); path (slashes, a file ending, a URL or directory before it); how services' credentials, references and placeholders begin;
 neighbouring words (credential words, assignment, quotes; words that speak against, such as commit, checksum, uuid,
 example).
 
@@ -32,7 +32,7 @@ from functools import reduce
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents
@@ -43,6 +43,8 @@ MIN_ASSIGNED, MIN_NAMED, MIN_TOLD = 8, 4, 6
 MAX_ROWS = 20_000
 ACCEPT = 0.5
 BEFORE, AFTER = 60, 30
+#: Parts of a text whose lengths are added up together.
+BLOCK = 64
 
 # Word lists.
 CREDENTIAL_WORDS = "token secret password passwd pwd credential credentials apikey api_key key auth authorization bearer private access_key secret_key client_secret".split()
@@ -59,6 +61,11 @@ session set source start state status step store stream string style support swi
 the true type undefined update upload url user util utils value version web width window with word xml
 """.split()
 
+#: How credentials of well-known services begin.
+VENDOR = "^(?:gh[pousr]_|github_pat_|glpat-|sk_live_|sk_test_|sk-|pk_live_|xox[abprs]-|AKIA|ASIA|AIza|npm_|pypi-|hf_|SG[.]|ya29[.]|eyJ)"
+
+PROSE = "performance following generated important requirements mandatory incorrect management exchange protected expired required strategies different winter orange monkey dragon horse battery silver garden purple planet coffee guitar rocket tiger".split()
+
 _KEY_CHARS = "A-Za-z0-9_+/=-"
 #: A candidate is set between these while the text is split; neither is a key character.
 _MARK = "\u0001"
@@ -75,7 +82,7 @@ def _wide() -> tuple[str, str]:
     bare = "[^\\s\"'`]"
     end = "[^\\s\"'`,;.)\\]}]"
     value = f"{credential}(?:(?<={quote})[^\"'`\\r\\n]{{{MIN_NAMED},200}}+(?={quote})|{bare}{{{MIN_NAMED - 1},}}{end})|{key}{{{MIN_ASSIGNED},}}+"
-    told = f"(?<![A-Za-z])(?i:{words})\\s{{1,3}}(?:is\\s{{1,3}})?{quote}?"
+    told = f"(?<![A-Za-z])(?i:{words})\\s{{1,3}}(?:(?:is|was|to|as)\\s{{1,3}})?{quote}?"
     pattern = f"({long_name})({gap})({value})|({name}{gap})({value})|((?<!{key}){key}{{{MIN_LENGTH},}}+)|({told})({bare}{{{MIN_TOLD - 1},}}{end})"
     return pattern, f"{_MARK}$1{_MARK}$2$4$7{_MARK}$3$5$6$8{_MARK}"
 
@@ -84,50 +91,44 @@ def found(docs: DataFrame, path: str = "source", wide: bool = False) -> DataFram
     """doc_id, path, start (code points from 0), candidate, and the text before and after it."""
     text = F.coalesce("text", F.lit(""))
     where = F.coalesce(F.col(path).cast("string"), F.lit("")) if path in docs.columns else F.lit("")
-    rows = docs.select("doc_id", where.alias("path"), F.translate(text, _MARK, " ").alias("text"))
-    if wide:
-        # without a long name its place is empty
-        marked = F.regexp_replace("text", *map(F.lit, _wide()))
-        rows = rows.withColumn("marked", marked).filter(F.contains("marked", F.lit(_MARK)))
-        marked = F.col("marked")
-    else:
-        rows = rows.filter(F.col("text").rlike(f"[{_KEY_CHARS}]{{{MIN_LENGTH}}}"))
-        marked = F.regexp_replace("text", f"(?<![{_KEY_CHARS}])([{_KEY_CHARS}]{{{MIN_LENGTH},}}+)", f"{_MARK}$1{_MARK}")
+    text = F.translate(text, _MARK, " ")
+    marked = F.regexp_replace(text, *map(F.lit, _wide())) if wide else F.regexp_replace(text, f"(?<![{_KEY_CHARS}])([{_KEY_CHARS}]{{{MIN_LENGTH},}}+)", f"{_MARK}$1{_MARK}")
     # odd parts are candidates, even ones what lies between them
-    parts = rows.select("doc_id", "path", F.split(marked, _MARK).alias("parts"))
-    lengths = F.transform("parts", F.length)
-    starts = F.aggregate(lengths, F.array(F.lit(0)), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
-    # running sums are only built where there are few parts; else positions come from a window over parts
-    few = parts.filter(F.size("parts") <= 64).select("doc_id", "path", "parts", starts.alias("starts"))
-    index = F.sequence(F.lit(1), F.size("parts") - 2, F.lit(2))
-    hits = F.transform(
-        index,
-        lambda i: F.struct(
-            F.get("starts", i).alias("start"),
-            F.get("parts", i).alias("candidate"),
-            # a name before an assignment is a part of its own
-            F.right(F.concat(F.coalesce(F.get("parts", i - 3), F.lit("")), F.coalesce(F.get("parts", i - 2), F.lit("")), F.get("parts", i - 1)), F.lit(BEFORE)).alias("before"),
-            F.left(F.concat(F.get("parts", i + 1), F.coalesce(F.get("parts", i + 2), F.lit("")), F.coalesce(F.get("parts", i + 3), F.lit(""))), F.lit(AFTER)).alias("after"),
-        ),
-    )
-    few = few.filter(F.size("parts") > 2).select("doc_id", "path", F.inline(hits))
-    many = parts.filter(F.size("parts") > 64).withColumn("row", F.monotonically_increasing_id())
-    many = many.select("row", "doc_id", "path", F.posexplode("parts").alias("pos", "part"))
-    order = Window.partitionBy("row").orderBy("pos")
-    many = many.select(
-        "doc_id",
-        "path",
-        "pos",
-        (F.sum(F.length("part")).over(order) - F.length("part")).cast("int").alias("start"),
-        F.col("part").alias("candidate"),
-        F.right(F.concat(*(F.lag("part", n, "").over(order) for n in (3, 2, 1))), F.lit(BEFORE)).alias("before"),
-        F.left(F.concat(*(F.lead("part", n, "").over(order) for n in (1, 2, 3))), F.lit(AFTER)).alias("after"),
-    )
-    many = many.filter("pos % 2 = 1").drop("pos")
-    every = few.unionByName(many)
+    every = docs.select("doc_id", where.alias("path"), F.inline(_let(F.split(marked, _MARK), _hits)))
     return every.filter("candidate <> ''") if wide else every.filter(F.col("candidate").rlike("[0-9]"))
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _hits(parts: Column) -> Column:
+    """Start, text and surroundings of every odd part; starts are sums over blocks of parts and inside one block."""
+    part = lambda i: F.coalesce(F.get(parts, i), F.lit(""))
+    add = lambda n: F.aggregate(n, F.lit(0), lambda a, x: a + x)
+
+    def of(lengths: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / BLOCK).cast("int")), lambda b: add(F.slice(lengths, b * BLOCK + 1, F.lit(BLOCK))))
+        firsts = F.aggregate(blocks, F.array(F.lit(0)), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
+        return _let(firsts, lambda first: hits(lengths, first))
+
+    def hits(lengths: Column, first: Column) -> Column:
+        def hit(i: Column) -> Column:
+            block = F.floor(i / BLOCK).cast("int")
+            return F.struct(
+                (F.get(first, block) + add(F.slice(lengths, block * BLOCK + 1, i - block * BLOCK))).alias("start"),
+                F.get(parts, i).alias("candidate"),
+                # a name before an assignment is a part of its own
+                F.right(F.concat(part(i - 3), part(i - 2), part(i - 1)), F.lit(BEFORE)).alias("before"),
+                F.left(F.concat(part(i + 1), part(i + 2), part(i + 3)), F.lit(AFTER)).alias("after"),
+            )
+
+        return F.transform(F.sequence(F.lit(1), F.size(parts) - 2, F.lit(2)), hit)
+
+    return F.when(F.size(parts) > 2, _let(F.transform(parts, F.length), of))
+
+
 def _any(words: list[str]) -> str:
     return "(?i)(?<![A-Za-z])(?:" + "|".join(words) + ")(?![A-Za-z])"
 
@@ -148,9 +149,11 @@ FEATURES = {
     "slashes": lambda c, b, a, p: _share(F.length(F.regexp_replace(c, "[^/]", "")), F.length(c)),
     "joined": lambda c, b, a, p: _share(F.length(F.regexp_replace(c, "[^_-]", "")), F.length(c)),
     "uuid": lambda c, b, a, p: c.rlike("(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$").cast("double"),
+    "vendor": lambda c, b, a, p: c.rlike(VENDOR).cast("double"),
+    "reference": lambda c, b, a, p: (c.rlike(r"^[$<{%]") | c.rlike(r"^[A-Za-z_]+(?:\.[A-Za-z_]+)+\(?") | c.rlike("(?i)(?:your|here|change|example|placeholder|x{4}|dummy)")).cast("double"),
     "in_path": lambda c, b, a, p: (b.rlike(r"(?:://|www\.|[./\\])[^\s\"']*$") | a.rlike(r"^\.[A-Za-z]{2,4}(?![A-Za-z])")).cast("double"),
     "file_path": lambda c, b, a, p: p.rlike(r"(?i)(?:test|fixture|example|mock|\.lock$|\.sum$|\.svg$|\.map$)").cast("double"),
-    "key_word": lambda c, b, a, p: F.right(b, F.lit(40)).rlike(_any(CREDENTIAL_WORDS)).cast("double"),
+    "key_word": lambda c, b, a, p: F.right(b, F.lit(40)).rlike(_any(CREDENTIAL_WORDS) + "|(?<=[a-z])(?:Key|Token|Secret|Password|Credential)(?![a-z])|(?<![a-z])(?:secret|token|password|auth)(?=[A-Z])").cast("double"),
     "against": lambda c, b, a, p: F.right(b, F.lit(40)).rlike(_any(AGAINST_WORDS)).cast("double"),
     "assigned": lambda c, b, a, p: b.rlike(r"[:=]\s*[\"'`]?$").cast("double"),
     "quoted": lambda c, b, a, p: (b.rlike("[\"'`]$") & a.rlike("^[\"'`]")).cast("double"),
@@ -177,7 +180,7 @@ def labelled_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
     camel = F.concat(pick(DICTIONARY, 5), *(F.initcap(pick(DICTIONARY, s)) for s in (6, 7, 8, 9)), F.col("k").cast("string"))
     uuid = F.concat_ws("-", *(F.substring("h", a, b) for a, b in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))
     words = F.concat_ws(" ", pick(DICTIONARY, 11), pick(DICTIONARY, 12), pick(DICTIONARY, 13))
-    names = pick(CREDENTIAL_WORDS, 14)
+    names = pick([*CREDENTIAL_WORDS, "secretKey", "apiToken", "dbPassword", "authToken", "app_secret", "user_password", "Authorization: Bearer"], 14)
     assign = pick([" = \"", "=\"", ": \"", "=", ": ", " = '", "\": \""], 15)
     close = F.when(F.pmod(F.hash("id", F.lit(15)), F.lit(7)).isin(3, 4), F.lit("")).when(F.pmod(F.hash("id", F.lit(15)), F.lit(7)) == 5, F.lit("'")).otherwise(F.lit('"'))
     named = F.concat(words, F.lit(" "), names, assign)
@@ -191,7 +194,13 @@ def labelled_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
     short = F.concat(F.initcap(pick(DICTIONARY, 32)), F.pmod(F.col("k"), F.lit(100)).cast("string"), pick(["x", "!", "#Q", "_z9", "$", "@k"], 33), F.substring("b64", 5, 3))
     told = F.concat(words, F.lit(" "), names, pick([" ", " is ", " \""], 34))
     other = F.concat(words, F.lit(" "), pick(DICTIONARY, 35), pick([": ", " = ", "=", ": \"", " = '"], 36))
-    prose = pick("performance following generated important requirements mandatory incorrect management exchange protected expired required strategies different".split() + [w for w in DICTIONARY if len(w) > 5], 37)
+    prose = pick(PROSE + [w for w in DICTIONARY if len(w) > 5], 37)
+    phrase = F.concat(pick(PROSE, 45), pick(DICTIONARY, 46), pick(PROSE, 47), F.when(F.col("k") % 2 == 0, pick(DICTIONARY, 48)).otherwise(F.lit("")))
+    plain_word = F.concat(pick(PROSE, 49), F.pmod(F.col("k"), F.lit(1000)).cast("string"), F.substring(F.translate("h", "0123456789", "ghijklmnop"), 7, 4))
+    vendor = pick(["ghp_", "sk_live_", "xoxb-", "glpat-", "AKIA", "npm_", "AIza", "hf_"], 21)
+    mixed = F.concat(F.substring("h", 1, 12), F.upper(F.substring("h", 13, 12)), F.substring("h", 25, 12))
+    keyed = F.concat(words, F.lit(" "), pick(["cache key ", "primary key ", "partition key ", "sort key ", "row key ", "token count ", "object key "], 50))
+    variable = F.upper(F.concat_ws("_", pick(DICTIONARY, 51), names))
     # (secret?, candidate, before, after, path)
     kinds = [
         (1, hex_of(40), named, F.concat(close, more), path),
@@ -199,7 +208,11 @@ def labelled_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
         (1, hex_of(64), named, F.concat(close, more), path),
         (1, b64_of(40), named, F.concat(close, more), path),
         (1, b64_of(32), named, close, path),
-        (1, F.concat(pick(["ghp_", "sk_live_", "xoxb-", "glpat-", "AKIA", "npm_"], 21), b64_of(34)), pick(["", "use ", "token: ", "export X="], 22), more, path),
+        (1, F.concat(vendor, mixed), pick(["", "use ", "with ", "export X=", "clone "], 52), more, path),
+        (1, phrase, named, close, path),
+        (1, plain_word, named, close, path),
+        (1, F.concat_ws("-", F.translate(pick(PROSE, 57), "aeio", "4310"), F.substring("h", 3, 4), F.translate(pick(DICTIONARY, 58), "aeio", "4310")), named, close, path),
+        (1, F.concat(vendor, b64_of(34)), pick(["", "use ", "token: ", "export X="], 22), more, path),
         (1, b64_of(40), F.concat(words, F.lit(" "), shout, F.lit("=")), more, path),
         (1, hex_of(40), F.concat(pick(["export ", "", "set "], 38), shout, F.lit("=")), more, path),
         (1, short, named, close, path),
@@ -209,6 +222,11 @@ def labelled_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
         (1, F.substring(letters, 3, 32), named, F.concat(close, more), path),
         (0, hex_of(40), against, more, dull),
         (0, hex_of(64), against, more, dull),
+        (0, hex_of(40), keyed, more, path),
+        (0, F.concat(F.lit("${"), variable, F.lit("}")), named, close, path),
+        (0, F.concat(pick(DICTIONARY, 53), F.lit("."), F.when(F.col("k") % 2 == 0, pick(DICTIONARY, 54)).otherwise(variable)), named, pick(["(", "", ",", "()", "["], 55), path),
+        (0, F.lit("Bearer"), F.concat(words, pick([" Authorization: ", " auth: ", " authorization = "], 56)), F.concat(F.lit(" "), b64_of(32)), path),
+        (0, F.concat(F.lit("YOUR_"), variable, F.lit("_HERE_"), F.col("k").cast("string")), named, close, path),
         (0, prose, told, more, path),
         (0, prose, named, more, path),
         (0, prose, other, more, path),

@@ -2,10 +2,13 @@ import hashlib
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from tallyframe.llm.secrets import found, labelled_findings, scan, train, with_features
 
+from . import findings
+
 KEY = "[A-Za-z0-9_+/=-]"
 
 
@@ -89,3 +92,14 @@ def test_every_run_is_a_wide_candidate_or_part_of_one(spark):
         # of a run, at most a name and its assignment are outside of candidates
         inside = sum(max(0, min(b, start + len(c)) - max(a, start)) for a, b in got[doc_id])
         assert len(c) - inside < 25, (doc_id, c, got[doc_id])
+
+
+@pytest.mark.parametrize(("positive", "negative"), [(findings.POSITIVE, findings.NEGATIVE), (findings.HELD_OUT_POSITIVE, findings.HELD_OUT_NEGATIVE), (findings.LAST_POSITIVE, findings.LAST_NEGATIVE)])
+def test_recall_and_precision_on_findings_written_by_hand(spark, positive, negative):
+    docs = spark.createDataFrame([(k, b + c + a) for k, (b, c, a) in enumerate(positive + negative)], "doc_id long, text string")
+    kept = {}
+    for r in scan(docs, labelled_findings(spark)).filter("is_secret").collect():
+        kept.setdefault(r.doc_id, []).append((r.start, r.end))
+    hits = sum(any(min(y, len(b) + len(c)) - max(x, len(b)) >= 0.7 * len(c) for x, y in kept.get(k, [])) for k, (b, c, _) in enumerate(positive))
+    quiet = sum(len(positive) + k not in kept for k in range(len(negative)))
+    assert hits >= 0.9 * len(positive) and quiet >= 0.9 * len(negative), (hits, quiet)
