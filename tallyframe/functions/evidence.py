@@ -74,6 +74,29 @@ def date_day(text: Column, pattern: str = DATE) -> Column:
     return _group(text, pattern, 3, 5, 8)
 
 
+def date_parts(candidate: Column) -> Column:
+    """The nine groups of a date candidate (empty where unused), read by one match."""
+    return F.split(F.regexp_replace(candidate, WHOLE_DATE, "$1,$2,$3,$4,$5,$6,$7,$8,$9"), ",")
+
+
+def _part(parts: Column, *groups: int) -> Column:
+    return F.coalesce(*(F.nullif(F.get(parts, F.lit(g - 1)), F.lit("")) for g in groups))
+
+
+def year_of(parts: Column) -> Column:
+    written = _part(parts, 1, 6, 9)
+    return F.when(F.length(written) == 2, written.try_cast("int") + 2000).otherwise(written.try_cast("int"))
+
+
+def month_of(parts: Column) -> Column:
+    by_name = F.create_map(*(F.lit(x) for pair in MONTH_NUMBERS.items() for x in pair))
+    return F.coalesce(_part(parts, 2, 7).try_cast("int"), F.try_element_at(by_name, F.lower(F.left(_part(parts, 4), F.lit(3)))))
+
+
+def day_of(parts: Column) -> Column:
+    return _part(parts, 3, 5, 8).try_cast("int")
+
+
 def calendar_date(year: Column, month: Column, day: Column) -> Column:
     """The date, or null where the calendar has none."""
     written = F.format_string("%04d-%02d-%02d", year, month, day)
@@ -123,10 +146,13 @@ def merchant_name(description: Column) -> Column:
     return F.when(is_refund(description), bare).otherwise(description)
 
 
+def named(plain: Column, amount: Column) -> Column:
+    """Description from a line without its fields, tidied; null if nothing is left."""
+    return F.nullif(F.when(amount < 0, tidy(merchant_name(plain))).otherwise(plain), F.lit(""))
+
+
 def description(text: Column, amount: Column) -> Column:
-    plain = tidy(without_fields(text))
-    named = F.when(amount < 0, merchant_name(plain)).otherwise(plain)
-    return F.nullif(tidy(named), F.lit(""))
+    return named(tidy(without_fields(text)), amount)
 
 
 def has_descriptive_text(text: Column) -> Column:

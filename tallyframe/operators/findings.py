@@ -40,11 +40,20 @@ def change_evidence(deltas: DataFrame, n: int = 5) -> DataFrame:
     return rows.select("log_id", F.lit(1).alias("part"), F.col("rank").alias("place"), change_id(F.col("from_month"), F.col("to_month"), F.col("category")).alias("evidence_id"), text.alias("statement"), F.col("lines").cast("array<long>").alias("lines"))
 
 
+def months_under(budgets: DataFrame, category: str = totals.SHOPPING) -> DataFrame:
+    """In how many reported months a category stayed below its target."""
+    return budgets.filter(F.col("category") == category).groupBy("log_id").agg(*_under())
+
+
+def _under() -> list[Column]:
+    return [F.count_if(F.col("variance") < 0).alias("under"), F.count("*").alias("months")]
+
+
 def coverage_evidence(budgets: DataFrame) -> DataFrame:
     """One statement a log, where mixed-retailer charges leave Shopping incomplete."""
     rows = budgets.filter(F.col("category") == totals.SHOPPING)
     every = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.concat(F.col("lines").cast("array<long>"), F.col("coverage_lines").cast("array<long>"))))))
-    rows = rows.groupBy("log_id").agg(F.count_if(F.col("variance") < 0).alias("under"), F.count("*").alias("months"), F.count("coverage_note").alias("noted"), every.alias("lines"))
+    rows = rows.groupBy("log_id").agg(*_under(), F.count("coverage_note").alias("noted"), every.alias("lines"))
     text = _texts("Shopping was below its stated monthly target in ", F.col("under").cast("string"), " of ", F.col("months").cast("string"), " reported months. These Shopping totals exclude merchant-only mixed-retailer charges assigned to Other, so the comparison does not cover all shopping-like purchases.")
     return rows.filter("noted > 0").select("log_id", F.lit(2).alias("part"), F.lit(1).alias("place"), F.lit(COVERAGE_ID).alias("evidence_id"), text.alias("statement"), "lines")
 
@@ -53,7 +62,7 @@ def fallback_evidence(reconciliation: DataFrame) -> DataFrame:
     listed = lambda c: F.col(c).cast("array<long>")
     spending = _texts("Classified spending totaled ", finding_money(F.col("classified")), " across the reported period.")
     unresolved = _texts("Unresolved outflows totaled ", finding_money(F.col("unresolved")), " and were kept separate from classified spending.")
-    size = lambda c: F.size(c).cast("string")
+    size = lambda c: F.col(f"n_{c}").cast("string")
     cover = _texts("The analysis accounted for ", F.col("n_lines").cast("string"), " source lines, including ", size("duplicates"), " excluded duplicates and ", size("unparsed"), " unparsed lines.")
     numbers = F.when(F.col("n_lines") > 0, F.sequence(F.lit(1).cast("long"), F.col("n_lines"))).otherwise(F.array().cast("array<long>"))
     rows = [("reconciliation-spending", spending, listed("included")), ("reconciliation-unresolved", unresolved, listed("unresolved_lines")), ("reconciliation-coverage", cover, numbers)]

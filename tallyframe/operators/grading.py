@@ -7,7 +7,10 @@ Reference: (line_number, source_text, merchant, occurred_on, amount, category, p
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import time
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.formatting import period as period_of
@@ -25,12 +28,12 @@ def is_counted(treatment: Column) -> Column:
 
 def project(transactions: DataFrame, names: DataFrame, offset: int = 0) -> DataFrame:
     """Lines renumbered to the input file and categories renamed; names: category, reference_category (small)."""
-    rows = transactions.join(F.broadcast(names), "category", "left")
+    rows = transactions.join(names, "category", "left")
     return rows.select((F.col("line_number") + offset).alias("line_number"), "source_text", F.col("description").alias("merchant"), "occurred_on", "amount", "treatment", F.col("reference_category").alias("category"))
 
 
 def project_buckets(category_totals: DataFrame, names: DataFrame, offset: int = 0) -> DataFrame:
-    rows = category_totals.join(F.broadcast(names), "category", "left")
+    rows = category_totals.join(names, "category", "left")
     return rows.select(F.col("reference_category").alias("category"), period_of(F.col("month")).alias("period"), "amount", F.transform("lines", lambda x: x + offset).alias("lines"))
 
 
@@ -141,7 +144,7 @@ def read_facts(readers: DataFrame, lines: DataFrame, budgets: DataFrame, changes
     readers: fact_name, reader, category, period, from_period, to_period, line_numbers; few rows, broadcast.
     """
     runs = lines.select("run").distinct()
-    asked = runs.crossJoin(F.broadcast(readers))
+    asked = runs.crossJoin(readers)
     of = lambda name: asked.filter(F.col("reader") == name)
     spent = of("budget_status").join(budgets.select("run", "category", "period", "actual", "target"), ["run", "category", "period"], "left")
     status = F.when(F.col("actual").isNull(), "not_stated").when(F.col("actual") > F.col("target"), "over").otherwise("under")
@@ -155,7 +158,7 @@ def read_facts(readers: DataFrame, lines: DataFrame, budgets: DataFrame, changes
     parts.append(facts.select("run", "fact_name", value.alias("fact_value")))
     n = lines.groupBy("run").agg(F.count_if(F.col("treatment").isin(*UNCATEGORIZED)).cast("string").alias("fact_value"))
     parts.append(of("uncategorized_count").join(n, "run").select("run", "fact_name", "fact_value"))
-    ups = of("largest_increase").select("run", "fact_name", "from_period", "to_period").join(changes.filter("change > 0"), ["run", "from_period", "to_period"], "left")
+    ups = of("largest_increase").select("run", "fact_name", "from_period", "to_period").join(changes.filter("change > 0").select("run", "from_period", "to_period", "category", "change"), ["run", "from_period", "to_period"], "left")
     parts.append(ups.groupBy("run", "fact_name").agg(F.min_by("category", F.struct((-F.col("change")).alias("k"), "category")).alias("fact_value")))
     out = parts[0]
     for p in parts[1:]:
@@ -165,13 +168,13 @@ def read_facts(readers: DataFrame, lines: DataFrame, budgets: DataFrame, changes
 
 def grade_amounts(checks: DataFrame, buckets: DataFrame, runs: DataFrame) -> DataFrame:
     """checks: check_name, category, period, accepted (decimals)."""
-    rows = runs.crossJoin(F.broadcast(checks)).join(buckets.select("run", "category", "period", "amount"), ["run", "category", "period"], "left")
+    rows = runs.crossJoin(checks).join(buckets.select("run", "category", "period", "amount"), ["run", "category", "period"], "left")
     return rows.select("run", "check_name", F.when(within_tolerance(F.col("amount"), F.col("accepted"), TOLERANCE), "passed").otherwise("failed").alias("status"))
 
 
 def grade_facts(checks: DataFrame, facts: DataFrame) -> DataFrame:
     """checks: check_name, fact_name, accepted (texts, compared in any case)."""
-    rows = facts.join(F.broadcast(checks), "fact_name")
+    rows = facts.join(checks, "fact_name")
     good = F.exists("accepted", lambda x: F.lower(x) == F.lower(F.col("fact_value")))
     return rows.select("run", "check_name", F.when(F.coalesce(good, F.lit(False)), "passed").otherwise("failed").alias("status"))
 
@@ -197,7 +200,7 @@ def graded(*parts: DataFrame) -> DataFrame:
 
 def errored(checks: DataFrame, runs: DataFrame) -> DataFrame:
     """Every check of runs that failed before they could be graded."""
-    return runs.crossJoin(F.broadcast(checks.select("check_name"))).select("run", "check_name", F.lit("errored").alias("status"))
+    return runs.crossJoin(checks.select("check_name")).select("run", "check_name", F.lit("errored").alias("status"))
 
 
 def scorecard(grades: DataFrame, minimum: DataFrame) -> DataFrame:
@@ -225,3 +228,108 @@ def frequent(rows: DataFrame, key: list[str], more_than: int = 1) -> DataFrame:
 def repeated_trials(outcomes: DataFrame, n: int) -> DataFrame:
     """Saved outcomes once for each of n runs; live repetition belongs to the driver."""
     return outcomes.withColumn("run", F.explode(F.sequence(F.lit(1), F.lit(n))))
+
+
+#: What a check is: which kind, and what that kind needs. Kinds: amount, fact_value, ledger_category, ledger_lines,
+#: budget_targets, judge and not_applicable, which is never graded.
+CHECKS = (
+    "check_name string, kind string, description string, reader string, category string, period string, from_period string, to_period string, "
+    "line_numbers array<long>, accepted array<string>, targets map<string,decimal(18,2)>"
+)
+
+
+def _verdict(passed: Column) -> Column:
+    return F.when(F.coalesce(passed, F.lit(False)), "passed").otherwise("failed")
+
+
+def _said(*parts) -> Column:
+    return F.concat(*(F.coalesce(p.cast("string"), F.lit("none")) if isinstance(p, Column) else F.lit(p) for p in parts))
+
+
+def _amount_checks(checks: DataFrame, runs: DataFrame, buckets: DataFrame) -> DataFrame:
+    rows = runs.crossJoin(checks).join(buckets.select("run", "category", "period", "amount"), ["run", "category", "period"], "left")
+    near = within_tolerance(F.col("amount"), F.transform("accepted", lambda x: x.cast("decimal(18,2)")), TOLERANCE)
+    reason = _said(F.col("description"), " Expected ", F.array_join("accepted", " or "), f" (within {TOLERANCE}); the run reported ", F.coalesce(F.col("amount").cast("string"), F.lit("no total")), " for ", F.col("category"), " ", F.col("period"), ".")
+    return rows.select("run", "check_name", _verdict(near).alias("status"), reason.alias("reason"))
+
+
+def _fact_checks(checks: DataFrame, lines: DataFrame, budgets: DataFrame, changes: DataFrame) -> DataFrame:
+    readers = checks.select(F.col("check_name").alias("fact_name"), "reader", "category", "period", "from_period", "to_period", "line_numbers")
+    facts = read_facts(readers, lines, budgets, changes).withColumnRenamed("fact_name", "check_name")
+    rows = facts.join(checks.select("check_name", "description", "accepted"), "check_name")
+    good = F.exists("accepted", lambda x: F.lower(x) == F.lower(F.col("fact_value")))
+    reason = _said(F.col("description"), " Expected ", F.array_join("accepted", " or "), " (any case); the run's result gives ", F.col("fact_value"), ".")
+    return rows.select("run", "check_name", _verdict(good).alias("status"), reason.alias("reason"))
+
+
+def _category_checks(checks: DataFrame, runs: DataFrame, reference: DataFrame, lines: DataFrame) -> DataFrame:
+    """Counted reference lines of the category that a run has elsewhere, and lines that it wrongly put there."""
+    ref = reference.select("line_number", F.col("category").alias("own"), "is_counted", accepted_categories().alias("accepted_here"))
+    asked = checks.select("check_name", "category")
+    mine = asked.join(ref.filter("is_counted"), F.col("category") == F.col("own"))
+    counted = lines.filter(is_counted(F.col("treatment"))).select("run", "line_number", F.col("category").alias("placed"))
+    away = runs.crossJoin(mine).join(counted, ["run", "line_number"], "left")
+    away = away.filter(~F.coalesce(F.array_contains("accepted_here", F.col("placed")), F.lit(False))).select("run", "check_name", "line_number")
+    there = counted.join(asked, F.col("placed") == F.col("category")).join(mine.select("check_name", "line_number"), ["check_name", "line_number"], "left_anti")
+    wrong = there.join(ref, "line_number", "left").filter(~F.coalesce(F.col("is_counted") & F.array_contains("accepted_here", F.col("category")), F.lit(False)))
+    n = away.unionByName(wrong.select("run", "check_name", "line_number")).groupBy("run", "check_name").agg(F.count("*").alias("n"))
+    rows = runs.crossJoin(checks.select("check_name", "description", "category")).join(n, ["run", "check_name"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return rows.select("run", "check_name", _verdict(F.col("n") == 0).alias("status"), _said(F.col("description"), " ", F.col("n"), " lines of ", F.col("category"), " differ.").alias("reason"))
+
+
+def _line_checks(checks: DataFrame, runs: DataFrame, reference: DataFrame, lines: DataFrame) -> DataFrame:
+    ref = runs.crossJoin(reference.withColumn("counted", F.col("is_counted")).withColumn("accepted", accepted_categories()))
+    ref = ref.select("run", "line_number", "source_text", "occurred_on", "merchant", "amount", "counted", "category", "accepted")
+    differing = ledger_diff(ref, lines.withColumn("counted", is_counted(F.col("treatment"))), ["run", "line_number"], ["occurred_on", "merchant", "amount", "counted", "category"], {"category": F.array_contains("r_accepted", F.col("p_category"))})
+    n = differing.groupBy("run").agg(F.count("*").alias("n"))
+    rows = runs.crossJoin(checks.select("check_name", "description")).join(n, "run", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return rows.select("run", "check_name", _verdict(F.col("n") == 0).alias("status"), _said(F.col("description"), " ", F.col("n"), " lines differ.").alias("reason"))
+
+
+def _target_checks(checks: DataFrame, runs: DataFrame, budgets: DataFrame) -> DataFrame:
+    used = budgets.select("run", "category", F.col("target").cast("decimal(18,2)").alias("target")).distinct()
+    expected = runs.crossJoin(checks.select("check_name", F.explode("targets").alias("category", "target")))
+    keys = ["run", "check_name", "category", "target"]
+    had = used.crossJoin(checks.select("check_name"))
+    n = lambda a, b, name: a.select(*keys).join(b.select(*keys), keys, "left_anti").groupBy("run", "check_name").agg(F.count("*").alias(name))
+    rows = runs.crossJoin(checks.select("check_name", "description")).join(n(had, expected, "invented"), ["run", "check_name"], "left").join(n(expected, had, "missing"), ["run", "check_name"], "left")
+    rows = rows.fillna(0, ["invented", "missing"])
+    return rows.select("run", "check_name", _verdict(F.col("invented") + F.col("missing") == 0).alias("status"), _said(F.col("description"), " ", F.col("invented"), " targets invented, ", F.col("missing"), " missing.").alias("reason"))
+
+
+def _judge_checks(checks: DataFrame, runs: DataFrame, judgments: DataFrame) -> DataFrame:
+    rows = runs.crossJoin(checks.select("check_name", "description")).join(judgments.select("run", "check_name", "passed", "said"), ["run", "check_name"], "left")
+    none = F.col("passed").isNull()
+    reason = F.when(none, _said("the judge did not return a verdict: ", F.col("said"))).otherwise(_said(F.col("description"), " The judge said: ", F.col("said")))
+    return rows.select("run", "check_name", F.when(none, "errored").otherwise(_verdict(F.col("passed"))).alias("status"), reason.alias("reason"))
+
+
+def grade_run(checks: DataFrame, reference: DataFrame, lines: DataFrame, buckets: DataFrame, budgets: DataFrame, changes: DataFrame, judgments: DataFrame) -> DataFrame:
+    """run, check_name, status and reason of every check of every run.
+
+    checks: as ``CHECKS``, a few rows. judgments: run, check_name, passed (null: no verdict), said. The other tables are
+    outcomes and reference as this module has them.
+    """
+    runs = lines.select("run").distinct()
+    of = lambda kind: checks.filter(F.col("kind") == kind)
+    return graded(
+        _amount_checks(of("amount"), runs, buckets),
+        _fact_checks(of("fact_value"), lines, budgets, changes),
+        _category_checks(of("ledger_category"), runs, reference, lines),
+        _line_checks(of("ledger_lines"), runs, reference, lines),
+        _target_checks(of("budget_targets"), runs, budgets),
+        _judge_checks(of("judge"), runs, judgments),
+    )
+
+
+def timed_trials(spark: SparkSession, trial: Callable[[int], object], n: int) -> DataFrame:
+    """run, seconds and failure of n isolated runs on the driver: one that fails is noted, and the others go on."""
+    rows = []
+    for run in range(1, n + 1):
+        began, failure = time.monotonic(), None
+        try:
+            trial(run)
+        except Exception as error:  # whatever a run does wrong belongs to that run
+            failure = f"{type(error).__name__}: {error}"
+        rows.append((run, time.monotonic() - began, failure))
+    return spark.createDataFrame(rows, "run int, seconds double, failure string")

@@ -14,12 +14,18 @@ from ..functions import evidence as ev
 ROLLOVER_MONTHS = 6
 
 
+def with_dates(lines: DataFrame) -> DataFrame:
+    """Adds the number of date candidates and year, month and day of the first; each pattern is matched once a line."""
+    rows = lines.withColumn("_dates", ev.date_candidates(F.col("source_text"))).withColumn("_parts", ev.date_parts(F.get("_dates", F.lit(0))))
+    parts = F.col("_parts")
+    return rows.withColumns({"_year": ev.year_of(parts), "_month": ev.month_of(parts), "_day": ev.day_of(parts), "_dates": F.size("_dates")}).drop("_parts")
+
+
 def year_evidence(lines: DataFrame) -> DataFrame:
     """log_id, line_number, month and explicit year of lines with exactly one, valid date."""
-    text = F.col("source_text")
-    rows = lines.filter(F.size(ev.date_candidates(text)) == 1)
-    rows = rows.select("log_id", "line_number", ev.date_month(text).alias("month"), ev.explicit_year(text).alias("year"), ev.date_day(text).alias("day"))
-    return rows.filter(ev.calendar_date(F.coalesce("year", F.lit(2000)), F.col("month"), F.col("day")).isNotNull()).drop("day")
+    rows = with_dates(lines.select("log_id", "line_number", "source_text")).filter("_dates = 1")
+    rows = rows.filter(ev.calendar_date(F.coalesce("_year", F.lit(2000)), F.col("_month"), F.col("_day")).isNotNull())
+    return rows.select("log_id", "line_number", F.col("_month").alias("month"), F.col("_year").alias("year"))
 
 
 def infer_years(evidence: DataFrame) -> DataFrame:
@@ -36,22 +42,20 @@ def parse(lines: DataFrame) -> DataFrame:
     """Each line's date, description, amount and ordered issues; lines are never dropped."""
     years = infer_years(year_evidence(lines))
     text = F.col("source_text")
-    rows = lines.join(years, "log_id", "left")
-    dates, amounts = F.size(ev.date_candidates(text)), F.size(ev.amount_candidates(text))
-    rows = rows.withColumns({"_dates": dates, "_amounts": amounts, "_context": ev.amount_context(text, 0), "_year": F.coalesce(ev.explicit_year(text), F.col("inferred_year"))})
-    one = F.col("_dates") == 1
-    day = F.when(one, ev.calendar_date(F.col("_year"), ev.date_month(text), ev.date_day(text)))
-    balance = ev.is_balance(F.col("_context"))
-    read = ev.refund_adjusted(ev.parse_amount(F.element_at(ev.amount_candidates(text), 1)), F.col("_context"))
-    amount = F.when((F.col("_amounts") == 1) & ~balance, read)
-    rows = rows.withColumns({"occurred_on": day, "amount": amount}).withColumn("description", ev.description(text, F.col("amount")))
+    read = with_dates(lines).withColumns({"_amounts": ev.amount_candidates(text), "_context": ev.amount_context(text, 0), "_plain": ev.tidy(ev.without_fields(text))})
+    rows = read.join(years, "log_id", "left").withColumn("_year", F.coalesce("_year", "inferred_year"))
+    context, amounts = F.col("_context"), F.size("_amounts")
+    day = F.when(F.col("_dates") == 1, ev.calendar_date(F.col("_year"), F.col("_month"), F.col("_day")))
+    rows = rows.withColumns({"occurred_on": day, "_balance": ev.is_balance(context), "_read": ev.refund_adjusted(ev.parse_amount(F.get("_amounts", F.lit(0))), context)})
+    rows = rows.withColumn("amount", F.when((amounts == 1) & ~F.col("_balance"), F.col("_read")))
+    rows = rows.withColumn("description", ev.named(F.col("_plain"), F.col("amount")))
     issues = F.array_compact(
         F.array(
             F.when(F.col("_dates") == 0, "missing_date")
             .when(F.col("_dates") > 1, "multiple_dates")
             .when(F.col("_year").isNull(), "year_not_inferable")
             .when(F.col("occurred_on").isNull(), "invalid_date"),
-            F.when(F.col("_amounts") == 0, "missing_amount").when(F.col("_amounts") > 1, "multiple_amounts").when(balance, "nontransaction_amount"),
+            F.when(amounts == 0, "missing_amount").when(amounts > 1, "multiple_amounts").when(F.col("_balance"), "nontransaction_amount"),
             F.when(F.col("description").isNull(), "missing_description"),
         )
     )

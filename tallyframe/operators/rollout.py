@@ -38,7 +38,7 @@ def repeated_call_ids(records: DataFrame) -> DataFrame:
 
 def segments(records: DataFrame, trials: DataFrame) -> DataFrame:
     """trial_id, position, id, kind, text, result of messages and completed calls before the cutoff."""
-    rows = records.join(F.broadcast(trials), "trial_id").filter((F.col("line_number") >= F.col("start_line")) & (F.col("line_number") < F.col("cutoff_line")))
+    rows = records.join(trials, "trial_id").filter((F.col("line_number") >= F.col("start_line")) & (F.col("line_number") < F.col("cutoff_line")))
     said = rows.filter((F.col("type") == "message") & F.col("role").isin("user", "assistant") & (F.col("text") != "") & ~F.col("text").startswith(PLUGIN_MARK))
     said = said.select("trial_id", F.col("line_number").alias("position"), F.concat(F.lit("message_"), F.col("line_number")).alias("id"), F.col("role").alias("kind"), "text", F.lit(None).cast("string").alias("result"))
     calls = rows.filter(F.col("type") == "custom_tool_call").select("trial_id", "call_id", F.col("line_number").alias("call_line"), "call_text")
@@ -49,36 +49,37 @@ def segments(records: DataFrame, trials: DataFrame) -> DataFrame:
 
 
 def merge_polls(rows: DataFrame) -> DataFrame:
-    """Left fold in timeline order: a poll of a session that the tool event before it names is appended to that event.
+    """In timeline order, a poll of a session that the tool event before it names is appended to that event.
 
-    A trial's segments are one array, as its request is (one request a trial).
+    The event's session ids are those of all parts appended so far, so the events of a trial are gone through once; the
+    pass only numbers events, whose texts are joined afterwards. A trial's segments are one array, as its request is.
     """
-    entry = F.struct("position", "id", "kind", "text", "result")
+    poll = F.regexp_extract("text", POLL_ID, 1)
+    asked = F.when((F.col("kind") == "tool") & F.contains("text", F.lit(POLL_MARK)) & (poll != ""), poll)
+    named = F.when(F.col("kind") == "tool", F.coalesce(F.regexp_extract_all("result", F.lit(RESULT_ID), 1), F.array().cast("array<string>"))).otherwise(F.array().cast("array<string>"))
+    entry = F.struct(F.col("position").cast("long").alias("position"), "id", "kind", "text", "result", asked.alias("asked"), named.alias("named"))
     packed = rows.groupBy("trial_id").agg(F.array_sort(F.collect_list(entry)).alias("s"))
-    kind = "array<struct<position:long,id:string,kind:string,text:string,result:string>>"
-    packed = packed.withColumn("s", F.col("s").cast(kind))
-
-    def step(done, x):
-        last = F.try_element_at(done, F.lit(-1))
-        poll = F.regexp_extract(x["text"], POLL_ID, 1)
-        known = F.array_contains(F.regexp_extract_all(last["result"], F.lit(RESULT_ID), 1), poll)
-        joins = (F.size(done) > 0) & (x["kind"] == "tool") & (last["kind"] == "tool") & x["text"].contains(POLL_MARK) & (poll != "") & known
-        grown = F.struct(
-            last["position"].alias("position"),
-            last["id"].alias("id"),
-            last["kind"].alias("kind"),
-            F.concat(last["text"], F.lit(CALL_JOIN), x["text"]).alias("text"),
-            F.concat(last["result"], F.lit(RESULT_JOIN), x["result"]).alias("result"),
-        )
-        return F.when(F.coalesce(joins, F.lit(False)), F.concat(F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))), F.array(grown))).otherwise(F.concat(done, F.array(x)))
+    state = "struct<numbers:array<int>,number:int,known:array<string>>"
+    start = F.struct(F.array().cast("array<int>").alias("numbers"), F.lit(0).alias("number"), F.array().cast("array<string>").alias("known")).cast(state)
+
+    def step(a, x):
+        joins = F.coalesce(F.array_contains(a["known"], x["asked"]), F.lit(False))
+        number = F.when(joins, a["number"]).otherwise(a["number"] + 1)
+        known = F.when(joins, F.array_union(a["known"], x["named"])).otherwise(x["named"])
+        return F.struct(F.array_append(a["numbers"], number).alias("numbers"), number.alias("number"), known.alias("known")).cast(state)
 
-    folded = packed.select("trial_id", F.aggregate("s", F.array().cast(kind), lambda done, x: step(done, x).cast(kind)).alias("s"))
-    return folded.select("trial_id", F.inline("s"))
+    numbers = F.aggregate("s", start, step, lambda a: a["numbers"])
+    events = packed.select("trial_id", F.inline(F.arrays_zip(F.col("s").alias("s"), numbers.alias("number"))))
+    merged = events.select("trial_id", "number", "s.*").groupBy("trial_id", "number").agg(F.array_sort(F.collect_list(F.struct("position", "id", "kind", "text", "result"))).alias("s"))
+    first = F.col("s")[0]
+    results = F.transform("s", lambda x: x["result"])
+    result = F.when(F.exists(results, lambda x: x.isNotNull()), F.array_join(results, RESULT_JOIN))
+    return merged.select("trial_id", first["position"].alias("position"), first["id"].alias("id"), first["kind"].alias("kind"), F.array_join(F.transform("s", lambda x: x["text"]), CALL_JOIN).alias("text"), result.alias("result"))
 
 
 def held_out_answers(records: DataFrame, trials: DataFrame) -> DataFrame:
     """The first assistant message with text at or after the cutoff."""
-    rows = records.join(F.broadcast(trials), "trial_id").filter((F.col("line_number") >= F.col("cutoff_line")) & (F.col("type") == "message") & (F.col("role") == "assistant") & (F.col("text") != ""))
+    rows = records.join(trials, "trial_id").filter((F.col("line_number") >= F.col("cutoff_line")) & (F.col("type") == "message") & (F.col("role") == "assistant") & (F.col("text") != ""))
     return rows.groupBy("trial_id").agg(F.min_by("text", "line_number").alias("answer"), F.min("line_number").alias("answer_line"))
 
 

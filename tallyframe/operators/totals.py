@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .policy import MIXED_NOTE
+from .reconcile import TREATMENTS
 
 MONEY = "decimal(28,2)"
 SHOPPING = "shopping"
@@ -20,8 +21,9 @@ def month(day: Column) -> Column:
 
 
 def _lines(lines: bool, condition: Column | None = None) -> Column:
-    number = F.col("line_number") if condition is None else F.when(condition, F.col("line_number"))
-    return F.array_sort(F.collect_list(number if lines else F.lit(None).cast("long")))
+    if not lines:
+        return F.array().cast("array<long>")
+    return F.array_sort(F.collect_list(F.col("line_number") if condition is None else F.when(condition, F.col("line_number"))))
 
 
 def _sum(amount: Column) -> Column:
@@ -47,15 +49,24 @@ def monthly_totals(transactions: DataFrame, lines: bool = True) -> DataFrame:
 
 
 def treatment_partition(transactions: DataFrame, lines: bool = True) -> DataFrame:
-    return transactions.groupBy("log_id", "treatment").agg(F.count("*").alias("n"), _lines(lines).alias("lines"))
+    """All five treatments of each log; one that no line has gets an empty list."""
+    found = transactions.groupBy("log_id", "treatment").agg(F.count("*").alias("n"), _lines(lines).cast("array<long>").alias("lines"))
+    every = found.select("log_id").distinct().select("log_id", F.explode(F.array(*map(F.lit, TREATMENTS))).alias("treatment"))
+    out = every.join(found, ["log_id", "treatment"], "left")
+    return out.select("log_id", "treatment", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("lines", F.array().cast("array<long>")).alias("lines"))
 
 
 def reconciliation(transactions: DataFrame, category_totals: DataFrame, month_totals: DataFrame, lines: bool = True) -> DataFrame:
-    """One row a log: line lists by treatment, grand totals, refunds and whether everything adds up."""
+    """One row a log: line lists and counts by treatment, grand totals, refunds and whether everything adds up.
+
+    ``lines=False`` only counts, so that a log of any length is added up by partial sums.
+    """
     names = {"included_spending": "included", "excluded_duplicate": "duplicates", "uncategorized_outflow": "unresolved_lines", "uncategorized_credit": "credits", "unparsed": "unparsed"}
     listed = [_lines(lines, F.col("treatment") == t).alias(name) for t, name in names.items()]
     counted = [F.count_if(F.col("treatment") == t).alias(f"n_{name}") for t, name in names.items()]
-    refunds = _lines(lines, (F.col("treatment") == "included_spending") & (F.col("amount") < 0)).alias("refunds")
+    refund = (F.col("treatment") == "included_spending") & (F.col("amount") < 0)
+    refunds = _lines(lines, refund).alias("refunds")
+    counted.append(F.count_if(refund).alias("n_refunds"))
     rows = transactions.groupBy("log_id").agg(F.count("*").alias("n_lines"), F.countDistinct("line_number").alias("distinct_lines"), *listed, *counted, refunds)
     by_category = category_totals.groupBy("log_id").agg(_sum(F.col("amount")).alias("classified"))
     by_month = month_totals.groupBy("log_id").agg(_sum(F.col("classified")).alias("monthly"), _sum(F.col("unresolved")).alias("unresolved"), _sum(F.col("observed")).alias("observed"))
@@ -68,7 +79,7 @@ def reconciliation(transactions: DataFrame, category_totals: DataFrame, month_to
         & (F.col("classified") == F.col("monthly"))
         & (F.col("classified") + F.col("unresolved") == F.col("observed"))
     )
-    return out.withColumn("is_balanced", balanced).drop("distinct_lines", "monthly", *(f"n_{n}" for n in names.values()))
+    return out.withColumn("is_balanced", balanced).drop("distinct_lines", "monthly")
 
 
 def coverage(transactions: DataFrame) -> DataFrame:
@@ -94,16 +105,23 @@ def budget_comparisons(category_totals: DataFrame, month_totals: DataFrame, targ
     return out.withColumn("coverage_note", F.when(F.size("coverage_lines") > 0, text))
 
 
+def month_pairs(months: DataFrame) -> DataFrame:
+    """Neighbouring observed months of each log, numbered from 1."""
+    order = Window.partitionBy("log_id").orderBy("month")
+    rows = months.select("log_id", "month").distinct().select("log_id", F.col("month").alias("from_month"), F.lead("month").over(order).alias("to_month"), F.row_number().over(order).alias("number"))
+    return rows.filter("to_month is not null")
+
+
 def month_deltas(category_totals: DataFrame, months: DataFrame) -> DataFrame:
     """Change of each category between neighbouring observed months: two equi-joins, met by a full outer join.
 
     The window runs over the distinct months of a log, of which there are few.
     """
-    pairs = months.select("log_id", "month").distinct().withColumn("to_month", F.lead("month").over(Window.partitionBy("log_id").orderBy("month")))
-    pairs = pairs.filter("to_month is not null").withColumnRenamed("month", "from_month")
+    pairs = month_pairs(months)
     was = category_totals.select("log_id", F.col("month").alias("from_month"), "category", F.col("amount").alias("a"), F.col("lines").alias("la"))
     now = category_totals.select("log_id", F.col("month").alias("to_month"), "category", F.col("amount").alias("b"), F.col("lines").alias("lb"))
     keys = ["log_id", "from_month", "to_month", "category"]
+    pairs = pairs.drop("number")
     both = pairs.join(was, ["log_id", "from_month"]).join(pairs.join(now, ["log_id", "to_month"]), keys, "full")
     zero, empty = F.lit(0).cast(MONEY), F.array().cast("array<long>")
     out = both.select(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import formatting as fm
@@ -115,27 +116,80 @@ def window_checks(spark, sf_dir):
     return found.select(F.col("trial_id").alias("conv_id"), F.array_join("problems", ",").alias("problems"))
 
 
-@query()
+@query(
+    r"""WITH RECURSIVE c AS (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, role || '_' || turn AS id, role = 'assistant' AS tool, (turn // 2) % 3 AS polled, (turn // 2 + 1) % 3 AS named,
+         CASE WHEN role = 'assistant' THEN 'tools.write_stdin({session_id: ' || ((turn // 2) % 3) || '}) ' || text ELSE text END AS text,
+         CASE WHEN role = 'assistant' THEN '{"session_id": ' || ((turn // 2 + 1) % 3) || '}' END AS result FROM conversations WHERE role = 'assistant' OR turn % 4 <> 2
+       ), f AS (SELECT conv_id, n, 1 AS number, CASE WHEN tool THEN [named] ELSE [] END AS known FROM c WHERE n = 1
+         UNION ALL SELECT c.conv_id, c.n, CASE WHEN c.tool AND list_contains(f.known, c.polled) THEN f.number ELSE f.number + 1 END,
+           CASE WHEN c.tool AND list_contains(f.known, c.polled) THEN list_append(f.known, c.named) WHEN c.tool THEN [c.named] ELSE [] END
+         FROM f JOIN c ON c.conv_id = f.conv_id AND c.n = f.n + 1)
+       SELECT conv_id AS trial_id, min(turn) AS position, arg_min(id, turn) AS id, CASE WHEN bool_or(tool) THEN 'tool' ELSE any_value(role) END AS kind,
+         string_agg(text, chr(10) || '[continued by poll]' || chr(10) ORDER BY turn) AS text, string_agg(result, chr(10) || '[continued output]' || chr(10) ORDER BY turn) AS result
+       FROM f JOIN c USING (conv_id, n) GROUP BY conv_id, number"""
+)
 def merged_polls(spark, sf_dir):
-    tool = F.col("role") == "assistant"
-    rows = table(spark, sf_dir, "conversations").select(
+    """Every second user's turn is left out, so that polls follow each other; sessions come round every three calls."""
+    tool, call = F.col("role") == "assistant", F.floor(F.col("turn") / 2)
+    rows = table(spark, sf_dir, "conversations").filter(tool | (F.col("turn") % 4 != 2)).select(
         F.col("conv_id").alias("trial_id"),
         F.col("turn").alias("position"),
         F.concat("role", F.lit("_"), "turn").alias("id"),
         F.when(tool, "tool").otherwise(F.col("role")).alias("kind"),
-        F.when(tool, F.concat(F.lit("tools.write_stdin({session_id: "), F.col("conv_id"), F.lit("}) "), F.col("text"))).otherwise(F.col("text")).alias("text"),
-        F.when(tool, F.concat(F.lit('{"session_id": '), F.col("conv_id"), F.lit("}"))).alias("result"),
+        F.when(tool, F.concat(F.lit("tools.write_stdin({session_id: "), (call % 3).cast("string"), F.lit("}) "), F.col("text"))).otherwise(F.col("text")).alias("text"),
+        F.when(tool, F.concat(F.lit('{"session_id": '), ((call + 1) % 3).cast("string"), F.lit("}"))).alias("result"),
     )
     return rollout.merge_polls(rows)
 
 
-@query()
+@query(
+    r"""WITH g AS (SELECT conv_id, arg_min(text, turn) AS goal FROM conversations GROUP BY conv_id),
+       x AS (SELECT c.conv_id, turn, text AS result, replace(replace(text, chr(13) || chr(10), chr(10)), '\n', chr(10)) AS t,
+         list_sort(list_distinct(list_filter(regexp_extract_all(lower(goal), '[a-z][a-z0-9.-]{4,}'), lambda y: y NOT IN ('about', 'because', 'could', 'there', 'their', 'these', 'would')))) AS terms
+         FROM conversations c JOIN g USING (conv_id)),
+       u AS (SELECT conv_id, turn, t, terms, unnest(terms) AS term, unnest(range(1, len(terms) + 1)) AS k FROM x WHERE length(result) > 500),
+       p AS (SELECT *, string_split(lower(t), term) AS pieces FROM u),
+       h AS (SELECT *, unnest(range(1, least(len(pieces) - 1, 6) + 1)) AS j FROM p),
+       w AS (SELECT *, list_sum(list_transform(pieces[1:j], lambda y: length(y))) + (j - 1) * length(term) AS hit FROM h),
+       s AS (SELECT conv_id, turn, terms, k, greatest(0, hit - 65) AS start, replace(substring(t, CAST(greatest(0, hit - 65) + 1 AS BIGINT), CAST(hit + length(term) + 90 - greatest(0, hit - 65) AS BIGINT)), chr(10), ' ') AS piece FROM w),
+       r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY len(list_filter(terms, lambda y: contains(lower(piece), y))) DESC, start, k) AS rank FROM s),
+       o AS (SELECT conv_id, turn, start, piece FROM r WHERE rank = 1),
+       d AS (SELECT r.conv_id, r.turn, r.start, r.piece FROM r JOIN o USING (conv_id, turn) WHERE abs(r.start - o.start) > 140 QUALIFY row_number() OVER (PARTITION BY r.conv_id, r.turn ORDER BY r.rank) = 1),
+       m AS (SELECT conv_id, turn, substring(string_agg(piece, chr(10) ORDER BY start), 1, 360) AS middle FROM (SELECT * FROM o UNION ALL SELECT * FROM d) z GROUP BY conv_id, turn)
+       SELECT conv_id, turn, CASE WHEN length(result) <= 500 THEN result
+         ELSE substring(t, 1, 120) || chr(10) || '[Relevant source excerpts]' || chr(10) || coalesce(middle, '') || chr(10) || '[End]' || chr(10) || right(t, 70) END AS excerpt FROM x LEFT JOIN m USING (conv_id, turn)"""
+)
 def excerpts(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations")
     goals = turns.groupBy("conv_id").agg(F.min_by("text", "turn").alias("goal"))
     return turns.join(goals, "conv_id").select("conv_id", "turn", compaction.excerpt(F.col("text"), F.col("goal")).alias("excerpt"))
 
 
+@query("SELECT conv_id, turn, side FROM conversations CROSS JOIN (VALUES ('prepared'), ('rebuilt')) s(side) WHERE role = 'assistant' AND turn % 3 = 0")
+def prepared_requests(spark, sf_dir):
+    """Prepared questions whose wording is not the rebuilt one: the old and the new row of each."""
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("trial_id"), F.col("turn").alias("position"), F.col("turn").cast("string").alias("id"), F.when(F.col("role") == "assistant", "tool").otherwise(F.col("role")).alias("kind"))
+    rebuilt = compaction.questions(rows)
+    prepared = rebuilt.withColumn("instructions", F.when(F.col("position") % 3 == 0, F.concat("instructions", F.lit("?"))).otherwise(F.col("instructions")))
+    return compaction.differences(prepared, rebuilt).select(F.col("trial_id").alias("conv_id"), F.col("position").alias("turn"), "side")
+
+
+@query(
+    _W
+    + """, v AS (SELECT row_number() OVER (ORDER BY o_orderkey) AS log, o_orderkey % 4 AS kind FROM orders)
+    SELECT log, CASE kind WHEN 1 THEN 'ids are not three distinct ones' WHEN 2 THEN 'unsupported ids' WHEN 3 THEN 'unsupported ids,required ids omitted' END AS problems FROM v WHERE kind <> 0"""
+)
+def selection_problems(spark, sf_dir):
+    """A selection of each order's own log: right, with a repeated id, with an unknown one, or without the required one."""
+    number = F.row_number().over(Window.partitionBy("g").orderBy("o_orderkey")).cast("long")
+    logs = table(spark, sf_dir, "orders").select(F.lit(1).alias("g"), "o_orderkey").select(number.alias("log_id"), (F.col("o_orderkey") % 4).alias("kind"))
+    known = logs.select("log_id", F.explode(F.array(*map(F.lit, "abcd"))).alias("evidence_id"))
+    required = logs.select("log_id", F.array(F.lit("a")).alias("required"))
+    of = lambda text: F.array(*map(F.lit, text))
+    chosen = logs.select("log_id", F.when(F.col("kind") == 0, of("abc")).when(F.col("kind") == 1, of("abb")).when(F.col("kind") == 2, of("abx")).otherwise(of("bcx")).alias("selected"))
+    return findings.selection_problems(chosen, known, required).select(F.col("log_id").alias("log"), F.array_join("problems", ",").alias("problems"))
+
+
 @query("SELECT event_id, props AS payload FROM events")
 def code_fences(spark, sf_dir):
     reply = F.concat(F.lit(" ```json\n"), F.col("props"), F.lit("\n``` "))

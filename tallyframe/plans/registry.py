@@ -113,7 +113,11 @@ def monthly_totals(spark, sf_dir):
     return totals.monthly_totals(ledger(spark, sf_dir)).select("month", wide("classified"), wide("unresolved"), wide("observed"), joined("lines").alias("lines"))
 
 
-@query(_W + "SELECT treatment, count(*) AS n, array_to_string(list_sort(list(line_number)), ',') AS lines FROM tx GROUP BY treatment")
+@query(
+    _W
+    + """SELECT t.treatment, count(line_number) AS n, coalesce(array_to_string(list_sort(list(line_number) FILTER (line_number IS NOT NULL)), ','), '') AS lines
+         FROM (VALUES ('included_spending'), ('excluded_duplicate'), ('uncategorized_outflow'), ('uncategorized_credit'), ('unparsed')) t(treatment) LEFT JOIN tx USING (treatment) GROUP BY t.treatment"""
+)
 def treatment_partition(spark, sf_dir):
     return totals.treatment_partition(ledger(spark, sf_dir)).select("treatment", "n", joined("lines").alias("lines"))
 
@@ -131,8 +135,8 @@ def treatment_filter(spark, sf_dir):
 )
 def reconciliation(spark, sf_dir):
     tx = ledger(spark, sf_dir)
-    rows = totals.reconciliation(tx, totals.monthly_category_totals(tx, lines=False), totals.monthly_totals(tx, lines=False))
-    return rows.select("n_lines", wide("classified"), wide("unresolved"), wide("observed"), F.size("duplicates").cast("long").alias("n_duplicates"), "is_balanced")
+    rows = totals.reconciliation(tx, totals.monthly_category_totals(tx, lines=False), totals.monthly_totals(tx, lines=False), lines=False)
+    return rows.select("n_lines", wide("classified"), wide("unresolved"), wide("observed"), "n_duplicates", "is_balanced")
 
 
 @query(_W + "SELECT m AS month, category, CAST(target AS DECIMAL(38,2)) AS target, CAST(actual AS DECIMAL(38,2)) AS actual, CAST(variance AS DECIMAL(38,2)) AS variance, coalesce(array_to_string(lines, ','), '') AS lines FROM bc")
@@ -151,18 +155,14 @@ def month_category_deltas(spark, sf_dir):
     return rows.select("from_month", "to_month", "category", wide("previous"), wide("current"), wide("change"), joined("lines").alias("lines"))
 
 
-@query(_W + "SELECT m AS month, row_number() OVER (ORDER BY m) AS number, lead(m) OVER (ORDER BY m) AS next_month FROM mt")
+@query(_W + "SELECT * FROM (SELECT m AS from_month, lead(m) OVER (ORDER BY m) AS to_month, row_number() OVER (ORDER BY m) AS number FROM mt) p WHERE to_month IS NOT NULL")
 def adjacent_months(spark, sf_dir):
-    months = totals.monthly_totals(ledger(spark, sf_dir), lines=False).select("log_id", "month")
-    order = Window.partitionBy("log_id").orderBy("month")
-    return months.select("month", F.row_number().over(order).cast("long").alias("number"), F.lead("month").over(order).alias("next_month"))
+    return totals.month_pairs(totals.monthly_totals(ledger(spark, sf_dir), lines=False)).select("from_month", "to_month", F.col("number").cast("long").alias("number"))
 
 
 @query(_W + "SELECT DISTINCT m AS month FROM (SELECT m FROM tx WHERE treatment = 'included_spending' UNION SELECT m FROM tx WHERE treatment = 'uncategorized_outflow') u")
 def month_union(spark, sf_dir):
-    tx = ledger(spark, sf_dir).withColumn("month", totals.month(F.col("occurred_on")))
-    parts = [totals.with_treatment(tx, t).select("month") for t in ("included_spending", "uncategorized_outflow")]
-    return parts[0].union(parts[1]).distinct()
+    return totals.monthly_totals(ledger(spark, sf_dir), lines=False).select("month")
 
 
 @query(_W + "SELECT row_number() OVER (ORDER BY variance DESC, m, category) AS place, m AS month, category, CAST(variance AS DECIMAL(38,2)) AS variance FROM bc WHERE variance > 0")
@@ -208,21 +208,61 @@ def budget_statements(spark, sf_dir):
     return findings.budget_evidence(_budgets(spark, sf_dir)).select("evidence_id", "statement", F.col("place").cast("long").alias("place"))
 
 
-@query()
-def evidence_and_findings(spark, sf_dir):
+_LABEL = "CASE category WHEN 'dining_coffee' THEN 'Dining & Coffee' WHEN 'shopping' THEN 'Shopping' WHEN 'other' THEN 'Other' WHEN '3-MEDIUM' THEN '3-medium' WHEN '4-NOT SPECIFIED' THEN '4-not Specified' ELSE category END"
+_EVIDENCE = (
+    _W
+    + f""", cov AS (SELECT m, list_sort(list(line_number)) AS lines FROM tx WHERE treatment = 'included_spending' AND category = 'other' AND policy_note = '{policy.MIXED_NOTE}' GROUP BY m
+    ), b AS (SELECT 0 AS part, row_number() OVER (ORDER BY variance DESC, m, category) AS place, 'budget-' || m || '-' || category AS evidence_id,
+        'In ' || strftime(m, '%B %Y') || ', ' || {_NAME.format("category")} || ' was ' || {_MONEY.format("actual")} || ' against a ' || {_MONEY.format("target")} || ' monthly target, ' || {_MONEY.format("abs(variance)")} || ' over target.' AS statement, len(lines) AS n_lines
+      FROM bc WHERE variance > 0
+    ), c AS (SELECT 1 AS part, row_number() OVER (ORDER BY abs(change) DESC, to_month, category) AS place, 'change-' || from_month || '-' || to_month || '-' || category AS evidence_id,
+        'From ' || strftime(from_month, '%B %Y') || ' to ' || strftime(to_month, '%B %Y') || ', ' || {_LABEL} || CASE WHEN change > 0 THEN ' rose' WHEN change < 0 THEN ' fell' ELSE ' did not change' END
+        || ' by ' || {_MONEY.format("abs(change)")} || ', from ' || {_MONEY.format("previous")} || ' to ' || {_MONEY.format("current")} || '.' AS statement, len(lines) AS n_lines
+      FROM de QUALIFY place <= 5
+    ), s AS (SELECT 2 AS part, 1 AS place, 'shopping-coverage' AS evidence_id,
+        'Shopping was below its stated monthly target in ' || count(*) FILTER (variance < 0) || ' of ' || count(*) || ' reported months. These Shopping totals exclude merchant-only mixed-retailer charges assigned to Other, so the comparison does not cover all shopping-like purchases.' AS statement,
+        len(list_distinct(flatten(list(list_concat(coalesce(bc.lines, []), coalesce(cov.lines, [])))))) AS n_lines
+      FROM bc LEFT JOIN cov USING (m) WHERE category = 'shopping' HAVING count(cov.m) > 0
+    ), r AS (SELECT count(*) AS n, count(*) FILTER (treatment = 'excluded_duplicate') AS dup, count(*) FILTER (treatment = 'unparsed') AS lost, count(*) FILTER (treatment = 'included_spending') AS inc,
+        count(*) FILTER (treatment = 'uncategorized_outflow') AS open, (SELECT sum(classified) FROM mt) AS classified, (SELECT sum(unresolved) FROM mt) AS unresolved FROM tx
+    ), f AS (SELECT 3 AS part, 1 AS place, 'reconciliation-spending' AS evidence_id, 'Classified spending totaled ' || {_MONEY.format("classified")} || ' across the reported period.' AS statement, inc AS n_lines FROM r
+      UNION ALL SELECT 3, 2, 'reconciliation-unresolved', 'Unresolved outflows totaled ' || {_MONEY.format("unresolved")} || ' and were kept separate from classified spending.', open FROM r
+      UNION ALL SELECT 3, 3, 'reconciliation-coverage', 'The analysis accounted for ' || n || ' source lines, including ' || dup || ' excluded duplicates and ' || lost || ' unparsed lines.', n FROM r
+    ), e AS (SELECT *, row_number() OVER (ORDER BY part, place) AS ordinal FROM (SELECT * FROM b UNION ALL SELECT * FROM c UNION ALL SELECT * FROM s UNION ALL SELECT * FROM f) u
+    ), q AS (SELECT 'budget-' || m || '-' || category AS evidence_id, 1 AS rank FROM (SELECT * FROM bc WHERE category = 'dining_coffee' AND variance > 0 ORDER BY variance DESC, m DESC LIMIT 1) x
+      UNION ALL SELECT 'change-' || from_month || '-' || to_month || '-' || category, 2 FROM (SELECT * FROM de ORDER BY abs(change) DESC, to_month, category LIMIT 1) y UNION ALL SELECT evidence_id, 3 FROM s
+    ), """
+)
+
+
+def _evidence(spark, sf_dir):
     tx = ledger(spark, sf_dir)
     ct, mt = totals.monthly_category_totals(tx), totals.monthly_totals(tx)
     budgets, deltas = totals.budget_comparisons(ct, mt, targets(spark), totals.coverage(tx)), totals.month_deltas(ct, mt)
     rows = findings.evidence(budgets, deltas, totals.reconciliation(tx, ct, mt))
-    required = findings.required_ids(budgets, deltas, tx.select("log_id").distinct())
+    return rows, findings.required_ids(budgets, deltas, tx.select("log_id").distinct())
+
+
+@query(_EVIDENCE + """z AS (SELECT 1) SELECT ordinal, evidence_id, statement, CAST(n_lines AS INTEGER) AS n_lines FROM e""")
+def evidence_statements(spark, sf_dir):
+    rows, _ = _evidence(spark, sf_dir)
+    return rows.select(F.col("ordinal").cast("long").alias("ordinal"), "evidence_id", "statement", F.size("lines").alias("n_lines"))
+
+
+@query(
+    _EVIDENCE
+    + """z AS (SELECT e.*, row_number() OVER (ORDER BY q.rank IS NULL, q.rank, ordinal) AS number FROM e LEFT JOIN q USING (evidence_id))
+      SELECT CAST(number AS INTEGER) AS number, evidence_id, statement, CAST(n_lines AS INTEGER) AS n_lines FROM z WHERE number <= 3"""
+)
+def evidence_and_findings(spark, sf_dir):
+    rows, required = _evidence(spark, sf_dir)
     chosen = findings.findings(findings.default_selection(rows, required), rows)
     return chosen.select("number", "evidence_id", "statement", F.size("lines").alias("n_lines"))
 
 
 @query(_W + "SELECT count(*) FILTER (variance < 0) AS under, count(*) AS months FROM bc WHERE category = 'shopping'")
 def months_under_target(spark, sf_dir):
-    rows = _budgets(spark, sf_dir).filter(F.col("category") == "shopping")
-    return rows.groupBy("log_id").agg(F.count_if(F.col("variance") < 0).alias("under"), F.count("*").alias("months")).drop("log_id")
+    return findings.months_under(_budgets(spark, sf_dir)).drop("log_id")
 
 
 @query(
@@ -258,16 +298,41 @@ def uncertain_lines(spark, sf_dir):
     return parsing.uncertain(parsing.parse(rows)).select("line_number", F.array_join("issues", ",").alias("issues"))
 
 
-@query()
+@query(
+    """WITH o AS (SELECT o_orderkey AS k, format('{:,.2f}', CAST(o_totalprice AS DECIMAL(18,2))::DOUBLE) AS t, CAST(o_totalprice AS DECIMAL(18,2)) AS v FROM orders)
+       SELECT k AS line_number, 0 AS place, '$' || t AS amount_text, v AS amount FROM o WHERE k % 4 = 0 UNION ALL SELECT k, 0, '( ' || t || ' )', CAST(-v AS DECIMAL(18,2)) FROM o WHERE k % 4 = 1
+       UNION ALL SELECT k, 0, '-$' || t, CAST(-v AS DECIMAL(18,2)) FROM o WHERE k % 4 = 2 UNION ALL SELECT k, 1, '$-7.25', CAST(-7.25 AS DECIMAL(18,2)) FROM o WHERE k % 4 = 2"""
+)
 def amount_extraction(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").filter(F.col("text").contains("."))
-    return docs.select("doc_id", F.posexplode(ev.amount_candidates(F.col("text"))).alias("place", "amount_text")).withColumn("amount", ev.parse_amount(F.col("amount_text")))
+    """All written forms of an amount, and lines that only look like having one."""
+    k, t = F.col("o_orderkey"), F.format_number(F.col("o_totalprice").cast("decimal(18,2)"), 2)
+    text = (
+        F.when(k % 4 == 0, F.concat(F.lit("2024-01-02 shop $"), t, F.lit(", thanks")))
+        .when(k % 4 == 1, F.concat(F.lit("credit ( "), t, F.lit(" ) posted")))
+        .when(k % 4 == 2, F.concat(F.lit("moved -$"), t, F.lit(" and $-7.25 back")))
+        .otherwise(F.concat(F.lit("part 12.345 of x1.50, 1.2.34 and $12.3 no "), k.cast("string")))
+    )
+    rows = table(spark, sf_dir, "orders").select(k.alias("line_number"), text.alias("t"))
+    return rows.select("line_number", F.posexplode(ev.amount_candidates(F.col("t"))).alias("place", "amount_text")).withColumn("amount", ev.parse_amount(F.col("amount_text")))
 
 
-@query()
+@query(
+    """WITH o AS (SELECT o_orderkey AS k, CAST(o_orderdate AS DATE) AS d FROM orders)
+       SELECT k AS line_number, 0 AS place, strftime(d, '%Y-%m-%d') AS date_text, d AS day FROM o WHERE k % 4 = 0 UNION ALL SELECT k, 0, strftime(d, '%B %-d, %Y'), d FROM o WHERE k % 4 = 1
+       UNION ALL SELECT k, 0, strftime(d, '%b. %d'), CAST('2020' || strftime(d, '-%m-%d') AS DATE) FROM o WHERE k % 4 = 2 UNION ALL SELECT k, 1, strftime(d, '%-m/%-d/%Y'), d FROM o WHERE k % 4 = 2"""
+)
 def date_extraction(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").filter(F.col("text").rlike("[0-9]"))
-    return docs.select("doc_id", F.posexplode(ev.date_candidates(F.col("text"))).alias("place", "date_text"))
+    """All three written forms of a date, and lines that only look like having one."""
+    k, d = F.col("o_orderkey"), F.col("o_orderdate").cast("date")
+    text = (
+        F.when(k % 4 == 0, F.concat(F.lit("paid "), F.date_format(d, "yyyy-MM-dd"), F.lit(" cafe 5.00")))
+        .when(k % 4 == 1, F.concat(F.date_format(d, "MMMM d, yyyy"), F.lit(" shop")))
+        .when(k % 4 == 2, F.concat(F.lit("bought "), F.date_format(d, "MMM. dd"), F.lit(", posted "), F.date_format(d, "M/d/yyyy")))
+        .otherwise(F.concat(F.lit("id x"), F.date_format(d, "yyyy-MM-dd"), F.lit(" ref 1/2/3/4 release 1.2-3 Marchand 5 no "), k.cast("string")))
+    )
+    rows = table(spark, sf_dir, "orders").select(k.alias("line_number"), text.alias("t"))
+    found = rows.select("line_number", F.posexplode(ev.date_candidates(F.col("t"))).alias("place", "date_text"))
+    return found.withColumn("day", ev.parse_date_evidence(F.col("date_text"), F.lit(2020)))
 
 
 @query("SELECT event_id, 'refund' AS side, CAST(-round(abs(value), 2) AS DECIMAL(18,2)) AS amount FROM events WHERE round(abs(value), 2) > 0 UNION ALL SELECT event_id, 'plain' AS side, CAST(round(abs(value), 2) AS DECIMAL(18,2)) AS amount FROM events WHERE round(abs(value), 2) > 0")
@@ -325,12 +390,16 @@ def replace_by_key(spark, sf_dir):
     return parsing.replace_by_key(rows, patch, ["c_custkey"])
 
 
-@query(
-    "SELECT doc_id, ' a [REDACTED] b [REDACTED] c [REDACTED] d [REDACTED] e [REDACTED]' AS checked FROM documents"
-)
+_SECRET_SQL = """coalesce(text, '') || ' a OPENAI_API_KEY="' || h || '" b sk-proj-' || h || ' c github_pat_' || h || ' d ghp_' || h || ' e Bearer ' || h"""
+for _pattern in fm.SECRETS:
+    _SECRET_SQL = f"regexp_replace({_SECRET_SQL}, '{_pattern.replace(chr(39), chr(39) * 2)}', '{fm.REDACTED}', 'g')"
+
+
+@query(f"SELECT doc_id, {_SECRET_SQL} AS checked FROM (SELECT doc_id, text, sha256(CAST(doc_id AS VARCHAR)) AS h FROM documents) d")
 def redaction(spark, sf_dir):
-    n = F.sha2(F.col("doc_id").cast("string"), 256)
-    text = F.concat(F.lit(" a OPENAI_API_KEY="), n, F.lit(" b sk-proj-"), n, F.lit(" c github_pat_"), n, F.lit(" d ghp_"), n, F.lit(" e Bearer "), n)
+    """Every whole text, with all five shapes of secrets added to it."""
+    h = F.sha2(F.col("doc_id").cast("string"), 256)
+    text = F.concat(F.coalesce("text", F.lit("")), F.lit(' a OPENAI_API_KEY="'), h, F.lit('" b sk-proj-'), h, F.lit(" c github_pat_"), h, F.lit(" d ghp_"), h, F.lit(" e Bearer "), h)
     return table(spark, sf_dir, "documents").select("doc_id", fm.redact(text).alias("checked"))
 
 
@@ -438,8 +507,9 @@ def first_after_cutoff(spark, sf_dir):
 def segment_summary(spark, sf_dir):
     turns = _turns(spark, sf_dir)
     rows = turns.select(F.col("conv_id").alias("trial_id"), F.col("turn").cast("string").alias("id"), F.when(F.col("role") == "assistant", "tool").otherwise(F.col("role")).alias("kind"), "text", F.lit(None).cast("string").alias("result"))
-    tool = F.col("kind") == "tool"
-    return rows.groupBy("trial_id").agg(F.count_if(~tool).alias("messages"), F.sum(F.when(tool, compaction.characters(rows))).alias("tool_characters")).withColumnRenamed("trial_id", "conv_id")
+    sizes = F.map_values("tool_characters")
+    total = F.when(F.size(sizes) > 0, F.aggregate(sizes, F.lit(0).cast("long"), lambda a, n: a + n))
+    return compaction.describe(rows).select(F.col("trial_id").alias("conv_id"), "messages", total.alias("tool_characters"))
 
 
 # --- grading ------------------------------------------------------------------------------------------------------
@@ -533,11 +603,6 @@ def tolerance(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", fm.within_tolerance(F.col("c_acctbal").cast("decimal(18,2)"), expected, "250.01").alias("accepted"))
 
 
-@query("SELECT event_id, event_type, user_id, n AS run FROM events CROSS JOIN (VALUES (1), (2), (3)) r(n) WHERE event_id % 5 = 0")
-def repeated_trials(spark, sf_dir):
-    return grading.repeated_trials(table(spark, sf_dir, "events").filter("event_id % 5 = 0").select("event_id", "event_type", "user_id"), 3)
-
-
 @query("SELECT event_id, event_type, user_id, n AS run FROM events CROSS JOIN (VALUES (1), (2), (3)) r(n)")
 def repeated_trials_all(spark, sf_dir):
     return grading.repeated_trials(table(spark, sf_dir, "events").select("event_id", "event_type", "user_id"), 3)
@@ -553,15 +618,6 @@ def _graded_lines(spark, sf_dir):
     return table(spark, sf_dir, "events").select((k % 10).alias("run"), k.alias("line_number"), kind.alias("treatment"), F.col("value").cast("decimal(18,2)").alias("amount"), F.col("event_type").alias("category"))
 
 
-@query(f"WITH {_LINES} SELECT run, 'uncategorized' AS fact_name, CAST(count(*) FILTER (treatment LIKE 'uncategorized%') AS VARCHAR) AS fact_value FROM l GROUP BY run UNION ALL SELECT run, 'out' AS fact_name, 'false' AS fact_value FROM l GROUP BY run")
-def fact_readers(spark, sf_dir):
-    lines = _graded_lines(spark, sf_dir)
-    schema = "fact_name string, reader string, category string, period string, from_period string, to_period string, line_numbers array<long>"
-    readers = spark.createDataFrame([("uncategorized", "uncategorized_count", None, None, None, None, None), ("out", "duplicate_excluded", None, None, None, None, [1])], schema)
-    none = spark.createDataFrame([], "run long, category string, period string, actual decimal(18,2), target decimal(18,2), from_period string, to_period string, change decimal(18,2)")
-    return grading.read_facts(readers, lines, none, none)
-
-
 @query(
     f"""WITH {_LINES} SELECT line_number, 'elsewhere' AS kind FROM l WHERE treatment = 'included_spending' AND category = 'click' AND line_number % 13 = 0
         UNION ALL SELECT line_number, 'wrongly here' AS kind FROM l WHERE (treatment <> 'excluded_duplicate' AND category <> 'click' AND line_number % 13 = 0)
@@ -574,4 +630,4 @@ def category_difference(spark, sf_dir):
     return grading.category_differences(reference, lines.withColumn("category", swapped), "click")
 
 
-from . import decision_queries  # noqa: E402,F401  (registers its queries)
+from . import decision_queries, grading_queries, source_queries, text_queries  # noqa: E402,F401  (they register their queries)

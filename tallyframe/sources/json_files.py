@@ -7,6 +7,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.formatting import scrub_user_name
 
@@ -15,18 +16,30 @@ CHECKS = "check_name string, grader string, fact_name string, minimum_pass_rate
 
 
 def read_typed(spark: SparkSession, path: str, schema: str, lines: bool = True) -> DataFrame:
-    """Rows of a schema; malformed records fail and so do fields that the schema does not have."""
+    """Rows of a schema; malformed records fail and so do fields, nested ones too, that the schema does not have."""
     rows = spark.read.schema(schema).option("mode", "FAILFAST").option("multiLine", not lines).json(path)
     found = spark.read.option("multiLine", not lines).option("primitivesAsString", True).json(path)
-    unknown = sorted(set(found.columns) - set(rows.columns))
+    unknown = sorted(_unknown(found.schema, rows.schema))
     if unknown:
         raise ValueError(f"unknown fields in {path}: {', '.join(unknown)}")
     return rows
 
 
-def latest_scorecards(spark: SparkSession, folder: str, key: list[str], schema: str) -> DataFrame:
-    """The newest ``*/scorecard.json`` of each key (by run folder name), in key order."""
-    rows = spark.read.schema(schema).option("multiLine", True).json(f"{folder}/*/scorecard.json").withColumn("run_folder", F.regexp_extract(F.input_file_name(), "([^/]+)/scorecard.json$", 1))
+def _unknown(found: T.DataType, known: T.DataType, path: str = "") -> list[str]:
+    """Paths of fields that were found but are not known. A map takes any key."""
+    if isinstance(found, T.ArrayType) and isinstance(known, T.ArrayType):
+        return _unknown(found.elementType, known.elementType, path)
+    if isinstance(found, T.StructType) and isinstance(known, T.MapType):
+        return [x for f in found for x in _unknown(f.dataType, known.valueType, f"{path}{f.name}.")]
+    if isinstance(found, T.StructType) and isinstance(known, T.StructType):
+        kinds = {f.name: f.dataType for f in known}
+        return [x for f in found for x in (_unknown(f.dataType, kinds[f.name], f"{path}{f.name}.") if f.name in kinds else [path + f.name])]
+    return []
+
+
+def latest_scorecards(spark: SparkSession, folder: str, key: list[str], schema: str, names: str = "scorecard.json") -> DataFrame:
+    """The newest scorecard (``*/scorecard.json``) of each key, by run folder name, in key order."""
+    rows = spark.read.schema(schema).option("multiLine", True).json(f"{folder}/*/{names}").withColumn("run_folder", F.regexp_extract(F.input_file_name(), "([^/]+)/[^/]+$", 1))
     newest = Window.partitionBy(*key).orderBy(F.col("run_folder").desc())
     return rows.withColumn("_n", F.row_number().over(newest)).filter("_n = 1").drop("_n").orderBy(*key)
 

@@ -6,6 +6,8 @@ inside the call, and writes the answers; everything after reads the table.
 
 from __future__ import annotations
 
+import logging
+import math
 import random
 import time
 from collections.abc import Callable, Iterator
@@ -15,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import send_package
+
 # Limits of the retry policy.
 IN_FLIGHT = 8
 ATTEMPTS = 5
@@ -29,12 +33,24 @@ class Retryable(Exception):
         self.after = after
 
 
-def with_retries(call: Callable[[], object], sleep=time.sleep, draw=random.random) -> object:
-    """At most five attempts; asked waits are capped and jittered, others are full-jitter exponential."""
+def log_step(kind: str, message: str) -> None:
+    """A log line for each step of a provider's call."""
+    logging.getLogger("tallyframe.providers").info("%s: %s", kind, message)
+
+
+def with_retries(call: Callable[[], object], sleep=time.sleep, draw=random.random, publish: Callable[[str, str], None] = log_step) -> object:
+    """At most five attempts; asked waits are capped and jittered, others are full-jitter exponential.
+
+    ``publish`` hears of every attempt, failure and answer.
+    """
     for attempt in range(ATTEMPTS):
         try:
-            return call()
+            publish("asked", f"attempt {attempt + 1}")
+            found = call()
+            publish("answered", f"attempt {attempt + 1}")
+            return found
         except Retryable as failure:
+            publish("failed", f"attempt {attempt + 1}: {failure}")
             if attempt + 1 == ATTEMPTS:
                 raise
             if failure.after is not None:
@@ -44,20 +60,78 @@ def with_retries(call: Callable[[], object], sleep=time.sleep, draw=random.rando
     raise AssertionError("not reached")
 
 
-def recorded(questions: DataFrame, answer: Callable[[dict], dict], schema: str, path: str, tasks: int = 1, in_flight: int = IN_FLIGHT) -> DataFrame:
-    """Answers of ``answer`` to each question, in ``schema``, written to ``path`` and read back; order is kept in a batch."""
+def recorded(questions: DataFrame, answer: Callable[[dict], dict], schema: str, path: str, tasks: int = 1, in_flight: int = IN_FLIGHT, publish: Callable[[str, str], None] = log_step) -> DataFrame:
+    """Answers of ``answer`` to each question, in ``schema``, written to ``path`` and read back; order is kept in a batch.
+
+    A ``Retryable`` failure is tried again inside the call; any other one ends the job, so nothing is written.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         with ThreadPoolExecutor(in_flight) as pool:
             for frame in frames:
-                rows = list(pool.map(lambda q: with_retries(lambda: answer(q)), frame.to_dict("records")))
+                rows = list(pool.map(lambda q: with_retries(lambda: answer(q), publish=publish), frame.to_dict("records")))
                 if rows:
                     yield pd.DataFrame(rows)
 
+    send_package(questions.sparkSession)
     questions.repartition(tasks).mapInPandas(run, schema).write.mode("overwrite").parquet(path)
     return questions.sparkSession.read.parquet(path)
 
 
+def _probability(value: object, of: str) -> float:
+    if isinstance(value, bool) or not isinstance(value, int | float) or not math.isfinite(value) or not 0 <= value <= 1:
+        raise ValueError(f"the probability of {of} is not in [0, 1]: {value}")
+    return float(value)
+
+
+def choose(questions: DataFrame, answer: Callable[[dict], dict], keys: list[str], path: str, **how) -> DataFrame:
+    """Bounded choices: ``answer`` gives choice, confidence and probabilities by option; checked where it is called.
+
+    questions: the keys and options (array of strings). Options without a probability and choices that are no option fail.
+    """
+
+    def one(q: dict) -> dict:
+        said = answer(q)
+        options = list(q["options"])
+        probabilities = {k: _probability(p, k) for k, p in said["probabilities"].items()}
+        if set(probabilities) != set(options) or said["choice"] not in probabilities:
+            raise ValueError(f"the answer {said['choice']} with {sorted(probabilities)} does not fit the options {options}")
+        return {k: q[k] for k in keys} | {"choice": said["choice"], "confidence": _probability(said["confidence"], "the choice"), "probabilities": probabilities}
+
+    kinds = ", ".join(f"{k} {questions.schema[k].dataType.simpleString()}" for k in keys)
+    return recorded(questions.select(*keys, "options"), one, f"{kinds}, choice string, confidence double, probabilities map<string,double>", path, **how)
+
+
+def decide(batches: DataFrame, answer: Callable[[dict], dict], path: str, **how) -> DataFrame:
+    """Yes or no decisions, all of a trial in one call: the ids that come back must be those that were asked.
+
+    batches: trial_id, questions (map from id to text). Gives trial_id and probabilities by id.
+    """
+
+    def one(q: dict) -> dict:
+        asked = dict(q["questions"])
+        said = answer(q)
+        if set(said) != set(asked):
+            raise ValueError(f"asked for {sorted(asked)}, answered {sorted(said)}")
+        return {"trial_id": q["trial_id"], "probabilities": {k: _probability(p, k) for k, p in said.items()}}
+
+    kind = batches.schema["trial_id"].dataType.simpleString()
+    return recorded(batches.select("trial_id", "questions"), one, f"trial_id {kind}, probabilities map<string,double>", path, **how)
+
+
+def complete(prompts: DataFrame, answer: Callable[[dict], str], keys: list[str], path: str, **how) -> DataFrame:
+    """Text completions: keys and prompt go in, keys and completion come out; anything but a text fails."""
+
+    def one(q: dict) -> dict:
+        said = answer(q)
+        if not isinstance(said, str):
+            raise ValueError(f"the completion is no text: {type(said).__name__}")
+        return {k: q[k] for k in keys} | {"completion": said}
+
+    kinds = ", ".join(f"{k} {prompts.schema[k].dataType.simpleString()}" for k in keys)
+    return recorded(prompts.select(*keys, "prompt"), one, f"{kinds}, completion string", path, **how)
+
+
 def choice_problems(decisions: DataFrame) -> DataFrame:
     """Choices that are not in their map, and probabilities that are not finite or not in [0, 1]."""
     p = F.map_values("probabilities")

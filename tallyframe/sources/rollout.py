@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .text import numbered_lines
+
 PAYLOAD = "type string, role string, content string, call_id string, name string, input string, output string"
 
 
@@ -14,15 +16,12 @@ def _parts_text(content):
 
 
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").load(path).select(F.col("path").alias("trial_id"), F.sha2("content", 256).alias("source_sha256"))
+    return spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("trial_id"), F.sha2("content", 256).alias("source_sha256"))
 
 
 def raw_lines(spark: SparkSession, path: str) -> DataFrame:
     """trial_id, line_number and line; only a line feed ends a line."""
-    whole = spark.read.format("binaryFile").load(path).select(F.col("path").alias("trial_id"), F.decode("content", "utf-8").alias("value"))
-    parts = F.split("value", "\n", -1)
-    ended = F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
-    return whole.select("trial_id", F.posexplode(ended).alias("pos", "line")).select("trial_id", (F.col("pos") + 1).cast("long").alias("line_number"), "line")
+    return numbered_lines(spark.read.option("lineSep", "\n").text(path)).toDF("trial_id", "line_number", "line")
 
 
 def invalid_lines(lines: DataFrame) -> DataFrame:
@@ -30,6 +29,29 @@ def invalid_lines(lines: DataFrame) -> DataFrame:
     return lines.filter(F.expr("try_parse_json(line)").isNull()).select("trial_id", "line_number")
 
 
+def malformed_records(lines: DataFrame, trials: DataFrame) -> DataFrame:
+    """Lines of a trial's window whose record is of a known type but lacks what that type must have: must be none.
+
+    trials: trial_id, start_line, cutoff_line. Messages of other roles and records of other types are not looked at.
+    """
+    item = F.from_json("line", "type string, payload string").alias("r")
+    rows = lines.join(trials, "trial_id").filter((F.col("line_number") >= F.col("start_line")) & (F.col("line_number") < F.col("cutoff_line")))
+    rows = rows.select("trial_id", "line_number", item).filter("r.type = 'response_item'").select("trial_id", "line_number", F.from_json("r.payload", PAYLOAD).alias("p"))
+    parts = F.from_json(F.col("p.content"), "array<struct<type:string,text:string>>")
+    no_text = F.coalesce(F.exists(parts, lambda x: x["text"].isNull()), F.lit(True))
+    kind, role = F.col("p.type"), F.col("p.role")
+    list_output = F.from_json(F.col("p.output"), "array<struct<type:string,text:string>>")
+    problem = (
+        F.when(F.col("p").isNull(), "payload is no object")
+        .when((kind == "message") & role.isNull(), "message without role")
+        .when((kind == "message") & role.isin("user", "assistant") & no_text, "message without text")
+        .when((kind == "custom_tool_call") & (F.col("p.call_id").isNull() | F.col("p.name").isNull() | F.col("p.input").isNull()), "tool call is incomplete")
+        .when((kind == "custom_tool_call_output") & (F.col("p.call_id").isNull() | F.col("p.output").isNull()), "tool output is incomplete")
+        .when((kind == "custom_tool_call_output") & F.col("p.output").startswith("[") & F.coalesce(F.exists(list_output, lambda x: x["text"].isNull()), F.lit(True)), "tool output has parts that are no text")
+    )
+    return rows.select("trial_id", "line_number", problem.alias("problem")).filter("problem is not null")
+
+
 def records(lines: DataFrame) -> DataFrame:
     """Usable payloads: messages of users and assistants, tool calls and tool outputs; other records are left out."""
     item = F.from_json("line", f"type string, payload struct<{PAYLOAD.replace(' ', ':')}>".replace(",:", ","))
@@ -37,7 +59,7 @@ def records(lines: DataFrame) -> DataFrame:
     text = F.when(F.col("type") == "message", _parts_text(F.col("content")))
     output = F.col("output")
     result = F.when(output.startswith("["), _parts_text(output)).otherwise(output)
-    kept = rows.filter(F.col("type").isin("message", "custom_tool_call", "custom_tool_call_output"))
+    kept = rows.filter(F.col("type").isin("custom_tool_call", "custom_tool_call_output") | (F.col("type") == "message") & F.col("role").isin("user", "assistant"))
     return kept.select(
         "trial_id",
         "line_number",

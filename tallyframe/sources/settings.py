@@ -1,4 +1,4 @@
-"""Settings from the environment: budget targets and the decision threshold."""
+"""Settings from the environment or a file of assignments: budget targets and the decision threshold."""
 
 from __future__ import annotations
 
@@ -19,6 +19,18 @@ def _money(text: str, name: str) -> Decimal:
     return value
 
 
+def read_assignments(path: str) -> dict[str, str]:
+    """NAME=value lines of a file; blank lines and comments are left out, ``export`` and quotes are taken off."""
+    out = {}
+    with open(path, encoding="utf-8") as f:
+        for line in f:
+            name, equals, value = line.strip().removeprefix("export ").partition("=")
+            if equals and not name.startswith("#"):
+                value = value.strip()
+                out[name.strip()] = value[1:-1] if len(value) > 1 and value[0] == value[-1] and value[0] in "\"'" else value
+    return out
+
+
 @dataclass(frozen=True)
 class Settings:
     """Fixed defaults: monthly targets of 260.00 for dining and 1200.00 for shopping, threshold 0.8."""
@@ -28,8 +40,9 @@ class Settings:
     threshold: float = 0.8
 
     @staticmethod
-    def from_environment(environ=None) -> Settings:
-        env = os.environ if environ is None else environ
+    def from_environment(environ=None, path: str | None = None) -> Settings:
+        """The environment's values go before those of the file."""
+        env = (read_assignments(path) if path else {}) | dict(os.environ if environ is None else environ)
         threshold = float(env.get("DECISION_THRESHOLD", 0.8))
         if not 0 <= threshold <= 1:
             raise ValueError(f"DECISION_THRESHOLD must be in [0, 1]: {threshold}")

@@ -1,5 +1,7 @@
 import datetime as dt
 import json
+import random
+import re
 from decimal import Decimal as D
 
 from pyspark.sql import functions as F
@@ -97,13 +99,46 @@ def test_selection_sizes_and_requests(spark, tmp_path):
     assert compaction.state(parts, goals, "excerpt").count() == 3
 
 
-def test_excerpts():
-    short = "x" * 500
-    assert compaction.excerpt_text(short, "goal") == short and compaction.excerpt_text(None, "goal") is None
-    long = "a" * 300 + " certificate failed here " + "b" * 300 + " certificate and server ready " + "c" * 300
-    got = compaction.excerpt_text(long, "Would the certificate of the server be ready about now?")
-    head, middle, tail = got.split("\n[Relevant source excerpts]\n")[0], got.split("excerpts]\n")[1].split("\n[End]\n")[0], got.split("\n[End]\n")[1]
-    assert head == long[:120] and tail == long[-70:] and "certificate and server ready" in middle and len(middle) <= 360
+def plain_excerpt(result, goal):
+    """What an excerpt must be, by sorted windows."""
+    if result is None or len(result) <= 500:
+        return result
+    text = result.replace("\r\n", "\n").replace("\\n", "\n")
+    terms = sorted(set(re.findall("[a-z][a-z0-9.-]{4,}", (goal or "").lower())) - {"about", "because", "could", "there", "their", "these", "would"})
+    found = []
+    for term in terms:
+        for m in [*re.finditer(re.escape(term), text.lower())][:6]:
+            start = max(0, m.start() - 65)
+            piece = text[start : m.end() + 90].replace("\n", " ")
+            found.append((-len([t for t in terms if t in piece.lower()]), start, len(found), piece))
+    found.sort()
+    kept = found[:1] + [w for w in found if abs(w[1] - found[0][1]) > 140][:1]
+    middle = "\n".join(w[3] for w in sorted(kept, key=lambda w: w[1]))
+    return text[:120] + "\n[Relevant source excerpts]\n" + middle[:360] + "\n[End]\n" + text[-70:]
+
+
+def test_excerpts(spark):
+    rng = random.Random(5)
+    words = ["server", "certificate", "ready.", "ready.now", "a-b-c-d", "Server", "x\ny", "\\n", "\r\n", "would", "none", "é" * 9, "ab+cd", "there", "servers"]
+    rows = [("x" * 500, "goal"), (None, "goal"), ("y" * 900, None), ("certificate " * 90, "the certificate of the server")]
+    rows += [(" ".join(rng.choices(words, k=rng.randint(40, 300))), " ".join(rng.choices(words, k=rng.randint(0, 9)))) for _ in range(150)]
+    got = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k int, result string, goal string").select("k", compaction.excerpt(F.col("result"), F.col("goal")).alias("e")).collect()
+    assert {r.k: r.e for r in got} == {k: plain_excerpt(*r) for k, r in enumerate(rows)}
+
+
+def test_request_sizes_are_those_of_the_json_text(spark):
+    rows = [("t", k, f"tool_{k}" if k else "message_1", 'a "q" \\ \n\t\x01 é👍' * k, None if k % 2 else "r/</>") for k in range(4)] + [("u", 0, "message_9", "alone", None)]
+    parts = spark.createDataFrame(rows, "trial_id string, position long, id string, text string, result string").withColumn("kind", F.when(F.col("id").startswith("tool"), "tool").otherwise("user"))
+    entries = compaction.state(parts, spark.createDataFrame([("t", 'goal "x"\n'), ("u", None)], "trial_id string, goal string"))
+    asked = compaction.questions(parts)
+    wordings = {}
+    for r in asked.collect():
+        wordings.setdefault(r.trial_id, {})[r.id] = r.instructions
+    told = {}
+    for r in entries.orderBy("position").collect():
+        told.setdefault(r.trial_id, (r.current_goal or "", []))[1].append({k: v for k in ("id", "kind", "text", "call", "result", "full_result_characters") if (v := r[k]) is not None})
+    want = {k: len(json.dumps({"current_goal": goal, "timeline": t, "questions": wordings.get(k, {})}, ensure_ascii=False)) for k, (goal, t) in told.items()}
+    assert {r.trial_id: r["size"] for r in compaction.request_sizes(entries, asked).collect()} == want
 
 
 def lines(spark, *rows):
