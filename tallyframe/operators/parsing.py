@@ -22,19 +22,27 @@ def with_dates(lines: DataFrame) -> DataFrame:
 
 
 def year_evidence(lines: DataFrame) -> DataFrame:
-    """log_id, line_number, month and explicit year of lines with exactly one, valid date."""
-    rows = with_dates(lines.select("log_id", "line_number", "source_text")).filter("_dates = 1")
-    rows = rows.filter(ev.calendar_date(F.coalesce("_year", F.lit(2000)), F.col("_month"), F.col("_day")).isNotNull())
-    return rows.select("log_id", "line_number", F.col("_month").alias("month"), F.col("_year").alias("year"))
+    """log_id, line_number, month and explicit year of every line; both null unless it has exactly one, valid date.
+
+    Nothing is filtered out: a filter would be moved below the matches and repeat them.
+    """
+    rows = with_dates(lines.select("log_id", "line_number", "source_text"))
+    valid = (F.col("_dates") == 1) & ev.calendar_date(F.coalesce("_year", F.lit(2000)), F.col("_month"), F.col("_day")).isNotNull()
+    return rows.select("log_id", "line_number", F.when(valid, F.col("_month")).alias("month"), F.when(valid, F.col("_year")).alias("year"))
 
 
 def infer_years(evidence: DataFrame) -> DataFrame:
-    """log_id and the year that all its dates may share: the only explicit one, if no change of year lies between lines."""
-    order = Window.partitionBy("log_id").orderBy("line_number")
-    same = F.coalesce(F.col("year") == F.lag("year").over(order), F.lit(False))
-    step = F.abs(F.col("month") - F.lag("month").over(order)) >= ROLLOVER_MONTHS
-    marked = evidence.select("log_id", "year", F.coalesce(step & ~same, F.lit(False)).alias("crossed"))
-    years = marked.groupBy("log_id").agg(F.min("year").alias("first"), F.max("year").alias("last"), F.bool_or("crossed").alias("crossed"))
+    """log_id and the year that all its dates may share: the only explicit one, if no change of year lies between lines.
+
+    Lines without a month are passed over; a log that has no other lines gives no row.
+    """
+    before = Window.partitionBy("log_id").orderBy("line_number").rowsBetween(Window.unboundedPreceding, -1)
+    dated = evidence.withColumn("e", F.when(F.col("month").isNotNull(), F.struct("month", "year")))
+    last = dated.withColumn("l", F.last("e", ignorenulls=True).over(before))
+    same = F.coalesce(F.col("e.year") == F.col("l.year"), F.lit(False))
+    step = F.abs(F.col("e.month") - F.col("l.month")) >= ROLLOVER_MONTHS
+    marked = last.select("log_id", "year", "month", F.coalesce(step & ~same, F.lit(False)).alias("crossed"))
+    years = marked.groupBy("log_id").agg(F.count("month").alias("n"), F.min("year").alias("first"), F.max("year").alias("last"), F.bool_or("crossed").alias("crossed")).filter("n > 0")
     return years.select("log_id", F.when((F.col("first") == F.col("last")) & ~F.col("crossed"), F.col("first")).alias("inferred_year"))
 
 
