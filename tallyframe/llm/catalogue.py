@@ -5,7 +5,7 @@ from __future__ import annotations
 from .byte_bpe import op8_byte_bpe
 from .exact_dedup import OP5_SQL, op5_exact_dedup
 from .kneser_ney import op2_kneser_ney
-from .ngram_join import op6_ngram_join
+from .ngram_join import OP6_SQL, op6_ngram_join
 from .packing import op9_best_fit_packing
 from .pii import op1_pii
 from .quality import op4_quality_classifier
@@ -28,5 +28,6 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op5_exact_dedup": OP5_SQL,
+    "op6_ngram_join": OP6_SQL,
     "op7_warc_index": OP7_SQL,
 }

@@ -32,17 +32,24 @@ from pyspark.sql import functions as F
 
 from .common import chunks, documents, frugal, mix, split_words, spread, staged, text_only, word_hashes
 
-#: Counters of the frequency sketch and how they are cut for merging.
-SKETCH = 1 << 22
+#: Counters of the frequency sketch, least and most (it is broadcast, 4 bytes each), and how they are cut for merging.
+#: Beyond the most, counters hold many shingles each: their mean is taken off, and frequent shingles still stand out.
+SKETCH_BITS, MOST_SKETCH_BITS = 22, 24
 SLICE = 1 << 18
+#: Characters of text for each counter.
+COUNTER_CHARS = 200
+#: A shingle of so many sets, by the sketch, is hot: its postings never meet in one task.
+HOT = 20_000
 MAX_MATCHES = 4
 #: Words of 64 bits in a set's parity mark.
 MARK_WORDS = 16
 #: Bytes of text that become sets at a time; the arrays of a batch take some twenty times as much.
 SET_BYTES = 5_000_000
 HUB_ROUNDS = 1
-#: Bits of the filter that tells which documents' sets are needed; more documents only let more sets through.
+#: Bits of the filter that tells which documents' sets are needed; for more than an eighth as many, ids are joined.
 FILTER_BITS = 1 << 26
+#: Pieces that a component's classes are dealt to when they learn its smallest id.
+ROOT_SALTS = 32
 _SECOND = np.uint64(0x5A827999CA62C1D6)
 
 
@@ -82,8 +89,8 @@ def _sums(found: np.ndarray, bounds: np.ndarray, salt: np.uint64) -> np.ndarray:
         return (running[bounds[1:]] - running[bounds[:-1]]).view(np.int64)
 
 
-def _slot(found: np.ndarray) -> np.ndarray:
-    return (found >> np.uint64(20)).astype(np.int64) & (SKETCH - 1)
+def _slot(found: np.ndarray, counters: int) -> np.ndarray:
+    return (found >> np.uint64(20)).astype(np.int64) & (counters - 1)
 
 
 MARKS = [f"m{k}" for k in range(MARK_WORDS)]
@@ -105,19 +112,25 @@ def _marks(found: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def surveyed(docs: DataFrame, words: int, salt: int) -> DataFrame:
+def sketch_size(docs: DataFrame) -> int:
+    """Counters of the sketch: a power of two that grows with the text, within bounds."""
+    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    return 1 << min(MOST_SKETCH_BITS, max(SKETCH_BITS, int(chars // COUNTER_CHARS).bit_length()))
+
+
+def surveyed(docs: DataFrame, words: int, salt: int, counters: int) -> DataFrame:
     """Rows of documents (size and signature of the set) and rows of the tasks' frequency sketches."""
 
     def run(batches):
-        sketch = np.zeros(SKETCH, np.uint32)
+        sketch = np.zeros(counters, np.uint32)
         for batch in batches:
             for part in chunks(batch, limit=SET_BYTES):
                 found, bounds = shingles(part.column("text"), words)
-                sketch += np.bincount(_slot(found), minlength=SKETCH).astype(np.uint32)
+                sketch += np.bincount(_slot(found, counters), minlength=counters).astype(np.uint32)
                 none = pa.nulls(part.num_rows)
                 columns = [part.column("doc_id"), np.diff(bounds).astype(np.int32), _sums(found, bounds, np.uint64(salt)), _sums(found, bounds, _SECOND), none.cast(pa.int32()), none.cast(pa.binary()), *_marks(found, bounds)]
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], [x.split()[0] for x in SURVEY.split(", ")])
-        cuts = [k for k in range(SKETCH // SLICE) if sketch[k * SLICE : (k + 1) * SLICE].any()]
+        cuts = [k for k in range(counters // SLICE) if sketch[k * SLICE : (k + 1) * SLICE].any()]
         none = pa.nulls(len(cuts))
         packed = [zlib.compress(sketch[k * SLICE : (k + 1) * SLICE].tobytes(), 1) for k in cuts]
         yield pa.RecordBatch.from_arrays(
@@ -128,7 +141,7 @@ def surveyed(docs: DataFrame, words: int, salt: int) -> DataFrame:
     return staged(text_only(docs).mapInArrow(frugal(run), SURVEY), "ngram-survey")
 
 
-def merged_sketch(survey: DataFrame) -> np.ndarray:
+def merged_sketch(survey: DataFrame, counters: int) -> np.ndarray:
     """Sum of all sketches: 4 bytes a counter, whatever the input."""
 
     def run(batches):
@@ -140,8 +153,8 @@ def merged_sketch(survey: DataFrame) -> np.ndarray:
         for k, total in held.items():
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes(), 1)], pa.binary())], ["slice", "counts"])
 
-    rows = survey.filter("slice is not null").select("slice", "counts").repartition(SKETCH // SLICE, "slice").mapInArrow(frugal(run), "slice int, counts binary")
-    out = np.zeros(SKETCH, np.uint32)
+    rows = survey.filter("slice is not null").select("slice", "counts").repartition(counters // SLICE, "slice").mapInArrow(frugal(run), "slice int, counts binary")
+    out = np.zeros(counters, np.uint32)
     for row in rows.collect():
         out[row["slice"] * SLICE : (row["slice"] + 1) * SLICE] = np.frombuffer(zlib.decompress(row["counts"]), np.uint32)
     return out
@@ -162,7 +175,7 @@ def matches_wanted(estimates: np.ndarray, bounds: np.ndarray, required: np.ndarr
 
 
 def prefixes(docs: DataFrame, words: int, percent: int, salt: int, sketch: np.ndarray) -> DataFrame:
-    """token, cid, n, l and pos of the prefix shingles of every set; a task gives each set once."""
+    """token, cid, n, l, pos and hot of the prefix shingles of every set; a task gives each set once."""
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def run(batches):
@@ -181,16 +194,17 @@ def prefixes(docs: DataFrame, words: int, percent: int, salt: int, sketch: np.nd
                 n, cid = n[some], cid[some]
                 found = found[spread(bounds[:-1][some], n)]
                 bounds = np.concatenate([[0], np.cumsum(n)])
-                estimate = np.maximum(sketch[_slot(found)].astype(np.int64) - noise, 1)
+                estimate = np.maximum(sketch[_slot(found, len(sketch))].astype(np.int64) - noise, 1)
                 order = np.lexsort((estimate, np.repeat(np.arange(len(n)), n)))  # stable: ties stay in order of the hash
                 required = -(-percent * n // 100)
                 l = matches_wanted(estimate[order].astype(np.float64), bounds, required)  # noqa: E741
                 size = np.minimum(n, n - required + l)
-                token = found[order][spread(bounds[:-1], size)].view(np.int64)
-                columns = [token, np.repeat(cid, size), *(np.repeat(x, size).astype(np.int32) for x in (n, l)), spread(np.zeros(len(n), np.int64), size).astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], ["token", "cid", "n", "l", "pos"])
+                taken = spread(bounds[:-1], size)
+                token, hot = found[order][taken].view(np.int64), estimate[order][taken] >= HOT
+                columns = [token, np.repeat(cid, size), *(np.repeat(x, size).astype(np.int32) for x in (n, l)), spread(np.zeros(len(n), np.int64), size).astype(np.int32), hot]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], ["token", "cid", "n", "l", "pos", "hot"])
 
-    return text_only(docs).mapInArrow(frugal(run), POSTINGS)
+    return text_only(docs).mapInArrow(frugal(run), POSTINGS + ", hot boolean")
 
 
 POSTINGS = "token long, cid long, n int, l int, pos int"
@@ -199,6 +213,7 @@ POSTINGS = "token long, cid long, n int, l int, pos int"
 def postings(rows: DataFrame, percent: int, parts: int) -> DataFrame:
     """Prefix shingles that some other set of a fitting size has too; groups pass by as a sorted stream.
 
+    Hot shingles are all kept, and dealt out by set, since a group of theirs may hold a third of all sets.
     ``lost`` counts a set's prefix shingles before this one that no set it may still link with has in its prefix. What
     two sets share up to a common prefix shingle lies in both prefixes, so lost shingles are in no partner that has this.
     """
@@ -226,8 +241,10 @@ def postings(rows: DataFrame, percent: int, parts: int) -> DataFrame:
         if linked:
             yield from carry.to_batches()
 
-    ordered = rows.repartition(parts, "token").sortWithinPartitions("token", "n", "cid")
-    return staged(with_lost(ordered.mapInArrow(frugal(run), POSTINGS), percent), "ngram-postings")
+    rows = staged(rows, "ngram-prefixes")
+    ordered = rows.filter("not hot").drop("hot").repartition(parts, "token").sortWithinPartitions("token", "n", "cid")
+    hot = rows.filter("hot").drop("hot").dropDuplicates(["token", "cid"])
+    return staged(with_lost(ordered.mapInArrow(frugal(run), POSTINGS).unionByName(hot), percent), "ngram-postings")
 
 
 def with_lost(posts: DataFrame, percent: int) -> DataFrame:
@@ -245,7 +262,10 @@ def still_open(posts: DataFrame, roots: DataFrame, tested: DataFrame, percent: i
 
 
 def whole_sets(docs: DataFrame, words: int, salt: int, wanted: DataFrame) -> DataFrame:
-    """cid and whole set of the classes whose smallest doc_id is in ``wanted`` (and perhaps of a few others)."""
+    """cid and whole set of the classes whose smallest doc_id is in ``wanted`` (and perhaps of a few others).
+
+    Few documents are told by a broadcast filter of fixed size, many by a join on their ids.
+    """
 
     def pack(batches):
         held = np.zeros(FILTER_BITS // 8, np.uint8)
@@ -258,6 +278,11 @@ def whole_sets(docs: DataFrame, words: int, salt: int, wanted: DataFrame) -> Dat
 
     bit = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("bit")
     table = np.zeros(FILTER_BITS // 8, np.uint8)
+    if wanted.count() > FILTER_BITS // 8:
+        table[:] = 255
+        ids = wanted.select(F.col("doc_id").alias("wanted_id")).distinct()
+        docs = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi")
+        wanted = wanted.limit(0)
     for row in wanted.select(bit).repartition(4).mapInArrow(pack, "at int, bits binary").collect():  # of fixed size
         piece = np.frombuffer(zlib.decompress(row["bits"]), np.uint8)
         table[row["at"] : row["at"] + len(piece)] |= piece
@@ -327,12 +352,18 @@ def untested(pairs: DataFrame, tested: DataFrame | None) -> DataFrame:
 
 
 def all_pairs(posts: DataFrame, marks: DataFrame, tested: DataFrame | None, percent: int) -> DataFrame:
-    """Candidates of different components: pairs that share as many prefix shingles as the smaller l asks for."""
-    posts = posts.join(marks.drop("n"), "cid")
-    left = posts.select("token", F.col("cid").alias("a"), F.col("n").alias("m"), F.col("lost").alias("lost_m"), F.col("l").alias("k"), F.col("root").alias("r"), *(F.col(x).alias(x.replace("m", "o")) for x in MARKS))
-    apart = (F.col("a") < F.col("cid")) & (F.col("r") != F.col("root")) & may_link("n", "lost", "m", "lost_m", percent) & marks_fit("n", "m", percent)
+    """Candidates of different components: pairs that share as many prefix shingles as the smaller l asks for.
+
+    At each shingle one side leaves out the component that has most sets there, so that sets of one large component
+    are not compared with each other.
+    """
+    most = posts.groupBy("token", "root").count().groupBy("token").agg(F.max_by("root", F.struct("count", "root")).alias("most"))
+    posts = posts.join(most, "token").withColumn("main", F.col("root") == F.col("most")).drop("most").join(marks.drop("n"), "cid")
+    left = posts.filter("not main")
+    left = left.select("token", F.col("cid").alias("x"), F.col("n").alias("m"), F.col("lost").alias("lost_m"), F.col("l").alias("k"), F.col("root").alias("r"), *(F.col(c).alias(c.replace("m", "o")) for c in MARKS))
+    apart = (F.col("main") | (F.col("x") < F.col("cid"))) & (F.col("r") != F.col("root")) & may_link("n", "lost", "m", "lost_m", percent) & marks_fit("n", "m", percent)
     met = left.join(posts, "token").filter(apart)
-    met = met.groupBy("a", F.col("cid").alias("b")).agg(F.count("*").alias("shared"), F.min(F.least("k", "l")).alias("asked"))
+    met = met.groupBy(F.least("x", "cid").alias("a"), F.greatest("x", "cid").alias("b")).agg(F.count("*").alias("shared"), F.min(F.least("k", "l")).alias("asked"))
     return untested(met.filter("shared >= asked").select("a", "b"), tested)
 
 
@@ -359,14 +390,17 @@ def stars(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 def linked_classes(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n, cid) of every row, and (cid, root) of the classes that link with others."""
+    counters = sketch_size(docs)
     for salt in range(1, 20):
-        survey = surveyed(docs, words, salt)
+        survey = surveyed(docs, words, salt, counters)
         rows = survey.filter("slice is null").select("doc_id", "n", "cid", "other")
         marked = survey.filter("slice is null and n > 0").groupBy("cid").agg(F.min("n").alias("n"), *(F.min(m).alias(m) for m in MARKS))
         classes = rows.groupBy("cid").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.max("n").alias("n2"), F.min("other").alias("o"), F.max("other").alias("o2"))
         if not classes.filter("n <> n2 or o <> o2").take(1):  # else two sets share a signature: take other ones
             break
-    sketch = merged_sketch(survey)
+    else:
+        raise RuntimeError("sets share signatures under every salt")
+    sketch = merged_sketch(survey, counters)
     classes = classes.select("cid", "doc_id")
     size = survey.agg(F.sum("n")).first()[0] or 0
     parts = int(8 + size * (100 - percent) // 100 // 400_000)
@@ -394,9 +428,13 @@ def components_of(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFra
     """doc_id, n_shingles, component_id (smallest doc_id that links reach) and class_id of every row."""
     rows, roots = linked_classes(docs, words, percent)
     ids = rows.filter("n > 0").groupBy("cid").agg(F.min("doc_id").alias("doc"))
-    ids = ids.join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    least = ids.groupBy("root").agg(F.min("doc").alias("least"))
-    ids = ids.join(least, "root").select("cid", "least")
+    members = roots.unionByName(roots.select(F.col("root").alias("cid"), "root").distinct())  # roots point nowhere
+    linked = staged(ids.join(members, "cid"), "ngram-linked")
+    # a component may hold a third of all classes: they learn its smallest id in salted pieces
+    least = linked.groupBy("root").agg(F.min("doc").alias("least")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(ROOT_SALTS - 1))))
+    salted = linked.withColumn("salt", F.pmod(F.hash("cid"), F.lit(ROOT_SALTS)))
+    found = salted.join(least, ["root", "salt"]).select("cid", "least")
+    ids = ids.join(found.withColumn("_linked", F.lit(True)), "cid", "left").select("cid", F.when(F.col("_linked"), F.col("least")).otherwise(F.col("doc")).alias("least"))
     out = rows.join(ids, "cid", "left")
     alone = F.col("n") == 0
     return out.select(
@@ -415,4 +453,19 @@ def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return components_of(documents(spark, sf_dir))
+    return components_of(documents(spark, sf_dir)).drop("class_id")
+
+
+OP6_SQL = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents
+), s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])
+                                    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w
+), p AS (SELECT doc_id, len(s) AS n, unnest(s) AS t FROM s
+), links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM p a JOIN p b ON a.t = b.t AND a.doc_id <> b.doc_id AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))
+), reach AS (SELECT a AS doc_id, b FROM links UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON links.a = reach.b)
+SELECT doc_id, len(s) AS n_shingles, least(doc_id, coalesce((SELECT min(b) FROM reach WHERE reach.doc_id = s.doc_id), doc_id)) AS component_id FROM s
+"""

@@ -51,9 +51,11 @@ def corpus(seed, n=260):
     return list(zip(ids, texts)) + [(20_000, None), (20_001, ""), (20_002, "\t a\x0bB "), (20_003, "a b"), (20_004, "q " * 3000), (20_005, "q " * 2000)]
 
 
-@pytest.mark.parametrize("words, percent, hubs", [(3, 90, 1), (5, 80, 2), (2, 50, 0)])
-def test_equals_brute_force(spark, monkeypatch, words, percent, hubs):
+@pytest.mark.parametrize("words, percent, hubs, hot, bits", [(3, 90, 1, 20_000, 1 << 26), (5, 80, 2, 20_000, 1 << 26), (2, 50, 0, 20_000, 1 << 26), (3, 90, 1, 3, 1 << 8)])
+def test_equals_brute_force(spark, monkeypatch, words, percent, hubs, hot, bits):
     monkeypatch.setattr(ngram_join, "HUB_ROUNDS", hubs)
+    monkeypatch.setattr(ngram_join, "HOT", hot)
+    monkeypatch.setattr(ngram_join, "FILTER_BITS", bits)
     rows = corpus(words)
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, cid int").repartition(4)
     got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in components_of(docs, words, percent).collect())
@@ -85,3 +87,22 @@ def test_costly_prefixes_ask_for_more_matches():
     cheap, dear = np.ones(100), np.concatenate([np.full(50, 900.0), np.full(50, 1000.0)])
     wanted = matches_wanted(np.concatenate([cheap, dear]), bounds, np.array([90, 90]))
     assert wanted[1] > 1 and wanted.min() >= 1
+
+
+def test_one_large_component_and_an_outsider(spark):
+    """A shingle of many sets that are connected already: only the outsider is compared with them."""
+    base = [f"w{k}" for k in range(60)]
+    rows = [(k, " ".join([*base, f"own{k}"])) for k in range(1, 120)] + [(900, " ".join(base[:58])), (901, " ".join(f"v{k}" for k in range(60)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in components_of(docs).collect())
+    assert got == brute(rows, 3, 90)
+
+
+def test_the_sketch_grows_with_the_text_within_bounds(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "x" * 1000), (2, None)], "doc_id long, text string")
+    assert ngram_join.sketch_size(docs) == 1 << 22 and ngram_join.sketch_size(docs.limit(0)) == 1 << 22
+    monkeypatch.setattr(ngram_join, "SKETCH_BITS", 3)
+    monkeypatch.setattr(ngram_join, "COUNTER_CHARS", 10)
+    assert ngram_join.sketch_size(docs) == 128
+    monkeypatch.setattr(ngram_join, "MOST_SKETCH_BITS", 5)
+    assert ngram_join.sketch_size(docs) == 32
