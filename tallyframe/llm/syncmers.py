@@ -11,7 +11,7 @@ share of distinct anchors that two texts have in common (two empty ones are alik
 
 The next document is the one with the next smaller doc_id; after the smallest comes the largest. Rows without doc_id
 come last, rows that repeat an id in order of their text's hash. Neighbours meet through one range bucketing of the
-rows: a bucket also gets the first rows of the bucket that follows. Null text counts as empty. Empty tables give
+rows: a bucket also gets the first row of the bucket that follows. Null text counts as empty. Empty tables give
 empty results; a single row is its own next document. Extra columns are ignored.
 """
 
@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 from .common import documents
 
 K = 5
-#: Rows of a bucket, about; there are at most MAX_BUCKETS.
+#: Rows of a bucket, about; beyond MAX_BUCKETS buckets grow, and are sorted on disk.
 BUCKET_ROWS = 2_000
-MAX_BUCKETS = 10_000
+MAX_BUCKETS = 100_000
 
 
 def word_hashes(text: Column) -> Column:
@@ -79,28 +79,41 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(either == 0, F.lit(1.0)).otherwise(common / either)
 
 
+def _descending_place(value: Column, tops: list[int]) -> Column:
+    """How many of the falling ``tops`` are at or above ``value``, by binary search."""
+    held = F.split(F.lit(",".join(map(str, tops))), ",").cast("array<bigint>")  # folded into one literal
+    start = F.struct(F.lit(0).alias("a"), F.lit(len(tops)).alias("b"))
+
+    def halve(s: Column, _: Column) -> Column:
+        middle = F.floor((s["a"] + s["b"]) / 2).cast("int")
+        above = F.get(held, middle) >= value
+        open_ = s["a"] < s["b"]
+        return F.struct(F.when(open_ & above, middle + 1).otherwise(s["a"]).alias("a"), F.when(open_ & ~above, middle).otherwise(s["b"]).alias("b"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(max(1, len(tops).bit_length()))), start, halve, lambda s: s["a"])
+
+
 def with_next(docs: DataFrame, filled: bool = False) -> DataFrame:
     """doc_id, text, its chosen k-mers, and both of the next document."""
+    spark = docs.sparkSession
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    ids = docs.select("doc_id").filter("doc_id is not null")
     n = docs.count()
-    buckets = int(min(MAX_BUCKETS, 1 + n // BUCKET_ROWS))
-    cuts = []
-    if buckets > 1:
-        shares = [i / buckets for i in range(1, buckets)]
-        cuts = sorted(set(docs.agg(F.percentile_approx("doc_id", F.array(*map(F.lit, shares)), 100 * buckets)).first()[0] or []))
+    ranged = ids.repartitionByRange(int(min(MAX_BUCKETS, 1 + n // BUCKET_ROWS)), F.col("doc_id").desc())
+    tops = ranged.groupBy(F.spark_partition_id().alias("p")).agg(F.max("doc_id").alias("top")).collect()  # a row a bucket
+    tops = sorted((r["top"] for r in tops), reverse=True)
     # bucket 0 has the largest ids; rows without id are in the last one
-    place = F.lit(len(cuts) + 1)
-    if cuts:
-        ends = F.array(*map(F.lit, cuts))  # at most MAX_BUCKETS
-        place = F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(F.size(F.filter(ends, lambda c: c >= F.col("doc_id"))))
-    else:
-        place = F.when(F.col("doc_id").isNull(), F.lit(1)).otherwise(F.lit(0))
-    held = docs.select("doc_id", place.alias("b")).groupBy("b").agg(F.max("doc_id").alias("top")).orderBy("b").collect()  # a row a bucket
+    place = F.when(F.col("doc_id").isNull(), F.lit(len(tops))).otherwise(_descending_place(F.col("doc_id"), tops) - 1 if tops else F.lit(0))
     rows = rows.withColumn("b", place)
-    firsts = [(r["top"], held[i - 1]["b"]) for i, r in enumerate(held)]  # the last bucket is followed by the first
-    ghosts = docs.sparkSession.createDataFrame(firsts or [(None, 0)], "top long, before int")
-    ghosts = rows.drop("b").join(F.broadcast(ghosts), F.col("doc_id").eqNullSafe(F.col("top"))).select("doc_id", "text", F.col("before").alias("b"), F.lit(1).alias("ghost"))
-    every = rows.withColumn("ghost", F.lit(0)).unionByName(ghosts).repartition(max(1, len(held)), "b")
+    firsts = [*tops, None] if not tops or n > ids.count() else tops
+    # the first row of a bucket also ends the bucket before it, and the very first one the last bucket
+    ends = spark.createDataFrame([(top, len(firsts) - 1 if i == 0 else i - 1) for i, top in enumerate(firsts)], "top long, before int")
+    if not tops:
+        ends = ends.withColumn("before", F.lit(0))
+    ghosts = rows.drop("b").join(F.broadcast(ends), F.col("doc_id").eqNullSafe(F.col("top")))  # MAX_BUCKETS rows at most
+    ghosts = ghosts.groupBy("before").agg(F.max("doc_id").alias("doc_id"), F.min_by("text", F.xxhash64("text")).alias("text"))
+    every = rows.withColumn("ghost", F.lit(0)).unionByName(ghosts.select("doc_id", "text", F.col("before").alias("b"), F.lit(1).alias("ghost")))
+    every = every.repartitionById(len(tops) + 1, F.col("b").cast("int"))
     every = every.withColumn("marks", marks(F.col("text"), filled=filled))
     order = Window.partitionBy("b").orderBy("ghost", F.col("doc_id").desc_nulls_last(), F.xxhash64("text"))
     every = every.select("*", F.lead("text").over(order).alias("next_text"), F.lead("marks").over(order).alias("next_marks"))
