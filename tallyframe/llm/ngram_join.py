@@ -37,9 +37,10 @@ from .common import chunks, documents, frugal, mix, split_words, spread, staged,
 SKETCH_BITS, MOST_SKETCH_BITS = 22, 24
 SLICE = 1 << 18
 #: Characters of text for each counter.
-COUNTER_CHARS = 200
-#: A shingle of so many sets, by the sketch, is hot: its postings never meet in one task.
+COUNTER_CHARS = 4_000
+#: A shingle of so many sets, by the sketch, is hot: its postings are dealt to so many tasks.
 HOT = 20_000
+HOT_SALTS = 64
 MAX_MATCHES = 4
 #: Words of 64 bits in a set's parity mark.
 MARK_WORDS = 16
@@ -232,19 +233,18 @@ def postings(rows: DataFrame, percent: int, parts: int) -> DataFrame:
             table, token = table.filter(pa.array(keep)), token[keep]
             n = table.column("n").to_numpy().astype(np.int64)
             pair = (token[1:] == token[:-1]) & (100 * n[:-1] >= percent * n[1:])
-            flag = np.zeros(len(token), bool)
-            flag[:-1] = pair
+            flag = table.column("hot").to_numpy().copy()
+            flag[:-1] |= pair
             flag[1:] |= pair
             flag[0] |= linked
             carry, linked = table.slice(table.num_rows - 1), bool(flag[-1])
-            yield from table.slice(0, table.num_rows - 1).filter(pa.array(flag[:-1])).to_batches()
+            yield from table.slice(0, table.num_rows - 1).filter(pa.array(flag[:-1])).drop_columns(["hot"]).to_batches()
         if linked:
-            yield from carry.to_batches()
+            yield from carry.drop_columns(["hot"]).to_batches()
 
-    rows = staged(rows, "ngram-prefixes")
-    ordered = rows.filter("not hot").drop("hot").repartition(parts, "token").sortWithinPartitions("token", "n", "cid")
-    hot = rows.filter("hot").drop("hot").dropDuplicates(["token", "cid"])
-    return staged(with_lost(ordered.mapInArrow(frugal(run), POSTINGS).unionByName(hot), percent), "ngram-postings")
+    salt = F.when(F.col("hot"), F.pmod(F.hash("cid"), F.lit(HOT_SALTS))).otherwise(0)
+    ordered = rows.withColumn("salt", salt).repartition(parts, "token", "salt").drop("salt").sortWithinPartitions("token", "n", "cid")
+    return staged(with_lost(ordered.mapInArrow(frugal(run), POSTINGS), percent), "ngram-postings")
 
 
 def with_lost(posts: DataFrame, percent: int) -> DataFrame:
@@ -435,6 +435,7 @@ def components_of(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFra
     salted = linked.withColumn("salt", F.pmod(F.hash("cid"), F.lit(ROOT_SALTS)))
     found = salted.join(least, ["root", "salt"]).select("cid", "least")
     ids = ids.join(found.withColumn("_linked", F.lit(True)), "cid", "left").select("cid", F.when(F.col("_linked"), F.col("least")).otherwise(F.col("doc")).alias("least"))
+    ids = staged(ids, "ngram-ids")  # so that the rows of a large class can be split in the join
     out = rows.join(ids, "cid", "left")
     alone = F.col("n") == 0
     return out.select(
