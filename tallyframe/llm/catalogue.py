@@ -7,10 +7,10 @@ from .exact_dedup import OP5_SQL, op5_exact_dedup
 from .kneser_ney import op2_kneser_ney
 from .ngram_join import OP6_SQL, op6_ngram_join
 from .packing import op9_best_fit_packing
-from .pii import op1_pii
+from .pii import PII_BASE_SQL, op1_pii, pii_base_spans
 from .quality import op4_quality_classifier
 from .secrets import op3_secret_scan
-from .syncmers import op10_closed_syncmers
+from .syncmers import EDITED_SQL, op10_closed_syncmers, syncmer_edited_texts
 from .warc import OP7_SQL, op7_warc_index
 
 QUERIES = {
@@ -24,9 +24,13 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_closed_syncmers": op10_closed_syncmers,
+    "pii_base_spans": pii_base_spans,
+    "syncmer_edited_texts": syncmer_edited_texts,
 }
 
 ORACLES: dict[str, str] = {
+    "pii_base_spans": PII_BASE_SQL,
+    "syncmer_edited_texts": EDITED_SQL,
     "op5_exact_dedup": OP5_SQL,
     "op6_ngram_join": OP6_SQL,
     "op7_warc_index": OP7_SQL,

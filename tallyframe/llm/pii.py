@@ -6,7 +6,7 @@ words before the candidate. Votes and features are counted over all documents by
 codes whatever the input, so the counts fit on the driver. Expectation-maximisation (one latent label, labelers
 independent given it) estimates each labeler's reliability for each kind, and its posteriors train a logistic
 span classifier on the candidates' features. Candidates of the base patterns are always spans; the classifier adds
-looser candidates that overlap none of them.
+looser candidates that overlap none of them, but no ip or card whose range or checksum fails: these only teach it.
 
 Base patterns, leftmost and non-overlapping for each kind; matches that fail are dropped without retries:
 email ``[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+``; ip ``[0-9]+(\\.[0-9]+){3}`` with parts at most 255;
@@ -40,7 +40,7 @@ _LOCAL_CHARS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ01
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_LOOSE_PHONE = re.compile(r"(?<![0-9+])\(?[0-9]{2,4}\)?[ .-][0-9]{2,4}[ .-][0-9]{3,5}(?![0-9])")
+_LOOSE_PHONE = re.compile(r"(?<![0-9+])(?<![0-9][ .-])\(?[0-9]{2,4}\)?[ .-][0-9]{2,4}[ .-][0-9]{3,5}(?![ .-]?[0-9])")
 _LOOSE_EMAIL = re.compile(r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]{1,64}(?: ?[\[(]at[\])] ?| at )[a-z0-9-]{1,63}(?:(?: ?[\[(]dot[\])] ?| dot )[a-z0-9-]{2,63})+")
 _STRICT_PHONE = re.compile(r"\(?[2-9][0-9]{2}\)?[ .-][2-9][0-9]{2}[ .-][0-9]{4}\Z")
 _DIGITS = re.compile(r"[0-9]+")
@@ -179,6 +179,11 @@ def candidates(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, i
     return base, loose
 
 
+#: Votes (against, silent, for) of true and of false candidates that each labeler starts with. Labelers are better than
+#: chance; a checksum or range rule hardly ever speaks against a true one, however few candidates there are.
+PRIOR_VOTES = (((0.5, 1.0, 2.0), (2.0, 1.0, 0.5)), ((0.1, 1.0, 20.0), (20.0, 1.0, 2.0)), ((0.5, 1.0, 2.0), (2.0, 1.0, 0.5)), ((0.5, 1.0, 2.0), (2.0, 1.0, 0.5)))
+
+
 @dataclass(frozen=True)
 class SpanModel:
     reliability: np.ndarray  # kind x labeler x label x vote
@@ -188,7 +193,10 @@ class SpanModel:
     def probability(self, codes: np.ndarray) -> np.ndarray:
         if not len(codes):
             return np.zeros(0)
-        return 1 / (1 + np.exp(-np.clip(self.weights[_columns(fields(codes))].sum(axis=1), -40, 40)))
+        f = fields(codes)
+        p = 1 / (1 + np.exp(-np.clip(self.weights[_columns(f)].sum(axis=1), -40, 40)))
+        # no address or card by definition, whatever else speaks for it: a range or checksum that fails
+        return np.where(np.isin(f[:, 0], (1, 2)) & (f[:, 2] == 0), 0.0, p)
 
 
 def _columns(f: np.ndarray) -> np.ndarray:
@@ -204,7 +212,7 @@ def fit(codes: np.ndarray, counts: np.ndarray, rounds: int = 50) -> SpanModel:
     f = fields(codes)
     votes, kind = f[:, 1:5], f[:, 0]
     agree = (votes - 1).sum(axis=1)
-    q = 1 / (1 + np.exp(-1.5 * (agree - 1.0)))
+    q = 1 / (1 + np.exp(-1.5 * (agree - 1.0 - 2.0 * (votes[:, 1] == 0))))
     reliability, prior = np.full((4, 4, 2, 3), 1 / 3), np.full(4, 0.5)
     for _ in range(rounds):
         for k in range(4):
@@ -215,9 +223,9 @@ def fit(codes: np.ndarray, counts: np.ndarray, rounds: int = 50) -> SpanModel:
             for j in range(4):
                 for v in range(3):
                     at = votes[mine, j] == v
-                    # a prior of a few votes that labelers are better than chance
-                    reliability[k, j, 1, v] = ((n * q[mine])[at].sum() + (0.5, 1.0, 2.0)[v]) / (on + 3.5)
-                    reliability[k, j, 0, v] = ((n * (1 - q[mine]))[at].sum() + (2.0, 1.0, 0.5)[v]) / (off + 3.5)
+                    for_, against = PRIOR_VOTES[j]
+                    reliability[k, j, 1, v] = ((n * q[mine])[at].sum() + for_[v]) / (on + sum(for_))
+                    reliability[k, j, 0, v] = ((n * (1 - q[mine]))[at].sum() + against[v]) / (off + sum(against))
         lift = np.log(prior[kind] / (1 - prior[kind]))
         for j in range(4):
             lift += np.log(reliability[kind, j, 1, votes[:, j]] / reliability[kind, j, 0, votes[:, j]])
@@ -337,3 +345,39 @@ def redacted(docs: DataFrame) -> DataFrame:
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans(documents(spark, sf_dir))
+
+
+def pii_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of ``op1_pii`` that SQL can express."""
+    return op1_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256")
+
+
+def _sql_matches(kind: int, pattern: str, good: str) -> str:
+    """Matches of one kind with their places: the texts between matches and the matches before add up to a match's start."""
+    return f"""
+  SELECT doc_id, {kind} AS kind, m, a, a + length(m) AS b FROM (
+    SELECT doc_id, unnest(ms) AS m, unnest(list_transform(range(1, len(ms) + 1), lambda i: coalesce(list_sum(list_transform(gaps[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0))) AS a
+    FROM (SELECT doc_id, regexp_extract_all(t, '{pattern}') AS ms, regexp_split_to_array(t, '{pattern}') AS gaps FROM d) x WHERE len(ms) > 0) y
+  WHERE {good}"""
+
+
+_DIGITS_SQL = "regexp_replace(m, '[^0-9]', '', 'g')"
+_LUHN_SQL = f"list_sum(list_transform(range(1, length({_DIGITS_SQL}) + 1), lambda i: CASE WHEN (length({_DIGITS_SQL}) - i) % 2 = 0 THEN CAST({_DIGITS_SQL}[i] AS INTEGER) ELSE CAST({_DIGITS_SQL}[i] AS INTEGER) * 2 // 10 + CAST({_DIGITS_SQL}[i] AS INTEGER) * 2 % 10 END)) % 10 = 0"
+PII_BASE_SQL = (
+    "WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), s AS ("
+    + " UNION ALL ".join(
+        _sql_matches(kind, pattern, good)
+        for kind, (pattern, good) in enumerate(
+            [
+                (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
+                (r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", "list_max(list_transform(string_split(m, '.'), lambda x: CAST(x AS HUGEINT))) <= 255"),
+                (r"[0-9](?:[\x20-]?[0-9])+", f"length({_DIGITS_SQL}) BETWEEN 14 AND 19 AND {_LUHN_SQL}"),
+                (r"\+[0-9][\x20().0-9-]+[0-9]", f"length({_DIGITS_SQL}) BETWEEN 10 AND 15"),
+            ]
+        )
+    )
+    + """)
+SELECT doc_id, count(*) FILTER (kind = 0) AS n_email, count(*) FILTER (kind = 1) AS n_ip, count(*) FILTER (kind = 2) AS n_card, count(*) FILTER (kind = 3) AS n_phone,
+  sha256(coalesce(string_agg(CASE kind WHEN 0 THEN 'email' WHEN 1 THEN 'ip' WHEN 2 THEN 'card' WHEN 3 THEN 'phone' END || ':' || CAST(a AS BIGINT) || ':' || CAST(b AS BIGINT), ',' ORDER BY a, kind), '')) AS base_sha256
+FROM d LEFT JOIN s USING (doc_id) GROUP BY doc_id"""
+)

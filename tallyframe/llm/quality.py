@@ -88,6 +88,31 @@ class OrdinalModel:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - score[:, None], -40, 40)))
 
 
+def loss(p: np.ndarray, doc: np.ndarray, col: np.ndarray, grade: np.ndarray, used: int, l2: float) -> tuple[float, np.ndarray]:
+    """Mean negative log likelihood with its penalty, and the gradient.
+
+    p: weights, the first threshold, and the logs of the gaps between thresholds, so that they stay in order.
+    """
+    n, rows = len(grade), np.arange(len(grade))
+    w, gaps = p[:used], np.exp(p[used + 1 :])
+    theta = np.concatenate([[-np.inf], p[used] + np.concatenate([[0], np.cumsum(gaps)]), [np.inf]])
+    score = np.bincount(doc, weights=w[col], minlength=n)
+    high, low = _sigmoid(theta[grade + 1] - score), _sigmoid(theta[grade] - score)
+    mass = np.maximum(high - low, 1e-9)
+    d_high, d_low = high * (1 - high) / mass, low * (1 - low) / mass
+    g_theta = np.zeros((n, GRADES + 1))
+    g_theta[rows, grade + 1] -= d_high
+    g_theta[rows, grade] += d_low
+    g_theta = g_theta[:, 1:-1].sum(axis=0) / n
+    back = np.cumsum(g_theta[::-1])[::-1]
+    g_w = np.bincount(col, weights=((d_high - d_low) / n)[doc], minlength=used) + l2 * w / n
+    return -np.log(mass).mean() + l2 * (w @ w) / (2 * n), np.concatenate([g_w, back[:1], back[1:] * gaps])
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
+
+
 def fit(doc: np.ndarray, feature: np.ndarray, grade: np.ndarray, min_docs: int = MIN_DOCS, l2: float = 0.02, steps: int = 1500) -> OrdinalModel:
     """Maximum penalised likelihood by Adam; deterministic."""
     n, cuts = len(grade), GRADES - 1
@@ -106,26 +131,11 @@ def fit(doc: np.ndarray, feature: np.ndarray, grade: np.ndarray, min_docs: int =
     doc, col = doc[kept], place[feature[kept]]
     share = np.array([np.clip((grade <= k).mean(), 1e-3, 1 - 1e-3) for k in range(cuts)])
     first = np.log(share / (1 - share))
-    # thresholds: the first one and the logs of the gaps, so that they stay in order
     # weights start at each feature's own log odds: words that only occur beside others keep their say
     p = np.concatenate([np.clip(odds[used], -8, 0), first[:1], np.log(np.maximum(np.diff(first), 1e-2))])
     m, v = np.zeros_like(p), np.zeros_like(p)
-    sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -40, 40)))
-    rows = np.arange(n)
     for step in range(1, steps + 1):
-        w, gaps = p[: len(used)], np.exp(p[len(used) + 1 :])
-        theta = np.concatenate([[-np.inf], p[len(used)] + np.concatenate([[0], np.cumsum(gaps)]), [np.inf]])
-        score = np.bincount(doc, weights=w[col], minlength=n)
-        high, low = sigmoid(theta[grade + 1] - score), sigmoid(theta[grade] - score)
-        mass = np.maximum(high - low, 1e-9)
-        d_high, d_low = high * (1 - high) / mass, low * (1 - low) / mass
-        g_score = (d_high - d_low) / n
-        g_theta = np.zeros((n, GRADES + 1))
-        g_theta[rows, grade + 1] -= d_high
-        g_theta[rows, grade] += d_low
-        g_theta = g_theta[:, 1:-1].sum(axis=0) / n
-        back = np.cumsum(g_theta[::-1])[::-1]
-        g = np.concatenate([np.bincount(col, weights=g_score[doc], minlength=len(used)) + l2 * w / n, back[:1], back[1:] * gaps])
+        _, g = loss(p, doc, col, grade, len(used), l2)
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         p = p - 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9) * (1 if step < steps // 2 else 0.3)
     weights = np.zeros(DIMENSIONS, np.float64)

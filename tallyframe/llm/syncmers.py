@@ -143,3 +143,15 @@ def fingerprints(docs: DataFrame, filled: bool = False) -> DataFrame:
 
 def op10_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(documents(spark, sf_dir), filled=True)
+
+
+def syncmer_edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of ``op10_closed_syncmers`` that SQL can express."""
+    return op10_closed_syncmers(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
+EDITED_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n FROM documents
+), e AS (SELECT *, coalesce(lead(t) OVER (ORDER BY doc_id DESC), first_value(t) OVER (ORDER BY doc_id DESC)) AS f FROM d)
+SELECT doc_id, n AS n_chars, sha256(substring(t, 1, n - n // 3) || substring(f, 1, n // 3)) AS edited_sha256 FROM e
+"""

@@ -3,8 +3,9 @@ import random
 import re
 
 import numpy as np
+import pytest
 
-from tallyframe.llm.pii import KINDS, base_spans, fields, fit, mask, redacted, spans
+from tallyframe.llm.pii import ACCEPT, KINDS, base_spans, candidates, code_of, fields, fit, mask, redacted, spans
 
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -81,3 +82,68 @@ def test_addresses_spelled_out_without_digits_are_searched():
     texts = [f"write to jane{at}example{dot}com please" for at in (" at ", "[at]", " (AT) ") for dot in ("[dot]", "(DOT)", " [dot] ", " dot ")]
     assert all(_LOOSE_EMAIL.search(t) for t in texts)
     assert _suspects(pa.array([*texts, "nothing to see"])).tolist() == [True] * len(texts) + [False]
+
+
+def planted_corpus(seed, n):
+    """Texts, planted looser candidates (addresses spelled out, phones without a plus) and things that only look like some."""
+    rng = random.Random(seed)
+    docs, planted, traps = [], [], []
+    words = "the report was sent by our office in spring and shows how many people came to see the garden near the old bridge".split()
+    prose = lambda a, b: " ".join(rng.choices(words, k=rng.randint(a, b)))
+    digits = lambda k: "".join(rng.choices("0123456789", k=k))
+    name = lambda: rng.choice("jane tom amy li omar eva max nina".split()) + rng.choice(["", ".k", "_99", "42"])
+    domain = lambda: rng.choice("example mailbox garden-club blueriver northwind".split())
+
+    def add(lead, span, kind):
+        text = f"{prose(5, 60)} {rng.choice(lead)}"
+        if kind is not None:
+            kind.append((len(docs), len(text), len(text) + len(span)))
+        docs.append(f"{text}{span} {prose(3, 20)}")
+
+    for _ in range(n):
+        kind, top = rng.random(), rng.choice("com org net de io".split())
+        a, b = rng.randint(201, 989), rng.randint(201, 989)
+        if kind < 0.12:
+            add(["mail ", "contact ", "write to "], f"{name()}@{domain()}.{top}", None)
+        elif kind < 0.20:
+            add(["call ", "phone: "], f"+{rng.choice([1, 44, 49])} {a} {b} {digits(4)}", None)
+        elif kind < 0.27:
+            add(["server ", "from ip "], ".".join(str(rng.randint(1, 254)) for _ in range(4)), None)
+        elif kind < 0.35:
+            add(["mail ", "contact ", "write to ", "email: "], f"{name()}{rng.choice([' at ', '[at]', ' [at] ', '(at)'])}{domain()}{rng.choice([' dot ', '[dot]'])}{top}", planted)
+        elif kind < 0.43:
+            add(["call ", "phone ", "tel: ", "fax "], rng.choice([f"({a}) {b}-{digits(4)}", f"{a}-{b}-{digits(4)}", f"{a}.{b}.{digits(4)}"]), planted)
+        elif kind < 0.50:
+            add(["version ", "release ", "build "], f"{digits(2)}.{digits(3)}.{digits(1)}.{rng.randint(256, 900)}", traps)
+        elif kind < 0.56:
+            span = " ".join(digits(4) for _ in range(4))
+            add(["order ", "invoice ", "id ", "no "], span, None if brute(span) else traps)
+        elif kind < 0.62:
+            add(["page ", "isbn ", "section "], f"{digits(2)}-{digits(3)}-{digits(5)}", traps)
+        else:
+            docs.append(prose(10, 80) + rng.choice(["", " meet at noon dot then"]))
+    return docs, planted, traps
+
+
+def added(texts):
+    """(text, start, end) of the spans that the classifier adds, trained on these texts."""
+    found = [candidates(t) for t in texts]
+    codes = [code_of(t, *x) for t, (base, _) in zip(texts, found) for x in base] + [x[3] for _, loose in found for x in loose]
+    model = fit(*np.unique(codes, return_counts=True))
+    return {(k, x[0], x[2]) for k, (_, loose) in enumerate(found) for x in loose if model.probability(np.array([x[3]]))[0] >= ACCEPT}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_recall_and_precision_of_added_spans(seed):
+    texts, planted, traps = planted_corpus(seed, 2500)
+    got = added(texts)
+    meets = lambda a, b: a[0] == b[0] and min(a[2], b[2]) - max(a[1], b[1]) >= 0.7 * (b[2] - b[1])
+    recall = np.mean([any(meets(g, p) for g in got) for p in planted])
+    precision = np.mean([any(meets(g, p) for p in planted) for g in got])
+    assert len(planted) > 300 and len(traps) > 300 and recall >= 0.95 and precision >= 0.95, (recall, precision)
+    assert not any(meets(g, t) for g in got for t in traps)
+
+
+def test_a_failed_checksum_or_range_is_never_added_however_few_texts_there_are():
+    texts = ["card 4111 1111 1111 1112 now", "ip 10.0.0.300 down", "visa: 5500-0000-0000-0005 x", "login from 999.1.1.1"] + ["mail a@b.com"] * 13 + ["ip 10.0.0.1", "card 4111 1111 1111 1111"] * 6
+    assert added(texts) == set() and added(texts[:4]) == set() and added(texts[:1]) == set()

@@ -1,9 +1,10 @@
+import math
 import random
 
 import numpy as np
 import pyarrow as pa
 
-from tallyframe.llm.quality import accepted, features, fit, scored, train
+from tallyframe.llm.quality import accepted, features, fit, loss, scored, train
 
 
 def corpus(n=900, seed=1):
@@ -49,3 +50,47 @@ def test_edges(spark):
     assert list(feature[doc == 1]) == list(feature[doc == 2])
     one = fit(np.array([0]), np.array([5]), np.array([2]))
     assert np.isfinite(one.thresholds).all()
+
+
+def test_loss_and_gradient_equal_brute_force():
+    """The likelihood by its definition, document by document, and its gradient by differences."""
+    rng = np.random.default_rng(6)
+    n, used, l2 = 40, 7, 0.3
+    has = rng.random((n, used)) < 0.4
+    doc, col = np.nonzero(has)
+    grade = rng.integers(0, 3, n)
+    p = rng.normal(size=used + 2)
+
+    def plain(p):
+        theta = [p[used], p[used] + math.exp(p[used + 1])]
+        total = 0.0
+        for i in range(n):
+            score = sum(p[j] for j in range(used) if has[i, j])
+            below = [1 / (1 + math.exp(-(t - score))) for t in theta]
+            total -= math.log([below[0], below[1] - below[0], 1 - below[1]][grade[i]])
+        return total / n + l2 * sum(x * x for x in p[:used]) / (2 * n)
+
+    value, gradient = loss(p, doc, col, grade, used, l2)
+    assert math.isclose(value, plain(p), rel_tol=1e-9)
+    for k in range(used + 2):
+        step = np.zeros(used + 2)
+        step[k] = 1e-5
+        assert math.isclose(gradient[k], (plain(p + step) - plain(p - step)) / 2e-5, rel_tol=1e-5, abs_tol=1e-8)
+
+
+def test_training_reaches_the_least_loss():
+    """No step in any direction from the fitted weights and thresholds is better by much."""
+    rng = np.random.default_rng(7)
+    n = 600
+    grade = rng.integers(0, 3, n)
+    has = np.stack([rng.random(n) < 0.1 + 0.35 * (grade == 0), rng.random(n) < 0.1 + 0.5 * (grade <= 1), rng.random(n) < 0.3], axis=1)
+    doc, col = np.nonzero(has)
+    model = fit(doc, np.array([300, 400, 500])[col], grade)
+    kept = np.array([model.weights[300] != 0, model.weights[400] != 0, model.weights[500] != 0])
+    assert kept.tolist() == [True, True, False]  # the third is no sign of any grade
+    p = np.array([model.weights[300], model.weights[400], model.thresholds[0], math.log(model.thresholds[1] - model.thresholds[0])])
+    some = col < 2
+    best, gradient = loss(p, doc[some], col[some], grade, 2, 0.02)
+    assert np.abs(gradient).max() < 1e-3
+    for _ in range(50):
+        assert loss(p + rng.normal(scale=0.05, size=4), doc[some], col[some], grade, 2, 0.02)[0] > best - 1e-6
