@@ -338,6 +338,7 @@ def hub_pairs(posts: DataFrame, marks: DataFrame, tested: DataFrame | None, perc
     """
     hub = posts.groupBy("token").agg(F.min(F.struct("lost", F.xxhash64("cid").alias("h"), "cid", "n", "root")).alias("hub"))
     hub = hub.select("token", F.col("hub.cid").alias("a"), F.col("hub.n").alias("m"), F.col("hub.lost").alias("lost_m"), F.col("hub.root").alias("hub_root"))
+    hub = staged(hub, "ngram-hubs")  # no aggregate in the join's stage, so that a hot shingle's postings can be split
     met = posts.join(hub, "token").filter((F.col("root") != F.col("hub_root")) & may_link("n", "lost", "m", "lost_m", percent))
     met = untested(met.groupBy("a", F.col("cid").alias("b")).count(), tested)
     met = met.join(_as_other(marks, "a"), "a").join(marks.withColumnRenamed("cid", "b"), "b").filter(marks_fit("n", "m", percent))
@@ -358,6 +359,7 @@ def all_pairs(posts: DataFrame, marks: DataFrame, tested: DataFrame | None, perc
     are not compared with each other.
     """
     most = posts.groupBy("token", "root").count().groupBy("token").agg(F.max_by("root", F.struct("count", "root")).alias("most"))
+    most = staged(most, "ngram-most")  # as for hubs
     posts = posts.join(most, "token").withColumn("main", F.col("root") == F.col("most")).drop("most").join(marks.drop("n"), "cid")
     left = posts.filter("not main")
     left = left.select("token", F.col("cid").alias("x"), F.col("n").alias("m"), F.col("lost").alias("lost_m"), F.col("l").alias("k"), F.col("root").alias("r"), *(F.col(c).alias(c.replace("m", "o")) for c in MARKS))
@@ -433,7 +435,7 @@ def components_of(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFra
     # a component may hold a third of all classes: they learn its smallest id in salted pieces
     least = linked.groupBy("root").agg(F.min("doc").alias("least")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(ROOT_SALTS - 1))))
     salted = linked.withColumn("salt", F.pmod(F.hash("cid"), F.lit(ROOT_SALTS)))
-    found = salted.join(least, ["root", "salt"]).select("cid", "least")
+    found = salted.join(least.hint("merge"), ["root", "salt"]).select("cid", "least")
     ids = ids.join(found.withColumn("_linked", F.lit(True)), "cid", "left").select("cid", F.when(F.col("_linked"), F.col("least")).otherwise(F.col("doc")).alias("least"))
     ids = staged(ids, "ngram-ids")  # so that the rows of a large class can be split in the join
     out = rows.join(ids, "cid", "left")
