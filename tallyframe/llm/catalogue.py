@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .byte_bpe import op8_byte_bpe
 from .exact_dedup import OP5_SQL, op5_exact_dedup
+from .fill_in_middle import OP11_SQL, op11_fill_in_middle
 from .kneser_ney import op2_kneser_ney
 from .ngram_join import OP6_SQL, op6_ngram_join
 from .packing import op9_best_fit_packing
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_closed_syncmers": op10_closed_syncmers,
+    "op11_fill_in_middle": op11_fill_in_middle,
     "pii_base_spans": pii_base_spans,
     "syncmer_edited_texts": syncmer_edited_texts,
 }
@@ -34,4 +36,5 @@ ORACLES: dict[str, str] = {
     "op5_exact_dedup": OP5_SQL,
     "op6_ngram_join": OP6_SQL,
     "op7_warc_index": OP7_SQL,
+    "op11_fill_in_middle": OP11_SQL,
 }
