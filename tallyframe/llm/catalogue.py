@@ -12,6 +12,7 @@ from .pii import PII_BASE_SQL, op1_pii, pii_base_spans
 from .quality import op4_quality_classifier
 from .secrets import op3_secret_scan
 from .syncmers import EDITED_SQL, op10_closed_syncmers, syncmer_edited_texts
+from .url_filter import OP12_SQL, op12_url_filter
 from .warc import OP7_SQL, op7_warc_index
 
 QUERIES = {
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_closed_syncmers": op10_closed_syncmers,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_url_filter": op12_url_filter,
     "pii_base_spans": pii_base_spans,
     "syncmer_edited_texts": syncmer_edited_texts,
 }
@@ -37,4 +39,5 @@ ORACLES: dict[str, str] = {
     "op6_ngram_join": OP6_SQL,
     "op7_warc_index": OP7_SQL,
     "op11_fill_in_middle": OP11_SQL,
+    "op12_url_filter": OP12_SQL,
 }
