@@ -9,6 +9,7 @@ from .kneser_ney import op2_kneser_ney
 from .ngram_join import OP6_SQL, op6_ngram_join
 from .packing import op9_best_fit_packing
 from .pii import PII_BASE_SQL, op1_pii, pii_base_spans
+from .prefix_trie import OP13_SQL, op13_prefix_trie
 from .quality import op4_quality_classifier
 from .secrets import op3_secret_scan
 from .syncmers import EDITED_SQL, op10_closed_syncmers, syncmer_edited_texts
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_closed_syncmers": op10_closed_syncmers,
     "op11_fill_in_middle": op11_fill_in_middle,
     "op12_url_filter": op12_url_filter,
+    "op13_prefix_trie": op13_prefix_trie,
     "pii_base_spans": pii_base_spans,
     "syncmer_edited_texts": syncmer_edited_texts,
 }
@@ -40,4 +42,5 @@ ORACLES: dict[str, str] = {
     "op7_warc_index": OP7_SQL,
     "op11_fill_in_middle": OP11_SQL,
     "op12_url_filter": OP12_SQL,
+    "op13_prefix_trie": OP13_SQL,
 }
