@@ -1,14 +1,15 @@
 """From text lines to parsed lines: year inference and the field projection.
 
-Lines are (log_id, line_number, source_text). Every window is partitioned by log_id, so many logs run side by side.
+Lines are (log_id, line_number, source_text). Windows are over blocks of a log, so that one long log is many tasks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import evidence as ev
+from . import blocks
 
 #: Fixed value: a step of so many months between neighbouring dated lines is a change of year.
 ROLLOVER_MONTHS = 6
@@ -31,21 +32,28 @@ def year_evidence(lines: DataFrame) -> DataFrame:
     return rows.select("log_id", "line_number", F.when(valid, F.col("_month")).alias("month"), F.when(valid, F.col("_year")).alias("year"))
 
 
-def infer_years(evidence: DataFrame) -> DataFrame:
+def infer_years(evidence: DataFrame, width: int | None = None) -> DataFrame:
     """log_id and the year that all its dates may share: the only explicit one, if no change of year lies between lines.
 
-    Lines without a month are passed over; a log that has no other lines gives no row.
+    Lines without a month are passed over; a log that has no other lines gives no row. A log is gone through in blocks (of
+    ``width`` numbers): each gives its first and last dated line, its years and whether one changed inside.
     """
-    before = Window.partitionBy("log_id").orderBy("line_number").rowsBetween(Window.unboundedPreceding, -1)
-    dated = evidence.withColumn("e", F.when(F.col("month").isNotNull(), F.struct("month", "year")))
-    last = dated.withColumn("l", F.last("e", ignorenulls=True).over(before))
-    same = F.coalesce(F.col("e.year") == F.col("l.year"), F.lit(False))
-    step = F.abs(F.col("e.month") - F.col("l.month")) >= ROLLOVER_MONTHS
-    marked = last.select("log_id", "year", "month", F.coalesce(step & ~same, F.lit(False)).alias("crossed"))
-    years = marked.groupBy("log_id").agg(F.count("month").alias("n"), F.min("year").alias("first"), F.max("year").alias("last"), F.bool_or("crossed").alias("crossed")).filter("n > 0")
+    order = blocks.inside(["log_id"], "line_number").rowsBetween(Window.unboundedPreceding, -1)
+    dated = blocks.numbered(evidence, "line_number", width).withColumn("e", F.when(F.col("month").isNotNull(), F.struct("month", "year")))
+    marked = dated.withColumn("crossed", _crossed(F.last("e", ignorenulls=True).over(order), F.col("e")))
+    at = F.when(F.col("e").isNotNull(), F.col("line_number"))
+    parts = marked.groupBy("log_id", "_block").agg(F.count("month").alias("n"), F.min("year").alias("first"), F.max("year").alias("last"), F.bool_or("crossed").alias("crossed"), F.min_by("e", at).alias("head"), F.max_by("e", at).alias("tail"))
+    parts = parts.filter("n > 0").withColumn("between", _crossed(F.lag("tail").over(blocks.along(["log_id"])), F.col("head")))
+    years = parts.groupBy("log_id").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.bool_or(F.col("crossed") | F.col("between")).alias("crossed"))
     return years.select("log_id", F.when((F.col("first") == F.col("last")) & ~F.col("crossed"), F.col("first")).alias("inferred_year"))
 
 
+def _crossed(before: Column, here: Column) -> Column:
+    """Whether the year changes between two neighbouring dated lines."""
+    same = F.coalesce(here["year"] == before["year"], F.lit(False))
+    return F.coalesce((F.abs(here["month"] - before["month"]) >= ROLLOVER_MONTHS) & ~same, F.lit(False))
+
+
 def parse(lines: DataFrame) -> DataFrame:
     """Each line's date, description, amount and ordered issues; lines are never dropped."""
     years = infer_years(year_evidence(lines))

@@ -2,27 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import blocks
+
 TREATMENTS = ("included_spending", "excluded_duplicate", "uncategorized_outflow", "uncategorized_credit", "unparsed")
 
 
-def adjacent_duplicates(rows: DataFrame, group: str, order: str, same: list[str], confirmed: Column | None = None, usable: Column | None = None, step: bool = True) -> DataFrame:
+def adjacent_duplicates(rows: DataFrame, group: str, order: str, same: list[str], confirmed: Column | None = None, usable: Column | None = None, step: bool = True, width: int | None = None) -> DataFrame:
     """Adds is_duplicate and duplicate_of: the row before it agrees on ``same``; runs point at their first row.
 
-    ``step``: the row before must have the number just before. ``usable``: rows that may be an origin.
+    ``step``: the row before must have the number just before. ``usable``: rows that may be an origin. A group of any
+    length is gone through in blocks (of ``width`` numbers).
     """
-    window = Window.partitionBy(group).orderBy(order)
-    agree = F.lag(F.struct(*same)).over(window).eqNullSafe(F.struct(*same)) & F.lag(F.lit(True)).over(window)
-    if step:
-        agree &= F.col(order) == F.lag(order).over(window) + 1
-    if usable is not None:
-        agree &= F.lag(usable).over(window)
-    flag = F.coalesce(agree & (F.lit(True) if confirmed is None else F.coalesce(confirmed, F.lit(False))), F.lit(False))
-    marked = rows.withColumn("is_duplicate", flag)
-    origin = F.last(F.when(~F.col("is_duplicate"), F.col(order)), ignorenulls=True).over(window.rowsBetween(Window.unboundedPreceding, 0))
-    return marked.withColumn("duplicate_of", F.when(F.col("is_duplicate"), origin))
+    true = F.lit(True)
+    marked = rows.withColumns({"_usable": F.coalesce(true if usable is None else usable, F.lit(False)), "_vouched": F.coalesce(true if confirmed is None else confirmed, F.lit(False))})
+
+    def follows(before: Column, here: Column) -> Column:
+        agree = before["_usable"] & here["_vouched"]
+        for c in same:
+            agree &= before[c].eqNullSafe(here[c])
+        return agree & (here[order] == before[order] + 1) if step else agree
+
+    found = blocks.chains(marked, [group], order, follows, [*same, "_usable", "_vouched"], "_origin", width)
+    found = found.withColumn("duplicate_of", F.when(F.col("follows"), F.col("_origin")))
+    return found.withColumnRenamed("follows", "is_duplicate").drop("_usable", "_vouched", "_origin").select(*rows.columns, "is_duplicate", "duplicate_of")
 
 
 def treatment(is_duplicate: Column, complete: Column, category: Column, amount: Column) -> Column:

@@ -6,9 +6,13 @@ Records are (trial_id, line_number, type, role, text, call_id, call_text, result
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import send_package
+from . import blocks
+
 # Marks in the text.
 PLUGIN_MARK = "<recommended_plugins>"
 POLL_MARK = "tools.write_stdin("
@@ -17,6 +21,10 @@ RESULT_ID = r"""["']session_id["']\s*:\s*(\d+)"""
 CALL_JOIN, RESULT_JOIN = "\n[continued by poll]\n", "\n[continued output]\n"
 
 
+#: Before every position.
+NOWHERE = -(2**62)
+
+
 def call_output_pairs(calls: DataFrame, outputs: DataFrame, key: list[str], call_order: str, output_order: str) -> DataFrame:
     """Each call with the first output of its key that comes later: an equi-join with an order condition.
 
@@ -48,29 +56,105 @@ def segments(records: DataFrame, trials: DataFrame) -> DataFrame:
     return said.unionByName(done)
 
 
-def merge_polls(rows: DataFrame) -> DataFrame:
+def _summed(batches):
+    """Of each block of polls: into which event an event that is open before it turns, for every place that may have begun at.
+
+    An event that began at or before all ``named`` places stays open; one that began after ``lowers[i]`` (the first such i)
+    ends, and ``states[i]`` is open after the block. States rise, so each row is put on the stack and taken off once.
+    """
+    key, stack, least = None, [], None
+
+    def row():
+        return (*key, [low for low, _ in stack], [state for _, state in stack])
+
+    out = []
+    for batch in batches:
+        for trial, block, position, named in batch.itertuples(index=False):
+            if (trial, block) != key:
+                if key is not None:
+                    out.append(row())
+                key, stack, least = (trial, block), [], None
+            named = NOWHERE - 1 if pd.isna(named) else int(named)
+            low = None
+            while stack and stack[-1][1] > named:
+                low = stack.pop()[0]
+            if least is None or named < least:
+                low = least = named
+            if low is not None:
+                stack.append((low, int(position)))
+        yield pd.DataFrame(out, columns=["trial_id", "_block", "lowers", "states"])
+        out = []
+    if key is not None:
+        yield pd.DataFrame([row()], columns=["trial_id", "_block", "lowers", "states"])
+
+
+def _carried(batches):
+    """The event that is open before each block, block after block of a trial."""
+    key, state = None, None
+    for batch in batches:
+        out = []
+        for trial, block, lowers, states in batch.itertuples(index=False):
+            if key is None or (trial,) != key:
+                key, state = (trial,), NOWHERE
+            out.append((trial, block, state))
+            state = next((int(s) for low, s in zip(lowers, states) if state > low), state)
+        yield pd.DataFrame(out, columns=["trial_id", "_block", "open"])
+
+
+def _filled(batches):
+    """The place at which the event of each row began."""
+    key, state = None, None
+    for batch in batches:
+        out = []
+        for trial, block, position, named, before in batch.itertuples(index=False):
+            if (trial, block) != key:
+                key, state = (trial, block), int(before)
+            if pd.isna(named) or named < state:
+                state = int(position)
+            out.append((trial, position, state))
+        yield pd.DataFrame(out, columns=["trial_id", "position", "began"])
+
+
+def event_starts(rows: DataFrame, width: int | None = None) -> DataFrame:
+    """trial_id, position and the position at which the row's event began.
+
+    rows: trial_id, position (whole, unique in a trial), asked (the session that a poll asks for, else null), named (sessions
+    that the row's result names). A poll goes on with the event before it if a row of that event names its session: if the
+    session was last named at or after the event's beginning. So all that a fold has to carry is where the open event began;
+    trials are folded in blocks of ``width`` positions, whose effect is put in a few numbers and carried on between them.
+    """
+    send_package(rows.sparkSession)
+    kind = rows.schema["trial_id"].dataType.simpleString()
+    rows = rows.withColumn("position", F.col("position").cast("long"))
+    # what a row names counts after what it asks
+    names = rows.select("trial_id", F.explode(F.array_distinct("named")).alias("session"), (F.col("position") * 2 + 1).alias("at"), F.col("position").alias("here"))
+    asks = rows.filter("asked is not null").select("trial_id", F.col("asked").alias("session"), (F.col("position") * 2).alias("at"), F.lit(None).cast("long").alias("here"))
+    met = blocks.last_before(names.unionByName(asks), ["trial_id", "session"], "at", F.col("here"), "named_at", width)
+    polls = met.filter("here is null").select(F.col("trial_id").alias("_t"), F.expr("at div 2").alias("_p"), "named_at")
+    items = rows.select("trial_id", "position").join(polls, F.col("trial_id").eqNullSafe(F.col("_t")) & (F.col("position") == F.col("_p")), "left")
+    items = blocks.numbered(items.select("trial_id", "position", "named_at"), "position", width)
+    dealt = lambda df: df.repartition("trial_id", "_block").sortWithinPartitions("trial_id", "_block", "position")
+    sums = dealt(items.select("trial_id", "_block", "position", "named_at")).mapInPandas(_summed, f"trial_id {kind}, _block long, lowers array<long>, states array<long>")
+    carried = sums.repartition("trial_id").sortWithinPartitions("trial_id", "_block").mapInPandas(_carried, f"trial_id {kind}, _block long, open long")
+    filled = dealt(blocks.met(items, carried, ["trial_id"])).select("trial_id", "_block", "position", "named_at", "open")
+    return filled.mapInPandas(_filled, f"trial_id {kind}, position long, began long")
+
+
+def merge_polls(rows: DataFrame, width: int | None = None) -> DataFrame:
     """In timeline order, a poll of a session that the tool event before it names is appended to that event.
 
-    The event's session ids are those of all parts appended so far, so the events of a trial are gone through once; the
-    pass only numbers events, whose texts are joined afterwards. A trial's segments are one array, as its request is.
+    The event's session ids are those of all parts appended so far. Only numbers are folded, in blocks; the texts of an
+    event meet once, where they are joined.
     """
+    tool, none = F.col("kind") == "tool", F.array().cast("array<string>")
     poll = F.regexp_extract("text", POLL_ID, 1)
-    asked = F.when((F.col("kind") == "tool") & F.contains("text", F.lit(POLL_MARK)) & (poll != ""), poll)
-    named = F.when(F.col("kind") == "tool", F.coalesce(F.regexp_extract_all("result", F.lit(RESULT_ID), 1), F.array().cast("array<string>"))).otherwise(F.array().cast("array<string>"))
-    entry = F.struct(F.col("position").cast("long").alias("position"), "id", "kind", "text", "result", asked.alias("asked"), named.alias("named"))
-    packed = rows.groupBy("trial_id").agg(F.array_sort(F.collect_list(entry)).alias("s"))
-    state = "struct<numbers:array<int>,number:int,known:array<string>>"
-    start = F.struct(F.array().cast("array<int>").alias("numbers"), F.lit(0).alias("number"), F.array().cast("array<string>").alias("known")).cast(state)
-
-    def step(a, x):
-        joins = F.coalesce(F.array_contains(a["known"], x["asked"]), F.lit(False))
-        number = F.when(joins, a["number"]).otherwise(a["number"] + 1)
-        known = F.when(joins, F.array_union(a["known"], x["named"])).otherwise(x["named"])
-        return F.struct(F.array_append(a["numbers"], number).alias("numbers"), number.alias("number"), known.alias("known")).cast(state)
-
-    numbers = F.aggregate("s", start, step, lambda a: a["numbers"])
-    events = packed.select("trial_id", F.inline(F.arrays_zip(F.col("s").alias("s"), numbers.alias("number"))))
-    merged = events.select("trial_id", "number", "s.*").groupBy("trial_id", "number").agg(F.array_sort(F.collect_list(F.struct("position", "id", "kind", "text", "result"))).alias("s"))
+    asked = F.when(tool & F.contains("text", F.lit(POLL_MARK)) & (poll != ""), poll)
+    named = F.when(tool, F.coalesce(F.regexp_extract_all("result", F.lit(RESULT_ID), 1), none)).otherwise(none)
+    starts = event_starts(rows.select("trial_id", "position", asked.alias("asked"), named.alias("named")), width)
+    starts = starts.select(F.col("trial_id").alias("_t"), F.col("position").alias("_p"), "began")
+    rows = rows.withColumn("position", F.col("position").cast("long"))
+    events = rows.join(starts, F.col("trial_id").eqNullSafe(F.col("_t")) & (F.col("position") == F.col("_p")))
+    merged = events.groupBy("trial_id", "began").agg(F.array_sort(F.collect_list(F.struct("position", "id", "kind", "text", "result"))).alias("s"))
     first = F.col("s")[0]
     results = F.transform("s", lambda x: x["result"])
     result = F.when(F.exists(results, lambda x: x.isNotNull()), F.array_join(results, RESULT_JOIN))

@@ -117,9 +117,9 @@ def window_checks(spark, sf_dir):
 
 
 @query(
-    r"""WITH RECURSIVE c AS (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, role || '_' || turn AS id, role = 'assistant' AS tool, (turn // 2) % 3 AS polled, (turn // 2 + 1) % 3 AS named,
-         CASE WHEN role = 'assistant' THEN 'tools.write_stdin({session_id: ' || ((turn // 2) % 3) || '}) ' || text ELSE text END AS text,
-         CASE WHEN role = 'assistant' THEN '{"session_id": ' || ((turn // 2 + 1) % 3) || '}' END AS result FROM conversations WHERE role = 'assistant' OR turn % 4 <> 2
+    r"""WITH RECURSIVE c AS (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, role || '_' || turn AS id, role = 'assistant' OR turn % 4 = 2 AS tool, turn % 3 AS polled, (turn + 1) % 3 AS named,
+         CASE WHEN role = 'assistant' OR turn % 4 = 2 THEN 'tools.write_stdin({session_id: ' || (turn % 3) || '}) ' || text ELSE text END AS text,
+         CASE WHEN role = 'assistant' OR turn % 4 = 2 THEN '{"session_id": ' || ((turn + 1) % 3) || '}' END AS result FROM conversations
        ), f AS (SELECT conv_id, n, 1 AS number, CASE WHEN tool THEN [named] ELSE [] END AS known FROM c WHERE n = 1
          UNION ALL SELECT c.conv_id, c.n, CASE WHEN c.tool AND list_contains(f.known, c.polled) THEN f.number ELSE f.number + 1 END,
            CASE WHEN c.tool AND list_contains(f.known, c.polled) THEN list_append(f.known, c.named) WHEN c.tool THEN [c.named] ELSE [] END
@@ -129,9 +129,9 @@ def window_checks(spark, sf_dir):
        FROM f JOIN c USING (conv_id, n) GROUP BY conv_id, number"""
 )
 def merged_polls(spark, sf_dir):
-    """Every second user's turn is left out, so that polls follow each other; sessions come round every three calls."""
-    tool, call = F.col("role") == "assistant", F.floor(F.col("turn") / 2)
-    rows = table(spark, sf_dir, "conversations").filter(tool | (F.col("turn") % 4 != 2)).select(
+    """Every second user's turn is a tool's as well, so that polls follow each other; sessions come round every three turns."""
+    tool, call = (F.col("role") == "assistant") | (F.col("turn") % 4 == 2), F.col("turn")
+    rows = table(spark, sf_dir, "conversations").select(
         F.col("conv_id").alias("trial_id"),
         F.col("turn").alias("position"),
         F.concat("role", F.lit("_"), "turn").alias("id"),

@@ -276,6 +276,17 @@ def adjacent_duplicates(spark, sf_dir):
     return rows.filter("is_duplicate").select("o_custkey", "o_orderkey", "duplicate_of")
 
 
+@query(
+    """WITH w AS (SELECT o_orderkey, coalesce(lag(o_orderstatus) OVER c = o_orderstatus AND lag(o_orderkey) OVER c = o_orderkey - 1, false) AS dup FROM orders WINDOW c AS (ORDER BY o_orderkey))
+       SELECT o_orderkey, max(CASE WHEN NOT dup THEN o_orderkey END) OVER (ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING) AS origin, dup AS is_duplicate FROM w"""
+)
+def duplicates_in_one_log(spark, sf_dir):
+    """All orders are one log, which is gone through block by block."""
+    rows = table(spark, sf_dir, "orders").select(F.lit("orders").alias("log_id"), "o_orderkey", "o_orderstatus")
+    rows = reconcile.adjacent_duplicates(rows, "log_id", "o_orderkey", ["o_orderstatus"])
+    return rows.select("o_orderkey", F.coalesce("duplicate_of", "o_orderkey").alias("origin"), "is_duplicate")
+
+
 # --- text lines ---------------------------------------------------------------------------------------------------
 
 
@@ -372,6 +383,20 @@ def period_inference(spark, sf_dir):
     return parsing.infer_years(rows).select(F.col("log_id").alias("user_id"), "inferred_year")
 
 
+@query(
+    """WITH e AS (SELECT event_id % 3 = 1 AS late, event_id, CASE WHEN event_id % 3 = 1 AND event_id >= 5000 THEN 11 ELSE month(ts) END AS mo, CASE WHEN event_id % 7 = 0 THEN 2024 END AS y FROM events),
+       l AS (SELECT *, lag(mo) OVER w AS pm, lag(y) OVER w AS py FROM e WINDOW w AS (PARTITION BY late ORDER BY event_id))
+       SELECT late, CASE WHEN min(y) = max(y) AND NOT bool_or(coalesce(abs(mo - pm) >= 6 AND NOT coalesce(y = py, false), false)) THEN min(y) END AS inferred_year FROM l GROUP BY late"""
+)
+def period_of_long_logs(spark, sf_dir):
+    """All events as two long logs, each of many blocks; the months of one leap over the turn of a year."""
+    e = table(spark, sf_dir, "events")
+    late = F.col("event_id") % 3 == 1
+    month = F.when(late & (F.col("event_id") >= 5000), 11).otherwise(F.month("ts"))
+    rows = e.select(late.alias("log_id"), F.col("event_id").alias("line_number"), month.alias("month"), F.when(F.col("event_id") % 7 == 0, 2024).alias("year"))
+    return parsing.infer_years(rows).select(F.col("log_id").alias("late"), "inferred_year")
+
+
 @query(
     f"""SELECT p_partkey, CASE WHEN p_size % 7 = 0 THEN 'uncategorized' WHEN p_brand = 'Brand#11' THEN 'shopping' WHEN p_brand IN ('Brand#12', 'Brand#13') THEN 'other' ELSE lower(p_type) END AS category,
        CASE WHEN p_size % 7 = 0 THEN '{policy.CASH_NOTE}' WHEN p_brand = 'Brand#11' THEN '{policy.KNOWN_NOTE}Brand#11' WHEN p_brand IN ('Brand#12', 'Brand#13') THEN '{policy.MIXED_NOTE}' END AS policy_note FROM part"""
@@ -424,15 +449,12 @@ def _turns(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
 
 
-def _call_pairs(spark, sf_dir):
-    turns = _turns(spark, sf_dir)
-    calls = turns.filter("role = 'user'").select("conv_id", F.col("turn").alias("call_turn"))
-    outputs = turns.filter("role = 'assistant'").select("conv_id", F.col("turn").alias("output_turn"))
-    # a call is answered by the next assistant turn: number calls so that each conversation's calls are keys
-    following = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(1, Window.unboundedFollowing)
-    nexts = turns.withColumn("output_turn", F.min(F.when(F.col("role") == "assistant", F.col("turn"))).over(following))
-    nexts = nexts.filter("role = 'user'").select("conv_id", F.col("turn").alias("call_turn"), "output_turn")
-    return calls, outputs, nexts
+def _calls_and_outputs(spark, sf_dir):
+    """Every call has a key of its own, its number in the conversation; outputs have that of the last call before them."""
+    so_far = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
+    turns = _turns(spark, sf_dir).select("conv_id", "turn", "role", F.count_if(F.col("role") == "user").over(so_far).alias("call_number"))
+    calls = turns.filter("role = 'user'").select("conv_id", "call_number", F.col("turn").alias("call_turn"))
+    return calls, turns.filter("role = 'assistant'").select("conv_id", "call_number", F.col("turn").alias("output_turn"))
 
 
 @query(
@@ -440,7 +462,8 @@ def _call_pairs(spark, sf_dir):
        SELECT c.conv_id, call_turn, min(turn) AS output_turn FROM c JOIN conversations a ON a.conv_id = c.conv_id AND a.role = 'assistant' AND a.turn > call_turn GROUP BY ALL"""
 )
 def call_output_pairing(spark, sf_dir):
-    calls, outputs, _ = _call_pairs(spark, sf_dir)
+    calls, outputs = _calls_and_outputs(spark, sf_dir)
+    outputs = outputs.drop("call_number")
     first = calls.groupBy("conv_id").agg(F.min("call_turn").alias("call_turn"))
     return rollout.call_output_pairs(first, outputs, ["conv_id"], "call_turn", "output_turn").select("conv_id", "call_turn", "output_turn")
 
@@ -451,19 +474,18 @@ def call_output_pairing(spark, sf_dir):
        WHERE c.role = 'user' AND a.turn > c.turn GROUP BY ALL"""
 )
 def call_output_pairing_all(spark, sf_dir):
-    """Every call has a key of its own: its number in the conversation; outputs have that of the last call before them."""
-    so_far = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
-    turns = _turns(spark, sf_dir).select("conv_id", "turn", "role", F.count_if(F.col("role") == "user").over(so_far).alias("call_number"))
-    calls = turns.filter("role = 'user'").select("conv_id", "call_number", F.col("turn").alias("call_turn"))
-    outputs = turns.filter("role = 'assistant'").select("conv_id", "call_number", F.col("turn").alias("output_turn"))
+    calls, outputs = _calls_and_outputs(spark, sf_dir)
     return rollout.call_output_pairs(calls, outputs, ["conv_id", "call_number"], "call_turn", "output_turn").select("conv_id", "call_number", "call_turn", "output_turn")
 
 
-@query("SELECT DISTINCT u.conv_id, u.turn AS call_turn FROM conversations u WHERE u.role = 'user' AND NOT EXISTS (SELECT 1 FROM conversations a WHERE a.conv_id = u.conv_id AND a.role = 'assistant' AND a.turn > u.turn)")
+@query(
+    """WITH n AS (SELECT conv_id, turn, role, count(*) FILTER (role = 'user') OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS call_number FROM conversations)
+       SELECT conv_id, call_number, turn AS call_turn FROM n u WHERE role = 'user' AND NOT EXISTS (SELECT 1 FROM n a WHERE a.conv_id = u.conv_id AND a.call_number = u.call_number AND a.role = 'assistant')"""
+)
 def unmatched_calls(spark, sf_dir):
-    calls, _, nexts = _call_pairs(spark, sf_dir)
-    done = nexts.filter("output_turn is not null").select("conv_id", "call_turn")
-    return rollout.unmatched_calls(calls, done, ["conv_id", "call_turn"]).distinct()
+    calls, outputs = _calls_and_outputs(spark, sf_dir)
+    key = ["conv_id", "call_number"]
+    return rollout.unmatched_calls(calls, rollout.call_output_pairs(calls, outputs, key, "call_turn", "output_turn"), key)
 
 
 _KEPT = "k AS (SELECT *, role <> 'assistant' OR row_number() OVER (PARTITION BY conv_id, role = 'assistant' ORDER BY turn DESC) <= 2 AS kept FROM t)"
