@@ -78,42 +78,6 @@ def policy_subsets(policies: DataFrame, group: list[str] | None = None) -> DataF
     return rows.withColumn("ordinal", F.row_number().over(window) - 1).drop("size", "order")
 
 
-def bucket_members(reference: DataFrame, category: str, period: str) -> DataFrame:
-    """Reference entries of one category and month under each subset of the accepted policies that touch it."""
-    rows = reference.filter(F.col("is_counted") & (F.col("period") == period))
-    touches = F.col("policy_name").isNotNull() & ((F.col("category") == category) | F.array_contains("alternatives", F.lit(category)))
-    names = rows.filter(touches).groupBy(F.col("policy_name").alias("name")).agg(F.min("line_number").alias("line"))
-    placed = names.withColumn("place", F.row_number().over(Window.orderBy("line")) - 1)  # a few policies
-    none = reference.sparkSession.createDataFrame([(0, [])], "ordinal int, applied array<string>")
-    subsets = policy_subsets(placed.select("name", "place")).select(F.col("ordinal").cast("int").alias("ordinal"), "applied")
-    subsets = subsets.unionByName(none).groupBy("ordinal").agg(F.max_by("applied", F.size("applied")).alias("applied"))
-    moved = F.when(F.array_contains("alternatives", F.lit(category)), F.lit(category)).otherwise(F.get("alternatives", F.lit(0)))
-    decided = F.when(F.array_contains("applied", F.col("policy_name")), moved).otherwise(F.col("category"))
-    return rows.crossJoin(F.broadcast(subsets)).filter(F.coalesce(decided, F.col("category")) == category)
-
-
-def bucket_differences(members: DataFrame, lines: DataFrame, bucket_lines: DataFrame) -> DataFrame:
-    """Per subset of policies: missing (-amount), misread (difference) and extra (+amount) lines.
-
-    members: ordinal, line_number, amount. bucket_lines: line_number of the lines that the run counted in the bucket.
-    """
-    counted = bucket_lines.select("line_number").distinct().join(lines.select("line_number", F.col("amount").alias("read")), "line_number", "left")
-    ordinals = members.select("ordinal").distinct()
-    m = members.select("ordinal", "line_number", F.col("amount").alias("reference"))
-    every = ordinals.crossJoin(counted.withColumn("_in", F.lit(True)))
-    both = m.withColumn("_ref", F.lit(True)).join(every, ["ordinal", "line_number"], "full")
-    zero = F.lit(0).cast("decimal(18,2)")
-    kind = F.when(F.col("_in").isNull(), "missing").when(F.col("_ref").isNull(), "extra").when(~F.col("read").eqNullSafe(F.col("reference")), "misread")
-    effect = F.when(kind == "missing", -F.col("reference")).when(kind == "extra", F.coalesce("read", zero)).otherwise(F.coalesce("read", zero) - F.col("reference"))
-    return both.select("ordinal", "line_number", kind.alias("kind"), effect.cast("decimal(18,2)").alias("effect")).filter("kind is not null")
-
-
-def fewest_differences(differences: DataFrame, ordinals: DataFrame) -> DataFrame:
-    """The subset that leaves the fewest differences, the first of equals, with their count and summed effect."""
-    n = ordinals.join(differences, "ordinal", "left").groupBy("ordinal").agg(F.count("kind").alias("n"), F.coalesce(F.sum("effect"), F.lit(0)).alias("effect"))
-    return n.agg(F.min_by(F.struct("ordinal", "n", "effect"), F.struct("n", "ordinal")).alias("best")).select("best.*")
-
-
 def unexplained(reported: Column, reference: Column, effect: Column) -> Column:
     """What a bucket's difference leaves open after its lines; null within the tolerance."""
     rest = reported - reference - effect

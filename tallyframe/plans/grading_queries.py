@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import grading, totals
+from ..operators import grading, policies, totals
 from .registry import _LINES, _W, _graded_lines, joined, ledger, query, table, wide
 
 _NAMES = "(VALUES ('dining_coffee', 'Dining'), ('shopping', 'Shop'), ('other', 'Rest')) n(category, reference_category)"
@@ -45,21 +45,44 @@ def _policy_differences(spark, sf_dir):
     policy = F.when((c == "click") & (k % 5 == 0), "p1").when((c == "view") & (k % 7 == 0), "p2")
     other = F.when(policy == "p1", F.array(F.lit("view"))).when(policy == "p2", F.array(F.lit("click")))
     reference = e.select(k.alias("line_number"), F.col("value").cast("decimal(18,2)").alias("amount"), c.alias("category"), F.lit("2024-01").alias("period"), F.lit(True).alias("is_counted"), policy.alias("policy_name"), other.alias("alternatives"))
-    members = grading.bucket_members(reference, "click", "2024-01")
     read = (F.col("value").cast("decimal(18,2)") + F.when(k % 97 == 0, 1).otherwise(0)).cast("decimal(18,2)")
     run = e.filter(((c == "click") & (k % 5 != 0)) | (k % 89 == 0)).select(k.alias("line_number"), read.alias("amount"))
-    return members, grading.bucket_differences(members, run, run)
+    return policies.touching(reference, "click", "2024-01"), policies.separable_differences(reference, run, run, "click", "2024-01")
 
 
 @query(f"WITH {_POLICIES} SELECT CAST(ordinal AS INTEGER) AS ordinal, k AS line_number, kind, CAST(effect AS DECIMAL(18,2)) AS effect FROM d WHERE kind IS NOT NULL")
 def bucket_differences_by_policy(spark, sf_dir):
-    return _policy_differences(spark, sf_dir)[1].select("ordinal", "line_number", "kind", "effect")
+    accepted, gaps = _policy_differences(spark, sf_dir)
+    subsets = grading.policy_subsets(accepted).select(F.col("ordinal").cast("int").alias("ordinal"), "applied")
+    return policies.differences_by_subset(gaps, subsets).select("ordinal", "line_number", "kind", "effect")
 
 
 @query(f"WITH {_POLICIES} SELECT CAST(ordinal AS INTEGER) AS ordinal, count(kind) AS n, CAST(coalesce(sum(effect) FILTER (kind IS NOT NULL), 0) AS DECIMAL(38,2)) AS effect FROM d GROUP BY ordinal ORDER BY n, ordinal LIMIT 1")
 def fewest_policy_differences(spark, sf_dir):
-    members, gaps = _policy_differences(spark, sf_dir)
-    return grading.fewest_differences(gaps, members.select("ordinal").distinct()).select("ordinal", "n", wide("effect"))
+    accepted, gaps = _policy_differences(spark, sf_dir)
+    return policies.best_subset(policies.scores(gaps, accepted)).select(F.col("ordinal").cast("int").alias("ordinal"), "n", wide("effect"))
+
+
+_TWENTY = """e AS (SELECT event_id AS k, event_type = 'click' AS own, event_id % 20 AS p, CAST(value AS DECIMAL(18,2)) AS v FROM events),
+  s AS (SELECT k, p, v, own AS off_here, NOT own AS on_here, (k % 20 < 8) = own AS counted FROM e),
+  d AS (SELECT p, count(*) FILTER (on_here <> counted) AS n_on, count(*) FILTER (off_here <> counted) AS n_off,
+      coalesce(sum(CASE WHEN counted THEN v ELSE -v END) FILTER (on_here <> counted), 0) AS e_on, coalesce(sum(CASE WHEN counted THEN v ELSE -v END) FILTER (off_here <> counted), 0) AS e_off FROM s GROUP BY p)"""
+
+
+@query(
+    f"""WITH {_TWENTY}, f AS (SELECT p, min(k) AS line FROM e GROUP BY p)
+        SELECT string_agg('p' || p, ',' ORDER BY line) FILTER (n_on < n_off) AS applied, CAST(sum(least(n_on, n_off)) AS BIGINT) AS n, CAST(sum(CASE WHEN n_on < n_off THEN e_on ELSE e_off END) AS DECIMAL(38,2)) AS effect FROM d JOIN f USING (p)"""
+)
+def best_of_twenty_policies(spark, sf_dir):
+    """Twenty policies, a million subsets: the best one from sums by policy. The run followed twelve of them."""
+    e = table(spark, sf_dir, "events")
+    k, click = F.col("event_id"), F.col("event_type") == "click"
+    other = F.array(F.when(click, "view").otherwise("click"))
+    reference = e.select(k.alias("line_number"), F.col("value").cast("decimal(18,2)").alias("amount"), F.col("event_type").alias("category"), F.lit("2024-01").alias("period"), F.lit(True).alias("is_counted"), F.concat(F.lit("p"), k % 20).alias("policy_name"), other.alias("alternatives"))
+    run = e.filter((k % 20 < 8) == click).select(k.alias("line_number"), F.col("value").cast("decimal(18,2)").alias("amount"))
+    gaps = policies.separable_differences(reference, run, run, "click", "2024-01")
+    best = policies.best_subset(policies.scores(gaps, policies.touching(reference, "click", "2024-01")))
+    return best.select(F.array_join("applied", ",").alias("applied"), "n", wide("effect"))
 
 
 @query(

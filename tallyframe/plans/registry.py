@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import evidence as ev
 from ..functions import formatting as fm
-from ..operators import compaction, findings, grading, parsing, policy, reconcile, rollout, totals
+from ..operators import compaction, findings, grading, parsing, policies, policy, reconcile, rollout, totals
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -562,8 +562,8 @@ def ledger_diff(spark, sf_dir):
 )
 def bucket_difference(spark, sf_dir):
     reference, made = _perturbed(spark, sf_dir)
-    members = reference.select(F.lit(0).alias("ordinal"), "line_number", "amount")
-    return grading.bucket_differences(members, made, made).select("line_number", "kind", "effect")
+    members = reference.select("line_number", "amount", F.lit("all").alias("category"), F.lit("all").alias("period"), F.lit(True).alias("is_counted"), F.lit(None).cast("string").alias("policy_name"), F.lit(None).cast("array<string>").alias("alternatives"))
+    return policies.separable_differences(members, made, made, "all", "all").select("line_number", "kind", "effect")
 
 
 @query(

@@ -6,7 +6,7 @@ from decimal import Decimal as D
 
 from pyspark.sql import functions as F
 
-from tallyframe.operators import compaction, grading, rollout
+from tallyframe.operators import compaction, grading, policies, rollout
 from tallyframe.sources import rollout as source
 
 
@@ -161,13 +161,11 @@ def test_ledger_and_bucket_differences(spark):
     got = lines(spark, (1, 1, "a", "A", day, D(10), inc, "Dining"), (1, 2, "b", "X", day, D(20), inc, "Dining"), (1, 4, "d", "D", day, D(41), inc, "Dining"), (1, 5, "e", "E", day, D(5), inc, "Dining"))
     found = {r.line_number: r.differences for r in grading.line_differences(reference(spark), got).collect()}
     assert found == {2: ["merchant"], 3: ["missing"], 4: ["amount", "counted"], 5: ["extra"]}
-    members = grading.bucket_members(reference(spark), "Dining", "2026-06")
-    assert {o: sorted(r.line_number for r in members.filter(F.col("ordinal") == o).collect()) for o in range(4)} == {0: [1, 3], 1: [1, 2, 3], 2: [1], 3: [1, 2]}
-    counted = got.select("line_number")
-    gaps = grading.bucket_differences(members, got, counted)
-    best = grading.fewest_differences(gaps, members.select("ordinal").distinct()).first()
-    assert (best.ordinal, best.n, best.effect) == (3, 2, D(46))
-    assert {(r.line_number, r.kind, r.effect) for r in gaps.filter("ordinal = 3").collect()} == {(4, "extra", D(41)), (5, "extra", D(5))}
+    gaps = policies.separable_differences(reference(spark), got, got.select("line_number"), "Dining", "2026-06")
+    best = policies.best_subset(policies.scores(gaps, policies.touching(reference(spark), "Dining", "2026-06")))
+    row = best.first()
+    assert (row.applied, row.ordinal, row.n, row.effect) == (["p1", "p2"], 3, 2, D(46))
+    assert {(r.line_number, r.kind, r.effect) for r in policies.differences_under(gaps, best).collect()} == {(4, "extra", D(41)), (5, "extra", D(5))}
     rest = spark.range(1).select(grading.unexplained(F.lit(D("76.00")), F.lit(D("30.00")), F.lit(D("46.00"))).alias("a"), grading.unexplained(F.lit(D("77.00")), F.lit(D("30.00")), F.lit(D("46.00"))).alias("b")).first()
     assert rest.a is None and rest.b == D(1)
 
