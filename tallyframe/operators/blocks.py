@@ -50,6 +50,15 @@ def last_before(rows: DataFrame, group: list[str], order: str, value: Column, na
     return met(rows, carried, group).withColumn(name, F.coalesce(own, "_carried")).drop("_value", "_carried", "_block")
 
 
+def greatest_before(rows: DataFrame, group: list[str], order: str, value: Column, name: str, width: int | None = None) -> DataFrame:
+    """``rows`` with the greatest value before each, in the order of its group."""
+    rows = numbered(rows.withColumn("_value", value), order, width)
+    ends = rows.groupBy(*group, "_block").agg(F.max("_value").alias("_end"))
+    carried = ends.select(*group, "_block", F.max("_end").over(along(group).rowsBetween(Window.unboundedPreceding, -1)).alias("_carried"))
+    own = F.max("_value").over(inside(group, order).rowsBetween(Window.unboundedPreceding, -1))
+    return met(rows, carried, group).withColumn(name, F.greatest(own, "_carried")).drop("_value", "_carried", "_block")
+
+
 def chains(rows: DataFrame, group: list[str], order: str, follows, fields: list[str], name: str = "origin", width: int | None = None) -> DataFrame:
     """``rows`` with ``follows`` and the order of the row that their chain began with.
 

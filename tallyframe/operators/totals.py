@@ -1,7 +1,8 @@
 """Exact decimal totals with the row numbers behind them, budgets, changes and the balance check.
 
-Transactions are (log_id, line_number, occurred_on, amount, treatment, category, policy_note). ``lines=False`` leaves
-the row numbers out where a group may be too large to list.
+Transactions are (log_id, line_number, occurred_on, amount, treatment, category, policy_note). The row numbers behind a
+figure are runs in pages (``category_lines``, ``month_lines``, ``treatment_lines``, ``coverage_runs``), whatever a group's size.
+``lines=True`` also lists them in the row of the figure, for logs that a reader wants written out.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import line_sets
 from .policy import MIXED_NOTE
 from .reconcile import TREATMENTS
 
@@ -26,6 +28,32 @@ def _lines(lines: bool, condition: Column | None = None) -> Column:
     return F.array_sort(F.collect_list(F.col("line_number") if condition is None else F.when(condition, F.col("line_number"))))
 
 
+def category_lines(transactions: DataFrame) -> DataFrame:
+    """log_id, month, category and runs (first, last) of the lines behind each monthly category total."""
+    rows = with_treatment(transactions, "included_spending").withColumn("month", month(F.col("occurred_on")))
+    return line_sets.runs(rows, ["log_id", "month", "category"])
+
+
+def month_lines(transactions: DataFrame) -> DataFrame:
+    """Runs of the lines behind each monthly total."""
+    rows = transactions.filter(F.col("treatment").isin("included_spending", "uncategorized_outflow")).withColumn("month", month(F.col("occurred_on")))
+    return line_sets.runs(rows, ["log_id", "month"])
+
+
+def treatment_lines(transactions: DataFrame) -> DataFrame:
+    """Runs of the lines of each treatment."""
+    return line_sets.runs(transactions, ["log_id", "treatment"])
+
+
+def coverage_runs(transactions: DataFrame) -> DataFrame:
+    """Runs of each month's lines that are Other only because the retailer is mixed."""
+    return line_sets.runs(_covering(transactions).withColumn("month", month(F.col("occurred_on"))), ["log_id", "month"])
+
+
+def _covering(transactions: DataFrame) -> DataFrame:
+    return transactions.filter((F.col("treatment") == "included_spending") & (F.col("category") == "other") & (F.col("policy_note") == MIXED_NOTE))
+
+
 def _sum(amount: Column) -> Column:
     return F.coalesce(F.sum(amount), F.lit(0)).cast(MONEY)
 
@@ -34,12 +62,12 @@ def with_treatment(transactions: DataFrame, name: str) -> DataFrame:
     return transactions.filter(F.col("treatment") == name)
 
 
-def monthly_category_totals(transactions: DataFrame, lines: bool = True) -> DataFrame:
+def monthly_category_totals(transactions: DataFrame, lines: bool = False) -> DataFrame:
     rows = with_treatment(transactions, "included_spending")
     return rows.groupBy("log_id", month(F.col("occurred_on")).alias("month"), "category").agg(_sum(F.col("amount")).alias("amount"), _lines(lines).alias("lines"))
 
 
-def monthly_totals(transactions: DataFrame, lines: bool = True) -> DataFrame:
+def monthly_totals(transactions: DataFrame, lines: bool = False) -> DataFrame:
     """Months that hold included spending or unresolved outflow; one aggregation over both."""
     rows = transactions.filter(F.col("treatment").isin("included_spending", "uncategorized_outflow"))
     amount = lambda t: _sum(F.when(F.col("treatment") == t, F.col("amount")))
@@ -48,7 +76,7 @@ def monthly_totals(transactions: DataFrame, lines: bool = True) -> DataFrame:
     )
 
 
-def treatment_partition(transactions: DataFrame, lines: bool = True) -> DataFrame:
+def treatment_partition(transactions: DataFrame, lines: bool = False) -> DataFrame:
     """All five treatments of each log; one that no line has gets an empty list."""
     found = transactions.groupBy("log_id", "treatment").agg(F.count("*").alias("n"), _lines(lines).cast("array<long>").alias("lines"))
     every = found.select("log_id").distinct().select("log_id", F.explode(F.array(*map(F.lit, TREATMENTS))).alias("treatment"))
@@ -56,10 +84,10 @@ def treatment_partition(transactions: DataFrame, lines: bool = True) -> DataFram
     return out.select("log_id", "treatment", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("lines", F.array().cast("array<long>")).alias("lines"))
 
 
-def reconciliation(transactions: DataFrame, category_totals: DataFrame, month_totals: DataFrame, lines: bool = True) -> DataFrame:
+def reconciliation(transactions: DataFrame, category_totals: DataFrame, month_totals: DataFrame, lines: bool = False) -> DataFrame:
     """One row a log: line lists and counts by treatment, grand totals, refunds and whether everything adds up.
 
-    ``lines=False`` only counts, so that a log of any length is added up by partial sums.
+    Without ``lines`` it only counts, so that a log of any length is added up by partial sums.
     """
     names = {"included_spending": "included", "excluded_duplicate": "duplicates", "uncategorized_outflow": "unresolved_lines", "uncategorized_credit": "credits", "unparsed": "unparsed"}
     listed = [_lines(lines, F.col("treatment") == t).alias(name) for t, name in names.items()]
@@ -83,9 +111,8 @@ def reconciliation(transactions: DataFrame, category_totals: DataFrame, month_to
 
 
 def coverage(transactions: DataFrame) -> DataFrame:
-    """Lines of each month that are Other only because the retailer is mixed."""
-    hit = (F.col("treatment") == "included_spending") & (F.col("category") == "other") & (F.col("policy_note") == MIXED_NOTE)
-    return transactions.filter(hit).groupBy("log_id", month(F.col("occurred_on")).alias("month")).agg(_lines(True).alias("coverage_lines"))
+    """The same lines as lists, for notes that name them."""
+    return _covering(transactions).groupBy("log_id", month(F.col("occurred_on")).alias("month")).agg(_lines(True).alias("coverage_lines"))
 
 
 def budget_comparisons(category_totals: DataFrame, month_totals: DataFrame, targets: DataFrame, covered: DataFrame | None = None) -> DataFrame:

@@ -25,10 +25,11 @@ class Analysis:
     findings: DataFrame
 
 
-def analyse(lines: DataFrame, category_decisions: DataFrame, confirmed: DataFrame, settings: Settings | None = None, choices: DataFrame | None = None, proposals: DataFrame | None = None, selection: DataFrame | None = None) -> Analysis:
+def analyse(lines: DataFrame, category_decisions: DataFrame, confirmed: DataFrame, settings: Settings | None = None, choices: DataFrame | None = None, proposals: DataFrame | None = None, selection: DataFrame | None = None, listed: bool = True) -> Analysis:
     """lines (log_id, line_number, source_text); decisions, choices and proposals are tables that models filled before.
 
-    ``validate`` checks everything that must hold; nothing runs before an action.
+    ``validate`` checks everything that must hold; nothing runs before an action. ``listed``: figures list the lines behind
+    them, as a report writes them out; without, ``totals.category_lines`` and the others give them as runs.
     """
     settings = settings or Settings()
     spark = lines.sparkSession
@@ -39,10 +40,10 @@ def analyse(lines: DataFrame, category_decisions: DataFrame, confirmed: DataFram
     if proposals is not None:
         parsed = decisions.merge_attempts(parsed, proposals, years)
     tx = reconcile.reconcile(policy.categorise(parsed, category_decisions), confirmed)
-    category_totals, month_totals = totals.monthly_category_totals(tx), totals.monthly_totals(tx)
+    category_totals, month_totals = totals.monthly_category_totals(tx, listed), totals.monthly_totals(tx, listed)
     budgets = totals.budget_comparisons(category_totals, month_totals, settings.targets(spark), totals.coverage(tx))
     deltas = totals.month_deltas(category_totals, month_totals)
-    summary = totals.reconciliation(tx, category_totals, month_totals)
+    summary = totals.reconciliation(tx, category_totals, month_totals, listed)
     evidence = findings.evidence(budgets, deltas, summary)
     required = findings.required_ids(budgets, deltas, summary.select("log_id"))
     selection = findings.default_selection(evidence, required) if selection is None else selection

@@ -23,7 +23,7 @@ def outcome_projection(spark, sf_dir):
 
 @query(_W + f"SELECT reference_category AS category, strftime(m, '%Y-%m') AS period, CAST(amount AS DECIMAL(38,2)) AS amount, array_to_string(list_transform(lines, lambda x: x + 3), ',') AS lines FROM ct LEFT JOIN {_NAMES} USING (category)")
 def bucket_projection(spark, sf_dir):
-    rows = grading.project_buckets(totals.monthly_category_totals(ledger(spark, sf_dir)), _names(spark), 3)
+    rows = grading.project_buckets(totals.monthly_category_totals(ledger(spark, sf_dir), lines=True), _names(spark), 3)
     return rows.select("category", "period", wide("amount"), joined("lines").alias("lines"))
 
 

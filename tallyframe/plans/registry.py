@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import evidence as ev
 from ..functions import formatting as fm
-from ..operators import compaction, findings, grading, parsing, policies, policy, reconcile, rollout, totals
+from ..operators import compaction, findings, grading, line_sets, parsing, policies, policy, reconcile, rollout, totals
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -94,23 +94,26 @@ def targets(spark: SparkSession) -> DataFrame:
 
 def _budgets(spark, sf_dir):
     tx = ledger(spark, sf_dir)
-    return totals.budget_comparisons(totals.monthly_category_totals(tx), totals.monthly_totals(tx), targets(spark), totals.coverage(tx))
+    return totals.budget_comparisons(totals.monthly_category_totals(tx, lines=True), totals.monthly_totals(tx), targets(spark), totals.coverage(tx))
 
 
 def _deltas(spark, sf_dir):
     tx = ledger(spark, sf_dir)
-    return totals.month_deltas(totals.monthly_category_totals(tx), totals.monthly_totals(tx, lines=False))
+    return totals.month_deltas(totals.monthly_category_totals(tx, lines=True), totals.monthly_totals(tx))
 
 
 @query(_W + "SELECT m AS month, category, CAST(amount AS DECIMAL(38,2)) AS amount, array_to_string(lines, ',') AS lines FROM ct")
 def monthly_category_totals(spark, sf_dir):
-    rows = totals.monthly_category_totals(ledger(spark, sf_dir))
+    tx, keys = ledger(spark, sf_dir), ["log_id", "month", "category"]
+    rows = totals.monthly_category_totals(tx).drop("lines").join(line_sets.listed(totals.category_lines(tx), keys), keys)
     return rows.select("month", "category", wide("amount"), joined("lines").alias("lines")).orderBy("month", "category")
 
 
 @query(_W + "SELECT m AS month, CAST(classified AS DECIMAL(38,2)) AS classified, CAST(unresolved AS DECIMAL(38,2)) AS unresolved, CAST(observed AS DECIMAL(38,2)) AS observed, array_to_string(lines, ',') AS lines FROM mt")
 def monthly_totals(spark, sf_dir):
-    return totals.monthly_totals(ledger(spark, sf_dir)).select("month", wide("classified"), wide("unresolved"), wide("observed"), joined("lines").alias("lines"))
+    tx, keys = ledger(spark, sf_dir), ["log_id", "month"]
+    rows = totals.monthly_totals(tx).drop("lines").join(line_sets.listed(totals.month_lines(tx), keys), keys)
+    return rows.select("month", wide("classified"), wide("unresolved"), wide("observed"), joined("lines").alias("lines"))
 
 
 @query(
@@ -119,7 +122,33 @@ def monthly_totals(spark, sf_dir):
          FROM (VALUES ('included_spending'), ('excluded_duplicate'), ('uncategorized_outflow'), ('uncategorized_credit'), ('unparsed')) t(treatment) LEFT JOIN tx USING (treatment) GROUP BY t.treatment"""
 )
 def treatment_partition(spark, sf_dir):
-    return totals.treatment_partition(ledger(spark, sf_dir)).select("treatment", "n", joined("lines").alias("lines"))
+    tx, keys = ledger(spark, sf_dir), ["log_id", "treatment"]
+    rows = totals.treatment_partition(tx).drop("lines").join(line_sets.listed(totals.treatment_lines(tx), keys), keys, "left")
+    return rows.select("treatment", "n", F.coalesce(joined("lines"), F.lit("")).alias("lines"))
+
+
+@query(
+    _W
+    + """, i AS (SELECT treatment, line_number, line_number - row_number() OVER (PARTITION BY treatment ORDER BY line_number) AS island FROM tx),
+         r AS (SELECT treatment, min(line_number) AS first, max(line_number) AS last FROM i GROUP BY treatment, island)
+         SELECT treatment, first // 4096 AS page, string_agg(CASE WHEN first = last THEN '' || first ELSE first || '-' || last END, ',' ORDER BY first) AS runs FROM r GROUP BY treatment, first // 4096"""
+)
+def treatment_line_pages(spark, sf_dir):
+    """The lines of each treatment as runs, a page for each block of line numbers."""
+    keys = ["log_id", "treatment"]
+    return line_sets.pages(totals.treatment_lines(ledger(spark, sf_dir)), keys).select("treatment", "page", line_sets.text(F.col("runs")).alias("runs"))
+
+
+@query(
+    _W
+    + """, i AS (SELECT m, line_number, line_number - row_number() OVER (PARTITION BY m ORDER BY line_number) AS island FROM tx WHERE treatment IN ('included_spending', 'uncategorized_outflow')),
+         r AS (SELECT m, min(line_number) AS first, max(line_number) AS last FROM i GROUP BY m, island) SELECT m AS month, first, last FROM r"""
+)
+def merged_line_runs(spark, sf_dir):
+    """Runs of each month from those of its two treatments."""
+    tx = ledger(spark, sf_dir).withColumn("month", totals.month(F.col("occurred_on")))
+    parts = [line_sets.runs(totals.with_treatment(tx, t), ["month"]) for t in ("included_spending", "uncategorized_outflow")]
+    return line_sets.merged(*parts, ["month"]).select("month", "first", "last")
 
 
 @query(_W + "SELECT line_number, CAST(amount AS DECIMAL(38,2)) AS amount FROM tx WHERE treatment = 'uncategorized_outflow'")
@@ -146,7 +175,7 @@ def budget_comparisons(spark, sf_dir):
 
 @query(_W + f"SELECT m AS month, array_to_string(list_sort(list(line_number)), ',') AS lines FROM tx WHERE treatment = 'included_spending' AND category = 'other' AND policy_note = '{policy.MIXED_NOTE}' GROUP BY m")
 def coverage_lines(spark, sf_dir):
-    return totals.coverage(ledger(spark, sf_dir)).select("month", joined("coverage_lines").alias("lines"))
+    return line_sets.listed(totals.coverage_runs(ledger(spark, sf_dir)), ["log_id", "month"]).select("month", joined("lines").alias("lines"))
 
 
 @query(_W + "SELECT from_month, to_month, category, CAST(previous AS DECIMAL(38,2)) AS previous, CAST(current AS DECIMAL(38,2)) AS current, CAST(change AS DECIMAL(38,2)) AS change, array_to_string(lines, ',') AS lines FROM de")
@@ -237,9 +266,9 @@ _EVIDENCE = (
 
 def _evidence(spark, sf_dir):
     tx = ledger(spark, sf_dir)
-    ct, mt = totals.monthly_category_totals(tx), totals.monthly_totals(tx)
+    ct, mt = totals.monthly_category_totals(tx, lines=True), totals.monthly_totals(tx, lines=True)
     budgets, deltas = totals.budget_comparisons(ct, mt, targets(spark), totals.coverage(tx)), totals.month_deltas(ct, mt)
-    rows = findings.evidence(budgets, deltas, totals.reconciliation(tx, ct, mt))
+    rows = findings.evidence(budgets, deltas, totals.reconciliation(tx, ct, mt, lines=True))
     return rows, findings.required_ids(budgets, deltas, tx.select("log_id").distinct())
 
 

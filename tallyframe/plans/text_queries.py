@@ -113,9 +113,9 @@ def report_cells(spark, sf_dir):
     """Rows of cells of the report's ledger, categories, months and changes."""
     tx = ledger(spark, sf_dir)
     full = tx.select("*", F.concat(F.lit("order|"), F.col("line_number").cast("string")).alias("source_text"), F.lit("order").alias("description"), F.array().cast("array<string>").alias("issues"))
-    ct, mt = totals.monthly_category_totals(tx), totals.monthly_totals(tx)
+    ct, mt = totals.monthly_category_totals(tx, lines=True), totals.monthly_totals(tx, lines=True)
     budgets, deltas = totals.budget_comparisons(ct, mt, targets(spark), totals.coverage(tx)), totals.month_deltas(ct, mt)
-    summary = totals.reconciliation(tx, ct, mt)
+    summary = totals.reconciliation(tx, ct, mt, lines=True)
     rows = findings.evidence(budgets, deltas, summary)
     chosen = findings.findings(findings.default_selection(rows, findings.required_ids(budgets, deltas, summary.select("log_id"))), rows)
     analysis = SimpleNamespace(transactions=full, category_totals=ct, month_totals=mt, budgets=budgets, deltas=deltas, reconciliation=summary, parsed=full, findings=chosen)

@@ -93,7 +93,7 @@ def ledger(spark):
 
 def test_totals_budgets_and_changes(spark):
     rows = ledger(spark)
-    ct, mt = totals.monthly_category_totals(rows), totals.monthly_totals(rows)
+    ct, mt = totals.monthly_category_totals(rows, lines=True), totals.monthly_totals(rows, lines=True)
     assert {(r.month, r.category): (r.amount, r.lines) for r in ct.collect()}[(day(1), "groceries")] == (D("8.05"), [1, 2])
     assert [(r.month, r.classified, r.unresolved, r.observed, r.lines) for r in mt.orderBy("month").collect()] == [
         (day(1), D("313.05"), D("7.00"), D("320.05"), [1, 2, 3, 4, 5]),
@@ -105,7 +105,7 @@ def test_totals_budgets_and_changes(spark):
     assert got[(day(1), "shopping")][2] == [4] and "(source lines 4)" in got[(day(1), "shopping")][3] and got[(day(3), "shopping")][3] is None
     deltas = totals.delta_order(totals.month_deltas(ct, mt)).collect()
     assert [(r.category, r.change) for r in deltas] == [("dining_coffee", D("-300.00")), ("groceries", D("11.95")), ("other", D("-5.00"))]
-    r = totals.reconciliation(rows, ct, mt).first()
+    r = totals.reconciliation(rows, ct, mt, lines=True).first()
     assert (r.n_lines, r.duplicates, r.credits, r.unparsed, r.refunds, r.is_balanced, r.observed) == (9, [7], [8], [9], [2], True, D("340.05"))
     twice = rows.unionByName(rows.filter("line_number = 1"))
     assert not totals.reconciliation(twice, totals.monthly_category_totals(twice), totals.monthly_totals(twice)).first().is_balanced
@@ -114,7 +114,7 @@ def test_totals_budgets_and_changes(spark):
 def test_zero_sums_stay_where_one_side_is_not_zero(spark):
     inc = "included_spending"
     rows = tx(spark, (1, day(1), D(5), inc, "pets"), (2, day(1), D(-5), inc, "pets"), (3, day(2), D(1), inc, "travel"), (4, day(3), D(2), inc, "pets"), (5, day(2), D(0), inc, "pets"))
-    got = totals.month_deltas(totals.monthly_category_totals(rows), totals.monthly_totals(rows)).collect()
+    got = totals.month_deltas(totals.monthly_category_totals(rows, lines=True), totals.monthly_totals(rows)).collect()
     assert {(r.from_month, r.category) for r in got} == {(day(1), "travel"), (day(2), "travel"), (day(2), "pets")}
 
 
