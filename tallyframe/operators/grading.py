@@ -9,12 +9,14 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.formatting import duration_text, within_tolerance
 from ..functions.formatting import period as period_of
-from ..functions.formatting import within_tolerance
+from . import selection
 
 #: Fixed value: amounts nearer than this are equal.
 TOLERANCE = "0.01"
@@ -174,10 +176,22 @@ def scorecard(grades: DataFrame, minimum: DataFrame) -> DataFrame:
     return out.withColumn("meets_minimum", F.col("pass_rate") >= F.coalesce("minimum_pass_rate", F.lit(0.0)))
 
 
-def timing_summary(timings: DataFrame, group: list[str], seconds: str = "seconds", completed: Column | None = None) -> DataFrame:
-    """Exact median, minimum, maximum and number of completed runs' durations."""
+def timing_summary(timings: DataFrame, group: list[str], seconds: str = "seconds", completed: Column | None = None, few: int = selection.FEW) -> DataFrame:
+    """Exact median, minimum, maximum and number of completed runs' durations; large groups' medians are narrowed down."""
     value = F.col(seconds) if completed is None else F.when(completed, F.col(seconds))
-    return timings.groupBy(*group).agg(F.median(value).alias("median"), F.min(value).alias("minimum"), F.max(value).alias("maximum"), F.count(value).alias("n"))
+    sums = timings.groupBy(*group).agg(F.min(value).alias("minimum"), F.max(value).alias("maximum"), F.count(value).alias("n"))
+    middle = selection.medians(timings, group, value, few)
+    middle = middle.select(*(F.col(g).alias(f"_g{i}") for i, g in enumerate(group)), "median")
+    same = reduce(lambda a, b: a & b, (F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(group)), F.lit(True))
+    return sums.join(middle, same, "left").select(*group, "median", "minimum", "maximum", "n")
+
+
+def timing_texts(summary: DataFrame, runs: DataFrame, group: list[str]) -> DataFrame:
+    """``median (minimum to maximum), n of m runs`` of each group; runs: the group and all its runs, completed or not."""
+    every = runs.groupBy(*group).agg(F.count("*").alias("m"))
+    of = F.concat(F.col("n").cast("string"), F.lit(" of "), F.col("m").cast("string"), F.lit(" runs"))
+    text = F.concat(duration_text(F.col("median")), F.lit(" ("), duration_text(F.col("minimum")), F.lit(" to "), duration_text(F.col("maximum")), F.lit("), "), of)
+    return every.join(summary, group, "left").select(*group, F.when(F.col("n") > 0, text).otherwise(F.concat(F.lit("no completed runs of "), F.col("m").cast("string"))).alias("timing"))
 
 
 def latest_per_key(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:

@@ -25,11 +25,12 @@ class Analysis:
     findings: DataFrame
 
 
-def analyse(lines: DataFrame, category_decisions: DataFrame, confirmed: DataFrame, settings: Settings | None = None, choices: DataFrame | None = None, proposals: DataFrame | None = None, selection: DataFrame | None = None, listed: bool = True) -> Analysis:
+def analyse(lines: DataFrame, category_decisions: DataFrame, confirmed: DataFrame, settings: Settings | None = None, choices: DataFrame | None = None, proposals: DataFrame | None = None, selection: DataFrame | None = None, listed: bool = True, keep: str | None = None) -> Analysis:
     """lines (log_id, line_number, source_text); decisions, choices and proposals are tables that models filled before.
 
     ``validate`` checks everything that must hold; nothing runs before an action. ``listed``: figures list the lines behind
-    them, as a report writes them out; without, ``totals.category_lines`` and the others give them as runs.
+    them, as a report writes them out; without, ``totals.category_lines`` and the others give them as runs. ``keep``: a folder
+    into which categorised lines and transactions are written once, at this call; without it every result reads the lines anew.
     """
     settings = settings or Settings()
     spark = lines.sparkSession
@@ -39,7 +40,7 @@ def analyse(lines: DataFrame, category_decisions: DataFrame, confirmed: DataFram
         parsed = decisions.apply_choices(parsed, choices, years, settings.threshold)
     if proposals is not None:
         parsed = decisions.merge_attempts(parsed, proposals, years)
-    tx = reconcile.reconcile(policy.categorise(parsed, category_decisions), confirmed)
+    tx = _kept(reconcile.reconcile(_kept(policy.categorise(parsed, category_decisions), keep, "lines"), confirmed), keep, "transactions")
     category_totals, month_totals = totals.monthly_category_totals(tx, listed), totals.monthly_totals(tx, listed)
     budgets = totals.budget_comparisons(category_totals, month_totals, settings.targets(spark), totals.coverage(tx))
     deltas = totals.month_deltas(category_totals, month_totals)
@@ -50,6 +51,13 @@ def analyse(lines: DataFrame, category_decisions: DataFrame, confirmed: DataFram
     return Analysis(parsed, tx, category_totals, month_totals, budgets, deltas, summary, evidence, required, selection, findings.findings(selection, evidence))
 
 
+def _kept(df: DataFrame, keep: str | None, name: str) -> DataFrame:
+    if keep is None:
+        return df
+    df.write.mode("overwrite").parquet(f"{keep}/{name}")
+    return df.sparkSession.read.schema(df.schema).parquet(f"{keep}/{name}")
+
+
 def validate(lines: DataFrame, confirmed: DataFrame, result: Analysis) -> None:
     """Raise where the input, the confirmations, the balance or the selection does not hold."""
     reconcile.validate(reconcile.input_problems(lines, confirmed), "input")

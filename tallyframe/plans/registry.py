@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import evidence as ev
 from ..functions import formatting as fm
-from ..operators import compaction, findings, grading, line_sets, parsing, policies, policy, reconcile, rollout, totals
+from ..operators import compaction, findings, grading, line_sets, parsing, policies, policy, reconcile, rollout, selection, totals
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -610,6 +610,14 @@ def timing_summary(spark, sf_dir):
     return grading.timing_summary(table(spark, sf_dir, "events"), ["event_type"], "value", F.col("event_id") % 10 != 0)
 
 
+@query("SELECT l_returnflag, median(l_extendedprice) AS median, median(l_quantity) AS quantity FROM lineitem GROUP BY l_returnflag")
+def medians_of_large_groups(spark, sf_dir):
+    """Prices, almost all different, and quantities, of which there are fifty: groups of a third of all rows are narrowed down."""
+    rows = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_extendedprice", "l_quantity")
+    prices = selection.medians(rows, ["l_returnflag"], F.col("l_extendedprice"), few=1000)
+    return prices.join(selection.medians(rows, ["l_returnflag"], F.col("l_quantity"), few=1000).withColumnRenamed("median", "quantity"), "l_returnflag")
+
+
 @query(
     """SELECT event_id, CASE WHEN s < 10 THEN printf('%.1fs', CAST(s AS DOUBLE)) WHEN s < 60 THEN s || 's' WHEN s < 3600 THEN (s // 60) || 'm ' || lpad(CAST(s % 60 AS VARCHAR), 2, '0') || 's'
        ELSE (s // 3600) || 'h ' || lpad(CAST(s % 3600 // 60 AS VARCHAR), 2, '0') || 'm' END AS duration FROM (SELECT event_id, event_id * 7 % 9000 AS s FROM events) e"""

@@ -180,7 +180,7 @@ def test_cascade_of_choices_and_proposals(spark):
 def test_whole_analysis_and_report(spark, tmp_path, capsys):
     lines = text.from_lines(spark, ["2026-06-01 Diner $300.00", "2026-06-02 Target | $50.00", "2026-07-01 Diner $10.00", "2026-07-01 Diner $10.00", "junk|\\"])
     confirmed = text.confirmations(spark, [4])
-    result = expense.analyse(lines, decided(spark, "dining_coffee", "shopping", "dining_coffee", "dining_coffee", None), confirmed)
+    result = expense.analyse(lines, decided(spark, "dining_coffee", "shopping", "dining_coffee", "dining_coffee", None), confirmed, keep=str(tmp_path / "kept"))
     expense.validate(lines, confirmed, result)
     assert [r.evidence_id for r in result.findings.orderBy("number").collect()] == ["budget-2026-06-01-dining_coffee", "change-2026-06-01-2026-07-01-dining_coffee", "shopping-coverage"]
     page = report.render(result, "log")
