@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import formatting as fm
@@ -87,6 +88,61 @@ def batched_decisions(spark, sf_dir):
     return compaction.select_segments(rows, saved).select(F.col("trial_id").alias("conv_id"), F.col("position").alias("turn"), "kept")
 
 
+@query(
+    """WITH c AS (SELECT conv_id, turn, (conv_id * 7 + turn * 13) % 100 >= 50 AS kept FROM conversations WHERE role = 'assistant')
+       SELECT 1 AS step, 'questions' AS name, count(*) AS rows, count(*) FILTER (turn < 3) AS extra FROM c UNION ALL SELECT 2, 'answers', count(DISTINCT conv_id), count(*) FROM c
+       UNION ALL SELECT 3, 'selection', count(*), count(*) FILTER (role <> 'assistant' OR (conv_id * 7 + turn * 13) % 100 >= 50) FROM conversations"""
+)
+def model_step_progress(spark, sf_dir):
+    """What each step of a retention run let pass, counted while it was written."""
+    turns = table(spark, sf_dir, "conversations")
+    rows = turns.select(F.col("conv_id").alias("trial_id"), F.col("turn").alias("position"), F.col("turn").cast("string").alias("id"), F.when(F.col("role") == "assistant", "tool").otherwise(F.col("role")).alias("kind"), "text")
+    steps = providers.Steps(spark)
+    path = shared.fresh(spark, "steps")
+    asked = steps.run("questions", compaction.questions(rows), f"{path}/questions", extra=F.sum((F.col("position") < 3).cast("int")))
+    batches = asked.groupBy("trial_id").agg(F.map_from_entries(F.collect_list(F.struct("id", "instructions"))).alias("questions"))
+    answer = lambda q: {i: (q["trial_id"] * 7 + int(i) * 13) % 100 / 100 for i in dict(q["questions"])}
+    said = steps.run("answers", providers.decide(batches, answer, f"{path}/said", tasks=4), f"{path}/answers", extra=F.sum(F.size("probabilities")))
+    steps.run("selection", compaction.select_segments(rows, providers.exploded_batch(said)), f"{path}/selection", extra=F.count_if("kept"))
+    return steps.table().select("step", "name", "rows", F.col("counts")["extra"].alias("extra"))
+
+
+@query(
+    """WITH t AS (SELECT c_nationkey AS nation, count(*) AS n FROM customer GROUP BY c_nationkey)
+       SELECT nation, n AS opened, n AS closed, CASE WHEN nation % 4 = 0 THEN n ELSE 0 END AS failures FROM t"""
+)
+def closed_resources(spark, sf_dir):
+    """A task opens a resource for each customer of a nation and closes them all; those of every fourth nation do not close."""
+    shared.send_package(spark)
+
+    class Held:
+        def __init__(self, nation: int):
+            self.nation, self.closed = nation, 0
+
+        def close(self) -> None:
+            self.closed += 1
+            if self.nation % 4 == 0:
+                raise OSError("busy")
+
+    def run(frames):
+        for frame in frames:
+            for nation, part in frame.groupby("nation"):
+                kept = [Held(int(nation)) for _ in range(len(part))]
+                failures = 0
+                try:
+                    with providers.Resources() as held:
+                        for one in kept:
+                            held.add(one)
+                except ExceptionGroup as group:
+                    failures = len(group.exceptions)
+                held.close()  # closes nothing twice
+                yield pd.DataFrame([(nation, len(kept), sum(h.closed for h in kept), failures)], columns=["nation", "opened", "closed", "failures"])
+
+    rows = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation"))
+    found = rows.repartition("nation").mapInPandas(run, "nation int, opened long, closed long, failures long")
+    return found.groupBy("nation").agg(*(F.sum(c).alias(c) for c in ("opened", "closed", "failures")))
+
+
 @query("SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'pets' WHEN 1 THEN 'travel' ELSE 'other' END AS choice, 0.75 AS confidence, 3 AS options FROM part")
 def bounded_choice_source(spark, sf_dir):
     options = ["pets", "travel", "other"]

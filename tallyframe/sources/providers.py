@@ -1,23 +1,29 @@
 """Where decisions come from: saved tables, or a caller's function run once for each batch and written down.
 
 A live provider costs money, so a plan must never call it: ``recorded`` runs it with bounded concurrency, retries
-inside the call, and writes the answers; everything after reads the table.
+inside the call, logs each answer as it comes and writes them; everything after reads the table.
 """
 
 from __future__ import annotations
 
+import base64
 import logging
 import math
+import os
+import pickle
 import random
+import threading
 import time
+import uuid
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .shared import send_package
+from .shared import mounted, send_package
 
 # Limits of the retry policy.
 IN_FLIGHT = 8
@@ -60,22 +66,81 @@ def with_retries(call: Callable[[], object], sleep=time.sleep, draw=random.rando
     raise AssertionError("not reached")
 
 
-def recorded(questions: DataFrame, answer: Callable[[dict], dict], schema: str, path: str, tasks: int = 1, in_flight: int = IN_FLIGHT, publish: Callable[[str, str], None] = log_step) -> DataFrame:
-    """Answers of ``answer`` to each question, in ``schema``, written to ``path`` and read back; order is kept in a batch.
+class AnswerLog:
+    """Answers of one bucket of questions, appended one by one to a file of its own for every attempt at a task.
 
-    A ``Retryable`` failure is tried again inside the call; any other one ends the job, so nothing is written.
+    An answer counts once its whole line is there, so an attempt that dies midway leaves what it was given.
     """
 
+    def __init__(self, folder: str):
+        self.folder, self._file, self._lock = folder, None, threading.Lock()
+        self.known: dict[str, object] = {}
+        for name in sorted(os.listdir(folder)) if os.path.isdir(folder) else []:
+            with open(os.path.join(folder, name), "rb") as f:
+                for line in f:
+                    if line.endswith(b"\n"):
+                        key, answer = line.split()
+                        self.known[key.decode()] = pickle.loads(base64.b64decode(answer))
+
+    def add(self, key: str, answer: object) -> None:
+        with self._lock:
+            if self._file is None:
+                os.makedirs(self.folder, exist_ok=True)
+                self._file = open(os.path.join(self.folder, uuid.uuid4().hex), "ab")
+            self._file.write(key.encode() + b" " + base64.b64encode(pickle.dumps(answer)) + b"\n")
+            self._file.flush()
+            os.fsync(self._file.fileno())
+            self.known[key] = answer
+
+    def close(self) -> None:
+        if self._file is not None:
+            self._file.close()
+
+
+def _plain(df: DataFrame, name: str):
+    """A column as JSON keeps it: the entries of a map in order."""
+    return F.array_sort(F.map_entries(name)).alias(name) if isinstance(df.schema[name].dataType, T.MapType) else F.col(name)
+
+
+def recorded(questions: DataFrame, answer: Callable[[dict], dict], schema: str, path: str, tasks: int = 1, in_flight: int = IN_FLIGHT, publish: Callable[[str, str], None] = log_step, log: str | None = None) -> DataFrame:
+    """Answers of ``answer`` to each question, in ``schema``, written to ``path`` and read back.
+
+    A ``Retryable`` failure is tried again inside the call; any other one ends the job, so nothing is written. Every answer is
+    appended to ``log`` (a mounted folder, next to ``path`` if none is named) under its question's digest as soon as it is there:
+    a task that is run again, after a lost executor or in another job, asks only what was not answered (but for the calls that
+    were under way, ``in_flight`` at most). Equal questions are asked once.
+    """
+    spark = questions.sparkSession
+    log = mounted(log or f"{path}-log")
+    names = questions.columns
+    key = F.sha2(F.to_json(F.struct(*(_plain(questions, c) for c in names))), 256)
+    keyed = questions.withColumn("_key", key).withColumn("_bucket", F.pmod(F.xxhash64("_key"), F.lit(tasks)).cast("int"))
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        logs: dict[int, AnswerLog] = {}
         with ThreadPoolExecutor(in_flight) as pool:
             for frame in frames:
-                rows = list(pool.map(lambda q: with_retries(lambda: answer(q), publish=publish), frame.to_dict("records")))
+                asked = frame[names].to_dict("records")
+                for b in frame["_bucket"].unique():
+                    if b not in logs:
+                        logs[b] = AnswerLog(f"{log}/{b}")
+                held = [logs[b] for b in frame["_bucket"]]
+                new = {k: (q, h) for k, q, h in zip(frame["_key"], asked, held) if k not in h.known}
+
+                def ask(item):
+                    k, (q, h) = item
+                    h.add(k, with_retries(lambda: answer(q), publish=publish))
+
+                list(pool.map(ask, new.items()))
+                rows = [h.known[k] for k, h in zip(frame["_key"], held)]
                 if rows:
                     yield pd.DataFrame(rows)
+        for h in logs.values():
+            h.close()
 
-    send_package(questions.sparkSession)
-    questions.repartition(tasks).mapInPandas(run, schema).write.mode("overwrite").parquet(path)
-    return questions.sparkSession.read.parquet(path)
+    send_package(spark)
+    keyed.repartition(tasks, "_bucket").mapInPandas(run, schema).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 def _probability(value: object, of: str) -> float:
@@ -144,9 +209,26 @@ def exploded_batch(batches: DataFrame) -> DataFrame:
     return batches.select("trial_id", F.explode("probabilities").alias("id", "probability"))
 
 
-def progress(df: DataFrame, name: str) -> DataFrame:
-    """Counts rows as they pass, for listeners, without another action."""
-    return df.observe(name, F.count(F.lit(1)).alias("rows"))
+class Steps:
+    """Model steps of a run, each written once; what passes is counted on the way, and each step gives one event."""
+
+    def __init__(self, spark: SparkSession, publish: Callable[[str, str], None] = log_step):
+        self.spark, self.publish, self.events = spark, publish, []
+
+    def run(self, name: str, df: DataFrame, path: str, **counts) -> DataFrame:
+        """Write ``df`` and read it back; ``counts`` are further aggregates, by name, that are taken in the same pass."""
+        seen = Observation(f"{name}-{uuid.uuid4().hex}")
+        self.publish("began", name)
+        watched = df.observe(seen, F.count(F.lit(1)).alias("rows"), *(c.cast("long").alias(k) for k, c in counts.items()))
+        watched.write.mode("overwrite").parquet(path)
+        found = seen.get
+        self.events.append((len(self.events) + 1, name, found["rows"], {k: found[k] for k in counts}))
+        self.publish("ended", f"{name}: {found['rows']} rows")
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def table(self) -> DataFrame:
+        """step (from 1), name, rows and counts of every step that ended."""
+        return self.spark.createDataFrame(self.events, "step int, name string, rows long, counts map<string,long>")
 
 
 class Resources:

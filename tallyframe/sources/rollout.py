@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import send_package
 from .text import numbered_lines
 
 PAYLOAD = "type string, role string, content string, call_id string, name string, input string, output string"
@@ -15,8 +19,50 @@ def _parts_text(content):
     return F.array_join(F.transform(parts, lambda x: x["text"]), "\n")
 
 
+def _digests(batches):
+    """The digest of each file from its lines in order.
+
+    Readers take off a byte order mark and every line feed; the file's size says whether the mark and the last one are there.
+    """
+    file, size, n, marked, bare = None, 0, 0, None, None
+
+    def end() -> pa.RecordBatch:
+        missing = size - n
+        if missing not in (0, 1, 3, 4):
+            raise ValueError(f"{file} has {size} bytes, of which {n} were read: is it compressed?")
+        sha = marked if missing >= 3 else bare
+        sha.update(b"\n" * (missing % 3))
+        return pa.RecordBatch.from_pydict({"trial_id": [file], "source_sha256": [sha.hexdigest()]})
+
+    for batch in batches:
+        for path, length, line in zip(batch.column("trial_id").to_pylist(), batch.column("size").to_pylist(), batch.column("line")):
+            feed = b"\n"
+            if path != file:
+                if file is not None:
+                    yield end()
+                file, size, n, feed = path, length, 0, b""
+                marked, bare = hashlib.sha256(b"\xef\xbb\xbf"), hashlib.sha256()
+            n += len(feed) + len(line.as_buffer())
+            for sha in (marked, bare):
+                sha.update(feed)
+                sha.update(line.as_buffer())
+    if file is not None:
+        yield end()
+
+
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("trial_id"), F.sha2("content", 256).alias("source_sha256"))
+    """trial_id and the SHA-256 of each whole file, of any size.
+
+    A digest runs through a file from end to end, so one task has each file; but as lines, sorted by block and place on disk
+    where they are many, of which it holds a batch at a time. Files are read by Spark and may lie in any store. Readers pass
+    over files without a byte, so these give no row.
+    """
+    send_package(spark)
+    meta = F.col("_metadata")
+    lines = spark.read.option("lineSep", "\n").text(path)
+    lines = lines.select(meta["file_path"].alias("trial_id"), meta["file_size"].alias("size"), meta["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").cast("binary").alias("line"))
+    ordered = lines.repartition("trial_id").sortWithinPartitions("trial_id", "block", "at").select("trial_id", "size", "line")
+    return ordered.mapInArrow(_digests, "trial_id string, source_sha256 string")
 
 
 def raw_lines(spark: SparkSession, path: str) -> DataFrame:

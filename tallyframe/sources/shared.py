@@ -7,6 +7,7 @@ import re
 import shutil
 import tempfile
 import uuid
+from urllib.parse import unquote, urlparse
 
 from pyspark.sql import SparkSession
 
@@ -30,6 +31,14 @@ def fresh(spark: SparkSession, name: str) -> str:
     return f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def mounted(uri: str) -> str:
+    """The local path of a ``file:`` folder, a mount that every machine sees."""
+    parts = urlparse(uri)
+    if parts.scheme not in ("", "file"):
+        raise ValueError(f"a mounted folder is needed, not {uri}")
+    return unquote(parts.path)
+
+
 def send_package(spark: SparkSession) -> None:
     """Python workers get this package unless they find it where the driver did (PYTHONPATH or working folder)."""
     home = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
