@@ -50,6 +50,16 @@ def last_before(rows: DataFrame, group: list[str], order: str, value: Column, na
     return met(rows, carried, group).withColumn(name, F.coalesce(own, "_carried")).drop("_value", "_carried", "_block")
 
 
+def row_numbers(rows: DataFrame, group: list[str], order: str, name: str, width: int | None = None) -> DataFrame:
+    """``rows`` with their place (from 1) in the order of their group."""
+    rows = numbered(rows, order, width)
+    sizes = rows.groupBy(*group, "_block").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(along(group).rowsBetween(Window.unboundedPreceding, -1))
+    carried = sizes.select(*group, "_block", F.coalesce(before, F.lit(0)).alias("_carried"))
+    place = F.row_number().over(inside(group, order)) + F.col("_carried")
+    return met(rows, carried, group).withColumn(name, place).drop("_carried", "_block")
+
+
 def greatest_before(rows: DataFrame, group: list[str], order: str, value: Column, name: str, width: int | None = None) -> DataFrame:
     """``rows`` with the greatest value before each, in the order of its group."""
     rows = numbered(rows.withColumn("_value", value), order, width)

@@ -186,6 +186,23 @@ def typed_json(spark, sf_dir):
     return json_files.read_typed(spark, path, "p_partkey long, p_name string, about struct<brand:string,size:int>").select("p_partkey", "p_name", "about.*")
 
 
+@query(
+    """SELECT 'about.size' AS path, 'int' AS expected, 'STRING' AS found, count(*) AS n FROM part WHERE p_partkey % 5 = 0 UNION ALL SELECT 'about.more[].deep', 'no such field', 'BIGINT', count(*) FROM part WHERE p_partkey % 7 = 0
+       UNION ALL SELECT 'about', 'object', 'BOOLEAN', count(*) FROM part WHERE p_partkey % 11 = 1 AND p_partkey % 5 <> 0 AND p_partkey % 7 <> 0"""
+)
+def typed_json_problems(spark, sf_dir):
+    """Wrong kinds and unknown nested fields, found in the scan that reads the rows."""
+    path = shared.fresh(spark, "typed")
+    k, text = F.col("p_partkey"), F.concat(F.lit('"'), F.col("p_size").cast("string"), F.lit('"'))
+    size = F.when(k % 5 == 0, text).otherwise(F.col("p_size").cast("string"))
+    more = F.when(k % 7 == 0, ', "more": [{"name": "a"}, {"name": null, "deep": 1}]').otherwise(', "more": [{"name": "a"}]')
+    about = F.concat(F.lit('{"size": '), size, more, F.lit("}"))
+    about = F.when((k % 11 == 1) & (k % 5 != 0) & (k % 7 != 0), "true").otherwise(about)
+    table(spark, sf_dir, "part").select(F.concat(F.lit('{"p_partkey": '), k.cast("string"), F.lit(', "about": '), about, F.lit("}")).alias("value")).write.text(path)
+    found = json_files.type_problems(spark, path, "p_partkey long, about struct<size:int,more:array<struct<name:string>>>")
+    return found.groupBy("path", "expected", "found").agg(F.count("*").alias("n"))
+
+
 @query("SELECT n_regionkey AS region, arg_max(n_name, lpad(CAST(n_nationkey AS VARCHAR), 2, '0')) AS name FROM nation GROUP BY n_regionkey")
 def latest_scorecards(spark, sf_dir):
     """A folder a nation, as if each were a run; the newest of each region stays."""
