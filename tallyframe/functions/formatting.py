@@ -4,10 +4,8 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Secret shapes, in the order in which they are replaced.
 SECRETS = (
@@ -83,7 +81,7 @@ def duration_text(seconds: Column) -> Column:
     whole = F.bround(seconds).cast("long")
     minutes = F.floor(whole / 60).cast("long")
     return (
-        F.when(seconds < 10, F.format_string("%.1fs", seconds.cast("double")))
+        F.when(seconds < 10, F.concat(tenths(seconds.cast("double")).cast("string"), F.lit("s")))
         .when(whole < 60, F.format_string("%ds", whole))
         .when(whole < 3600, F.format_string("%dm %02ds", minutes, whole % 60))
         .otherwise(F.format_string("%dh %02dm", F.floor(whole / 3600).cast("long"), F.floor(whole % 3600 / 60).cast("long")))
@@ -99,7 +97,20 @@ def reduction_percent(original: Column, retained: Column) -> Column:
     return F.when(original > 0, ((low + up) / 10).cast("decimal(10,1)"))
 
 
-@F.pandas_udf(T.DoubleType())
-def float_reduction_percent(original: pd.Series, retained: pd.Series) -> pd.Series:
-    """The same as a binary float rounds it: a written tie such as 66.65 may lie above or below itself. One row a trial."""
-    return pd.Series([round(100 * (o - r) / o, 1) if o else None for o, r in zip(original, retained)], dtype="float64")
+def tenths(value: Column) -> Column:
+    """A double from 0 to under 128 to one place as its exact binary value rounds (a written tie such as 66.65 lies above or
+    below itself; true ties go to the even side), as decimal(10,1)."""
+    whole = F.floor(value * 2**20)  # products and differences of powers of two are exact
+    rest = F.floor((value * 2**20 - whole) * 2**52)
+    ten = (whole.cast("decimal(20,0)") * F.lit(10 * 2**52).cast("decimal(18,0)") + (rest * 10).cast("decimal(20,0)")).cast("decimal(38,0)")
+    one = F.lit(str(2**72)).cast("decimal(25,0)")
+    low = F.call_function("div", ten, one)
+    twice = ((ten - low.cast("decimal(12,0)") * one) * 2).cast("decimal(38,0)")
+    up = F.when(twice > one, 1).when((twice == one) & (low % 2 == 1), 1).otherwise(0)
+    return ((low + up) / 10).cast("decimal(10,1)")
+
+
+def float_reduction_percent(original: Column, retained: Column) -> Column:
+    """The same as a binary float rounds it; null without text. Characters are below 2^46."""
+    percent = 100 * F.abs(original - retained).cast("double") / original.cast("double")
+    return F.when(original > 0, tenths(percent).cast("double") * F.when(retained > original, -1.0).otherwise(1.0))

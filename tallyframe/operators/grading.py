@@ -311,3 +311,19 @@ def timed_trials(spark: SparkSession, trial: Callable[[int], object], n: int) ->
             failure = f"{type(error).__name__}: {error}"
         rows.append((run, time.monotonic() - began, failure))
     return spark.createDataFrame(rows, "run int, seconds double, failure string")
+
+
+def graded_trials(spark: SparkSession, trial: Callable[[int], DataFrame], checks: list[str], n: int) -> tuple[DataFrame, DataFrame]:
+    """Grades (run, check_name, status) and timings (run, seconds, failure) of n live runs, one after the other.
+
+    ``trial`` analyses and grades one run: a row a check (check_name, status). A run that fails, or leaves a check out, has
+    that check errored, and the others go on. Only grades, a few rows a run, come to the driver.
+    """
+    found: dict[int, dict[str, str]] = {}
+
+    def once(run: int) -> None:
+        found[run] = {r["check_name"]: r["status"] for r in trial(run).select("check_name", "status").limit(len(checks) + 1).collect()}
+
+    timings = timed_trials(spark, once, n)
+    rows = [(run, check, found.get(run, {}).get(check, "errored")) for run in range(1, n + 1) for check in checks]
+    return spark.createDataFrame(rows, "run int, check_name string, status string"), timings

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import formatting as fm
@@ -165,6 +164,57 @@ def excerpts(spark, sf_dir):
     return turns.join(goals, "conv_id").select("conv_id", "turn", compaction.excerpt(F.col("text"), F.col("goal")).alias("excerpt"))
 
 
+_REQUEST = """e AS (SELECT conv_id, turn, role = 'assistant' AS tool, role, repeat(text, 20) AS text FROM conversations),
+  g AS (SELECT conv_id, arg_min(text, turn) AS goal FROM conversations GROUP BY conv_id)"""
+
+
+def _timeline(spark, sf_dir):
+    """Conversations with every text twenty times over, so that requests come near the caps; assistants' turns are tools'."""
+    turns = table(spark, sf_dir, "conversations")
+    tool = F.col("role") == "assistant"
+    text = F.repeat("text", F.lit(20))
+    call = F.concat(F.lit("look: "), F.col("turn").cast("string"))
+    rows = turns.select(F.col("conv_id").alias("trial_id"), F.col("turn").alias("position"), F.col("turn").cast("string").alias("id"), F.when(tool, "tool").otherwise(F.col("role")).alias("kind"), F.when(tool, call).otherwise(text).alias("text"), F.when(tool, text).alias("result"))
+    return rows, turns.groupBy(F.col("conv_id").alias("trial_id")).agg(F.min_by("text", "turn").alias("goal"))
+
+
+@query(
+    f"""WITH {_REQUEST} SELECT conv_id, turn, CASE WHEN tool THEN 'tool_call_and_result' ELSE role END AS kind, CASE WHEN NOT tool THEN text END AS text, CASE WHEN tool THEN 'look: ' || turn END AS call,
+        CASE WHEN tool THEN text END AS result, CASE WHEN tool THEN CAST(length(text) AS VARCHAR) END AS full_result_characters, goal AS current_goal FROM e JOIN g USING (conv_id)"""
+)
+def retention_state(spark, sf_dir):
+    return compaction.state(*_timeline(spark, sf_dir)).select(F.col("trial_id").alias("conv_id"), F.col("position").alias("turn"), "kind", "text", "call", "result", "full_result_characters", "current_goal")
+
+
+@query(
+    f"""WITH {_REQUEST}, j AS (SELECT conv_id, sum(CASE WHEN tool THEN length('{{"id": "' || turn || '", "kind": "tool_call_and_result", "call": "look: ' || turn || '", "result": , "full_result_characters": "' || length(text) || '"}}') + length(CAST(to_json(text) AS VARCHAR))
+          ELSE length('{{"id": "' || turn || '", "kind": "' || role || '", "text": }}') + length(CAST(to_json(text) AS VARCHAR)) END) + 2 * (count(*) - 1) AS timeline,
+        coalesce(sum(length('"' || turn || '": "' || '{compaction.QUESTIONS["current"].replace("{id}", "")}' || turn || '"')) FILTER (tool) + 2 * (count(*) FILTER (tool) - 1), 0) AS questions FROM e GROUP BY conv_id),
+        s AS (SELECT conv_id, CAST(length('{{"current_goal": , "timeline": [], "questions": {{}}}}') + length(CAST(to_json(goal) AS VARCHAR)) + timeline + CASE WHEN questions > 0 THEN questions ELSE 0 END AS BIGINT) AS size FROM j JOIN g USING (conv_id))
+        SELECT conv_id, size, size <= 90000 AS fits_full, size <= 24000 AS fits_excerpt FROM s"""
+)
+def request_sizes(spark, sf_dir):
+    """Characters of each conversation's request and whether they fit the two caps."""
+    rows, goals = _timeline(spark, sf_dir)
+    entries, asked = compaction.state(rows, goals), compaction.questions(rows)
+    full, short = (compaction.request_sizes(entries, asked, mode) for mode in ("full", "excerpt"))
+    both = full.withColumnRenamed("fits", "fits_full").join(short.select("trial_id", F.col("fits").alias("fits_excerpt")), "trial_id")
+    return both.select(F.col("trial_id").alias("conv_id"), F.col("size").cast("long").alias("size"), "fits_full", "fits_excerpt")
+
+
+@query(
+    """WITH k AS (SELECT *, role <> 'assistant' OR row_number() OVER (PARTITION BY conv_id, role = 'assistant' ORDER BY turn DESC) <= 1 AS kept, length(text) AS n FROM conversations),
+       s AS (SELECT conv_id, sum(n) AS original, coalesce(sum(n) FILTER (kept), 0) AS retained FROM k GROUP BY conv_id)
+       SELECT conv_id, CAST(printf('%.1f', 100 * CAST(original - retained AS DOUBLE) / CAST(original AS DOUBLE)) AS DOUBLE) AS reduction_percent FROM s WHERE original > 0"""
+)
+def float_reduction_percent(spark, sf_dir):
+    """The reduction as a binary float rounds it."""
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("trial_id"), "turn", "role", "text")
+    kept = compaction.recency_selection(rows, 1, "trial_id", "turn", F.col("role") == "assistant")
+    found = compaction.sizes(kept, F.length("text").cast("long")).filter("original > 0")
+    return found.select(F.col("trial_id").alias("conv_id"), "reduction_percent")
+
+
 @query("SELECT conv_id, turn, side FROM conversations CROSS JOIN (VALUES ('prepared'), ('rebuilt')) s(side) WHERE role = 'assistant' AND turn % 3 = 0")
 def prepared_requests(spark, sf_dir):
     """Prepared questions whose wording is not the rebuilt one: the old and the new row of each."""
@@ -175,14 +225,12 @@ def prepared_requests(spark, sf_dir):
 
 
 @query(
-    _W
-    + """, v AS (SELECT row_number() OVER (ORDER BY o_orderkey) AS log, o_orderkey % 4 AS kind FROM orders)
-    SELECT log, CASE kind WHEN 1 THEN 'ids are not three distinct ones' WHEN 2 THEN 'unsupported ids' WHEN 3 THEN 'unsupported ids,required ids omitted' END AS problems FROM v WHERE kind <> 0"""
+    """SELECT o_orderkey AS log, CASE o_orderkey % 4 WHEN 1 THEN 'ids are not three distinct ones' WHEN 2 THEN 'unsupported ids' WHEN 3 THEN 'unsupported ids,required ids omitted' END AS problems
+       FROM orders WHERE o_orderkey % 4 <> 0"""
 )
 def selection_problems(spark, sf_dir):
     """A selection of each order's own log: right, with a repeated id, with an unknown one, or without the required one."""
-    number = F.row_number().over(Window.partitionBy("g").orderBy("o_orderkey")).cast("long")
-    logs = table(spark, sf_dir, "orders").select(F.lit(1).alias("g"), "o_orderkey").select(number.alias("log_id"), (F.col("o_orderkey") % 4).alias("kind"))
+    logs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("log_id"), (F.col("o_orderkey") % 4).alias("kind"))
     known = logs.select("log_id", F.explode(F.array(*map(F.lit, "abcd"))).alias("evidence_id"))
     required = logs.select("log_id", F.array(F.lit("a")).alias("required"))
     of = lambda text: F.array(*map(F.lit, text))

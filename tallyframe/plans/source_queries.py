@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import os
+
 import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import formatting as fm
-from ..operators import compaction, grading
+from ..operators import compaction, grading, totals
 from ..sources import json_files, providers, rollout, shared, text
 from ..sources.settings import Settings
-from .registry import query, table
+from .registry import _W, ledger, query, table
 
 
 @query("SELECT c_nationkey AS nation, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS INTEGER) AS line_number, c_custkey || ' | ' || c_name AS source_text FROM customer")
@@ -174,9 +176,20 @@ def completions_after_retries(spark, sf_dir):
     return said.select("r_regionkey", parts[0].alias("completion"), parts[1].cast("int").alias("attempts"))
 
 
-@query("SELECT * FROM (VALUES ('dining_coffee', CAST(310.50 AS DECIMAL(18,2))), ('shopping', CAST(1200 AS DECIMAL(18,2)))) t(category, target)")
+@query(
+    _W.replace("6900000", "6900000.50")
+    + "SELECT category, target, count(*) AS months, count(*) FILTER (variance > 0) AS above FROM bc GROUP BY category, target"
+)
 def settings_targets(spark, sf_dir):
-    return Settings.from_environment({"DINING_TARGET": "310.50"}).targets(spark)
+    """Months that break the targets which a file and the environment set; the environment goes first."""
+    path = shared.fresh(spark, "settings")
+    line = F.concat(F.lit("export SHOPPING_TARGET='"), F.max(F.lit("7100000")), F.lit("'"))
+    table(spark, sf_dir, "region").agg(line.alias("value")).coalesce(1).write.text(path)
+    name = next(n for n in os.listdir(shared.mounted(path)) if n.startswith("part-"))
+    settings = Settings.from_environment({"DINING_TARGET": "6900000.50"}, os.path.join(shared.mounted(path), name))
+    tx = ledger(spark, sf_dir)
+    budgets = totals.budget_comparisons(totals.monthly_category_totals(tx), totals.monthly_totals(tx), settings.targets(spark))
+    return budgets.groupBy("category", F.col("target").cast("decimal(18,2)").alias("target")).agg(F.count("*").alias("months"), F.count_if(F.col("variance") > 0).alias("above"))
 
 
 @query("SELECT p_partkey, p_name, p_brand AS brand, p_size AS size FROM part")
@@ -222,16 +235,34 @@ def json_artifacts(spark, sf_dir):
     return spark.read.schema("c_custkey long, folder string").json(path)
 
 
-@query("SELECT CAST(n AS INTEGER) AS run, CASE WHEN n = 2 THEN 'ValueError: run 2 has no lines' END AS failure, true AS timed FROM (VALUES (1), (2), (3)) r(n)")
-def isolated_trials(spark, sf_dir):
-    """Three runs of a count, of which the second fails; the others are not touched by it."""
+_TRIALS = """t AS (SELECT r.run, count(*) FILTER (l_orderkey % r.run = 0) AS kept, count(*) AS every FROM lineitem CROSS JOIN (VALUES (1), (2), (3)) r(run) GROUP BY r.run)"""
+
+
+def _trial(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem")
 
-    def trial(run: int) -> None:
+    def trial(run: int):
+        """Grades whether the run keeps all lines and whether it keeps any; the second run fails."""
+        seen = lines.agg(F.count_if(F.col("l_orderkey") % run == 0).alias("kept"), F.count("*").alias("every"))
         if run == 2:
             raise ValueError(f"run {run} has no lines")
-        table(spark, sf_dir, "region").count()
+        verdict = lambda c: F.when(c, "passed").otherwise("failed")
+        pair = F.array(F.struct(F.lit("all").alias("check_name"), verdict(F.col("kept") == F.col("every")).alias("status")), F.struct(F.lit("any").alias("check_name"), verdict(F.col("kept") > 0).alias("status")))
+        return seen.select(F.inline(pair))
+
+    return trial
+
+
+@query(f"WITH {_TRIALS} SELECT run, CASE WHEN run = 2 THEN 'ValueError: run 2 has no lines' END AS failure, true AS timed FROM t")
+def isolated_trials(spark, sf_dir):
+    """Three live runs over all lines, of which the second fails; the others are not touched by it."""
+    _, timings = grading.graded_trials(spark, _trial(spark, sf_dir), ["all", "any"], 3)
+    return timings.select("run", "failure", (F.col("seconds") >= 0).alias("timed"))
+
 
-    return grading.timed_trials(spark, trial, 3).select("run", "failure", (F.col("seconds") >= 0).alias("timed"))
+@query(f"WITH {_TRIALS} SELECT run, c AS check_name, CASE WHEN run = 2 THEN 'errored' WHEN c = 'all' AND kept < every THEN 'failed' WHEN c = 'any' AND kept = 0 THEN 'failed' ELSE 'passed' END AS status FROM t CROSS JOIN (VALUES ('all'), ('any')) k(c)")
+def graded_live_trials(spark, sf_dir):
+    return grading.graded_trials(spark, _trial(spark, sf_dir), ["all", "any"], 3)[0]
 
 
 @query("SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN '—' ELSE c_custkey || ', 7' END AS lines, CASE WHEN c_mktsegment = 'BUILDING' THEN 'Dining & Coffee' ELSE 'Pets' END AS category FROM customer")
