@@ -11,12 +11,14 @@ share of distinct anchors that two texts have in common (two empty ones are alik
 
 The next document is the one with the next smaller doc_id; after the smallest comes the largest. Rows without doc_id
 come last, rows that repeat an id in order of their text's hash. Neighbours meet through one range bucketing of the
-rows: a bucket also gets the first row of the bucket that follows. Null text counts as empty. Empty tables give
+rows by id, hash and place, so that no id is a hot one: a bucket also gets the first row of the bucket that follows. Null text counts as empty. Empty tables give
 empty results; a single row is its own next document. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -79,45 +81,53 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(either == 0, F.lit(1.0)).otherwise(common / either)
 
 
-def _descending_place(value: Column, tops: list[int]) -> Column:
-    """How many of the falling ``tops`` are at or above ``value``, by binary search."""
-    held = F.split(F.lit(",".join(map(str, tops))), ",").cast("array<bigint>")  # folded into one literal
-    start = F.struct(F.lit(0).alias("a"), F.lit(len(tops)).alias("b"))
+_KEY = "struct<n:int,r:bigint,h:bigint,t:bigint>"
+
+
+def _key() -> Column:
+    """Sorts rows: falling ids, those without one last, equal ids by their text's hash, equal rows as they come."""
+    reverse = F.coalesce(F.bitwise_not("doc_id"), F.lit(0).cast("long"))
+    return F.struct(F.col("doc_id").isNull().cast("int").alias("n"), reverse.alias("r"), F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("t"))
+
+
+def _place(key: Column, firsts: list[tuple]) -> Column:
+    """The last of the rising ``firsts`` that is at or before ``key``, by binary search."""
+    held = F.from_json(F.lit(json.dumps([dict(zip("nrht", f)) for f in firsts])), f"array<{_KEY}>")  # folded into one literal
+    start = F.struct(F.lit(0).alias("a"), F.lit(len(firsts)).alias("b"))
 
     def halve(s: Column, _: Column) -> Column:
         middle = F.floor((s["a"] + s["b"]) / 2).cast("int")
-        above = F.get(held, middle) >= value
+        above = F.get(held, middle) <= key
         open_ = s["a"] < s["b"]
         return F.struct(F.when(open_ & above, middle + 1).otherwise(s["a"]).alias("a"), F.when(open_ & ~above, middle).otherwise(s["b"]).alias("b"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(max(1, len(tops).bit_length()))), start, halve, lambda s: s["a"])
+    return F.greatest(F.aggregate(F.sequence(F.lit(1), F.lit(max(1, len(firsts).bit_length()))), start, halve, lambda s: s["a"]) - 1, F.lit(0))
 
 
 def with_next(docs: DataFrame, filled: bool = False) -> DataFrame:
     """doc_id, text, its chosen k-mers, and both of the next document."""
     spark = docs.sparkSession
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    ids = docs.select("doc_id").filter("doc_id is not null")
+    keyed = rows.select("doc_id", "text", _key().alias("key"))
     n = docs.count()
-    ranged = ids.repartitionByRange(int(min(MAX_BUCKETS, 1 + n // BUCKET_ROWS)), F.col("doc_id").desc())
-    tops = ranged.groupBy(F.spark_partition_id().alias("p")).agg(F.max("doc_id").alias("top")).collect()  # a row a bucket
-    tops = sorted((r["top"] for r in tops), reverse=True)
-    # bucket 0 has the largest ids; rows without id are in the last one
-    place = F.when(F.col("doc_id").isNull(), F.lit(len(tops))).otherwise(_descending_place(F.col("doc_id"), tops) - 1 if tops else F.lit(0))
-    rows = rows.withColumn("b", place)
-    firsts = [*tops, None] if not tops or n > ids.count() else tops
+    ranged = keyed.select("key").repartitionByRange(int(min(MAX_BUCKETS, 1 + n // BUCKET_ROWS)), "key")
+    firsts = ranged.groupBy(F.spark_partition_id().alias("p")).agg(F.min("key").alias("first")).collect()  # a row a bucket
+    firsts = sorted(tuple(r["first"]) for r in firsts) or [(0, 0, 0, 0)]
+    keyed = keyed.withColumn("b", _place(F.col("key"), firsts))
     # the first row of a bucket also ends the bucket before it, and the very first one the last bucket
-    ends = spark.createDataFrame([(top, len(firsts) - 1 if i == 0 else i - 1) for i, top in enumerate(firsts)], "top long, before int")
-    if not tops:
-        ends = ends.withColumn("before", F.lit(0))
-    ghosts = rows.drop("b").join(F.broadcast(ends), F.col("doc_id").eqNullSafe(F.col("top")))  # MAX_BUCKETS rows at most
-    ghosts = ghosts.groupBy("before").agg(F.max("doc_id").alias("doc_id"), F.min_by("text", F.xxhash64("text")).alias("text"))
-    every = rows.withColumn("ghost", F.lit(0)).unionByName(ghosts.select("doc_id", "text", F.col("before").alias("b"), F.lit(1).alias("ghost")))
-    every = every.repartitionById(len(tops) + 1, F.col("b").cast("int"))
-    every = every.withColumn("marks", marks(F.col("text"), filled=filled))
-    order = Window.partitionBy("b").orderBy("ghost", F.col("doc_id").desc_nulls_last(), F.xxhash64("text"))
+    ends: dict[tuple, list[int]] = {}
+    for k, first in enumerate(firsts):
+        ends.setdefault(first[:3], []).append(k - 1 if k else len(firsts) - 1)
+    ends = spark.createDataFrame([(*first, before) for first, before in ends.items()], "n int, r long, h long, before array<int>")
+    ghosts = keyed.join(F.broadcast(ends), (F.col("key.n") == F.col("n")) & (F.col("key.r") == F.col("r")) & (F.col("key.h") == F.col("h")))  # MAX_BUCKETS rows at most
+    # rows that agree in id and hash are one ghost, however many they are
+    ghosts = ghosts.groupBy("n", "r", "h").agg(F.any_value("before").alias("before"), F.any_value("doc_id").alias("doc_id"), F.any_value("text").alias("text"))
+    ghosts = ghosts.select("doc_id", "text", F.explode("before").alias("b"), F.struct("n", "r", "h", F.lit(0).cast("long").alias("t")).alias("key"), F.lit(1).alias("ghost"))
+    every = keyed.withColumn("ghost", F.lit(0)).unionByName(ghosts)
+    every = every.repartitionById(len(firsts), "b").withColumn("marks", marks(F.col("text"), filled=filled))
+    order = Window.partitionBy("b").orderBy("ghost", "key")
     every = every.select("*", F.lead("text").over(order).alias("next_text"), F.lead("marks").over(order).alias("next_marks"))
-    return every.filter("ghost = 0").drop("ghost", "b")
+    return every.filter("ghost = 0").drop("ghost", "b", "key")
 
 
 def edited_text(text: Column, following: Column) -> Column:

@@ -69,3 +69,18 @@ def test_ties_missing_ids_and_small_tables(spark):
     one = fingerprints(docs.filter("doc_id = 3")).collect()
     assert one[0].near_edited == 1.0 and one[0].near_next == 1.0 and one[0].fingerprint == ""
     assert fingerprints(docs.limit(0)).count() == 0
+
+
+def test_no_id_is_hot(spark, monkeypatch):
+    """A third of the rows without id, a third with one id, of which half are one text: all buckets are of one size."""
+    monkeypatch.setattr(syncmers, "BUCKET_ROWS", 50)
+    rows = [(None if k % 3 == 0 else 7 if k % 3 == 1 else k, "same text" if k % 2 else f"text {k}") for k in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = syncmers.with_next(docs).withColumn("p", F.spark_partition_id())
+    sizes = [r["count"] for r in found.groupBy("p").count().collect()]
+    assert sum(sizes) == 3000 and max(sizes) < 400
+    # each row's next text is the one of the row that follows in the stated order
+    hashes = {r.text: r.h for r in docs.select("text", F.xxhash64("text").alias("h")).distinct().collect()}
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), hashes[r[1]]))
+    want = sorted((r[0] or -1, r[1], order[(k + 1) % len(order)][1]) for k, r in enumerate(order))
+    assert sorted((r.doc_id or -1, r.text, r.next_text) for r in found.collect()) == want
