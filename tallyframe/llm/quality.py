@@ -151,6 +151,7 @@ def graded(labels: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> OrdinalModel | None:
+    """The model of at most ``max_rows`` labelled documents; of rows that repeat an id, the text of least hash is taken."""
     sample = graded(labels).join(docs.select("doc_id").filter("doc_id is not null").distinct(), "doc_id", "left_semi")
     sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)  # bounded, so that it may be broadcast
 
@@ -161,7 +162,10 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Ordin
                 cuts = np.searchsorted(doc, np.arange(part.num_rows + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([part.column("grade"), pa.ListArray.from_arrays(pa.array(cuts), pa.array(feature.astype(np.int32)))], ["grade", "features"])
 
-    rows = text_only(docs).join(F.broadcast(sample), "doc_id").select("grade", "text").mapInArrow(frugal(run), "grade int, features array<int>")
+    rows = text_only(docs).join(F.broadcast(sample), "doc_id")
+    # a row an id, added up before the shuffle: however often an id is repeated, no more than the sample comes to the driver
+    rows = rows.groupBy("doc_id").agg(F.min("grade").alias("grade"), F.min_by("text", F.xxhash64("text")).alias("text"))
+    rows = rows.select("grade", "text").mapInArrow(frugal(run), "grade int, features array<int>")
     found = rows.toArrow()
     if not found.num_rows:
         return None

@@ -94,3 +94,11 @@ def test_training_reaches_the_least_loss():
     assert np.abs(gradient).max() < 1e-3
     for _ in range(50):
         assert loss(p + rng.normal(scale=0.05, size=4), doc[some], col[some], grade, 2, 0.02)[0] > best - 1e-6
+
+
+def test_no_more_rows_than_the_sample_are_fetched(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr("tallyframe.llm.quality.fit", lambda doc, feature, grade: seen.append(len(grade)))
+    docs = spark.createDataFrame([(k % 3, f"text {k}") for k in range(900)], "doc_id long, text string")
+    train(docs, spark.createDataFrame([(k, 1, 0) for k in range(3)], "doc_id long, quality int, toxic int"), max_rows=2)
+    assert seen == [2]
