@@ -43,10 +43,10 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, distinct_hashes, documents, fresh_path, frugal, mix, mounted, shipped, split_words, spread
+from .common import chunks, distinct_hashes, documents, fresh_path, frugal, mix, mounted, shipped, split_words, spread, staged
 
 #: Words of context and one, in op2_kneser_ney.
 ORDER = 3
@@ -474,31 +474,32 @@ def vocabulary(texts: DataFrame, folder: str, files: int) -> tuple[int, int, int
             yield _batch([(k, np.bincount(of, minlength=CLASSES).tolist(), np.bincount(of, weights=n, minlength=CLASSES).astype(np.int64).tolist())], "file int, words array<long>, tokens array<long>")
 
     dealt = texts.mapInArrow(frugal(count), ROWS).repartitionById(files, F.col("shard")).sortWithinPartitions("shard")
-    found = {r["file"]: r for r in dealt.mapInArrow(frugal(merge), "file int, words array<long>, tokens array<long>").collect()}  # a row a file
-    sizes = np.array([found[k]["words"] if k in found else [0] * CLASSES for k in range(files)], np.int64)
-    tokens = np.array([found[k]["tokens"] if k in found else [0] * CLASSES for k in range(files)], np.int64).sum(axis=0)
-    # ids go down the classes, and through the files inside a class
-    down = sizes[:, ::-1].T.ravel()
-    firsts = (1 + np.cumsum(down) - down).reshape(CLASSES, files).T[:, ::-1]
+    found = staged(dealt.mapInArrow(frugal(merge), "file int, words array<long>, tokens array<long>"), "classes")
+    held = found.select("file", F.posexplode(F.arrays_zip("words", "tokens")).alias("class", "n")).select("file", "class", "n.words", "n.tokens")
+    sums = {r["class"]: r for r in held.groupBy("class").agg(F.sum("words").alias("words"), F.sum("tokens").alias("tokens")).collect()}  # CLASSES rows
+    sizes = np.array([sums[c]["words"] if c in sums else 0 for c in range(CLASSES)], np.int64)
+    tokens = np.array([sums[c]["tokens"] if c in sums else 0 for c in range(CLASSES)], np.int64)
+    # ids go down the classes, and through the files inside a class; each file is told how many words of a class lie before it
+    firsts = 1 + np.cumsum(sizes[::-1])[::-1] - sizes
+    before = F.coalesce(F.sum("words").over(Window.partitionBy("class").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    told = held.select("file", "class", before.alias("n")).groupBy("file").agg(F.transform(F.array_sort(F.collect_list(F.struct("class", "n"))), lambda x: x["n"]).alias("before"))
     wide = np.uint32 if sizes.sum() + 2 < 2**32 else np.uint64
-    shared = spark.sparkContext.broadcast(firsts)
 
     def number(batches):
         for batch in batches:
-            for k in batch.column("id").to_pylist():
+            for k, start in zip(batch.column("file").to_pylist(), batch.column("before")):
                 held = _mapped(f"{folder}/words-{k}.arrays")
-                if held is not None:
-                    of = _class(held["counts"])
-                    order = np.argsort(of, kind="stable")
-                    n = np.bincount(of, minlength=CLASSES)
-                    ids = np.empty(len(of), wide)
-                    ids[order] = shared.value[k][of[order]] + spread(np.zeros(CLASSES, np.int64), n)
-                    _save(folder, f"ids-{k}", {"ids": ids})
-                yield pa.RecordBatch.from_arrays([pa.array([k])], ["id"])
-
-    spark.range(0, files, 1, files).mapInArrow(frugal(number), "id long").agg(F.count("*")).first()
+                of = _class(held["counts"])
+                order = np.argsort(of, kind="stable")
+                n = np.bincount(of, minlength=CLASSES)
+                ids = np.empty(len(of), wide)
+                ids[order] = (firsts + start.values.to_numpy())[of[order]] + spread(np.zeros(CLASSES, np.int64), n)
+                _save(folder, f"ids-{k}", {"ids": ids})
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64())], ["id"])
+
+    told.repartitionById(files, F.col("file")).mapInArrow(frugal(number), "id long").agg(F.count("*")).first()
     hot = np.arange(CLASSES) >= 4 * np.log2(SHARD_TOKENS)
-    return int(tokens.sum()), int(sizes.sum()), int(sizes[:, hot].sum()), int(tokens[hot].sum())
+    return int(tokens.sum()), int(sizes.sum()), int(sizes[hot].sum()), int(tokens[hot].sum())
 
 
 def train(docs: DataFrame, order: int = 2) -> Model:
