@@ -8,9 +8,11 @@
 3. Sweep, in rounds of one task a cell, all cells at once: from the largest class down, the pieces of a class go to
    the smallest gaps that hold them (their successors), conflicts are resolved by rank (piece r takes the r-th place),
    gaps are updated, and what finds no gap opens new sequences, but no more than the cell's pieces are sure to need:
-   the rest waits. Between rounds, the gaps and waiting pieces of sixteen cells are joined in one; the last round has
-   one cell and opens what is needed. Cells hold runs of equal rooms and lengths, never rows, so a round's task reads
-   a number of runs that depends on the length of a sequence, not on the input.
+   the rest waits. Between rounds, the gaps and waiting pieces of sixteen cells are joined in one; the last round opens
+   what is needed. Cells hold runs of equal rooms and lengths, never rows. What a cell leaves over grows with the cells
+   that were joined in it, so there are two such rounds at most, after which a cell stands for 256: a task reads what
+   sixteen cells left, whatever the input. Each last cell opens at most one sequence more than one for all would: one in
+   some ten million pieces.
 4. Place: pieces meet the segments of their cell by rank, cell by cell.
 
 With one cell this is the packing of sequential best-fit decreasing exactly; with several, pieces that wait see the
@@ -44,6 +46,8 @@ RANK_ROWS = 500_000
 #: Pieces of a cell, about, and cells that become one in the next round.
 CELL_PIECES = 50_000
 JOINED_CELLS = 16
+#: Rounds in which cells are joined, at most.
+ROUNDS = 2
 #: Bytes of text whose words are looked up at a time.
 BATCH_BYTES = 8_000_000
 #: Words that a worker keeps the ids of, words that are encoded as one text, and ids that are laid out at a time.
@@ -308,11 +312,11 @@ def swept(spark: SparkSession, counts: dict[int, int], cells: int, capacity: int
 
     rounds = [staged(spark.range(0, cells, 1, cells).mapInArrow(frugal(begin), ROUND), "sweep")]
     step, now = 0, cells
-    while now > 1:
+    while now > 1 and step < ROUNDS:
         step, now = step + 1, -(-now // JOINED_CELLS)
         left = rounds[-1].filter("kind > 0").withColumn("cell", F.floor(F.col("cell") / JOINED_CELLS))
         left = left.repartitionById(now, F.col("cell").cast("int")).sortWithinPartitions("cell", "kind", "size", "origin", "rank", "sequence")
-        rounds.append(staged(left.mapInArrow(frugal(_again(step, now == 1, capacity)), ROUND), "sweep"))
+        rounds.append(staged(left.mapInArrow(frugal(_again(step, now == 1 or step == ROUNDS, capacity)), ROUND), "sweep"))
     out = rounds[0]
     for more in rounds[1:]:
         out = out.unionByName(more)

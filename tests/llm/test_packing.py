@@ -129,3 +129,26 @@ def test_pack_rows(spark, monkeypatch, cell_pieces):
     assert [r.ids_crc32 for r in long] == [zlib.crc32(np.array(ids[k : k + 256], "<u4").tobytes()) for k in range(0, len(ids), 256)]
     assert len(by_doc[100]) == 2 and len(by_doc[None]) == 1
     assert pack(docs.limit(0)).count() == 0
+
+
+def test_tasks_of_the_last_round_read_no_more_with_more_cells(spark, monkeypatch):
+    monkeypatch.setattr(packing, "JOINED_CELLS", 4)
+    rng = random.Random(8)
+    most = {}
+    for cells in (16, 256):
+        lengths = [min(512, int(rng.lognormvariate(4.5, 1.0)) + 1) for _ in range(400 * cells)]
+        kept = []
+        keep = packing.staged
+        monkeypatch.setattr(packing, "staged", lambda df, name: kept.append(keep(df, name)) or kept[-1])
+        segments = packing.swept(spark, dict(Counter(lengths)), cells, 512).collect()
+        monkeypatch.setattr(packing, "staged", keep)
+        left = [r for r in kept[-2].filter("kind > 0").select("cell").collect()]
+        most[cells] = max(Counter(r["cell"] // 4 for r in left).values())
+        assert len(kept) == 3 and sum(r["n"] for r in segments) == len(lengths)
+        # every sequence holds what it may, and there are hardly more than there must be
+        used = Counter()
+        for r in segments:
+            for i in range(r["n"]):
+                used[r["sequence"] + (r["skip"] + i) // r["side"]] += r["size"]
+        assert max(used.values()) <= 512 and len(used) <= -(-sum(lengths) // 512) + cells // 16 + 1
+    assert most[256] <= 1.5 * most[16]
