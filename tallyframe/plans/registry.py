@@ -396,7 +396,7 @@ def refund_lines(spark, sf_dir):
         F.lit("included_spending").alias("treatment"),
         F.col("c_mktsegment").alias("category"),
     )
-    checked = totals.reconciliation(ledger, totals.monthly_category_totals(ledger, lines=False), totals.monthly_totals(ledger, lines=False))
+    checked = totals.reconciliation(ledger, totals.monthly_category_totals(ledger), totals.monthly_totals(ledger), lines=True)
     return checked.select(F.explode("refunds").alias("c_custkey"))
 
 
