@@ -1,11 +1,15 @@
 """Secret scan with a random forest that removes false positives; DataFrame and SQL functions only.
 
 Scan: candidates are (key characters are letters, digits, ``_ + / = -``)
+ - the body of a PEM block: 16 or more of letters, digits, ``+ / =``, white space and backslashes between BEGIN and END lines;
+ - 6 or more characters without white space after ``Authorization`` (assigned) and ``Basic`` or ``Bearer``;
+ - the password of a URL: 3 to 200 characters between ``://user:`` and ``@``;
  - runs of 20 or more key characters;
  - after NAME= or NAME: (quotes and spaces may stand between), 8 or more key characters;
  - after such a name with a credential word in it, 4 or more characters that are neither white space nor quotes, or
    that stand between quotes in one line (200 at most);
  - 6 or more characters without white space after a credential word and spaces (``is``, ``was``, ``to`` or ``as`` may stand between).
+Of kinds that begin at the same place the first listed wins, named values before runs. A name is not assigned a PEM block.
 A name in front of an assignment belongs to the text before its value, and is a candidate itself from 20 characters.
 Nothing else is a candidate: shorter strings, and those of under 20 key characters without name or credential word.
 ``found`` alone, unless ``wide``, gives runs of 20 or more key characters with a digit. Each candidate is taken with
@@ -15,8 +19,8 @@ seen, and a text of any length takes time in proportion to it.
 Features: length; transitions between character classes (lower, upper, digit, other) and the share of each class;
 number of distinct characters; dictionary coverage (share of the candidate's characters that are made up of common
 identifier and prose words, or of the text around it); path (slashes, a file ending, a URL or directory before it); how services' credentials, references and placeholders begin;
-neighbouring words (credential words, assignment, quotes; words that speak against, such as commit, checksum, uuid,
-example).
+neighbouring words (credential words, assignment, quotes, a PEM header of a private key, an authorization scheme, the
+login of a URL; words that speak against, such as commit, checksum, uuid, example).
 
 Forest: ``pyspark.ml`` trees trained on labelled findings, at most ``max_rows`` of them; the default set is built by
 rules from hashes (credentials in many phrasings; checksums, ids, paths, identifiers and placeholders).
@@ -27,8 +31,6 @@ each; equal candidates in one text are separate findings. Empty tables give empt
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -72,7 +74,7 @@ _MARK = "\u0001"
 
 
 def _wide() -> tuple[str, str]:
-    """Pattern of the candidates with what leads to them, and its replacement with marks."""
+    """Pattern of the candidates with what leads to them, and its replacement with marks: long name, lead, candidate, rest."""
     words = "|".join(sorted((w.replace("_", "[_-]?") for w in CREDENTIAL_WORDS), key=len, reverse=True))
     key, quote = f"[{_KEY_CHARS}]", "[\"'`]"
     gap = f"{quote}?\\s{{0,3}}(?::=|=>|==?|:(?!//))\\s{{0,3}}{quote}?"
@@ -83,8 +85,25 @@ def _wide() -> tuple[str, str]:
     end = "[^\\s\"'`,;.)\\]}]"
     value = f"{credential}(?:(?<={quote})[^\"'`\\r\\n]{{{MIN_NAMED},200}}+(?={quote})|{bare}{{{MIN_NAMED - 1},}}{end})|{key}{{{MIN_ASSIGNED},}}+"
     told = f"(?<![A-Za-z])(?i:{words})\\s{{1,3}}(?:(?:is|was|to|as)\\s{{1,3}})?{quote}?"
-    pattern = f"({long_name})({gap})({value})|({name}{gap})({value})|((?<!{key}){key}{{{MIN_LENGTH},}}+)|({told})({bare}{{{MIN_TOLD - 1},}}{end})"
-    return pattern, f"{_MARK}$1{_MARK}$2$4$7{_MARK}$3$5$6$8{_MARK}"
+    block = "-----BEGIN [A-Z0-9 ]{1,40}-----"
+    end_line = "-----END [A-Z0-9 ]{1,40}-----"
+    body = f"[A-Za-z0-9+/=\\s\\\\]{{16,}}+(?={end_line})"
+    scheme = f"{start}(?:[A-Za-z-]{{1,20}}-)?(?i:authorization){quote}?\\s{{0,3}}[:=]\\s{{0,3}}{quote}?(?i:basic|bearer)\\s{{1,3}}"
+    login = "://[^\\s/:@\"'`]{0,64}+:"
+    password = "[^\\s/@\"'`]{3,200}+(?=@)"
+    no_block = "(?!-----BEGIN )"
+    # (what leads to a candidate, candidate)
+    kinds = [
+        (block, body),
+        (scheme, f"{bare}{{{MIN_TOLD - 1},}}{end}"),
+        (login, password),
+        (name + gap + no_block, value),
+        ("", f"(?<!{key}){key}{{{MIN_LENGTH},}}+"),
+        (told, f"{bare}{{{MIN_TOLD - 1},}}{end}"),
+    ]
+    # a long name is a candidate of its own; an END line stays with what follows its block
+    pattern = "|".join([f"({lead})({c})({end_line})" if lead is block else f"({lead})({c})" for lead, c in kinds[:3]] + [f"({long_name})({gap}{no_block})({value})"] + [f"({lead})({c})" for lead, c in kinds[3:]])
+    return pattern, f"{_MARK}$8{_MARK}$1$4$6$9$11$13$15{_MARK}$2$5$7$10$12$14$16{_MARK}$3"
 
 
 def found(docs: DataFrame, path: str = "source", wide: bool = False) -> DataFrame:
@@ -156,6 +175,9 @@ FEATURES = {
     "key_word": lambda c, b, a, p: F.right(b, F.lit(40)).rlike(_any(CREDENTIAL_WORDS) + "|(?<=[a-z])(?:Key|Token|Secret|Password|Credential)(?![a-z])|(?<![a-z])(?:secret|token|password|auth)(?=[A-Z])").cast("double"),
     "against": lambda c, b, a, p: F.right(b, F.lit(40)).rlike(_any(AGAINST_WORDS)).cast("double"),
     "assigned": lambda c, b, a, p: b.rlike(r"[:=]\s*[\"'`]?$").cast("double"),
+    "pem": lambda c, b, a, p: b.rlike(r"-----BEGIN [A-Z0-9 ]{0,33}PRIVATE KEY(?: BLOCK)?-----$").cast("double"),
+    "scheme": lambda c, b, a, p: b.rlike(r"(?i)(?<![a-z])(?:basic|bearer)\s+$").cast("double"),
+    "url_login": lambda c, b, a, p: (b.rlike("://[^\\s/:@\"'`]*:$") & a.startswith("@")).cast("double"),
     "quoted": lambda c, b, a, p: (b.rlike("[\"'`]$") & a.rlike("^[\"'`]")).cast("double"),
 }
 
@@ -170,7 +192,7 @@ def with_features(rows: DataFrame) -> DataFrame:
 
 
 def labelled_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
-    """A labelled set made by rules: path, candidate, before, after, is_secret; half of it secrets."""
+    """A labelled set made by rules: path, candidate, before, after, is_secret; near half of it secrets."""
     rows = spark.range(n).withColumn("h", F.sha2(F.concat(F.lit("finding"), F.col("id")), 512))
     rows = rows.withColumn("b64", F.translate(F.base64(F.unhex("h")), "=\r\n", "")).withColumn("k", F.pmod(F.hash("id"), F.lit(1000)))
     pick = lambda words, salt: F.element_at(F.array(*map(F.lit, words)), F.pmod(F.hash("id", F.lit(salt)), F.lit(len(words))) + 1)
@@ -201,8 +223,23 @@ def labelled_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
     mixed = F.concat(F.substring("h", 1, 12), F.upper(F.substring("h", 13, 12)), F.substring("h", 25, 12))
     keyed = F.concat(words, F.lit(" "), pick(["cache key ", "primary key ", "partition key ", "sort key ", "row key ", "token count ", "object key "], 50))
     variable = F.upper(F.concat_ws("_", pick(DICTIONARY, 51), names))
+    address = pick(["postgres://admin:", "mysql://root:", "redis://:", "mongodb+srv://app:", "https://deploy:", "amqp://svc_user:", "ftp://backup:"], 59)
+    host = F.concat(pick(["@db", "@10.0.3.", "@cache", "@host", "@git"], 60), F.pmod(F.col("k"), F.lit(100)).cast("string"), pick([".internal:5432/app", ":6379/0", "/repo.git", ""], 61))
+    lower_word = F.concat(pick(PROSE, 62), F.pmod(F.col("k"), F.lit(100)).cast("string"), F.substring(F.translate("h", "0123456789abcdef", "xyzwvutsrqpxyzqw"), 9, 3))
+    lines = F.concat(b64_of(64), F.lit("\n"), F.reverse(b64_of(64)), F.lit("\n"), F.substring("b64", 9, 30), F.lit("=\n"))
+    scheme = pick(["Authorization: Basic ", "authorization: basic ", "\"Authorization\": \"Basic ", "Proxy-Authorization: Basic ", "Authorization: Bearer "], 63)
     # (secret?, candidate, before, after, path)
     kinds = [
+        (1, short, address, host, path),
+        (1, F.concat(F.translate(pick(PROSE, 64), "aeo", "430"), F.substring("h", 3, 3)), address, host, path),
+        (1, F.substring("b64", 5, 14), address, host, path),
+        (1, lower_word, named, close, path),
+        (1, F.concat(F.translate(F.substring("b64", 3, 26), "+/", "xQ"), pick(["==", "=", ""], 65)), scheme, pick(["\n", "\"", "", "\r\n"], 66), path),
+        (1, lines, pick(["-----BEGIN RSA PRIVATE KEY-----", "-----BEGIN PRIVATE KEY-----", "-----BEGIN OPENSSH PRIVATE KEY-----", "-----BEGIN EC PRIVATE KEY-----"], 67), F.lit("-----END "), path),
+        (0, lines, pick(["-----BEGIN CERTIFICATE-----", "-----BEGIN PUBLIC KEY-----", "-----BEGIN CERTIFICATE REQUEST-----", "-----BEGIN PGP PUBLIC KEY BLOCK-----"], 68), F.lit("-----END "), path),
+        (0, F.concat(F.lit("${"), variable, F.lit("}")), address, host, path),
+        (0, pick(["password", "pass", "<password>", "PASSWORD", "[password]", "xxxx", "****", "secret", "{password}", "$PASS"], 69), address, host, path),
+        (0, pick(["<credentials>", "<base64>", "authentication", "${TOKEN}", "challenge", "base64(user:password)"], 70), scheme, more, path),
         (1, hex_of(40), named, F.concat(close, more), path),
         (1, hex_of(32), named, F.concat(close, more), path),
         (1, hex_of(64), named, F.concat(close, more), path),
@@ -242,10 +279,9 @@ def labelled_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
         (0, b64_of(48), pick(["src=\"data:image/png;base64,", "integrity=\"sha384-", "etag: "], 29), F.lit('"'), dull),
         (0, F.concat(F.col("id").cast("string"), F.substring(F.translate("h", "abcdef", "012345"), 1, 20)), pick(["order ", "no ", "id ", "isbn "], 30), more, dull),
     ]
-    per = [(1, k) for k in kinds if k[0]] + [(0, k) for k in kinds if not k[0]]
-    row_kind = F.pmod(F.xxhash64("id"), F.lit(len(per)))
-    parts = [rows.filter(row_kind == i).select(c.alias("candidate"), b.alias("before"), a.alias("after"), p.alias("path"), F.lit(y).alias("is_secret")) for i, (y, (_, c, b, a, p)) in enumerate(per)]
-    return reduce(DataFrame.unionByName, parts)
+    kind = F.pmod(F.xxhash64("id"), F.lit(len(kinds))).cast("int") + 1
+    made = F.array(*(F.struct(c.alias("candidate"), b.alias("before"), a.alias("after"), p.alias("path"), F.lit(y).alias("is_secret")) for y, c, b, a, p in kinds))
+    return rows.select(F.element_at(made, kind).alias("finding")).select("finding.*")
 
 
 def train(findings: DataFrame, max_rows: int = MAX_ROWS, trees: int = 24, depth: int = 8) -> RandomForestClassificationModel | None:
