@@ -13,6 +13,9 @@ email ``[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+``; ip ``[0-9]+(\\.[0-
 card ``[0-9]([\\x20-]?[0-9])+`` with 14 to 19 digits passing Luhn; phone ``\\+[0-9][\\x20().0-9-]+[0-9]`` with 10 to 15
 digits. Every search takes time in proportion to the text.
 
+An address with both signs spelled out as bare words (``at``, ``dot``) is a candidate only with a known last label and a
+word of mail (mail, contact, write and so on) in the 40 characters before it; one bracketed sign is enough otherwise.
+
 Null text counts as empty and has no spans (``redacted`` keeps it null). Empty tables give empty results; repeated
 rows are handled each; extra columns are ignored by ``spans`` and carried by ``redacted``.
 """
@@ -42,6 +45,7 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _LOOSE_PHONE = re.compile(r"(?<![0-9+])(?<![0-9][ .-])\(?[0-9]{2,4}\)?[ .-][0-9]{2,4}[ .-][0-9]{3,5}(?![ .-]?[0-9])")
 _LOOSE_EMAIL = re.compile(r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]{1,64}(?: ?[\[(]at[\])] ?| at )[a-z0-9-]{1,63}(?:(?: ?[\[(]dot[\])] ?| dot )[a-z0-9-]{2,63})+")
+_BRACKET = re.compile(r"[\[(]")
 _STRICT_PHONE = re.compile(r"\(?[2-9][0-9]{2}\)?[ .-][2-9][0-9]{2}[ .-][0-9]{4}\Z")
 _DIGITS = re.compile(r"[0-9]+")
 _BEFORE = re.compile(r"[^\W\d_]+")
@@ -112,7 +116,14 @@ def _loose(text: str):
     for m in _LOOSE_PHONE.finditer(text):
         yield m.start(), 3, m.end()
     for m in _LOOSE_EMAIL.finditer(text):
-        yield m.start(), 0, m.end()
+        if _BRACKET.search(m[0]) or _spelled_out(text, m):
+            yield m.start(), 0, m.end()
+
+
+def _spelled_out(text: str, m: re.Match) -> bool:
+    """Without brackets an address is prose as well ("meet at noon dot com"): a known last label and a word of mail before it decide."""
+    before = {w.lower() for w in _BEFORE.findall(text[max(0, m.start() - 40) : m.start()])}
+    return m[0].rsplit(" ", 1)[1].lower() in TOP_LEVEL and not before.isdisjoint(CONTEXT["email"])
 
 
 def code_of(text: str, start: int, kind: int, end: int) -> int:

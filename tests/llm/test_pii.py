@@ -147,3 +147,12 @@ def test_recall_and_precision_of_added_spans(seed):
 def test_a_failed_checksum_or_range_is_never_added_however_few_texts_there_are():
     texts = ["card 4111 1111 1111 1112 now", "ip 10.0.0.300 down", "visa: 5500-0000-0000-0005 x", "login from 999.1.1.1"] + ["mail a@b.com"] * 13 + ["ip 10.0.0.1", "card 4111 1111 1111 1111"] * 6
     assert added(texts) == set() and added(texts[:4]) == set() and added(texts[:1]) == set()
+
+
+def test_prose_with_bare_signs_is_no_address():
+    from tallyframe.llm.pii import candidates
+
+    prose = ["meet at noon dot com", "we look at it dot then", "contact us at noon dot whatever", "stay at home dot com said the sign"]
+    assert not any(candidates(t)[1] for t in prose)
+    spelled = ["write to jane at example dot com please", "mail: jane at example dot co dot uk", "jane [at] example dot com", "jane at example [dot] zz"]
+    assert [len(candidates(t)[1]) for t in spelled] == [1] * 4
