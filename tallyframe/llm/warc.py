@@ -6,10 +6,11 @@ they carry its HTTP headers, digest, record id and url, but no payload. Files ap
 attempt at a task has; captures only name the files of attempts that succeeded.
 
 Index. Captures are range-sorted by key (host reversed, then path and query) and page_id and go, 256 to a block, into
-compressed blocks; beside each block file lies its sparse directory (first key and page_id, offset, length). A table
-of the files' first keys, one row a file, leads to the directory. A lookup bisects files, then the directory, reads the
-block's byte range, finds the capture, and reads the record's byte range from its archive. A page of a key that many
-pages share is found as fast as any other.
+compressed blocks; beside each block file lies its sparse directory (first key and page_id, offset, length). Files that
+list the first keys of at most 512 block files (or of lists, for as many levels as it takes) lead to the directories, so
+the driver and every task hold the at most 512 entries of the topmost list, whatever the number of files. A lookup
+bisects the lists, then the directory, reads the block's byte range, finds the capture, and reads the record's byte range
+from its archive. A page of a key that many pages share is found as fast as any other.
 
 Reading back. Every record is found by its key and page_id. A response's payload is hashed and measured; for a revisit
 its response is looked up by the url and id that the revisit names, and that payload is hashed and measured.
@@ -40,8 +41,12 @@ MIN_REVISIT_BYTES = 100
 BLOCK_LINES = 256
 #: Captures in one index file, about.
 FILE_LINES = 250_000
+#: Entries of a list of files, at most.
+LIST_FILES = 512
 #: Records that one task reads back, about, and responses of revisits whose checks it remembers.
 READ_RECORDS = 4_000
+#: Range partitions at most; beyond, tasks stream more rows each and hold no more of them.
+MOST_PARTS = 50_000
 CHECKED = 1_024
 #: Payload digests of copies that are broadcast (about 150 bytes each); beyond, the join is shuffled.
 BROADCAST_ROWS = 100_000
@@ -195,12 +200,15 @@ def place_of(key: str | bytes, page_id: int | None) -> tuple[bytes, bool, int]:
     return key if isinstance(key, bytes) else key.encode(), page_id is not None, page_id or 0
 
 
+ENTRY = "first string, page_id long, name string"
+
+
 def build_index(captures: DataFrame, folder: str) -> list[tuple[tuple, str]]:
-    """Block files and their directories; returns the first place and the name of each file, in order."""
-    files = int(1 + captures.count() // FILE_LINES) * 4
+    """Block files, their directories and lists; returns the first place and the name of the topmost files, in order."""
+    files = min(int(1 + captures.count() // FILE_LINES) * 4, MOST_PARTS)
 
     def run(batches):
-        name, out, block, directory = f"index-{TaskContext.get().partitionId():06d}-{TaskContext.get().taskAttemptId()}", None, [], []
+        name, out, block, directory = f"index-{TaskContext.get().partitionId():09d}-{TaskContext.get().taskAttemptId()}", None, [], []
 
         def flush():
             at, n = out.write(zlib.compress("".join(block).encode()))
@@ -219,26 +227,82 @@ def build_index(captures: DataFrame, folder: str) -> list[tuple[tuple, str]]:
             if block:
                 flush()
             out.close()
-            listing = _Out(f"{folder}/{name}.directory")
-            listing.write(json.dumps(directory).encode())
-            listing.close()
-            yield _batch([(*directory[0][:2], name)], "first string, page_id long, name string")
+            _write_json(f"{folder}/{name}.directory", directory)
+            yield _batch([(*directory[0][:2], name)], ENTRY)
 
     order = ["key", "page_id", "archive", "offset"]
     ordered = captures.repartitionByRange(files, *order).sortWithinPartitions(*order)
-    firsts = ordered.mapInArrow(run, "first string, page_id long, name string").collect()  # one row a file
-    return sorted((place_of(r["first"], r["page_id"]), r["name"]) for r in firsts)
+    entries = staged(ordered.mapInArrow(run, ENTRY), "warc-index")  # one row a file
+    while entries.count() > LIST_FILES:
+        entries = staged(listed(entries, folder), "warc-index")
+    return sorted((place_of(r["first"], r["page_id"]), r["name"]) for r in entries.collect())  # LIST_FILES at most
+
+
+def listed(entries: DataFrame, folder: str) -> DataFrame:
+    """Files that list runs of ``entries`` in order, LIST_FILES at most each; returns the entry of each such file.
+
+    Names of block files rise with their range, so they order files that start at the same place.
+    """
+
+    def run(batches):
+        task, part, held = f"{TaskContext.get().partitionId():09d}-{TaskContext.get().taskAttemptId()}", 0, []
+
+        def flush():
+            nonlocal part
+            name, part = f"list-{task}-{part:09d}", part + 1
+            _write_json(f"{folder}/{name}.list", held)
+            return _batch([(*held[0][:2], name)], ENTRY)
+
+        for batch in batches:
+            for r in batch.to_pylist():
+                held.append([r["first"], r["page_id"], r["name"]])
+                if len(held) == LIST_FILES:
+                    yield flush()
+                    held = []
+        if held:
+            yield flush()
+
+    order = ["first", "page_id", "name"]
+    parts = max(1, min(entries.count() // (LIST_FILES * 16), MOST_PARTS))
+    return entries.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(run, ENTRY)
+
+
+def _write_json(path: str, rows: list) -> None:
+    out = _Out(path)
+    out.write(json.dumps(rows).encode())
+    out.close()
+
+
+def _reach(firsts: list[tuple], low: tuple, high: tuple):
+    """Positions from the last that starts before ``low``, on while they start at or before ``high``."""
+    for k in range(max(0, bisect.bisect_left(firsts, low) - 1), len(firsts)):
+        if firsts[k] > high:
+            return
+        yield k
 
 
 class Index:
-    """Lookups through files, directory, block and archive; keeps the last block and directory it read."""
+    """Lookups through lists, directory, block and archive; keeps the last list of a level, directory and block it read."""
 
     def __init__(self, folder: str, files: list[tuple[tuple, str]]):
         self.folder, self.firsts, self.names = folder, [f for f, _ in files], [n for _, n in files]
+        self.lists: dict[int, tuple] = {}
         self.directory: tuple = (None, [], [])
         self.block: tuple = (None, {})
         self.archive: tuple = (None, None)
 
+    def _files(self, firsts: list[tuple], names: list[str], low: tuple, high: tuple, level: int = 0):
+        """Names of the block files that may hold captures from ``low`` to ``high``."""
+        for k in _reach(firsts, low, high):
+            if not names[k].startswith("list-"):
+                yield names[k]
+                continue
+            if self.lists.get(level, (None,))[0] != names[k]:
+                with open(f"{self.folder}/{names[k]}.list", "rb") as f:
+                    entries = json.load(f)
+                self.lists[level] = (names[k], [place_of(*e[:2]) for e in entries], [e[2] for e in entries])
+            yield from self._files(*self.lists[level][1:], low, high, level + 1)
+
     def _open(self, name: str):
         if self.directory[0] != name:
             with open(f"{self.folder}/{name}.directory", "rb") as f:
@@ -260,14 +324,10 @@ class Index:
 
     def _between(self, key: str, low: tuple, high: tuple):
         """Captures of a key from the last block that starts before ``low``, on while blocks start at or before ``high``."""
-        for k in range(max(0, bisect.bisect_left(self.firsts, low) - 1), len(self.firsts)):
-            if self.firsts[k] > high:
-                return
-            firsts, entries = self._open(self.names[k])
-            for b in range(max(0, bisect.bisect_left(firsts, low) - 1), len(firsts)):
-                if firsts[b] > high:
-                    return
-                yield from self._block(self.names[k], entries[b][2], entries[b][3]).get(key, [])
+        for name in self._files(self.firsts, self.names, low, high):
+            firsts, entries = self._open(name)
+            for b in _reach(firsts, low, high):
+                yield from self._block(name, entries[b][2], entries[b][3]).get(key, [])
 
     def captures(self, key: str):
         """All captures of a key."""
@@ -342,7 +402,7 @@ def read_back(captures: DataFrame, folder: str, files: list[tuple[tuple, str]])
             yield _batch(out, READ)
 
     order = ["key", "page_id", "archive", "offset"]
-    ordered = captures.select(*order).repartitionByRange(1 + captures.count() // READ_RECORDS, *order).sortWithinPartitions(*order)
+    ordered = captures.select(*order).repartitionByRange(min(1 + captures.count() // READ_RECORDS, MOST_PARTS), *order).sortWithinPartitions(*order)
     return ordered.mapInArrow(run, READ)
 
 

@@ -73,6 +73,25 @@ def test_a_repeated_task_leaves_files_of_its_own(spark, tmp_path):
     assert warc.read_back(captures, folder, files).count() == captures.count()
 
 
+def test_lists_of_lists_lead_to_every_capture(spark, monkeypatch):
+    """Many small index files under lists of two: several levels, a hot key over many files, pages without id."""
+    monkeypatch.setattr(warc, "BLOCK_LINES", 4)
+    monkeypatch.setattr(warc, "FILE_LINES", 40)
+    monkeypatch.setattr(warc, "LIST_FILES", 2)
+    folder = mounted(fresh_path(spark, "warc-test"))
+    os.makedirs(folder)
+    pages = make(spark, 200).select("page_id", "url", "html").union(spark.createDataFrame([(None, "http://one.example.com/hot", "n" * 200)] * 30 + [(7050, "http://one.example.com/hot", "r")] * 30, "page_id long, url string, html string"))
+    captures = write_archives(pages, folder)
+    files = build_index(captures, folder)
+    assert len(files) <= 2 and len(glob.glob(f"{folder}/*.directory")) > 16 and len(glob.glob(f"{folder}/*.list")) > 10
+    rows, index = captures.collect(), Index(folder, files)
+    for r in rows:
+        assert (r.archive, r.offset) in {(c["archive"], c["offset"]) for c in index.captures_of(r.key, r.page_id)}
+    for key in {r.key for r in rows}:
+        assert sorted((c["archive"], c["offset"]) for c in index.captures(key)) == sorted((r.archive, r.offset) for r in rows if r.key == key)
+    assert warc.read_back(captures, folder, files).count() == len(rows)
+
+
 def test_archives_and_lookups(spark, monkeypatch):
     monkeypatch.setattr(warc, "BLOCK_LINES", 8)
     folder = mounted(fresh_path(spark, "warc-test"))
