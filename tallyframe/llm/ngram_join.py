@@ -27,6 +27,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -38,9 +39,13 @@ SKETCH_BITS, MOST_SKETCH_BITS = 22, 24
 SLICE = 1 << 18
 #: Characters of text for each counter.
 COUNTER_CHARS = 4_000
-#: A shingle of so many sets, by the sketch, is hot: its postings are dealt to so many tasks.
+#: Sketches that one task adds up; more are added in rounds.
+FAN_IN = 64
+#: A shingle of so many sets, by the sketch, is hot: its postings are dealt to so many tasks. Where its postings meet each
+#: other, both sides are cut in pieces, and each piece of one meets each of the other in a place of its own.
 HOT = 20_000
 HOT_SALTS = 64
+HOT_PIECES = 8
 MAX_MATCHES = 4
 #: Words of 64 bits in a set's parity mark.
 MARK_WORDS = 16
@@ -120,10 +125,10 @@ def sketch_size(docs: DataFrame) -> int:
 
 
 def surveyed(docs: DataFrame, words: int, salt: int, counters: int) -> DataFrame:
-    """Rows of documents (size and signature of the set) and rows of the tasks' frequency sketches."""
+    """Rows of documents (size and signature of the set) and rows of the tasks' frequency sketches (cid: the task)."""
 
     def run(batches):
-        sketch = np.zeros(counters, np.uint32)
+        sketch, task = np.zeros(counters, np.uint32), TaskContext.get().partitionId()
         for batch in batches:
             for part in chunks(batch, limit=SET_BYTES):
                 found, bounds = shingles(part.column("text"), words)
@@ -135,7 +140,7 @@ def surveyed(docs: DataFrame, words: int, salt: int, counters: int) -> DataFrame
         none = pa.nulls(len(cuts))
         packed = [zlib.compress(sketch[k * SLICE : (k + 1) * SLICE].tobytes(), 1) for k in cuts]
         yield pa.RecordBatch.from_arrays(
-            [none.cast(pa.int64()), none.cast(pa.int32()), none.cast(pa.int64()), none.cast(pa.int64()), pa.array(cuts, pa.int32()), pa.array(packed, pa.binary()), *[none.cast(pa.int64())] * MARK_WORDS],
+            [none.cast(pa.int64()), none.cast(pa.int32()), pa.array([task] * len(cuts), pa.int64()), none.cast(pa.int64()), pa.array(cuts, pa.int32()), pa.array(packed, pa.binary()), *[none.cast(pa.int64())] * MARK_WORDS],
             [x.split()[0] for x in SURVEY.split(", ")],
         )
 
@@ -143,18 +148,27 @@ def surveyed(docs: DataFrame, words: int, salt: int, counters: int) -> DataFrame
 
 
 def merged_sketch(survey: DataFrame, counters: int) -> np.ndarray:
-    """Sum of all sketches: 4 bytes a counter, whatever the input."""
+    """Sum of all sketches: 4 bytes a counter, whatever the input. A task adds FAN_IN of them, in as many rounds as it takes."""
 
     def run(batches):
-        held: dict[int, np.ndarray] = {}
+        held: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
-            for k, packed in zip(batch.column("slice").to_pylist(), batch.column("counts").to_pylist()):
+            for k, source, packed in zip(*(batch.column(c).to_pylist() for c in ("slice", "source", "counts"))):
                 part = np.frombuffer(zlib.decompress(packed), np.uint32).astype(np.uint64)
-                held[k] = held[k] + part if k in held else part
-        for k, total in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes(), 1)], pa.binary())], ["slice", "counts"])
-
-    rows = survey.filter("slice is not null").select("slice", "counts").repartition(counters // SLICE, "slice").mapInArrow(frugal(run), "slice int, counts binary")
+                held[k, source] = held[k, source] + part if (k, source) in held else part
+        for (k, source), total in held.items():
+            packed = zlib.compress(np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes(), 1)
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([source], pa.int64()), pa.array([packed], pa.binary())], ["slice", "source", "counts"])
+
+    rows = survey.filter("slice is not null").select("slice", F.col("cid").alias("source"), "counts")
+    sources = 1 + (rows.agg(F.max("source")).first()[0] or 0)
+    while True:
+        rows = rows.withColumn("source", F.floor(F.col("source") / FAN_IN).cast("long"))
+        sources = -(-sources // FAN_IN)
+        rows = rows.repartition(counters // SLICE * sources, "slice", "source").mapInArrow(frugal(run), "slice int, source long, counts binary")
+        if sources == 1:
+            break
+        rows = staged(rows, "ngram-sketch")
     out = np.zeros(counters, np.uint32)
     for row in rows.collect():
         out[row["slice"] * SLICE : (row["slice"] + 1) * SLICE] = np.frombuffer(zlib.decompress(row["counts"]), np.uint32)
@@ -205,10 +219,10 @@ def prefixes(docs: DataFrame, words: int, percent: int, salt: int, sketch: np.nd
                 columns = [token, np.repeat(cid, size), *(np.repeat(x, size).astype(np.int32) for x in (n, l)), spread(np.zeros(len(n), np.int64), size).astype(np.int32), hot]
                 yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], ["token", "cid", "n", "l", "pos", "hot"])
 
-    return text_only(docs).mapInArrow(frugal(run), POSTINGS + ", hot boolean")
+    return text_only(docs).mapInArrow(frugal(run), POSTINGS)
 
 
-POSTINGS = "token long, cid long, n int, l int, pos int"
+POSTINGS = "token long, cid long, n int, l int, pos int, hot boolean"
 
 
 def postings(rows: DataFrame, percent: int, parts: int) -> DataFrame:
@@ -238,12 +252,11 @@ def postings(rows: DataFrame, percent: int, parts: int) -> DataFrame:
             flag[1:] |= pair
             flag[0] |= linked
             carry, linked = table.slice(table.num_rows - 1), bool(flag[-1])
-            yield from table.slice(0, table.num_rows - 1).filter(pa.array(flag[:-1])).drop_columns(["hot"]).to_batches()
+            yield from table.slice(0, table.num_rows - 1).filter(pa.array(flag[:-1])).to_batches()
         if linked:
-            yield from carry.drop_columns(["hot"]).to_batches()
+            yield from carry.to_batches()
 
-    salt = F.when(F.col("hot"), F.pmod(F.hash("cid"), F.lit(HOT_SALTS))).otherwise(0)
-    ordered = rows.withColumn("salt", salt).repartition(parts, "token", "salt").drop("salt").sortWithinPartitions("token", "n", "cid")
+    ordered = _salted(rows, "cid").repartition(parts, "token", "salt").drop("salt").sortWithinPartitions("token", "n", "cid")
     return staged(with_lost(ordered.mapInArrow(frugal(run), POSTINGS), percent), "ngram-postings")
 
 
@@ -253,6 +266,25 @@ def with_lost(posts: DataFrame, percent: int) -> DataFrame:
     return posts.withColumn("lost", F.col("pos") + 1 - place).filter(100 * (F.col("n") - F.col("lost")) >= percent * F.col("n"))
 
 
+def _salted(rows: DataFrame, by: str) -> DataFrame:
+    """Rows with the piece of their shingle that they go to, if it is hot."""
+    return rows.withColumn("salt", F.when(F.col("hot"), F.pmod(F.hash(by), F.lit(HOT_SALTS))).otherwise(0))
+
+
+def with_shingle(posts: DataFrame, facts: DataFrame) -> DataFrame:
+    """Postings with what ``facts`` say, in one row, of their shingle; those of a hot one are spread, not in one task."""
+    salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(HOT_SALTS - 1))).otherwise(F.array(F.lit(0)))
+    facts = facts.withColumn("salt", F.explode(salts)).drop("hot")
+    return _salted(posts, "cid").join(facts, ["token", "salt"]).drop("salt")
+
+
+def _pieces(rows: DataFrame, by: str, mine: str, other: str) -> DataFrame:
+    """Each row once for every piece of the other side at a hot shingle."""
+    every = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(HOT_PIECES - 1))).otherwise(F.array(F.lit(0)))
+    own = F.when(F.col("hot"), F.pmod(F.hash(by), F.lit(HOT_PIECES))).otherwise(0)
+    return rows.withColumn(mine, own).withColumn(other, F.explode(every)).drop("hot")
+
+
 def still_open(posts: DataFrame, roots: DataFrame, tested: DataFrame, percent: int) -> DataFrame:
     """Postings of shingles that untested pairs of different components share; the others are lost to what is left."""
     posts = posts.drop("root", "lost").join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
@@ -336,10 +368,10 @@ def hub_pairs(posts: DataFrame, marks: DataFrame, tested: DataFrame | None, perc
 
     The hub of a shingle is the set that has lost least there: the middle of a group of near copies.
     """
-    hub = posts.groupBy("token").agg(F.min(F.struct("lost", F.xxhash64("cid").alias("h"), "cid", "n", "root")).alias("hub"))
-    hub = hub.select("token", F.col("hub.cid").alias("a"), F.col("hub.n").alias("m"), F.col("hub.lost").alias("lost_m"), F.col("hub.root").alias("hub_root"))
+    hub = posts.groupBy("token").agg(F.min(F.struct("lost", F.xxhash64("cid").alias("h"), "cid", "n", "root")).alias("hub"), F.first("hot").alias("hot"))
+    hub = hub.select("token", "hot", F.col("hub.cid").alias("a"), F.col("hub.n").alias("m"), F.col("hub.lost").alias("lost_m"), F.col("hub.root").alias("hub_root"))
     hub = staged(hub, "ngram-hubs")  # no aggregate in the join's stage, so that a hot shingle's postings can be split
-    met = posts.join(hub, "token").filter((F.col("root") != F.col("hub_root")) & may_link("n", "lost", "m", "lost_m", percent))
+    met = with_shingle(posts, hub).filter((F.col("root") != F.col("hub_root")) & may_link("n", "lost", "m", "lost_m", percent))
     met = untested(met.groupBy("a", F.col("cid").alias("b")).count(), tested)
     met = met.join(_as_other(marks, "a"), "a").join(marks.withColumnRenamed("cid", "b"), "b").filter(marks_fit("n", "m", percent))
     return met.groupBy("b").agg(F.max(F.struct("count", "a")).alias("top")).select(F.col("top.a").alias("a"), "b")
@@ -358,13 +390,13 @@ def all_pairs(posts: DataFrame, marks: DataFrame, tested: DataFrame | None, perc
     At each shingle one side leaves out the component that has most sets there, so that sets of one large component
     are not compared with each other.
     """
-    most = posts.groupBy("token", "root").count().groupBy("token").agg(F.max_by("root", F.struct("count", "root")).alias("most"))
+    most = posts.groupBy("token", "root").agg(F.count("*").alias("count"), F.first("hot").alias("hot")).groupBy("token").agg(F.max_by("root", F.struct("count", "root")).alias("most"), F.first("hot").alias("hot"))
     most = staged(most, "ngram-most")  # as for hubs
-    posts = posts.join(most, "token").withColumn("main", F.col("root") == F.col("most")).drop("most").join(marks.drop("n"), "cid")
+    posts = with_shingle(posts, most).withColumn("main", F.col("root") == F.col("most")).drop("most").join(marks.drop("n"), "cid")
     left = posts.filter("not main")
-    left = left.select("token", F.col("cid").alias("x"), F.col("n").alias("m"), F.col("lost").alias("lost_m"), F.col("l").alias("k"), F.col("root").alias("r"), *(F.col(c).alias(c.replace("m", "o")) for c in MARKS))
+    left = left.select("token", "hot", F.col("cid").alias("x"), F.col("n").alias("m"), F.col("lost").alias("lost_m"), F.col("l").alias("k"), F.col("root").alias("r"), *(F.col(c).alias(c.replace("m", "o")) for c in MARKS))
     apart = (F.col("main") | (F.col("x") < F.col("cid"))) & (F.col("r") != F.col("root")) & may_link("n", "lost", "m", "lost_m", percent) & marks_fit("n", "m", percent)
-    met = left.join(posts, "token").filter(apart)
+    met = _pieces(left, "x", "i", "j").join(_pieces(posts, "cid", "j", "i"), ["token", "i", "j"]).filter(apart)
     met = met.groupBy(F.least("x", "cid").alias("a"), F.greatest("x", "cid").alias("b")).agg(F.count("*").alias("shared"), F.min(F.least("k", "l")).alias("asked"))
     return untested(met.filter("shared >= asked").select("a", "b"), tested)
 

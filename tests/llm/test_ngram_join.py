@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tallyframe.llm import ngram_join
 from tallyframe.llm.ngram_join import components_of, matches_wanted, one_of_each, stars
@@ -98,6 +99,29 @@ def test_one_large_component_and_an_outsider(spark):
     assert got == brute(rows, 3, 90)
 
 
+def test_sketches_are_added_in_rounds(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, f"a{k % 7} b c d{k}") for k in range(200)], "doc_id long, text string").repartition(11)
+    survey = ngram_join.surveyed(docs, 3, 1, 1 << 22)
+    at_once = ngram_join.merged_sketch(survey, 1 << 22)
+    monkeypatch.setattr(ngram_join, "FAN_IN", 2)
+    assert (ngram_join.merged_sketch(survey, 1 << 22) == at_once).all() and at_once.sum() == 400
+
+
+def test_postings_of_a_hot_shingle_are_spread(spark):
+    """A third of all postings at one shingle: no place of a join gets more than a fair piece of them, none is lost."""
+    posts = spark.range(6000).selectExpr("if(id % 3 = 0, -1, id) as token", "id as cid", "id % 3 = 0 as hot")
+    salted = ngram_join._salted(posts, "cid").groupBy("token", "salt").count()
+    assert salted.agg({"count": "max"}).first()[0] < 2000 / ngram_join.HOT_SALTS * 2
+    facts = posts.groupBy("token").agg(F.count("*").alias("size"), F.first("hot").alias("hot"))
+    joined = ngram_join.with_shingle(posts, facts)
+    assert joined.count() == 6000 and joined.filter("token = -1").agg(F.sum("size")).first()[0] == 2000**2
+    hot = posts.filter("hot")
+    left, right = ngram_join._pieces(hot.withColumnRenamed("cid", "x"), "x", "i", "j"), ngram_join._pieces(hot, "cid", "j", "i")
+    met = left.join(right, ["token", "i", "j"])
+    assert met.count() == met.select("x", "cid").distinct().count() == 2000**2
+    assert left.groupBy("i", "j").count().agg({"count": "max"}).first()[0] < 2000 / ngram_join.HOT_PIECES * 1.5
+
+
 def test_the_sketch_grows_with_the_text_within_bounds(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "x" * 1000), (2, None)], "doc_id long, text string")
     assert ngram_join.sketch_size(docs) == 1 << 22 and ngram_join.sketch_size(docs.limit(0)) == 1 << 22
