@@ -69,3 +69,11 @@ def test_every_answered_call_is_paired(spark, duck):
 def test_refund_lines_come_from_the_reconciliation(spark, duck, monkeypatch):
     monkeypatch.setattr(registry.totals, "reconciliation", lambda *a, **k: spark.createDataFrame([([7, 9],)], "refunds array<long>"))
     assert [r.c_custkey for r in registry.QUERIES["refund_lines"](spark, SF).collect()] == [7, 9]
+
+
+def test_selections_are_numbered_over_all_orders(spark, tmp_path):
+    keys = [9001, 5, 20000, 7, 8]  # in three blocks
+    spark.createDataFrame([(k,) for k in keys], "o_orderkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    got = {r.log: r.problems for r in registry.QUERIES["selection_problems"](spark, str(tmp_path)).collect()}
+    repeated, more = "ids are not three distinct ones", "unsupported ids,required ids omitted"
+    assert got == {1: repeated, 2: more, 4: repeated}
