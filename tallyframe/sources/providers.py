@@ -16,7 +16,8 @@ import threading
 import time
 import uuid
 from collections.abc import Callable, Iterator
-from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import FIRST_COMPLETED, ThreadPoolExecutor, wait
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -69,7 +70,8 @@ def with_retries(call: Callable[[], object], sleep=time.sleep, draw=random.rando
 class AnswerLog:
     """Answers of one bucket of questions, appended one by one to a file of its own for every attempt at a task.
 
-    An answer counts once its whole line is there, so an attempt that dies midway leaves what it was given.
+    An answer counts once its whole line is there, so an attempt that dies midway leaves what it was given. Answers that are there
+    at the same time are brought to the disk by one call.
     """
 
     def __init__(self, folder: str):
@@ -83,20 +85,47 @@ class AnswerLog:
                         self.known[key.decode()] = pickle.loads(base64.b64decode(answer))
 
     def add(self, key: str, answer: object) -> None:
+        self.add_all({key: answer})
+
+    def add_all(self, answers: dict[str, object]) -> None:
         with self._lock:
             if self._file is None:
                 os.makedirs(self.folder, exist_ok=True)
                 self._file = open(os.path.join(self.folder, uuid.uuid4().hex), "ab")
-            self._file.write(key.encode() + b" " + base64.b64encode(pickle.dumps(answer)) + b"\n")
+            self._file.write(b"".join(key.encode() + b" " + base64.b64encode(pickle.dumps(answer)) + b"\n" for key, answer in answers.items()))
             self._file.flush()
             os.fsync(self._file.fileno())
-            self.known[key] = answer
+            self.known.update(answers)
 
     def close(self) -> None:
         if self._file is not None:
             self._file.close()
 
 
+def ask_all(questions: dict[str, tuple[dict, AnswerLog]], ask: Callable[[dict], object], pool: ThreadPoolExecutor, in_flight: int) -> None:
+    """Asks every question and logs its answer; ``in_flight`` at most are asked and not yet logged.
+
+    After a failure nothing more is asked; what is under way is logged before the failure is raised.
+    """
+    waiting, under_way, failure = iter(questions.items()), {}, None
+    while True:
+        if failure is None:
+            under_way |= {pool.submit(ask, q): (k, held) for k, (q, held) in islice(waiting, in_flight - len(under_way))}
+        if not under_way:
+            break
+        said: dict[AnswerLog, dict[str, object]] = {}
+        for done in wait(under_way, return_when=FIRST_COMPLETED).done:
+            k, held = under_way.pop(done)
+            if done.exception() is None:
+                said.setdefault(held, {})[k] = done.result()
+            else:
+                failure = failure or done.exception()
+        for held, answers in said.items():
+            held.add_all(answers)
+    if failure is not None:
+        raise failure
+
+
 def _plain(df: DataFrame, name: str):
     """A column as JSON keeps it: the entries of a map in order."""
     return F.array_sort(F.map_entries(name)).alias(name) if isinstance(df.schema[name].dataType, T.MapType) else F.col(name)
@@ -126,12 +155,7 @@ def recorded(questions: DataFrame, answer: Callable[[dict], dict], schema: str,
                         logs[b] = AnswerLog(f"{log}/{b}")
                 held = [logs[b] for b in frame["_bucket"]]
                 new = {k: (q, h) for k, q, h in zip(frame["_key"], asked, held) if k not in h.known}
-
-                def ask(item):
-                    k, (q, h) = item
-                    h.add(k, with_retries(lambda: answer(q), publish=publish))
-
-                list(pool.map(ask, new.items()))
+                ask_all(new, lambda q: with_retries(lambda: answer(q), publish=publish), pool, in_flight)
                 rows = [h.known[k] for k, h in zip(frame["_key"], held)]
                 if rows:
                     yield pd.DataFrame(rows)
@@ -139,7 +163,7 @@ def recorded(questions: DataFrame, answer: Callable[[dict], dict], schema: str,
             h.close()
 
     send_package(spark)
-    keyed.repartition(tasks, "_bucket").mapInPandas(run, schema).write.mode("overwrite").parquet(path)
+    keyed.repartitionById(tasks, F.col("_bucket")).mapInPandas(run, schema).write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 

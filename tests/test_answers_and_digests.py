@@ -1,7 +1,11 @@
 import hashlib
 import os
+import threading
+import time
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
+from pyspark import TaskContext
 
 from tallyframe.sources import providers, rollout
 
@@ -62,3 +66,49 @@ def test_steps_count_what_passes(spark, tmp_path):
     steps.run("none", rows.filter("id > 99"), str(tmp_path / "none"))
     assert [tuple(r) for r in steps.table().orderBy("step").collect()] == [(1, "one", 10, {"even": 5}), (2, "none", 0, {})]
     assert [k for k, _ in heard] == ["began", "ended"] * 2
+
+
+def test_answers_at_the_same_time_share_a_disk_call(tmp_path, monkeypatch):
+    log, calls, sync, asked, most = providers.AnswerLog(str(tmp_path / "b")), [], os.fsync, [], []
+
+    def slow(fd):
+        time.sleep(0.01)
+        sync(fd)
+        calls.append(fd)
+
+    def ask(q):
+        asked.append(q["k"])
+        most.append(len(asked) - len(providers.AnswerLog(str(tmp_path / "b")).known))
+        return q["k"]
+
+    monkeypatch.setattr(os, "fsync", slow)
+    with ThreadPoolExecutor(8) as pool:
+        providers.ask_all({f"k{k}": ({"k": k}, log) for k in range(80)}, ask, pool, 8)
+    log.close()
+    assert sorted(asked) == list(range(80)) and max(most) <= 8 and len(calls) <= 40
+    assert providers.AnswerLog(str(tmp_path / "b")).known == {f"k{k}": k for k in range(80)}
+
+
+def test_a_failure_logs_what_was_answered(tmp_path):
+    log, asked, met = providers.AnswerLog(str(tmp_path / "b")), [], threading.Barrier(4)
+
+    def ask(q):
+        asked.append(q["k"])
+        met.wait(10)  # four are under way
+        if q["k"] == 2:
+            raise ValueError("no answer")
+        time.sleep(0.2)
+        return q["k"]
+
+    with ThreadPoolExecutor(4) as pool, pytest.raises(ValueError, match="no answer"):
+        providers.ask_all({f"k{k}": ({"k": k}, log) for k in range(20)}, ask, pool, 4)
+    log.close()
+    assert sorted(asked) == [0, 1, 2, 3]
+    assert providers.AnswerLog(str(tmp_path / "b")).known == {"k0": 0, "k1": 1, "k3": 3}
+
+
+def test_each_bucket_of_questions_has_a_task(spark, tmp_path):
+    asked = spark.range(200).withColumnRenamed("id", "k")
+    where = lambda q: {"k": q["k"], "task": TaskContext.get().partitionId() if TaskContext.get() else os.getpid()}
+    got = providers.recorded(asked, where, "k long, task long", str(tmp_path / "answers"), tasks=4)
+    assert got.select("task").distinct().count() == 4
