@@ -75,8 +75,8 @@ def date_day(text: Column, pattern: str = DATE) -> Column:
 
 
 def date_parts(candidate: Column) -> Column:
-    """The nine groups of a date candidate (empty where unused), read by one match."""
-    return F.split(F.regexp_replace(candidate, WHOLE_DATE, "$1,$2,$3,$4,$5,$6,$7,$8,$9"), ",")
+    """The nine groups of a date candidate (empty where unused), read by one match; what may follow is the end of a line."""
+    return F.split(F.regexp_replace(candidate, WHOLE_DATE + r"\v*", "$1,$2,$3,$4,$5,$6,$7,$8,$9"), ",")
 
 
 def _part(parts: Column, *groups: int) -> Column:
@@ -105,10 +105,10 @@ def calendar_date(year: Column, month: Column, day: Column) -> Column:
 
 
 def parse_date_evidence(evidence: Column, inferred_year: Column) -> Column:
-    """Date of a text that is nothing but a date (FN-5)."""
+    """Date of a text that is nothing but a date (FN-5); matched once, since a match a group makes code too long to compile."""
     text = F.btrim(evidence, F.lit(EVIDENCE_EDGES))
-    year = F.coalesce(explicit_year(text, WHOLE_DATE), inferred_year)
-    return F.when(text.rlike(WHOLE_DATE), calendar_date(year, date_month(text, WHOLE_DATE), date_day(text, WHOLE_DATE)))
+    parts = F.when(text.rlike(WHOLE_DATE), date_parts(text))
+    return F.get(F.transform(F.array(parts), lambda p: calendar_date(F.coalesce(year_of(p), inferred_year), month_of(p), day_of(p))), F.lit(0))
 
 
 def parse_amount(text: Column) -> Column:

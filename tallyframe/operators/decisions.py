@@ -51,18 +51,23 @@ def merge_proposals(parsed: DataFrame, proposals: DataFrame, years: DataFrame) -
     p = proposals.select("log_id", "line_number", *(F.col(c).alias(f"p_{c}") for c in ("occurred_on", "date_evidence", "description", "description_evidence", "amount", "amount_evidence", "amount_evidence_index")))
     rows = parsed.join(p, ["log_id", "line_number"], "left").join(years, "log_id", "left")
     text = F.col("source_text")
+    # each pattern is matched once, and only on lines with a proposal for a field that is missing
+    dated = F.col("occurred_on").isNull() & F.col("p_date_evidence").isNotNull() & F.col("p_occurred_on").isNotNull()
+    priced = F.col("amount").isNull() & F.col("p_amount_evidence").isNotNull() & F.col("p_amount").isNotNull()
     same_date = F.array_contains(ev.date_candidates(text), F.col("p_date_evidence")) & (ev.parse_date_evidence(F.col("p_date_evidence"), F.col("inferred_year")) == F.col("p_occurred_on"))
-    day = F.when(F.col("occurred_on").isNull() & same_date, F.col("p_occurred_on"))
-    amounts = ev.amount_candidates(text)
-    places = F.filter(F.transform(amounts, lambda a, i: F.when(a == F.col("p_amount_evidence"), i)), lambda i: i.isNotNull())
+    day = F.when(dated & same_date, F.col("p_occurred_on"))
+    rows = rows.withColumn("_amounts", F.when(priced, ev.amount_candidates(text)))
+    rows = rows.withColumn("_places", F.filter(F.transform("_amounts", lambda a, i: F.when(a == F.col("p_amount_evidence"), i)), lambda i: i.isNotNull()))
+    places = F.col("_places")
     at = F.coalesce(F.when(F.array_contains(places, F.col("p_amount_evidence_index")), F.col("p_amount_evidence_index")), F.when(F.size(places) == 1, F.get(places, F.lit(0))))
     rows = rows.withColumn("_at", at)
-    context = ev.amount_context(text, F.col("_at"))
-    read = ev.refund_adjusted(ev.parse_amount(F.col("p_amount_evidence")), context)
-    good = F.col("amount").isNull() & F.col("_at").isNotNull() & ~ev.is_balance(context) & (read == F.col("p_amount").try_cast("decimal(18,2)"))
+    rows = rows.withColumn("_context", F.when(F.col("_at").isNotNull(), ev.amount_context(text, F.col("_at"))))
+    context = F.col("_context")
+    rows = rows.withColumn("_read", F.when(context.isNotNull(), ev.refund_adjusted(ev.parse_amount(F.col("p_amount_evidence")), context)))
+    good = context.isNotNull() & ~ev.is_balance(context) & (F.col("_read") == F.col("p_amount").try_cast("decimal(18,2)"))
     name = F.col("p_description_evidence")
-    named = F.col("description").isNull() & text.contains(name) & (F.btrim(name) == F.btrim("p_description")) & ev.has_descriptive_text(name)
-    rows = rows.withColumns({"_day": day, "_sum": F.when(good, read), "_name": F.when(named, F.btrim("p_description"))})
+    named = F.col("description").isNull() & name.isNotNull() & text.contains(name) & (F.btrim(name) == F.btrim("p_description")) & ev.has_descriptive_text(name)
+    rows = rows.withColumns({"_day": day, "_sum": F.when(good, F.col("_read")), "_name": F.when(named, F.btrim("p_description"))})
     issues = _without(F.col("issues"), F.col("_day").isNotNull(), "missing_date", "multiple_dates", "year_not_inferable", "invalid_date")
     issues = _without(issues, F.col("_sum").isNotNull(), "missing_amount", "multiple_amounts")
     issues = _without(issues, F.col("_name").isNotNull(), "missing_description")

@@ -16,8 +16,9 @@ ROLLOVER_MONTHS = 6
 
 
 def with_dates(lines: DataFrame) -> DataFrame:
-    """Adds the number of date candidates and year, month and day of the first; each pattern is matched once a line."""
-    rows = lines.withColumn("_dates", ev.date_candidates(F.col("source_text"))).withColumn("_parts", ev.date_parts(F.get("_dates", F.lit(0))))
+    """Adds the number of date candidates and year, month and day of a single one; each pattern is matched once a line."""
+    rows = lines.withColumn("_dates", ev.date_candidates(F.col("source_text")))
+    rows = rows.withColumn("_parts", F.when(F.size("_dates") == 1, ev.date_parts(F.get("_dates", F.lit(0)))))
     parts = F.col("_parts")
     return rows.withColumns({"_year": ev.year_of(parts), "_month": ev.month_of(parts), "_day": ev.day_of(parts), "_dates": F.size("_dates")}).drop("_parts")
 
@@ -58,11 +59,13 @@ def parse(lines: DataFrame) -> DataFrame:
     """Each line's date, description, amount and ordered issues; lines are never dropped."""
     years = infer_years(year_evidence(lines))
     text = F.col("source_text")
-    read = with_dates(lines).withColumns({"_amounts": ev.amount_candidates(text), "_context": ev.amount_context(text, 0), "_plain": ev.tidy(ev.without_fields(text))})
+    read = with_dates(lines).withColumns({"_amounts": ev.amount_candidates(text), "_plain": ev.tidy(ev.without_fields(text))})
+    read = read.withColumn("_context", F.when(F.size("_amounts") == 1, ev.amount_context(text, 0)))
     rows = read.join(years, "log_id", "left").withColumn("_year", F.coalesce("_year", "inferred_year"))
     context, amounts = F.col("_context"), F.size("_amounts")
     day = F.when(F.col("_dates") == 1, ev.calendar_date(F.col("_year"), F.col("_month"), F.col("_day")))
-    rows = rows.withColumns({"occurred_on": day, "_balance": ev.is_balance(context), "_read": ev.refund_adjusted(ev.parse_amount(F.get("_amounts", F.lit(0))), context)})
+    rows = rows.withColumns({"occurred_on": day, "_balance": ev.is_balance(context), "_value": F.when(amounts == 1, ev.parse_amount(F.get("_amounts", F.lit(0))))})
+    rows = rows.withColumn("_read", ev.refund_adjusted(F.col("_value"), context))
     rows = rows.withColumn("amount", F.when((amounts == 1) & ~F.col("_balance"), F.col("_read")))
     rows = rows.withColumn("description", ev.named(F.col("_plain"), F.col("amount")))
     issues = F.array_compact(

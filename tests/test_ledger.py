@@ -271,3 +271,18 @@ def test_providers(spark, tmp_path):
     ids = spark.createDataFrame([("t1",), ("t2",)], "id string")
     said = spark.createDataFrame([("t1", 0.5), ("t3", float("nan"))], "id string, probability double")
     assert sorted(r.problem for r in decisions.probability_problems(said, ids, "id").collect()) == ["has no decision", "probability is not in [0, 1]", "was not asked for"]
+
+
+def test_proposals_and_date_evidence_match_each_pattern_once(spark):
+    rows = [("a", 1, "2024-01-02 and 2024-01-03 shop fee 5.00, 7.25"), ("a", 2, "no date shop 7.25"), ("a", 3, None)]
+    lines = spark.createDataFrame(rows, "log_id string, line_number long, source_text string")
+    made = [("a", 1, 1, dt.date(2024, 1, 3), "2024-01-03", None, None, "7.25", "7.25", 1), ("a", 2, 1, dt.date(2024, 1, 3), "2024-01-03", "shop", "shop", "7.26", "7.25", 0), ("a", 3, 2, dt.date(2024, 1, 3), "2024-01-03", "x", "x", "1.00", "1.00", 0)]
+    proposals = spark.createDataFrame(made, "log_id string, line_number long, attempt int, occurred_on date, date_evidence string, description string, description_evidence string, amount string, amount_evidence string, amount_evidence_index int")
+    years = spark.createDataFrame([("a", 2024)], "log_id string, inferred_year int")
+    merged = decisions.merge_proposals(parsing.parse(lines), proposals, years)
+    got = {r.line_number: (r.occurred_on, r.amount, r.issues) for r in merged.collect()}
+    assert got[1] == (dt.date(2024, 1, 3), D("7.25"), [])
+    assert got[2] == (None, D("7.25"), ["missing_date"])
+    assert got[3][:2] == (None, None)
+    plan = merged._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract(") == 0 and plan.count("split(source_text") <= 2  # one in the parser, one here
